@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import Bpe, load_ranks, round_trip
 from .exact_dedup import exact_dedup
+from .quality_classifier import classify
 from .quality_rules import BOILERPLATE, NAVIGATION, quality_rules
 from .token_counts import Tokenizer, token_counts
 from .url_filter import Rule, judge_urls
@@ -44,6 +45,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.read(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(common.crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(common.read(spark, sf_dir, "pages"), URL_RULES)
 
@@ -57,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op6_url_filters, op8_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op8_quality_rules, op10_exact_dedup)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
