@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .quality_classifier import classify
 from .quality_rules import BOILERPLATE, NAVIGATION, quality_rules
 from .token_counts import Tokenizer, token_counts
+from .toxicity import detect
 from .url_filter import Rule, judge_urls
 
 #: The rules of the URL query.
@@ -41,6 +42,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, Tokenizer.load(vocabulary("piece_bpe_32k.model")), common.scratch_path(spark, "token-cache"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = detect(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.read(spark, sf_dir, "documents"), byte_bpe())
 
@@ -63,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op8_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op8_quality_rules, op10_exact_dedup)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
