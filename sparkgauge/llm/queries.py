@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from . import common
 from .bpe import Bpe, load_ranks, round_trip
 from .exact_dedup import exact_dedup
+from .language_id import identify
+from .language_id import train as train_languages
 from .quality_classifier import classify
 from .quality_rules import BOILERPLATE, NAVIGATION, quality_rules
 from .token_counts import Tokenizer, token_counts
@@ -64,12 +66,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.read(spark, sf_dir, "documents")).drop("cleaned", "lost_share")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    found = identify(docs, train_languages(docs))
+    return found.select("doc_id", F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op8_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op8_quality_rules, op9_language_id, op10_exact_dedup)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
