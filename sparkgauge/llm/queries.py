@@ -10,6 +10,7 @@ from .bpe import Bpe, load_ranks, round_trip
 from .exact_dedup import exact_dedup
 from .language_id import identify
 from .language_id import train as train_languages
+from .ngram_join import similarity_join
 from .quality_classifier import classify
 from .quality_rules import BOILERPLATE, NAVIGATION, quality_rules
 from .token_counts import Tokenizer, token_counts
@@ -62,6 +63,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(common.read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join(common.read(spark, sf_dir, "documents")).drop("_t")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.read(spark, sf_dir, "documents")).drop("cleaned", "lost_share")
 
@@ -77,7 +82,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op8_quality_rules, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op7_ngram_join, op8_quality_rules, op9_language_id, op10_exact_dedup)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
