@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, mixing
 from .bpe import Bpe, load_ranks, round_trip
 from .exact_dedup import exact_dedup
 from .language_id import identify
@@ -50,6 +50,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(common.crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", mixing.n_tokens().alias("n_tokens"))
+    mixed = mixing.mix(docs.withColumn("domain", mixing.domain()), mixing.TREE, tokens="n_tokens")
+    return mixed.select("doc_id", "domain", "lang", "source", F.col("_epoch").alias("epoch"), "n_tokens")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(common.read(spark, sf_dir, "documents"), byte_bpe())
 
@@ -82,13 +88,45 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op7_ngram_join, op8_quality_rules, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op7_ngram_join, op8_quality_rules, op9_language_id, op10_exact_dedup)}
 
 
 _WS = r"[\x20\x09-\x0D]+"
 
 _PHRASES = "[" + ", ".join(f"'{p}'" for p in (*NAVIGATION, *BOILERPLATE)) + "]"
 
+
+
+def _mixing_sql() -> str:
+    """The budgets level by level, then whole epochs and prefixes in the seeded order."""
+    weight = lambda v: "CASE " + " ".join(f"WHEN {v.column} = '{k}' THEN {w}" for k, w in v.weights.items()) + f" ELSE {v.default} END" if v.weights else str(v.default)
+    ctes, above, parent = [], [], "root"
+    for k, v in enumerate(mixing.TREE):
+        here = [*above, v.column]
+        by = f"PARTITION BY {', '.join(above)}" if above else ""
+        join = f"JOIN {parent} USING ({', '.join(above)})" if above else "JOIN root ON true"
+        cols = ", ".join(here)
+        ctes.append(f"""
+        n{k} AS (SELECT {cols}, sum(avail * 2)::HUGEINT AS cap, ({weight(v)})::HUGEINT AS w FROM leaves GROUP BY {cols}),
+        o{k} AS (SELECT n{k}.*, budget, budget - coalesce(sum(cap) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+                        sum(w) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opn
+                 FROM n{k} {join} WINDOW b AS ({by} ORDER BY cap::DOUBLE / w::DOUBLE, {v.column})),
+        f{k} AS (SELECT *, cap * opn <= w * lft AS ful FROM o{k}),
+        g{k} AS (SELECT *, budget - coalesce(sum(CASE WHEN ful THEN cap END) OVER ({by}), 0) AS rest, sum(CASE WHEN NOT ful THEN w END) OVER ({by}) AS ow FROM f{k}),
+        b{k} AS (SELECT {cols}, CASE WHEN ful THEN cap ELSE least((w * rest)::HUGEINT // ow::HUGEINT, cap) END::HUGEINT AS budget FROM g{k})""")
+        above, parent = here, f"b{k}"
+    cols = ", ".join(above)
+    return rf"""
+        WITH d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
+                          CASE WHEN regexp_matches(source, '[0-9]$') THEN 'd' || (regexp_extract(source, '([0-9]+)$', 1)::INT % 4) ELSE 'other' END AS domain FROM documents),
+        leaves AS (SELECT {cols}, sum(n_tokens)::HUGEINT AS avail FROM d GROUP BY {cols}),
+        root AS (SELECT floor(sum(avail)::DOUBLE * 0.8)::HUGEINT AS budget FROM leaves),{",".join(ctes)},
+        p AS (SELECT {cols}, (budget // avail)::INT AS whole, (budget % avail)::BIGINT AS part FROM b{len(mixing.TREE) - 1} JOIN leaves USING ({cols}) WHERE avail > 0),
+        m AS (SELECT d.*, whole, part, sum(n_tokens) OVER (PARTITION BY {cols} ORDER BY md5('7|' || whole || '|' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p USING ({cols}))
+        SELECT doc_id, domain, lang, source, unnest(range(whole))::INT AS epoch, n_tokens FROM m
+        UNION ALL SELECT doc_id, domain, lang, source, whole, n_tokens FROM m WHERE part > 0 AND upto <= part"""
+
+
 ORACLE = {
     "op10_exact_dedup": rf"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS norm FROM documents)
@@ -106,6 +144,7 @@ ORACLE = {
         b AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM m GROUP BY ALL)
         SELECT c.page_id, c.host, c.path, b.rule, coalesce(b.action, 'allow') AS verdict
         FROM c LEFT JOIN b USING (page_id, host, path)""",
+    "op3_source_mixing": _mixing_sql(),
     "op8_quality_rules": rf"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
         a AS (SELECT rid, doc_id, t, list_filter(regexp_split_to_array(t, '{_WS}'), lambda x: x <> '') AS ws,
