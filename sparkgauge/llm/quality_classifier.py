@@ -203,3 +203,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: t
     are there; without any labels all scores are one half. Only ``doc_id``, ``keep`` and the text are read of ``docs``.
     """
     return score(docs, train(docs, labels), keep=keep).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all its columns) whose score is at least ``threshold``."""
+    return score(docs, train(docs, labels, text=text), text, tuple(docs.columns)).where(F.col("score") >= threshold).drop("score")
