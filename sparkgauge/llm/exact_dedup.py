@@ -131,3 +131,12 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return settled.join(groups, group).select(
         key, F.col("_head.k").alias("keep_id"), "group_size", (F.col("_row") == F.col("_head.r")).alias("kept"), "text_sha256"
     )
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all its columns) that stay. Rows with the same key and an equal text are one row here."""
+    kept = exact_dedup(docs, key, text).where("kept").select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("text_sha256").alias("_s"))
+    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.SPACE, " ")
+    marked = docs.select(F.struct(*docs.columns).alias("_all"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.sha2(norm, 256).alias("_s"))
+    single = marked.groupBy("_k", "_s").agg(F.first("_all").alias("_all"))  # rows that repeat are combined before the shuffle
+    return single.join(kept, ["_k", "_s"], "left_semi").select("_all.*")
