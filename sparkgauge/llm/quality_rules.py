@@ -17,48 +17,37 @@ NAVIGATION = ("home | ", "| about", "| contact", "next page", "previous page", "
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "subscribe to our", "javascript is disabled", "enable javascript", "lorem ipsum")
 
 
-def base_metrics(text: Column) -> dict[str, Column]:
-    """Word and repetition counts of a whole text; null counts as a text without words.
+#: Repeated windows of a text up to which its windows are looked up one by one; beyond, all are sorted.
+FEW = 64
 
-    n_words: runs of other than white space; word_chars: their code points; n_symbols: of ``#*$%&|<>``; n_dup_lines:
-    lines (split at newlines) with a word that equal an earlier line; n_repeat_words: words that stand in a three-word
-    window which occurs twice or more in the text.
-    """
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, common.SPACE), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return {"_words": words, "_lines": lines, "word_chars": F.length(F.regexp_replace(text, common.SPACE, "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")}
-
-
-def _repeated(words: Column) -> Column:
-    """Words in three-word windows that occur again: windows are sorted by hash and text, equal neighbours are repeats."""
-    n = F.size(words)
-    window = lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1), F.element_at(words, i + 2))
-    windows = F.array_sort(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.struct(F.xxhash64(window(i)).alias("h"), window(i).alias("w"), i.alias("i"))))
-    return F.when(n >= 3, windows)
 
+def line_facts(text: Column) -> Column:
+    """For each line (split at newlines) with a word: the line, its code points outside white space, letters and symbols.
 
-def _covered(windows: Column) -> Column:
-    at = lambda i: F.try_element_at(windows, i)
-    same = lambda a, b: (a["h"] == b["h"]) & (a["w"] == b["w"])
-    repeats = F.filter(
-        F.transform(windows, lambda x, i: F.when(same(x, at(i + 2)) | F.when(i > 0, same(x, at(F.greatest(i, F.lit(1))))).otherwise(F.lit(False)), x["i"])),
-        lambda i: i.isNotNull(),
+    A lambda's common parts aren't shared by Spark, so each fact is computed once here and only read later.
+    """
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return F.transform(
+        lines,
+        lambda x: F.struct(
+            x.alias("line"),
+            F.length(F.regexp_replace(x, common.SPACE, "")).alias("size"),
+            F.length(F.regexp_replace(x, r"[^\p{L}]+", "")).alias("letters"),
+            (F.length(x) - F.length(F.regexp_replace(x, f"[{SYMBOLS}]+", ""))).alias("symbols"),
+        ),
     )
-    starts = F.transform(repeats, lambda i: F.array(i, i + 1, i + 2))
-    return F.coalesce(F.size(F.array_distinct(F.flatten(starts))), F.lit(0)).cast("long")
 
 
-def bad_line(line: Column) -> Column:
-    """A line (with a word) fails if it is navigation or boilerplate, or has too few letters or too many symbols."""
-    size = F.length(F.regexp_replace(line, common.SPACE, ""))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    low = F.lower(line)
+def bad_line(x: Column) -> Column:
+    """A line fails if it has too few letters or too many symbols, or is short and navigation or boilerplate."""
     phrase = F.lit(False)
     for p in (*NAVIGATION, *BOILERPLATE):
-        phrase = phrase | low.contains(p)
-    return (phrase & (size <= 200)) | (letters * 2 < size) | (symbols * 10 > size)
+        phrase = phrase | F.lower(x["line"]).contains(p)
+    return (x["letters"] * 2 < x["size"]) | (x["symbols"] * 10 > x["size"]) | ((x["size"] <= 200) & phrase)
+
+
+def _total(lines: str | Column, name: str) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + x[name])
 
 
 def quality_rules(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -70,25 +59,39 @@ def quality_rules(docs: DataFrame, max_lost: float = 0.5, min_words: int = 50, t
     stay apart; only ``keep`` and the text are read, so other columns can't clash.
     """
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    base = base_metrics(F.col("_text"))
-    rows = rows.withColumns({"_words": base["_words"], "_lines": base["_lines"], "word_chars": base["word_chars"], "n_symbols": base["n_symbols"]})
+    rows = rows.withColumns({"_words": F.filter(F.split("_text", common.SPACE), lambda w: w != ""), "_lines": line_facts(F.col("_text"))})
     rows = rows.withColumns(
         {
-            "_windows": _repeated(F.col("_words")),
-            "_good": F.filter("_lines", lambda x: ~bad_line(x)),
             "n_words": F.size("_words").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+            "word_chars": _total("_lines", "size"),
+            "n_symbols": _total("_lines", "symbols"),
+            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct(F.col("_lines.line")))).cast("long"),
+            "_bad": F.filter("_lines", bad_line),
+            "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
         }
     )
-    rows = rows.withColumns({"n_repeat_words": _covered(F.col("_windows")), "cleaned": F.array_join("_good", "\n")})
-    left = F.length(F.regexp_replace("cleaned", common.SPACE, ""))
+    # words in three-word windows that occur again: most texts have no window twice, which a set of hashes shows
+    n, h, w = F.size("_words"), F.col("_hashes"), F.col("_words")
+    rows = rows.withColumn("_windows", F.when(n >= 4, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.element_at(h, i), F.element_at(h, i + 1), F.element_at(h, i + 2)))))
+    rows = rows.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array("_windows")))
+    rows = rows.withColumn("_twice", F.array_distinct(F.filter("_sorted", lambda x, i: (i > 0) & (x == F.element_at(F.col("_sorted"), F.greatest(i, F.lit(1)))))))
+    every = F.transform("_windows", lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i")))
+    rows = rows.withColumn("_again", F.when(F.size("_twice") > FEW, F.array_sort(every)).when(F.size("_twice") > 0, F.array_sort(F.filter(every, lambda x: F.array_contains(F.col("_twice"), x["h"])))))
+    # neighbours in the order of hashes are repeats if their words are the same
+    same = lambda a, b: (a["h"] == b["h"]) & (F.element_at(w, a["i"]) == F.element_at(w, b["i"])) & (F.element_at(w, a["i"] + 1) == F.element_at(w, b["i"] + 1)) & (F.element_at(w, a["i"] + 2) == F.element_at(w, b["i"] + 2))
+    at = lambda i: F.element_at(F.col("_again"), i)
+    repeats = F.filter("_again", lambda x, i: ((i > 0) & same(x, at(F.greatest(i, F.lit(1))))) | ((i + 1 < F.size("_again")) & same(x, at(F.least(i + 2, F.size("_again"))))))
+    rows = rows.withColumn("_starts", F.transform(repeats, lambda x: x["i"]))
+    covered = F.array_distinct(F.flatten(F.transform("_starts", lambda i: F.array(i, i + 1, i + 2))))
     rows = rows.withColumns(
         {
-            "lost_share": F.when(F.col("word_chars") > 0, (F.col("word_chars") - left) / F.col("word_chars")).otherwise(F.lit(0.0)),
-            "base_failed": (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50),
+            "n_repeat_words": F.when(F.size("_starts") > 0, F.size(covered)).otherwise(0).cast("long"),
+            "lost_share": F.when(F.col("word_chars") > 0, _total("_bad", "size") / F.col("word_chars")).otherwise(F.lit(0.0)),
         }
     )
+    rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
     return rows.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share", "cleaned",
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_share",
+        F.array_join(F.transform(F.filter("_lines", lambda x: ~bad_line(x)), lambda x: x["line"]), "\n").alias("cleaned"),
         (~F.col("base_failed") & (F.col("lost_share") <= max_lost)).alias("kept"),
     )
