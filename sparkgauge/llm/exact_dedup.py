@@ -116,7 +116,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     while True:
         heads = table.groupBy(*group).agg(F.min(order).alias("_head"), F.count("*").alias("_n")).where("_n > 1")
         shared = heads.select(*group, F.col("_head.r").alias("_first"))
-        together = table.join(shared, group).select("_row", "_first", "_norm")  # both sides below share its one shuffle of texts
+        # texts cross one shuffle; only those of groups are written
+        together = common.materialize(table.join(shared, group).select("_row", "_first", "_norm"), "groups")
         members = _chunks(together.where("_row <> _first"), "_row", "_first")
         firsts = _chunks(together.where("_row = _first"), "_first").withColumnRenamed("_chunk", "_other")
         pairs = members.join(firsts, ["_first", "_at"])
