@@ -8,7 +8,6 @@ share of its words.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,21 +23,40 @@ UNKNOWN = "und"
 FEATURES, TRAIN_ROWS, RUNS, RUN = 1 << 16, 6_000, 4, 32
 #: Runs joined to a training sequence; sequences of a step; steps; learning rate.
 JOINED, BATCH, STEPS, RATE, SEED = 3, 64, 240, 0.08, 5
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 SLICE = 4 << 20
 
 
-def word_features(token: str) -> list[int]:
-    """Hashed features of a token's letters (in lower case); none for a token without letters."""
-    w = "".join(c for c in token.lower() if c.isalpha())
-    if not w:
-        return []
-    names = [f"={w}"]
-    for n in (1, 2, 3):
-        names += [f"^{w[:n]}", f"${w[-n:]}"]
-    padded = f"_{w}_"
-    names += [padded[i : i + 3] for i in range(len(padded) - 2)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for x in names]
+def letters(token: str) -> str:
+    """A token's letters in lower case."""
+    return token.lower() if token.isalpha() else "".join(c for c in token.lower() if c.isalpha())
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed features of words of at least one letter, for all of them at once.
+
+    (trigrams, word after word; the words' lengths, which are the numbers of their trigrams; (words, 7): the beginnings
+    and endings of one to three letters and the whole word, FEATURES where a word is too short).
+    """
+    n = np.array([len(w) for w in words], np.int64)
+    code = np.frombuffer(("_" + "__".join(words) + "_").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    start = np.cumsum(n + 2) - (n + 2)
+    k = np.uint64(0x1F123BB5)
+    row = lambda h, kind: (textvec.mix(h * np.uint64(16) + np.uint64(kind)) & np.uint64(FEATURES - 1)).astype(np.int64)
+    at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+    trigrams = row((code[at] * k + code[at + 1]) * k + code[at + 2], 0)
+    parts = np.full((len(words), 7), FEATURES, np.int64)
+    head = tail = np.zeros(len(words), np.uint64)
+    for size in (1, 2, 3):
+        long = n >= size
+        head = head * k + code[np.minimum(start + size, len(code) - 1)]
+        tail = tail * k + code[np.maximum(start + n + 1 - size, 0)]
+        parts[long, 2 * size - 2] = row(head, 2 * size - 1)[long]
+        parts[long, 2 * size - 1] = row(tail, 2 * size)[long]
+    up, down = textvec.powers(len(code) + 1)
+    total = np.append(np.uint64(0), np.cumsum(code * up[:-1]))
+    parts[:, 6] = row((total[start + n + 1] - total[start + 1]) * down[start + 1], 7)
+    return trigrams, n, parts
 
 
 @dataclass
@@ -49,9 +67,12 @@ class Model:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def emission(self, token: str) -> np.ndarray:
-        found = word_features(token)
-        return self.weights[found].sum(0) / np.sqrt(len(found)) if found else np.zeros(len(self.labels))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """(words, labels): the mean weights, by the root of their number, of each word's features."""
+        trigrams, n, parts = word_features(words)
+        w = np.concatenate([self.weights, np.zeros((1, len(self.labels)))])
+        total = np.add.reduceat(w[trigrams], np.cumsum(n) - n) + w[parts].sum(1)
+        return total / np.sqrt(n + (parts < FEATURES).sum(1))[:, None]
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
@@ -99,40 +120,49 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
     return (alpha[at], expected) if pairs else alpha[at]
 
 
-class _Known(dict):
-    """Tokens to rows of a growing table of emissions."""
+class Known:
+    """Rows of a growing table of emissions, by word and by token; row 0 is for tokens without letters."""
 
     def __init__(self, model: Model):
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        super().clear()
-        self.used = 0
-        self.table = np.zeros((1 << 12, len(self.model.labels)))
-        self.letters = np.zeros(1 << 12, bool)
-
-    def __missing__(self, token: str) -> int:
-        if self.used == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-        row = self[token] = self.used
-        self.table[row] = self.model.emission(token)
-        self.letters[row] = any(c.isalpha() for c in token)
-        self.used += 1
-        return row
-
-
-def predict(model: Model, known: _Known, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        self.tokens: dict[str, int] = {}
+        self.words: dict[str, int] = {"": 0}
+        self.table = np.zeros((1, len(self.model.labels)))
+
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The rows of each text's tokens; what is new is added first, all at once."""
+        if len(self.tokens) > REMEMBERED:
+            self.clear()
+        each = [t.split() for t in texts]
+        new = set()
+        for tokens in each:
+            new.update(tokens)
+        new.difference_update(self.tokens)
+        added: list[str] = []
+        for token in new:
+            word = letters(token)
+            row = self.words.get(word)
+            if row is None:
+                row = self.words[word] = len(self.table) + len(added)
+                added.append(word)
+            self.tokens[token] = row
+        if added:
+            self.table = np.concatenate([self.table, self.model.emissions(added)])
+        look = self.tokens.__getitem__
+        return [np.fromiter(map(look, tokens), np.int64, len(tokens)) for tokens in each]
+
+
+def predict(model: Model, known: Known, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text; UNKNOWN and 0 for one without letters."""
-    if known.used > REMEMBERED:
-        known.clear()
-    rows = [np.fromiter(map(known.__getitem__, t.split()), np.int64) for t in texts]
+    rows = known.rows(texts)
     lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     share = np.zeros((len(texts), len(model.labels)))
     if len(flat):
-        p = forward_backward(known.table[flat], lengths, model.transitions) * known.letters[flat][:, None]
+        p = forward_backward(known.table[flat], lengths, model.transitions) * (flat > 0)[:, None]
         there = np.flatnonzero(lengths)
         share[there] = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[there])
     total = share.sum(1)
@@ -144,7 +174,7 @@ def predict(model: Model, known: _Known, texts: list[str]) -> tuple[list[str], n
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value
-        known = _Known(value)
+        known = Known(value)
         for batch in batches:
             at = batch.schema.names.index("_text")
             others = [i for i in range(batch.num_columns) if i != at]
@@ -180,13 +210,14 @@ def fit(runs: list[tuple[str, str]]) -> Model:
     model = Model(labels, np.zeros((FEATURES, k)), np.zeros((k, k)))
     if k < 2:
         return model
-    memo: dict[str, np.ndarray] = {}
-    data = []
-    for lang, words in runs:
-        found = [memo.setdefault(w, np.array(word_features(w), np.int64)) if w not in memo else memo[w] for w in words.split()]
-        found = [f for f in found if len(f)]
-        if found:
-            data.append((number[lang], found))
+    split = [(number[lang], [w for w in map(letters, words.split()) if w]) for lang, words in runs]
+    every = sorted({w for _, words in split for w in words})
+    if not every:
+        return model
+    trigrams, n, parts = word_features(every)
+    ends = np.cumsum(n)
+    memo = {w: np.concatenate([trigrams[e - m : e], q[q < FEATURES]]) for w, e, m, q in zip(every, ends, n, parts, strict=True)}
+    data = [(y, [memo[w] for w in words]) for y, words in split if words]
     random = np.random.default_rng(SEED)
     by = [[d for d in data if d[0] == i] for i in range(k)]
     by = [b for b in by if b]
