@@ -23,7 +23,7 @@ def read_numbered_csv(spark: SparkSession, path: str) -> DataFrame:
 
     The file is read as one task, as order within a file needs; many files still read side by side (use ``snapshots``).
     """
-    lines = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("UTF-8")).alias("text"))
+    lines = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text"))
     first = next(csv.reader([lines.select(F.regexp_extract("text", r"\A\x{FEFF}?([^\r\n]*)", 1).alias("h")).first()["h"]]))
     schema = StructType([StructField(h, StringType()) for h in first])
 
