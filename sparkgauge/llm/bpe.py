@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Pre-tokens remembered by each Python worker, and the longest one that is.
 REMEMBERED, LONGEST = 500_000, 64
 #: Rows that go back to Spark at a time.
@@ -197,10 +199,6 @@ def _decode(model, at: int):
     return run
 
 
-def _ddl(df: DataFrame, but: str = "") -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != but)
-
-
 def bpe_encode(docs: DataFrame, bpe: Bpe, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ids (array of int) for each row of ``docs``; null and empty texts have no ids, rows are never merged.
 
@@ -208,14 +206,13 @@ def bpe_encode(docs: DataFrame, bpe: Bpe, text: str = "text", keep: tuple[str, .
     """
     model = docs.sparkSession.sparkContext.broadcast(bpe)
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    head = _ddl(rows, "_text")
-    return rows.mapInArrow(_encode(model, len(keep)), f"{head}{', ' if head else ''}ids array<int>")
+    return rows.mapInArrow(_encode(model, len(keep)), common.schema(rows, "_text", "ids array<int>"))
 
 
 def bpe_decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
     """``encoded`` with decoded (binary): the bytes of its ids; null ids count as none."""
     model = encoded.sparkSession.sparkContext.broadcast(bpe)
-    return encoded.mapInArrow(_decode(model, encoded.columns.index("ids")), f"{_ddl(encoded)}, decoded binary")
+    return encoded.mapInArrow(_decode(model, encoded.columns.index("ids")), common.schema(encoded, "", "decoded binary"))
 
 
 def round_trip(docs: DataFrame, bpe: Bpe, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space as the operators' contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -57,3 +58,8 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int, lim
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (crc_mod("doc_id", modulus) != held_out)
     )
     return bounded_sample(rows.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", limit)
+
+
+def schema(df: DataFrame, without: str, add: str) -> StructType:
+    """The fields of ``df`` but one, and those of the DDL ``add``: what a function over Arrow batches returns."""
+    return StructType([f for f in df.schema if f.name != without] + list(StructType.fromDDL(add)))

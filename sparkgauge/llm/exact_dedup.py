@@ -87,8 +87,7 @@ def fingerprint_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         F.col(key),
         F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.SPACE, " ").alias("_norm"),
     )
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_fingerprinted, f"_row long, `{key}` {kind}, _norm string, _fp long")
+    return rows.mapInArrow(_fingerprinted, common.schema(rows, "", "_fp long"))
 
 
 def _chunks(rows: DataFrame, *keep: str) -> DataFrame:

@@ -191,9 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and score (0 to 1) of each row of ``docs``; null and empty texts get the score of a text without tokens."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_mapped(shared, lambda m, data, offsets: m.scores(pooled(m.table, data, offsets).astype(np.float64)), "score", pa.float64()), f"{head}score double")
+    return rows.mapInArrow(_mapped(shared, lambda m, data, offsets: m.scores(pooled(m.table, data, offsets).astype(np.float64)), "score", pa.float64()), common.schema(rows, "_text", "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -207,4 +206,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: t
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` (all its columns) whose score is at least ``threshold``."""
-    return score(docs, train(docs, labels, text=text), text, tuple(docs.columns)).where(F.col("score") >= threshold).drop("score")
+    # the row travels as one struct, so its columns' names don't matter
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return score(rows, train(docs, labels, text=text), "text", ("row",)).where(F.col("score") >= threshold).select("row.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import textvec
+from . import common, textvec
 
 #: Between host and path, so that a host wildcard can't run into the path. It can't occur in either: hosts end before it.
 CUT = "/"
@@ -146,5 +146,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     host, path = canonical(url)
     rows = pages.select(*keep, host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_url", F.concat("host", "path"))
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_url")
-    return rows.mapInArrow(_judged(tuple(rules), default), f"{head}, rule string, verdict string")
+    return rows.mapInArrow(_judged(tuple(rules), default), common.schema(rows, "_url", "rule string, verdict string"))
