@@ -1,10 +1,9 @@
 """A similarity join on word n-gram sets: MinHash banding for candidates, full sets for the decision.
 
-Rows of equal n-gram sets are one class. Classes meet in the buckets of their band hashes. Inside a bucket nothing is
-compared with everything: members are compared with the bucket's first class, the leader. As Jaccard distance is a
-metric, a pair with known distances to the leader can only be linked if these differ by no more than the join's radius;
-that leaves few pairs between what is linked to the leader and what isn't, and what is far from it gets another leader.
-Links are then counted exactly inside each connected group, in blocks.
+Rows of equal n-gram sets are one class. Classes meet in the buckets of their band hashes. In a bucket every class is
+compared with the first, the leader: where all are linked to it, that makes the group. Elsewhere the bucket's classes are
+compared among themselves in blocks, as products of 0/1 matrices inside a call, and only edges that connect come out: as
+many rows as classes, not as pairs. Links are then counted exactly inside each connected group, in blocks as well.
 """
 
 from __future__ import annotations
@@ -22,9 +21,7 @@ from . import common, textvec
 from .graph import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 140
-#: Rounds of leaders before what is left in a bucket is compared pair by pair.
-ROUNDS = 3
-#: Classes in a block of the count of links.
+#: Classes of a block.
 BLOCK = 256
 SLICE = 1 << 19
 _SEED = 0x51ED2701
@@ -143,40 +140,100 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "sim"])
 
 
+def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which sets of ``left`` and ``right`` (None: of ``left`` among themselves) are at least ``threshold`` alike.
+
+    Intersections are products of 0/1 matrices, over runs of the n-grams' common numbering.
+    """
+    sets = left if right is None else [*left, *right]
+    sizes = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    n = len(left)
+    both = np.zeros((n, n if right is None else len(right)), np.float32)
+    for low in range(0, int(column[-1]) + 1, 4096):
+        a, b = np.searchsorted(column, [low, low + 4096])
+        x = np.zeros((len(sets), 4096), np.float32)
+        x[row[a:b], column[a:b] - low] = 1
+        both += x[:n] @ (x if right is None else x[n:]).T
+    second = sizes[:n] if right is None else sizes[n:]
+    linked = both >= threshold * (sizes[:n, None] + second[None] - both) - 1e-6
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked
+
+
+def _block_pairs(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | None]]:
+    """Each group's two blocks among a call's rows; None for the second if they are the same block."""
+    for _, group in rows.groupby("part", sort=False):
+        left = group[group["block"] == group["i"]]
+        if (group["i"] == group["j"]).iloc[0]:
+            yield left, None
+        elif len(left) < len(group) and len(left):
+            yield left, group[group["block"] == group["j"]]
+
+
+def _grams(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(x, np.int64) for x in rows["grams"]]
+
+
 def _counted(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Links between the blocks ``i`` and ``j`` (or inside a block) of each group among ``rows``."""
-        out = []
-        for _, group in rows.groupby("component", sort=False):
-            left = group[group["block"] == group["i"]]
-            same = bool((group["i"] == group["j"]).iloc[0])
-            right = left if same else group[group["block"] == group["j"]]
-            if len(left) == 0 or len(right) == 0:
-                continue
-            sets = [np.asarray(x, np.int64) for x in (*left["grams"], *([] if same else right["grams"]))]
-            sizes = np.array([len(s) for s in sets], np.float32)
-            _, column = np.unique(np.concatenate(sets), return_inverse=True)
-            row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-            n, both = len(left), np.zeros((len(left), len(right)), np.float32)
-            by = np.argsort(column, kind="stable")
-            column, row = column[by], row[by]
-            for low in range(0, int(column[-1]) + 1, 4096):
-                a, b = np.searchsorted(column, [low, low + 4096])
-                x = np.zeros((len(sets), 4096), np.float32)
-                x[row[a:b], column[a:b] - low] = 1
-                both += x[:n] @ (x[:n] if same else x[n:]).T
-            second = sizes[:n] if same else sizes[n:]
-            linked = both.astype(np.float64) >= threshold * (sizes[:n, None].astype(np.float64) + second[None] - both) - 1e-9
-            if same:
-                np.fill_diagonal(linked, False)
-            out.append(pd.DataFrame({"c": left["c"].to_numpy(), "links": linked @ right["size"].to_numpy()}))
-            if not same:
+        """Each class's number of links, by documents, to the other block of each pair of blocks."""
+        out = [pd.DataFrame({"c": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})]
+        for left, right in _block_pairs(rows):
+            linked = links_between(_grams(left), None if right is None else _grams(right), threshold)
+            other = left if right is None else right
+            out.append(pd.DataFrame({"c": left["c"].to_numpy(), "links": linked @ other["size"].to_numpy()}))
+            if right is not None:
                 out.append(pd.DataFrame({"c": right["c"].to_numpy(), "links": linked.T @ left["size"].to_numpy()}))
-        return pd.concat(out).astype({"c": "int64", "links": "int64"}) if out else pd.DataFrame({"c": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
+        return pd.concat(out).astype("int64")
+
+    return run
+
+
+def _stars(threshold: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """For each connected set of classes in each pair of blocks, edges from one of them to the others: as many as classes."""
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for left, right in _block_pairs(rows):
+            linked = links_between(_grams(left), None if right is None else _grams(right), threshold)
+            c = left["c"].to_numpy() if right is None else np.concatenate([left["c"].to_numpy(), right["c"].to_numpy()])
+            n, open_ = len(left), np.ones(len(c), bool)
+            for root in np.flatnonzero(linked.any(1)):
+                if not open_[root]:
+                    continue
+                reached = np.zeros(len(c), bool)
+                new = reached.copy()
+                new[root] = True
+                while new.any():
+                    reached |= new
+                    if right is None:
+                        new = linked[new].any(0) & ~reached
+                    else:
+                        new = np.concatenate([linked[:, new[n:]].any(1), linked[new[:n]].any(0)]) & ~reached
+                open_ &= ~reached
+                reached[root] = False
+                b.append(c[reached])
+                a.append(np.full(len(b[-1]), c[root]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return run
 
 
+def _in_blocks(rows: DataFrame, group: str, sets: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``rows`` (a group and a class each, and more) once for each pair of blocks they belong to, with their sets, and
+    the keys of the calls: small groups share calls, each pair of blocks of a large group is a call of its own."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = rows.join(sizes, group).join(sets, "c").withColumn("block", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumns({"part": F.col(group), "i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", group)
+    call = F.when(F.col("blocks") > 1, F.xxhash64("part", "i", "j")).otherwise(F.pmod(F.xxhash64("part"), F.lit(1 << 12)))
+    return placed.withColumn("call", call), ["call", "i", "j"]
+
+
 def _identity(key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
 
@@ -191,12 +248,9 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     pair at ``threshold`` is a candidate with probability ``recall``, a more similar one with a higher one; every
     candidate is decided on whole sets. An empty table gives an empty result; only key and text are read.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
     bands, rows = banding(threshold, recall)
-    radius = 1 - threshold + 1e-9
     source = docs.select(F.col(key), *_identity(key, text), F.col(text).alias("_text"))
-    signed = common.materialize(source.mapInArrow(_signed(n, bands, rows), f"`{key}` {kind}, _k string, _t long, _f long, _g long, _n long, _bands array<long>"), "ngram-signatures")
+    signed = common.materialize(source.mapInArrow(_signed(n, bands, rows), common.schema(source, "_text", "_f long, _g long, _n long, _bands array<long>")), "ngram-signatures")
     least = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "_k", "_t")
     classes = common.materialize(
         signed.where("_n > 0").groupBy("_f", "_g").agg(F.min(least).alias("least"), F.count("*").alias("size"), F.first("_bands").alias("_bands")).withColumn("c", F.monotonically_increasing_id()), "ngram-classes"
@@ -215,41 +269,23 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         found = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return common.materialize(found.mapInArrow(_compared, "a long, b long, sim double"), name)
 
-    links = None
-    add = lambda found: found.where(F.col("sim") >= threshold - 1e-12).select("a", "b")
-    for k in range(ROUNDS):
-        pairs = members.where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b"))
-        found = verify(pairs, "ngram-verified")
-        links = add(found) if links is None else links.unionByName(add(found))
-        near = members.where("c <> leader").join(found.select(F.col("a").alias("leader"), F.col("b").alias("c"), (1 - F.col("sim")).alias("d")), ["leader", "c"])
-        far = common.materialize(near.where(F.col("d") > radius), "ngram-far")
-        if far.isEmpty():
-            members = None
-            break
-        # a pair across the leader's border: one inside, one outside but within twice the radius
-        outside = far.where(F.col("d") <= 2 * radius).select("bucket", F.col("c").alias("a"), F.col("d").alias("da"))
-        inside = near.where(F.col("d") <= radius).select("bucket", F.col("c").alias("b"), "d")
-        border = outside.join(inside, "bucket").where(F.col("da") - F.col("d") <= radius)
-        links = links.unionByName(add(verify(border, "ngram-border")))
-        rest = far.select("bucket", "c")
-        again = rest.groupBy("bucket").agg(F.min("c").alias("leader"), F.max("c").alias("_last")).where("leader < _last").select("bucket", "leader")
-        members = common.materialize(rest.join(again, "bucket"), "ngram-rest")
-    if members is not None:
-        pair = members.select("bucket", F.col("c").alias("a")).join(members.select("bucket", F.col("c").alias("b")), "bucket").where("a < b")
-        links = links.unionByName(add(verify(pair, "ngram-last")))
+    others = members.where("c <> leader")
+    found = verify(others.select(F.col("leader").alias("a"), F.col("c").alias("b")), "ngram-verified")
+    links = found.where(F.col("sim") >= threshold - 1e-12).select("a", "b")
+    # where all are linked to the leader they are one group; elsewhere the others are compared among themselves
+    alike = found.select(F.col("a").alias("leader"), F.col("b").alias("c"), (F.col("sim") >= threshold - 1e-12).alias("near"))
+    mixed = others.join(alike, ["leader", "c"]).groupBy("bucket").agg(F.count_if(~F.col("near")).alias("far"), F.count("*").alias("n")).where("far > 0 and n > 1").select("bucket")
+    # a bucket met again in another band has the same members: one of them is enough
+    content = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("s"), F.min("c").alias("m"), F.max("c").alias("k"))
+    rest = others.join(mixed, "bucket")
+    once = rest.groupBy("bucket").agg(content.alias("_content")).groupBy("_content").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest, keys = _in_blocks(rest.join(once, "bucket").select("bucket", "c"), "bucket", sets)
+    links = links.unionByName(rest.groupBy(*keys).applyInPandas(_stars(threshold), "a long, b long"))
     links = common.materialize(links.distinct(), "ngram-links")
     groups = components(links)
 
-    sizes = groups.groupBy("component").agg((F.ceil(F.count("*") / F.lit(BLOCK))).cast("int").alias("blocks"))
-    placed = (
-        groups.join(sizes, "component").withColumnRenamed("node", "c").join(classes.select("c", "size"), "c").join(sets, "c")
-        .withColumn("block", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", "c", "size", "grams", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "blocks")
-    )
-    # small groups share tasks' calls; a block pair of a large group is a call of its own
-    call = F.when(F.col("blocks") > 1, F.xxhash64("component", "i", "j")).otherwise(F.pmod(F.xxhash64("component"), F.lit(1 << 12)))
-    inner = placed.withColumn("call", call).groupBy("call", "i", "j").applyInPandas(_counted(threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+    placed, keys = _in_blocks(groups.withColumnRenamed("node", "c").join(classes.select("c", "size"), "c"), "component", sets)
+    inner = placed.groupBy(*keys).applyInPandas(_counted(threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
     named = groups.withColumnRenamed("node", "c").join(classes.select("c", "least"), "c")
     heads = named.groupBy("component").agg(F.min("least").alias("head"))
     linked = named.join(heads, "component").select("c", F.col("head.k").alias("class_id")).join(inner, "c", "left")
@@ -268,5 +304,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     found = similarity_join(docs, key, text)
     stay = found.where(F.coalesce(F.col(key) == F.col("class_id"), F.col("class_id").isNull())).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), "_t").distinct()
-    marked = docs.withColumns(dict(zip(("_k", "_t"), (c for c in _identity(key, text)), strict=True)))
-    return marked.join(stay, ["_k", "_t"], "left_semi").select(*docs.columns)
+    marked = docs.select(F.struct(*docs.columns).alias("_all"), *_identity(key, text))
+    return marked.join(stay, ["_k", "_t"], "left_semi").select("_all.*")
