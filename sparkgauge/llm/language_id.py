@@ -161,7 +161,7 @@ def predict(model: Model, known: Known, texts: list[str]) -> tuple[list[str], np
     lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     share = np.zeros((len(texts), len(model.labels)))
-    if len(flat):
+    if len(flat) and len(model.labels):
         p = forward_backward(known.table[flat], lengths, model.transitions) * (flat > 0)[:, None]
         there = np.flatnonzero(lengths)
         share[there] = np.add.reduceat(p, (np.cumsum(lengths) - lengths)[there])
@@ -266,5 +266,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     come back as often as they are there; only ``keep`` and the text are read.
     """
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), f"{head}lang_pred string, score double")
+    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), common.schema(rows, "_text", "lang_pred string, score double"))
