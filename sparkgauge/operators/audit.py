@@ -24,7 +24,7 @@ COUNTS = {
 #: The fields of both records, in the order of the file; and all its columns.
 SIDES = {"project_name": "project_name", "queue_id": "queue_id", "capacity": "capacity_mw", "fuel_type": "normalized_fuel_type", "county": "county", "status": "normalized_status", "target_cod": "target_cod"}
 COLUMNS = (
-    "audit_id", "from_snapshot_id", "to_snapshot_id", "entity_id", "from_record_id", "to_record_id", *(f"{k}_{s}" for k in SIDES for s in ("before", "after")),
+    "from_snapshot_id", "to_snapshot_id", "from_record_id", "to_record_id", "entity_id", *(f"{k}_{s}" for k in SIDES for s in ("before", "after")),
     "match_score", "match_features_json", "ambiguity_reason", "system_label", "manual_label", "manual_reviewer", "manual_review_notes", "evidence_summary", "source_file_hash_before", "source_file_hash_after",
 )
 
@@ -66,7 +66,6 @@ def audit(records: DataFrame, links: DataFrame, events: DataFrame, snapshots: Da
     blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     values = {f"{k}_{n}": blank(F.col(f"{s}.{f}")) for k, f in SIDES.items() for s, n in (("b", "before"), ("a", "after"))}
     values |= {
-        "audit_id": F.concat(F.lit("audit_"), F.substring(F.sha2(F.concat_ws("|", F.lit(from_snapshot), F.lit(to_snapshot), "entity_id", "system_label", *key), 256), 1, 16)),
         "from_snapshot_id": F.lit(from_snapshot), "to_snapshot_id": F.lit(to_snapshot), "from_record_id": blank(F.col("before_record_id")), "to_record_id": blank(F.col("after_record_id")),
         "match_score": F.round("match_score", 4), "match_features_json": F.coalesce("match_features", F.lit("{}")), "manual_label": F.lit(""), "manual_reviewer": F.lit(""), "manual_review_notes": F.lit(""),
         "source_file_hash_before": F.lit(hashes.get(from_snapshot, "")), "source_file_hash_after": F.lit(hashes.get(to_snapshot, "")),
@@ -81,7 +80,7 @@ def audit_counts(rows: DataFrame) -> DataFrame:
 def review_candidates(rows: DataFrame, n: int = 50) -> DataFrame:
     """The first ``n`` rows to review: ambiguous ones, then by score, then by name."""
     named = F.coalesce(F.nullif("project_name_after", F.lit("")), F.col("project_name_before"))
-    return rows.where(~F.col("system_label").isin(*NO_REVIEW)).orderBy(F.when(F.col("system_label") == "ambiguous_needs_review", 0).otherwise(1), F.desc("match_score"), named, "audit_id").limit(n)
+    return rows.where(~F.col("system_label").isin(*NO_REVIEW)).orderBy(F.when(F.col("system_label") == "ambiguous_needs_review", 0).otherwise(1), F.desc("match_score"), named, "entity_id", "system_label").limit(n)
 
 
 def entity_matches(links: DataFrame, records: DataFrame, entity: str | None = None) -> DataFrame:
