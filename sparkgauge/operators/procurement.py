@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,11 +71,11 @@ def lead_times(rows: DataFrame, as_of: Column | str) -> DataFrame:
     )
 
 
-def class_ranges(rows: DataFrame, keys: Sequence[str] = ("scenario_id",)) -> DataFrame:
-    """By ``keys`` and class: the widest range, the lowest confidence, and whether rows are stale or differ."""
-    return rows.groupBy(*keys, "equipment_class").agg(
+def class_ranges(rows: DataFrame) -> DataFrame:
+    """By class: the widest range, the lowest confidence (as a rank), the number of rows, and whether they are stale or differ."""
+    return rows.groupBy("equipment_class").agg(
         F.min("lead_time_low_months").alias("lead_time_low_months"), F.max("lead_time_high_months").alias("lead_time_high_months"), F.min(_rank(F.col("confidence"))).alias("_rank"),
-        F.bool_or("is_stale").alias("is_stale"), (F.count_distinct("lead_time_low_months", "lead_time_high_months") > 1).alias("conflict"), F.min("position").alias("position"), F.count("*").alias("rows"),
+        F.bool_or("is_stale").alias("is_stale"), (F.count_distinct("lead_time_low_months", "lead_time_high_months") > 1).alias("conflict"), F.count("*").alias("rows"),
     )
 
 
@@ -85,17 +83,19 @@ def critical_path(scope: DataFrame, lead: DataFrame, as_of: str, stale_months: i
     """One row per scenario: the binding class, its range in days, confidence, and the stale, conflict and unsupported flags.
 
     Rows without a source or a date don't count. Binding is the class with the latest end, then the lower confidence,
-    then the earlier in the scope. Staleness here is by the request's threshold.
+    then the earlier in the scope. Staleness here is by the request's threshold. Lead times are gathered by class before
+    they meet the scopes, so the join has a row for each scoped class, however many rows a class has.
     """
     items = scope.where("equipment_class is not null").groupBy("scenario_id", "equipment_class").agg(F.min("position").alias("position"))
     usable = (F.coalesce(F.col("source_url"), F.lit("")) != "") & F.col("as_of_date").isNotNull()
-    rows = items.join(lead.where(usable).drop("is_stale", "position"), "equipment_class", "left")
-    found = rows.where("lead_time_id is not null").withColumn("is_stale", month_age("as_of_date", F.to_date(F.lit(as_of))) >= stale_months)
-    ranges = class_ranges(found)
-    best = F.max(F.struct(F.col("lead_time_high_months").alias("high"), (-F.col("_rank")).alias("risk"), (-F.col("position")).alias("p"), F.col("equipment_class").alias("cls"), F.col("lead_time_low_months").alias("low")))
-    path = ranges.groupBy("scenario_id").agg(best.alias("_best"), F.min("_rank").alias("_rank"), F.bool_or("is_stale").alias("stale_flag"), F.bool_or("conflict").alias("conflict_flag"), F.sum("rows").alias("lead_time_rows"))
-    missing = rows.where("lead_time_id is null").groupBy("scenario_id").agg(F.array_sort(F.collect_set("equipment_class")).alias("missing_equipment"))
-    rows = scope.select("scenario_id").distinct().join(path, "scenario_id", "left").join(missing, "scenario_id", "left")
+    ranges = class_ranges(lead.where(usable).withColumn("is_stale", month_age("as_of_date", F.to_date(F.lit(as_of))) >= stale_months))
+    there = F.col("rows").isNotNull()
+    path = items.join(ranges, "equipment_class", "left").groupBy("scenario_id").agg(
+        F.max(F.when(there, F.struct(F.col("lead_time_high_months").alias("high"), (-F.col("_rank")).alias("risk"), (-F.col("position")).alias("p"), F.col("equipment_class").alias("cls"), F.col("lead_time_low_months").alias("low")))).alias("_best"),
+        F.min("_rank").alias("_rank"), F.bool_or("is_stale").alias("stale_flag"), F.bool_or("conflict").alias("conflict_flag"), F.sum("rows").alias("lead_time_rows"),
+        F.array_sort(F.collect_set(F.when(~there, F.col("equipment_class")))).alias("missing_equipment"),
+    )
+    rows = scope.select("scenario_id").distinct().join(path, "scenario_id", "left")
     none = F.col("_best").isNull()
     return rows.select(
         "scenario_id", F.col("_best.cls").alias("binding_equipment_class"), F.col("_best.low").alias("binding_lead_time_low_months"), F.col("_best.high").alias("binding_lead_time_high_months"),
