@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import normalize, text
 from .operators import audit, diff, events, flexibility, national, procurement, resolve, rollup, timeline, watch
 from .plans import adapter, seeds
@@ -14,6 +15,11 @@ WATCHLIST = {"counties": ["nation d", "Nation bc"], "markets": [], "jurisdiction
 AS_OF = "2026-06-05"
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both snapshots' records, written once for queries that read them several times."""
+    return scratch.materialize(adapter.records(spark, sf_dir), "records")
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,12 +75,12 @@ def rollup_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollup_precompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.precompute(adapter.records(spark, sf_dir)).select("request_id", *METRICS)
+    return rollup.precompute(_records(spark, sf_dir)).select("request_id", *METRICS)
 
 
 def rollup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every county and fuel, with a threshold that some scopes miss; a request of another market abstains."""
-    rows = adapter.records(spark, sf_dir)
+    rows = _records(spark, sf_dir)
     asked = rollup.all_requests(rows).unionByName(spark.createDataFrame([("none", "NOWHERE", "Elsewhere", "Solar")], "request_id string, market string, county string, fuel_type string"))
     return rollup.rollup(rows, asked, 100).select("request_id", *METRICS)
 
@@ -106,7 +112,7 @@ def national_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _diffed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = adapter.records(spark, sf_dir)
+    rows = _records(spark, sf_dir)
     links = adapter.exact_links(rows)
     return rows, links, diff.diff(rows, links, diff.adjacent_snapshots(rows))
 

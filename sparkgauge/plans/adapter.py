@@ -43,16 +43,17 @@ def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.date_add("ordered", 1000)
     text = lambda c: c.cast("string")
 
-    def rows(df: DataFrame, snapshot: tuple[str, str], queue: Column, mw: Column, state: Column, cod: Column) -> DataFrame:
+    def row(snapshot: tuple[str, str], queue: Column, mw: Column, state: Column, cod: Column) -> Column:
         values = (queue, F.col("project"), F.col("entity"), F.col("county"), F.col("state"), F.col("poi"), F.col("technology"), text(mw), state, text(F.col("ordered")), text(cod), F.when(state == "Completed", text(F.col("shipped"))), F.when(state == "Withdrawn", text(F.date_add("ordered", 500))))
-        return df.select(*(v.alias(n) for n, v in zip(RAW, values, strict=True)), F.lit(snapshot[0]).alias("snapshot_id"), F.lit(snapshot[1]).cast("date").alias("snapshot_date"), F.concat_ws("-", F.lit(snapshot[0]), text(k)).alias("raw_id"))
+        return F.struct(*(v.alias(n) for n, v in zip(RAW, values, strict=True)), F.lit(snapshot[0]).alias("snapshot_id"), F.lit(snapshot[1]).cast("date").alias("snapshot_date"), F.concat_ws("-", F.lit(snapshot[0]), text(k)).alias("raw_id"))
 
-    all_rows = base(spark, sf_dir)
-    before = rows(all_rows.where(k % 37 != 0), BEFORE, F.col("queue_no"), F.col("mw"), status, target)
     later_status = F.when((k % 11 == 0) & (F.col("letter") != "F"), "Withdrawn").otherwise(status)
     later_cod = F.when(k % 17 == 0, F.date_add(target, 200)).when(k % 19 == 0, F.date_sub(target, 120)).otherwise(target)
-    after = rows(all_rows.where(k % 10 != 0), AFTER, F.when(k % 31 == 0, F.concat(F.lit("R-"), text(k))).otherwise(F.col("queue_no")), F.when(k % 13 == 0, F.col("mw") * 1.25).otherwise(F.col("mw")), later_status, later_cod)
-    return before.unionByName(after)
+    before = row(BEFORE, F.col("queue_no"), F.col("mw"), status, target)
+    after = row(AFTER, F.when(k % 31 == 0, F.concat(F.lit("R-"), text(k))).otherwise(F.col("queue_no")), F.when(k % 13 == 0, F.col("mw") * 1.25).otherwise(F.col("mw")), later_status, later_cod)
+    # both months come of one pass over the joins
+    months = F.filter(F.array(F.when(k % 37 != 0, before), F.when(k % 10 != 0, after)), lambda r: r.isNotNull())
+    return base(spark, sf_dir).select(F.explode(months).alias("r")).select("r.*")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
