@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pre-tokens remembered by each Python worker, and the longest one that is.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Rows that go back to Spark at a time.
 ROWS = 512
 
@@ -182,19 +182,30 @@ def _encode(model, at: int):
     return run
 
 
+def _decoded(bpe: Bpe, lists: pa.ListArray) -> pa.Array:
+    """The bytes of each row's ids; none for null."""
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(bpe.lengths[ids]))[np.append(0, np.cumsum(counts))]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(bpe.decode(ids).tobytes())])
+
+
 def _decode(model, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model.value
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
-                lists = part.column(at)
-                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                ends = np.append(0, np.cumsum(bpe.lengths[ids]))[np.append(0, np.cumsum(counts))]
-                data = pa.py_buffer(bpe.decode(ids).tobytes())
-                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), data])
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(model.value, part.column(at))], names=[*part.schema.names, "decoded"])
+
+    return run
+
+
+def _both(model, at: int):
+    """Encoding and then decoding in one Python worker: two functions in a row would each hold one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _encode(model, at)(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, _decoded(model.value, part.column("ids"))], names=[*part.schema.names, "decoded"])
 
     return run
 
@@ -206,18 +217,19 @@ def bpe_encode(docs: DataFrame, bpe: Bpe, text: str = "text", keep: tuple[str, .
     """
     model = docs.sparkSession.sparkContext.broadcast(bpe)
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    return rows.mapInArrow(_encode(model, len(keep)), common.schema(rows, "_text", "ids array<int>"))
+    return rows.mapInArrow(common.lean(_encode(model, len(keep))), common.schema(rows, "_text", "ids array<int>"))
 
 
 def bpe_decode(encoded: DataFrame, bpe: Bpe) -> DataFrame:
     """``encoded`` with decoded (binary): the bytes of its ids; null ids count as none."""
     model = encoded.sparkSession.sparkContext.broadcast(bpe)
-    return encoded.mapInArrow(_decode(model, encoded.columns.index("ids")), common.schema(encoded, "", "decoded binary"))
+    return encoded.mapInArrow(common.lean(_decode(model, encoded.columns.index("ids"))), common.schema(encoded, "", "decoded binary"))
 
 
 def round_trip(docs: DataFrame, bpe: Bpe, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 of each row of ``docs``."""
-    both = bpe_decode(bpe_encode(docs, bpe, text, keep), bpe)
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    both = rows.mapInArrow(common.lean(_both(docs.sparkSession.sparkContext.broadcast(bpe), len(keep))), common.schema(rows, "_text", "ids array<int>, decoded binary"))
     return both.select(
         *keep,
         F.size("ids").cast("long").alias("n_tokens"),

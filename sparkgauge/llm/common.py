@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,3 +66,29 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int, lim
 def schema(df: DataFrame, without: str, add: str) -> StructType:
     """The fields of ``df`` but one, and those of the DDL ``add``: what a function over Arrow batches returns."""
     return StructType([f for f in df.schema if f.name != without] + list(StructType.fromDDL(add)))
+
+
+def release() -> None:
+    """Give memory that Arrow and the C library hold but don't use back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over Arrow batches that gives memory back after each batch and at its end."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(each(batches))
+        finally:
+            release()
+
+    return wrapped

@@ -87,7 +87,7 @@ def fingerprint_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         F.col(key),
         F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.SPACE, " ").alias("_norm"),
     )
-    return rows.mapInArrow(_fingerprinted, common.schema(rows, "", "_fp long"))
+    return rows.mapInArrow(common.lean(_fingerprinted), common.schema(rows, "", "_fp long"))
 
 
 def _chunks(rows: DataFrame, *keep: str) -> DataFrame:

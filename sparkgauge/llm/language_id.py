@@ -23,8 +23,8 @@ UNKNOWN = "und"
 FEATURES, TRAIN_ROWS, RUNS, RUN = 1 << 16, 6_000, 4, 32
 #: Runs joined to a training sequence; sequences of a step; steps; learning rate.
 JOINED, BATCH, STEPS, RATE, SEED = 3, 64, 240, 0.08, 5
-REMEMBERED = 400_000
-SLICE = 4 << 20
+REMEMBERED = 250_000
+SLICE = 2 << 20
 
 
 def letters(token: str) -> str:
@@ -255,7 +255,7 @@ def train(docs: DataFrame, label: str = "lang", modulus: int = 3, held_out: int
     known = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull() & (common.crc_mod("doc_id", modulus) != held_out))
     chosen = common.bounded_sample(known.select("doc_id").distinct(), "doc_id", rows)
     texts = known.select(F.col(label).alias("_lang"), "doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("_lang", F.col("doc_id").cast("long"), "_text")
-    runs = texts.mapInArrow(_runs, "lang string, id long, place long, words string").collect()
+    runs = texts.mapInArrow(common.lean(_runs), "lang string, id long, place long, words string").collect()
     return fit([(r["lang"], r["words"]) for r in sorted(runs, key=lambda r: (r["id"], r["place"], r["lang"], r["words"]))])
 
 
@@ -266,4 +266,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     come back as often as they are there; only ``keep`` and the text are read.
     """
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    return rows.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), common.schema(rows, "_text", "lang_pred string, score double"))
+    return rows.mapInArrow(common.lean(_predicted(docs.sparkSession.sparkContext.broadcast(model))), common.schema(rows, "_text", "lang_pred string, score double"))

@@ -250,7 +250,7 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     bands, rows = banding(threshold, recall)
     source = docs.select(F.col(key), *_identity(key, text), F.col(text).alias("_text"))
-    signed = common.materialize(source.mapInArrow(_signed(n, bands, rows), common.schema(source, "_text", "_f long, _g long, _n long, _bands array<long>")), "ngram-signatures")
+    signed = common.materialize(source.mapInArrow(common.lean(_signed(n, bands, rows)), common.schema(source, "_text", "_f long, _g long, _n long, _bands array<long>")), "ngram-signatures")
     least = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), "_k", "_t")
     classes = common.materialize(
         signed.where("_n > 0").groupBy("_f", "_g").agg(F.min(least).alias("least"), F.count("*").alias("size"), F.first("_bands").alias("_bands")).withColumn("c", F.monotonically_increasing_id()), "ngram-classes"
@@ -261,13 +261,13 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     involved = members.select("c").distinct()
     wanted = classes.join(involved, "c").select("c", "least._k", "least._t")
     texts = docs.select(*_identity(key, text), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(wanted, ["_k", "_t"]).select("c", "_text")
-    sets = common.materialize(texts.mapInArrow(_with_sets(n), "c long, grams array<long>").dropDuplicates(["c"]), "ngram-sets")
+    sets = common.materialize(texts.mapInArrow(common.lean(_with_sets(n)), "c long, grams array<long>").dropDuplicates(["c"]), "ngram-sets")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, sim) of pairs (a, b), on full sets."""
         left, right = sets.select(F.col("c").alias("a"), F.col("grams").alias("x")), sets.select(F.col("c").alias("b"), F.col("grams").alias("y"))
         found = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return common.materialize(found.mapInArrow(_compared, "a long, b long, sim double"), name)
+        return common.materialize(found.mapInArrow(common.lean(_compared), "a long, b long, sim double"), name)
 
     others = members.where("c <> leader")
     found = verify(others.select(F.col("leader").alias("a"), F.col("c").alias("b")), "ngram-verified")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common, textvec
 
 #: Rows of the vector table, its dimensions, non-zero entries of an index vector, and neighbours on either side.
-ROWS, DIM, NONZERO, WINDOW = 1 << 13, 64, 4, 2
+ROWS, DIM, NONZERO, WINDOW = 1 << 13, 32, 2, 2
 #: Labelled rows that the network is fitted on, at most.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, SEED = 32, 60, 11
@@ -74,7 +74,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The (ROWS, DIM) table of unit word vectors over all texts of ``docs``; the driver gets at most ROWS rows."""
-    parts = docs.select(F.col(text)).mapInArrow(_contexts, "row int, v array<long>")
+    parts = docs.select(F.col(text)).mapInArrow(common.lean(_contexts), "row int, v array<long>")
     sums = parts.groupBy("row").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIM))).alias("v")).collect()
     table = np.zeros((ROWS, DIM))
     for r in sums:
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     table = word_vectors(docs, text)
     sample = common.labelled_ids(labels, label, modulus, held_out, rows)
     chosen = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id").select("label", "_text")
-    features = chosen.mapInArrow(_mapped(spark.sparkContext.broadcast(table), pooled, "x", pa.list_(pa.float32())), "label int, x array<float>").toArrow()
+    features = chosen.mapInArrow(common.lean(_mapped(spark.sparkContext.broadcast(table), pooled, "x", pa.list_(pa.float32()))), "label int, x array<float>").toArrow()
     y = features.column("label").to_numpy()
     x = features.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES).astype(np.float64) if len(y) else np.zeros((0, FEATURES))
     order = np.lexsort((*x.T[:3], y))  # rows arrive in any order; the fit shouldn't depend on it
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     """``keep`` and score (0 to 1) of each row of ``docs``; null and empty texts get the score of a text without tokens."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_mapped(shared, lambda m, data, offsets: m.scores(pooled(m.table, data, offsets).astype(np.float64)), "score", pa.float64()), common.schema(rows, "_text", "score double"))
+    return rows.mapInArrow(common.lean(_mapped(shared, lambda m, data, offsets: m.scores(pooled(m.table, data, offsets).astype(np.float64)), "score", pa.float64())), common.schema(rows, "_text", "score double"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

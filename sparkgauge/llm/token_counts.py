@@ -101,7 +101,7 @@ def fill_cache(docs: DataFrame, tokenizer: Tokenizer, cache_path: str, text: str
     distinct = wanted.groupBy("content_sha256").agg(F.first("_text").alias("_text"))
     misses = distinct.join(stored, "content_sha256", "left_anti")
     model = spark.sparkContext.broadcast(tokenizer)  # the vocabulary file: its size doesn't depend on the corpus
-    counts = misses.mapInArrow(_encoded(model), "content_sha256 string, n_tokens long")
+    counts = misses.mapInArrow(common.lean(_encoded(model)), "content_sha256 string, n_tokens long")
     counts.select(F.lit(tokenizer.version).alias("tokenizer_sha256"), "content_sha256", "n_tokens").write.mode("append").parquet(cache_path)
 
 

@@ -146,4 +146,4 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     host, path = canonical(url)
     rows = pages.select(*keep, host.alias("host"), path.alias("path"))
     rows = rows.withColumn("_url", F.concat("host", "path"))
-    return rows.mapInArrow(_judged(tuple(rules), default), common.schema(rows, "_url", "rule string, verdict string"))
+    return rows.mapInArrow(common.lean(_judged(tuple(rules), default)), common.schema(rows, "_url", "rule string, verdict string"))
