@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pre-tokens remembered by each Python worker, and the longest one that is.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 450_000, 64
 #: Rows that go back to Spark at a time.
 ROWS = 512
 
@@ -32,14 +33,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def _two(key: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(key, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
+def _hash(key: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little")
 
 
-def _place(a: int, b: int, d: int, n: int) -> int:
+def _place(h: int, d: int, n: int) -> int:
     """The slot that displacement ``d`` gives a key: another pseudo-random one for each ``d``."""
-    return (((a + d * 0x9E3779B97F4A7C15) * (b | 1) & 0xFFFFFFFFFFFFFFFF) >> 11) % n
+    return (((h ^ d * 0x9E3779B97F4A7C15) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF) >> 24) % n
 
 
 class PerfectHash:
@@ -50,10 +50,10 @@ class PerfectHash:
         self.n, self.buckets = n, max(1, n // 2)
         self.keys: list[bytes] = [b""] * n
         self.shift = [0] * self.buckets
-        by: list[list[tuple[int, int, bytes]]] = [[] for _ in range(self.buckets)]
+        by: list[list[tuple[int, bytes]]] = [[] for _ in range(self.buckets)]
         for key in keys:
-            a, b = _two(key)
-            by[a % self.buckets].append((a, b, key))
+            h = _hash(key)
+            by[h % self.buckets].append((h, key))
         taken, order = bytearray(n), sorted(range(self.buckets), key=lambda i: -len(by[i]))
         free = None
         for i in order:
@@ -61,10 +61,12 @@ class PerfectHash:
             if len(group) > 1:
                 d = 0
                 while True:
-                    slots = [_place(a, b, d, n) for a, b, _ in group]
+                    slots = [_place(h, d, n) for h, _ in group]
                     if len({*slots}) == len(slots) and not any(taken[s] for s in slots):
                         break
                     d += 1
+                    if d > 1 << 22:
+                        raise ValueError("two keys have one hash")
                 self.shift[i] = d
             elif group:
                 free = free or (s for s in range(n) if not taken[s])
@@ -72,7 +74,7 @@ class PerfectHash:
                 self.shift[i] = -1 - slots[0]  # a lone key has its slot written down
             else:
                 continue
-            for s, (_, _, key) in zip(slots, group, strict=True):
+            for s, (_, key) in zip(slots, group, strict=True):
                 taken[s] = 1
                 self.keys[s] = key
 
@@ -80,9 +82,9 @@ class PerfectHash:
         """The key's slot, or -1 if it isn't one of the keys."""
         if not self.n:
             return -1
-        a, b = _two(key)
-        d = self.shift[a % self.buckets]
-        s = -1 - d if d < 0 else _place(a, b, d, self.n)
+        h = _hash(key)
+        d = self.shift[h % self.buckets]
+        s = -1 - d if d < 0 else _place(h, d, self.n)
         return s if self.keys[s] == key else -1
 
 
@@ -93,7 +95,7 @@ class _Known(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.piece_ids(piece), np.int32).tobytes()
+        ids = array("i", self.bpe.piece_ids(piece)).tobytes()
         if len(piece) <= LONGEST:
             self[piece] = ids
         return ids
@@ -116,29 +118,33 @@ class Bpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: always the pair of lowest rank, the leftmost of equals, until none is in the table."""
-        ranks, n = self.ranks, len(piece)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = []
-        for i in range(n - 1):
-            if (r := ranks.get(piece[i : i + 2])) is not None:
-                heap.append((r, i, i + 2))
+        get, n = self.ranks.get, len(piece)
+        if n < 2:
+            return [self.ranks[piece]] if n else []
+        # a part is named by its first byte: where the next one starts, and where the one before does
+        after, before = [*range(1, n + 1)], [*range(-1, n)]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
-        alive = bytearray(b"\1") * n
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+            _, i, stop = pop(heap)
+            j = after[i]
+            if j < 0 or j >= n or after[j] != stop:
                 continue  # one of its halves has been merged since
-            alive[j], end[i], after[i] = 0, stop, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                    heapq.heappush(heap, (r, i, end[after[i]]))
-            if before[i] >= 0 and (r := ranks.get(piece[before[i] : stop])) is not None:
-                heapq.heappush(heap, (r, before[i], stop))
+            after[j], after[i] = -1, stop
+            if stop < n:
+                before[stop] = i
+                end = after[stop]
+                if (r := get(piece[i:end])) is not None:
+                    push(heap, (r, i, end))
+            j = before[i]
+            if j >= 0 and (r := get(piece[j:stop])) is not None:
+                push(heap, (r, j, stop))
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = after[i]
+            j = after[i]
+            out.append(self.ranks[piece[i:j]])
+            i = j
         return out
 
     def piece_ids(self, piece: str) -> tuple[int, ...]:
