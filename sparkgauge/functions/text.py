@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for a missing value, in lower case.
 MISSING = ("", "nan", "none", "null", "nat")
+#: All white space, as trimming takes it.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -23,7 +25,7 @@ def compact(c: Column | str) -> Column:
 def is_missing(c: Column | str) -> Column:
     """Null, or a text that stands for a missing value, in whatever case and with whatever space around it."""
     text = col(c).cast("string")
-    return text.isNull() | F.lower(F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))).isin(*MISSING)
+    return text.isNull() | F.lower(F.btrim(text, F.lit(WHITE))).isin(*MISSING)
 
 
 def clean_text(c: Column | str) -> Column:
