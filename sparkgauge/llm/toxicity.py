@@ -1,8 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character language model is counted over the whole corpus. Words that look disguised (digits or signs among letters,
-letters repeated, letters spaced out) become lattices: each sign may stand for a letter, for nothing, or repeat what
-precedes it. Viterbi decoding finds the reading that the language model likes best, and the restored words are scored.
+letters repeated, letters spaced out) become lattices: each sign may stand for any of its letters, for nothing, or
+repeat what precedes it. Viterbi decoding finds the reading that the language model likes best, and the restored words are scored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from . import common, textvec
 
 #: The letters that a sign or digit may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
+AMBIGUOUS = {c for c, letters in LEET.items() if len(letters) > 1}
 #: Labelled rows that words are learned from, and words kept, at most.
 TRAIN_ROWS, LEXICON = 20_000, 20_000
 #: Costs (in nats) of reading a sign as a letter; of dropping a digit, a sign that could be a letter, any other sign, a
@@ -75,8 +76,11 @@ def char_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((1 - EVEN) * counts / counts.sum(1, keepdims=True) + EVEN / SIZE)
 
 
-def _lattice(word: str, ambiguous: int) -> list[tuple[list[tuple[int, str, float]], float | None]]:
-    """For each character its readings (class, letter, cost) and the cost of dropping it (None: it can't be)."""
+def _lattice(word: str, ambiguous: int | None) -> list[tuple[list[tuple[int, str, float]], float | None]]:
+    """For each character its readings (class, letter, cost) and the cost of dropping it (None: it can't be).
+
+    A sign has all its letters as readings (``ambiguous`` None), or only the one at that place.
+    """
     cells, last = [], ""
     for c in word:
         if c.isalpha():
@@ -84,54 +88,40 @@ def _lattice(word: str, ambiguous: int) -> list[tuple[list[tuple[int, str, float
             cells.append(([(int(CLASS[raw[-1]]), c, 0.0)], DROP_REPEAT if c == last else None))
         else:
             letters = LEET.get(c, "")
-            letter = letters[min(ambiguous, len(letters) - 1)] if letters else ""
-            reads = [(int(CLASS[ord(letter)]), letter, AS_LETTER)] if letter else []
-            cells.append((reads, DROP_AGAIN if c == last else DROP_DIGIT if c.isdigit() else DROP_LETTER if letter else DROP_OTHER))
+            if ambiguous is not None and letters:
+                letters = letters[min(ambiguous, len(letters) - 1)]
+            reads = [(int(CLASS[ord(letter)]), letter, AS_LETTER) for letter in letters]
+            cells.append((reads, DROP_AGAIN if c == last else DROP_DIGIT if c.isdigit() else DROP_LETTER if reads else DROP_OTHER))
         last = c
     return cells
 
 
-def viterbi(words: list[str], model: np.ndarray, ambiguous: int = 0) -> list[str]:
-    """The best reading of each word, all words side by side. ``ambiguous``: which of a sign's letters to try.
-
-    A state is the class of the last letter that was read; words are grouped by length, so a step is a few array
-    operations for all of them.
-    """
-    out = [""] * len(words)
-    by: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by.setdefault(len(w), []).append(k)
-    for size, group in by.items():
-        cells = [_lattice(words[k], ambiguous) for k in group]
-        n = len(group)
-        every = np.arange(n)
-        best = np.full((n, SIZE), -np.inf)
-        best[:, 0] = 0
-        steps = []
-        for t in range(size):
-            drop = np.array([-np.inf if c[t][1] is None else -c[t][1] for c in cells])
-            read = np.array([c[t][0][0][0] if c[t][0] else -1 for c in cells])
-            cost = np.array([c[t][0][0][2] if c[t][0] else np.inf for c in cells])
-            moved = best + model[:, read].T
-            source = moved.argmax(1)
-            value = moved[every, source] - cost
-            new = best + drop[:, None]
-            came = np.full((n, SIZE), -1, np.int16)  # -1: dropped here
-            better = (read >= 0) & (value >= new[every, read])
-            new[every[better], read[better]] = value[better]
-            came[every[better], read[better]] = source[better]
-            best = new
-            steps.append(came)
-        state = (best + model[:, 0]).argmax(1)
-        letters: list[list[str]] = [[] for _ in range(n)]
-        for t in range(size - 1, -1, -1):
-            source = steps[t][every, state]
-            for i in np.flatnonzero(source >= 0):
-                letters[i].append(cells[i][t][0][0][1])
-            state = np.where(source >= 0, source, state)
-        for i, k in enumerate(group):
-            out[k] = "".join(reversed(letters[i]))
-    return out
+def _decode(cells: list, model: list[list[float]]) -> str:
+    """The best path through a lattice. A state is the class of the last letter that was read; only states that can be
+    are held, so after a letter that can't be dropped there is one, and what leads to it is settled."""
+    done: list[str] = []
+    states = {0: (0.0, "")}
+    for reads, drop in cells:
+        if drop is None and len(reads) == 1:
+            c, letter, _ = reads[0]
+            done.append((states.popitem()[1] if len(states) == 1 else max(states.items(), key=lambda x: x[1][0] + model[x[0]][c])[1])[1])
+            done.append(letter)
+            states = {c: (0.0, "")}
+            continue
+        new = {} if drop is None else {k: (v - drop, text) for k, (v, text) in states.items()}
+        for c, letter, cost in reads:
+            value, text = max((v + model[k][c], text) for k, (v, text) in states.items())
+            if c not in new or value - cost >= new[c][0]:
+                new[c] = (value - cost, text + letter)
+        states = new
+    done.append(max(states.items(), key=lambda x: x[1][0] + model[x[0]][0])[1][1])
+    return "".join(done)
+
+
+def viterbi(words: list[str], model: np.ndarray, ambiguous: int | None = 0) -> list[str]:
+    """The best reading of each word; ``ambiguous``: which of a sign's letters to try, None for all of them."""
+    table = model.tolist()
+    return [_decode(_lattice(w, ambiguous), table) for w in words]
 
 
 def _readings(raw: list[str], model: np.ndarray) -> dict[str, tuple[str, ...]]:
@@ -153,11 +143,17 @@ def _readings(raw: list[str], model: np.ndarray) -> dict[str, tuple[str, ...]]:
         else:
             out[token] = (plain,)
     if odd:
-        words = [w for _, w in odd]
-        for (token, word), a, b in zip(odd, viterbi(words, model, 0), viterbi(words, model, 1), strict=True):
+        table = model.tolist()
+        for token, word in odd:
+            cells = _lattice(word, None)
+            best = _decode(cells, table)
+            # a sign that is there twice may be two letters: so is the reading that drops nothing that could be a letter
+            whole = _decode([(reads, None if reads else drop) for reads, drop in cells], table)
+            # where the model hardly tells a sign's letters apart, the readings with only its first or second are tried too
+            others = [_decode(_lattice(word, k), table) for k in (0, 1)] if not AMBIGUOUS.isdisjoint(word) else []
             # repeated letters may be doubled by right: the reading with no letter twice in a row is tried too
-            single = re.sub(r"(.)\1+", r"\1", a)
-            out[token] = tuple(dict.fromkeys([*out.get(token, ()), a, b, single]))
+            single = re.sub(r"(.)\1+", r"\1", best)
+            out[token] = tuple(dict.fromkeys([*out.get(token, ()), best, whole, *others, single]))
     return out
 
 

@@ -216,6 +216,29 @@ def test_viterbi_against_all_readings(toxic_model):
         assert toxicity.viterbi([word], model)[0] == best, word
 
 
+def test_viterbi_against_all_letters_of_all_signs():
+    every = " ".join(["silly", "kill", "bill", "gig"] * 50).encode()
+    counts = np.full((toxicity.SIZE, toxicity.SIZE), 0.01)
+    classes = [0 if b == 32 else int(toxicity.CLASS[b]) for b in b" " + every + b" "]
+    np.add.at(counts, (classes[:-1], classes[1:]), 1)
+    model = np.log(counts / counts.sum(1, keepdims=True))
+    for word in ("s11ly", "k11l", "6!11", "b|1l", "g16", "s#1lly", "kiill", "1", "!6", "$1!l", ""):
+        best, value = None, -np.inf
+        cells = toxicity._lattice(word, None)
+        for choice in itertools.product(*[[*reads] + [None] * (drop is not None) for reads, drop in cells]):
+            cost, last, text = 0.0, 0, ""
+            for read, (_, drop) in zip(choice, cells, strict=True):
+                if read is None:
+                    cost -= drop
+                else:
+                    cost, last, text = cost + model[last, read[0]] - read[2], read[0], text + read[1]
+            if cost + model[last, 0] > value + 1e-9:
+                best, value = text, cost + model[last, 0]
+        assert toxicity.viterbi([word], model, None)[0] == best, word
+    assert {c for w in ("1", "6") for reads, _ in toxicity._lattice(w, None) for _, c, _ in reads} == {"i", "l", "g", "b"}
+    assert "silly" in toxicity._readings(["s11ly"], model)["s11ly"]
+
+
 def test_disguised_words_are_restored(toxic_model):
     got = toxicity._readings(["1d10t", "m0r0n", "$cum", "loooooser", "M.O.R.O.N", "fine,"], toxic_model.chars)
     assert "scum" in got["$cum"] and "loser" in got["loooooser"] and "moron" in got["M.O.R.O.N"] and got["fine,"] == ("fine",) and "moron" in got["m0r0n"] and "idiot" in got["1d10t"]
