@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ TRAIN_ROWS, LEXICON = 20_000, 20_000
 AS_LETTER, DROP_DIGIT, DROP_LETTER, DROP_OTHER, DROP_AGAIN, DROP_REPEAT = 0.7, 12.0, 5.0, 0.5, 0.1, 0.3
 #: Share of an even distribution in the character model: a pair that the corpus lacks is unlikely, not impossible.
 EVEN = 0.1
-LONGEST, REMEMBERED = 40, 200_000
+REMEMBERED = 200_000
 #: Nats of surprise from which a feature counts in full.
 SURPRISE = 12.0
 #: Lengths of word beginnings that are features besides the word.
@@ -48,9 +49,12 @@ CLASS[0x80:] = 29 + (np.arange(0x80, 0x100) & 0x1F)
 
 _STRIP = ".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\=|!$+@"
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
-_THRICE = re.compile(r"(.)\1\1")
+_MARKS = ".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\="
+_TWICE, _REPEATED = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
+_CHAIN = re.compile(r"[^\w@$!|+(€£]+|_+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_][\x20.\-_*]{1,2}){3,}[^\W_](?!\S)")
 _GAPS = re.compile(r"[\x20.\-_*]+")
+_FIRST = itemgetter(0)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -98,24 +102,25 @@ def _lattice(word: str, ambiguous: int | None) -> list[tuple[list[tuple[int, str
 
 def _decode(cells: list, model: list[list[float]]) -> str:
     """The best path through a lattice. A state is the class of the last letter that was read; only states that can be
-    are held, so after a letter that can't be dropped there is one, and what leads to it is settled."""
-    done: list[str] = []
-    states = {0: (0.0, "")}
+    are held, with their letters as linked pairs, so after a letter that can't be dropped there is one state."""
+    states: dict[int, tuple] = {0: (0.0, None)}
     for reads, drop in cells:
-        if drop is None and len(reads) == 1:
-            c, letter, _ = reads[0]
-            done.append((states.popitem()[1] if len(states) == 1 else max(states.items(), key=lambda x: x[1][0] + model[x[0]][c])[1])[1])
-            done.append(letter)
-            states = {c: (0.0, "")}
-            continue
-        new = {} if drop is None else {k: (v - drop, text) for k, (v, text) in states.items()}
+        new = {} if drop is None else {k: (v - drop, path) for k, (v, path) in states.items()}
         for c, letter, cost in reads:
-            value, text = max((v + model[k][c], text) for k, (v, text) in states.items())
-            if c not in new or value - cost >= new[c][0]:
-                new[c] = (value - cost, text + letter)
+            if len(states) == 1:
+                ((k, (v, path)),) = states.items()
+                value = v + model[k][c] - cost
+            else:
+                value, path = max(((v + model[k][c] - cost, path) for k, (v, path) in states.items()), key=_FIRST)
+            if c not in new or value >= new[c][0]:
+                new[c] = (value, (path, letter))
         states = new
-    done.append(max(states.items(), key=lambda x: x[1][0] + model[x[0]][0])[1][1])
-    return "".join(done)
+    path = max(((v + model[k][0], path) for k, (v, path) in states.items()), key=_FIRST)[1]
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def viterbi(words: list[str], model: np.ndarray, ambiguous: int | None = 0) -> list[str]:
@@ -124,37 +129,47 @@ def viterbi(words: list[str], model: np.ndarray, ambiguous: int | None = 0) -> l
     return [_decode(_lattice(w, ambiguous), table) for w in words]
 
 
-def _readings(raw: list[str], model: np.ndarray) -> dict[str, tuple[str, ...]]:
-    """Each distinct token's readings: itself without marks around it if it is plain, else what Viterbi makes of it."""
-    out, odd = {}, []
-    for token in raw:
-        low = token.lower()
-        plain = low.strip(_STRIP)
-        if not plain or len(plain) > LONGEST:
-            out[token] = (plain,) if plain else ()
-        elif _PLAIN.match(plain) and not _THRICE.search(plain):
+def _decoded(word: str, table: list[list[float]]) -> Iterator[str]:
+    """What Viterbi makes of a word, and the readings that it can't tell apart from that."""
+    cells = _lattice(word, None)
+    best = _decode(cells, table)
+    yield best
+    # a sign that is there twice may be two letters: so is the reading that drops nothing that could be a letter
+    yield _decode([(reads, None if reads else drop) for reads, drop in cells], table)
+    # where the model hardly tells a sign's letters apart, the readings with only its first or second are tried too
+    if not AMBIGUOUS.isdisjoint(word):
+        yield from (_decode(_lattice(word, k), table) for k in (0, 1))
+    # repeated letters may be doubled by right: the reading with no letter twice in a row is tried too
+    yield _REPEATED.sub(r"\1", best)
+
+
+def _of_token(low: str, table: list[list[float]]) -> Iterator[str]:
+    """The readings of a token of any length in small letters; a plain word with no letter twice in a row has one."""
+    plain, inner = low.strip(_STRIP), low.strip(_MARKS)
+    if plain:
+        if _PLAIN.match(plain):
+            yield plain
+            if _TWICE.search(plain):
+                yield from _decoded(plain, table)
             # signs around a plain word may be letters too ("$cum", "idio+")
-            inner = low.strip(".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\=")
-            out[token] = (plain,)
-            if inner != plain and len(inner) <= LONGEST and not _THRICE.search(inner):
-                odd.append((token, inner))
-        elif any(c.isalpha() for c in plain):
-            odd.append((token, low.strip(".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\=") if len(low) <= LONGEST else plain))
-        else:
-            out[token] = (plain,)
-    if odd:
-        table = model.tolist()
-        for token, word in odd:
-            cells = _lattice(word, None)
-            best = _decode(cells, table)
-            # a sign that is there twice may be two letters: so is the reading that drops nothing that could be a letter
-            whole = _decode([(reads, None if reads else drop) for reads, drop in cells], table)
-            # where the model hardly tells a sign's letters apart, the readings with only its first or second are tried too
-            others = [_decode(_lattice(word, k), table) for k in (0, 1)] if not AMBIGUOUS.isdisjoint(word) else []
-            # repeated letters may be doubled by right: the reading with no letter twice in a row is tried too
-            single = re.sub(r"(.)\1+", r"\1", best)
-            out[token] = tuple(dict.fromkeys([*out.get(token, ()), best, whole, *others, single]))
-    return out
+            if inner != plain:
+                yield from _decoded(inner, table)
+            return
+        if not any(c.isalpha() for c in plain):
+            yield plain
+    if inner and not (LEET.keys().isdisjoint(inner) and not plain):
+        yield from _decoded(inner, table)
+        # signs that are no letters may chain words
+        parts = [x for x in _CHAIN.split(inner) if len(x) > 1]
+        if len(parts) > 1:
+            for part in dict.fromkeys(parts):
+                yield from _of_token(part, table)
+
+
+def _readings(raw: list[str], model: np.ndarray) -> dict[str, tuple[str, ...]]:
+    """Each distinct token's readings: itself without marks around it if it is plain, and what Viterbi makes of it."""
+    table = model.tolist()
+    return {token: tuple(dict.fromkeys(w for w in _of_token(token.lower(), table) if w)) for token in raw}
 
 
 class Restorer:

@@ -245,6 +245,17 @@ def test_disguised_words_are_restored(toxic_model):
     assert toxicity._SPACED.findall("you i d i o t now") == ["i d i o t"]
 
 
+def test_no_token_is_kept_from_decoding(toxic_model):
+    chained = "/".join(["thing-reor"] * 4 + ["idi0t", "m0ron"])
+    long = {"idi" + "o" * 60 + "t": "idiot", "i" + "*" * 50 + "diot": "idiot", "#-" * 30 + "m0r0n": "moron", chained: "idiot", chained + "-": "moron", "s" * 45 + "cum": "scum", "x3" * 100_000: "xe" * 100_000, "30" * 50_000 + "-x": "eo" * 50_000 + "x"}
+    doubled = {"idiiot": "idiot", "mmoorroonn": "moron", "SCUUM,": "scum", "idiot": "idiot"}
+    signs = {"455": "ass", "@$$": "ass", "2024": "2024"}
+    got = toxicity._readings([*long, *doubled, *signs, "--", "...", "thing"], toxic_model.chars)
+    for token, word in (long | doubled | signs).items():
+        assert word in got[token], (token[:50], got[token][:5])
+    assert got["--"] == got["..."] == () and got["thing"] == ("thing",)
+
+
 def test_toxicity_on_held_out_and_disguised_rows(spark, toxic_model):
     for change in (lambda w, r: w, disguise):
         rows, labels = rants(300, change)
