@@ -30,6 +30,8 @@ AS_LETTER, DROP_DIGIT, DROP_LETTER, DROP_OTHER, DROP_AGAIN, DROP_REPEAT = 0.7, 1
 #: Share of an even distribution in the character model: a pair that the corpus lacks is unlikely, not impossible.
 EVEN = 0.1
 REMEMBERED = 200_000
+#: Cost (in nats) of a word that isn't among the LEXICON commonest, where letters that stand apart are put together.
+UNKNOWN = 6.0
 #: Nats of surprise from which a feature counts in full.
 SURPRISE = 12.0
 #: Lengths of word beginnings that are features besides the word.
@@ -52,8 +54,11 @@ _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _MARKS = ".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\="
 _TWICE, _REPEATED = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 _CHAIN = re.compile(r"[^\w@$!|+(€£]+|_+")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_][\x20.\-_*]{1,2}){3,}[^\W_](?!\S)")
-_GAPS = re.compile(r"[\x20.\-_*]+")
+#: Signs that may part single letters, an apostrophe isn't one; any other character may be one of the letters.
+_PART = r"\s\"#%&)*,\-./:;<=>?\[\\\]^_`{}~…«»„“”‘–—·•"
+_ONE = rf"[^{_PART}'’]"
+_SPACED = re.compile(rf"(?<![^{_PART}(@$!|+€£])(?:{_ONE}[{_PART}]+){{2,}}{_ONE}(?!['’]?[^\W_])")
+_PARTS = re.compile(rf"[{_PART}]+")
 _FIRST = itemgetter(0)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -172,22 +177,69 @@ def _readings(raw: list[str], model: np.ndarray) -> dict[str, tuple[str, ...]]:
     return {token: tuple(dict.fromkeys(w for w in _of_token(token.lower(), table) if w)) for token in raw}
 
 
+def segment(run: str, table: list[list[float]], words: dict[str, float], starts: set[str]) -> list[str]:
+    """The words of letters that stand apart: Viterbi over letters, drops and word borders at once.
+
+    ``words`` are known words and their log probabilities, ``starts`` all their beginnings. A state is a beginning of a
+    known word, or the class of the last letter of any other word; "" is a border.
+    """
+    states: dict = {"": (0.0, None)}
+    for reads, drop in _lattice(_PARTS.sub("", run.lower()), None):
+        new: dict = {} if drop is None else {k: (v - drop, path) for k, (v, path) in states.items()}
+        for k, (v, path) in states.items():
+            for c, letter, cost in reads:
+                after = []
+                if isinstance(k, str) and k + letter in starts:
+                    after.append((k + letter, v - cost))
+                if k == "":
+                    after.append((c, v - cost - UNKNOWN + table[0][c]))
+                elif isinstance(k, int):
+                    after.append((c, v - cost + table[k][c]))
+                for state, value in after:
+                    if state not in new or value > new[state][0]:
+                        new[state] = (value, (path, letter))
+        ends = [(v + words[k], path) for k, (v, path) in new.items() if k in words]
+        ends += [(v + table[k][0], path) for k, (v, path) in new.items() if isinstance(k, int)]
+        if ends:
+            value, path = max(ends, key=_FIRST)
+            if "" not in new or value > new[""][0]:
+                new[""] = (value, (path, " "))
+        states = new
+    path, letters = states[""][1], []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters)).split()
+
+
 class Restorer:
     """Texts to the readings of their tokens, remembering what a bounded number of distinct tokens read as."""
 
-    def __init__(self, model: np.ndarray):
+    def __init__(self, model: np.ndarray, words: dict[str, float] | None = None):
         self.model = model
+        self.table = model.tolist()
+        self.words = words or {}
+        self.starts = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
         self.known: dict[str, tuple[str, ...]] = {}
+        self.joined: dict[str, set[str]] = {}
+
+    def join(self, run: str) -> set[str]:
+        """The words that letters standing apart are put together to, and all of them as one word."""
+        if run not in self.joined:
+            self.joined[run] = {*segment(run, self.table, self.words, self.starts), _PARTS.sub("", run)}
+        return self.joined[run]
 
     def read(self, texts: list[str]) -> list[set[str]]:
-        """The distinct raw tokens of each text, letters that stand apart joined; ``known`` then has their readings."""
+        """The distinct raw tokens of each text and the words of letters that stand apart; ``known`` then has their readings."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.joined) > REMEMBERED:
+            self.joined.clear()
         each = []
         for text in texts:
             found = {*_WORD.findall(text)} if text else set()
-            if text and len(text) > 6:
-                found.update(_GAPS.sub("", m) for m in _SPACED.findall(text))
+            for run in _SPACED.findall(text) if text else ():
+                found |= self.join(run)
             each.append(found)
         new = [t for t in set().union(*each) if t not in self.known] if each else []
         self.known.update(_readings(new, self.model))
@@ -211,7 +263,7 @@ def _in_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 def _by_label(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.value)
+        restorer = Restorer(*model.value)
         for batch in batches:
             labels, check = (batch.column(batch.schema.names.index(n)).to_pylist() for n in ("label", "check"))
             counts: dict[str, list[int]] = {}
@@ -228,11 +280,13 @@ def _by_label(model):
 
 @dataclass
 class Model:
-    """The character model, the words' weights (at most LEXICON) and the final logistic curve."""
+    """The character model, the words' weights (at most LEXICON), the final logistic curve, and the log probabilities of
+    common words (at most LEXICON) by which letters that stand apart are put together."""
 
     chars: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, float, float] = (-3.0, 1.0, 0.5)
+    words: dict[str, float] = field(default_factory=dict)
 
     def measure(self, restorer: Restorer, texts: list[str]) -> np.ndarray:
         """(texts, 2): the largest weight of a word, and log(1 + the sum of the others)."""
@@ -266,7 +320,7 @@ class Model:
 def _measured(model, curve: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value
-        restorer = Restorer(value.chars)
+        restorer = Restorer(value.chars, value.words)
         for batch in batches:
             others = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
             for a, texts in _in_texts(batch):
@@ -308,6 +362,15 @@ def _weights(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[str, float]:
     return {r["feature"]: r["weight"] for r in best.collect()}
 
 
+def _common_words(chosen: DataFrame) -> dict[str, float]:
+    """Log probabilities of the plain words that two of the chosen texts have at least, the LEXICON commonest."""
+    word = F.trim(F.lower("word"), F.lit(_STRIP))
+    each = chosen.select(F.explode(F.array_distinct(F.split("_text", r"[\x20\x09-\x0D]+"))).alias("word")).select(word.alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
+    rows = each.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(LEXICON).collect()
+    total = sum(r["count"] for r in rows)
+    return {r["word"]: float(np.log(r["count"] / total)) for r in rows}
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
     """The character model over all of ``docs``; the curve on a third of at most ``rows`` labelled documents outside the
     held-out share, by words' weights from the other two thirds; then the words' weights from all of these documents."""
@@ -321,7 +384,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         "toxicity-sample",
     )
     sizes = {(r["check"], r["label"]): r["count"] for r in chosen.groupBy("check", "label").count().collect()}
-    shared = spark.sparkContext.broadcast(model.chars)
+    model.words = _common_words(chosen)
+    shared = spark.sparkContext.broadcast((model.chars, model.words))
     counts = common.materialize(
         chosen.mapInArrow(common.lean(_by_label(shared)), "feature string, clean long, toxic long, clean_all long, toxic_all long")
         .groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "clean_all", "toxic_all"))).where("toxic_all >= 2"),

@@ -256,6 +256,43 @@ def test_no_token_is_kept_from_decoding(toxic_model):
     assert got["--"] == got["..."] == () and got["thing"] == ("thing",)
 
 
+def test_letters_that_stand_apart_become_words(spark, toxic_model):
+    cases = {
+        "you i d i o t.": "idiot", "i d i o t!": "idiot", "you s c u m. ok": "scum", "s c u m, all": "scum", "what a m o r o n you": "moron", "i d i o t m o r o n": "moron",
+        "i d i o t  m o r o n now": "idiot", "l o $ e r": "loser", "m\to\tr\to\tn": "moron", "m\no\nr\no\nn": "moron", "m 0 r 0 n": "moron", "(m-o-r-o-n)": "moron", "m m o o r o n": "moron", "l  -  o  -  s e r": "loser",
+    }
+    restorer = toxicity.Restorer(toxic_model.chars, toxic_model.words)
+    for text, word in cases.items():
+        found = restorer.read([text])[0]
+        assert word in {w for t in found for w in restorer.known[t]}, (text, found)
+    restorer = toxicity.Restorer(toxic_model.chars, {"a": -3.0, "ass": -8.0, "c": -9.0, "cat": -7.0})
+    assert [restorer.read([x])[0] - {*x.split()} for x in ("c a t", "I'd a b", "it's a b", "a b", "no run")] == [{"cat"}, set(), set(), set(), set()]
+    # borders, letters and drops against all of them
+    words = {"a": -2.0, "as": -3.0, "sol": -4.0, "so": -3.5, "oil": -4.5}
+    table = toxic_model.chars.tolist()
+    starts = {w[:n] for w in words for n in range(1, len(w) + 1)}
+
+    def best(cells, at=0, word="", last=0, cost=0.0, done=()):
+        if word:  # a border here
+            letters = [0, *(int(toxicity.CLASS[ord(c)]) for c in word), 0]
+            other = sum(table[p][c] for p, c in zip(letters, letters[1:], strict=False)) - toxicity.UNKNOWN
+            yield from best(cells, at, "", 0, cost + max(words.get(word, -np.inf), other), (*done, word))
+        if at == len(cells):
+            if not word:
+                yield cost, list(done)
+            return
+        reads, drop = cells[at]
+        for c, letter, price in reads:
+            yield from best(cells, at + 1, word + letter, c, cost - price, done)
+        if drop is not None:
+            yield from best(cells, at + 1, word, last, cost - drop, done)
+
+    for run in ("a s o l", "a a 5 0 1", "o 1 l", "s s o", "x y z a", "a $ o !"):
+        value, expected = max(best(toxicity._lattice(run.replace(" ", ""), None)))
+        assert toxicity.segment(run, table, words, starts) == expected, (run, expected, value)
+    assert len(toxicity.segment("a s o l " * 5_000, table, words, starts)) == 10_000
+
+
 def test_toxicity_on_held_out_and_disguised_rows(spark, toxic_model):
     for change in (lambda w, r: w, disguise):
         rows, labels = rants(300, change)
