@@ -63,6 +63,15 @@ def labelled_ids(labels: DataFrame, label: str, modulus: int, held_out: int, lim
     return bounded_sample(rows.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", limit)
 
 
+def sample_texts(docs: DataFrame, sample: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, label, _text) of each id of a bounded ``sample``: one row per id, however often ``docs`` has it.
+
+    Of several texts the smallest is taken; null is empty. Ids that ``docs`` lacks are left out.
+    """
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("_text").alias("_text"))
+
+
 def schema(df: DataFrame, without: str, add: str) -> StructType:
     """The fields of ``df`` but one, and those of the DDL ``add``: what a function over Arrow batches returns."""
     return StructType([f for f in df.schema if f.name != without] + list(StructType.fromDDL(add)))

@@ -1,15 +1,20 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A character language model is counted over the whole corpus. Words that look disguised (digits or signs among letters,
-letters repeated, letters spaced out) become lattices: each sign may stand for any of its letters, for nothing, or
-repeat what precedes it. Viterbi decoding finds the reading that the language model likes best, and the restored words are scored.
+A character language model (4-grams with back-off) is counted over the whole corpus. Tokens that look disguised become
+lattices: a sign or digit may stand for any of its letters, for itself, for a word border or for nothing, and a repeated
+letter may be one; letters that stand apart are one lattice with a border possible after each. Viterbi decoding finds
+the reading that the language model likes best. The text with these readings in place is the restored text; its words
+are what is learned from and scored.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import log
 from operator import itemgetter
 
 import numpy as np
@@ -21,238 +26,284 @@ from . import common, textvec
 
 #: The letters that a sign or digit may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l"}
-AMBIGUOUS = {c for c, letters in LEET.items() if len(letters) > 1}
-#: Labelled rows that words are learned from, and words kept, at most.
-TRAIN_ROWS, LEXICON = 20_000, 20_000
-#: Costs (in nats) of reading a sign as a letter; of dropping a digit, a sign that could be a letter, any other sign, a
-#: repeated sign, and a repeated letter.
-AS_LETTER, DROP_DIGIT, DROP_LETTER, DROP_OTHER, DROP_AGAIN, DROP_REPEAT = 0.7, 12.0, 5.0, 0.5, 0.1, 0.3
-#: Share of an even distribution in the character model: a pair that the corpus lacks is unlikely, not impossible.
-EVEN = 0.1
+#: Labelled rows that words are learned from, words kept, and n-grams of the character model, at most.
+TRAIN_ROWS, LEXICON, GRAMS = 20_000, 20_000, 1 << 18
+#: Costs (in nats) of reading a sign as a letter, keeping a digit, dropping a digit, and dropping a sign that could be a
+#: letter or reading it as a border; of dropping any other sign or reading it as a border; of dropping a sign that is
+#: there again; of reading a letter twice as once, and any further ones.
+AS_LETTER, KEEP_DIGIT, DROP_DIGIT, DROP_LETTER, LETTER_BORDER, DROP_OTHER, OTHER_BORDER, DROP_AGAIN, DROP_SECOND, DROP_MORE = 0.7, 2.5, 9.0, 3.0, 2.5, 0.5, 0.3, 0.1, 3.0, 0.2
+#: Strength of the lower order in an order's estimate, as a count.
+BACK_OFF = 4.0
 REMEMBERED = 200_000
-#: Cost (in nats) of a word that isn't among the LEXICON commonest, where letters that stand apart are put together.
-UNKNOWN = 6.0
 #: Nats of surprise from which a feature counts in full.
 SURPRISE = 12.0
 #: Lengths of word beginnings that are features besides the word.
 PREFIXES = (4, 5, 6)
 SLICE = 1 << 19
 
-#: Letters: 0 is the border of a word; a-z (folded), digits, other signs, and 32 classes of bytes beyond ASCII.
-SIZE = 64
-CLASS = np.zeros(256, np.int64)
-for _i in range(26):
-    CLASS[0x61 + _i] = CLASS[0x41 + _i] = 1 + _i
-CLASS[0x30:0x3A] = 27
-for _i in range(0x21, 0x7F):
-    if not CLASS[_i]:
-        CLASS[_i] = 28
-CLASS[0x80:] = 29 + (np.arange(0x80, 0x100) & 0x1F)
-
-_STRIP = ".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\=|!$+@"
-_PLAIN = re.compile(r"[^\W\d_]+\Z")
-_MARKS = ".,;:?\"'`()[]{}<>«»„“”‘’…-_*~#^&%/\\="
-_TWICE, _REPEATED = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
-_CHAIN = re.compile(r"[^\w@$!|+(€£]+|_+")
-#: Signs that may part single letters, an apostrophe isn't one; any other character may be one of the letters.
-_PART = r"\s\"#%&)*,\-./:;<=>?\[\\\]^_`{}~…«»„“”‘–—·•"
-_ONE = rf"[^{_PART}'’]"
-_SPACED = re.compile(rf"(?<![^{_PART}(@$!|+€£])(?:{_ONE}[{_PART}]+){{2,}}{_ONE}(?!['’]?[^\W_])")
-_PARTS = re.compile(rf"[{_PART}]+")
+#: Bytes as the model knows them: small letters, one digit, all bytes beyond ASCII; any other sign is a border (a space).
+FOLD = np.full(256, 0x20, np.uint8)
+FOLD[0x61:0x7B] = FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
+FOLD[0x30:0x3A] = 0x30
+FOLD[0x80:] = np.arange(0x80, 0x100)
+_FOLD = FOLD.tolist()
+START = 0x202020
+
+#: Marks that may stand around a word without meaning anything.
+_MARKS = ".,;:?\"'`)[]{}<>«»„“”‘’…-_*~#^&%/\\="
+_END = "!" + _MARKS
+_TWICE = re.compile(r"(.)\1")
+#: Three or more single characters, each perhaps with a mark after it, apart from each other and from anything else.
+_APART = re.compile(r"(?<!\S)[^\s|][.,:;_*\-]?(?:\s+[^\s|][.,:;_*\-]?){2,}(?!\S)")
+_NEAR = re.compile(r"\s[^\s|][.,:;_*\-]?\s+[^\s|][.,:;_*\-]?\s")
+#: A sign three times or more at the end of a token is decoration, not letters.
+_DECORATED = re.compile(r"([^\w\s])\1{2,}\Z")
+_TOKEN = re.compile(r"\S+")
 _FIRST = itemgetter(0)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def folded(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Documents' bytes in the model's alphabet: borders are single, and three stand around every document."""
+    data, doc = FOLD[data], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    if len(data):
+        before = np.append(np.uint8(0x20), data[:-1])
+        first = offsets[:-1][np.diff(offsets) > 0]
+        before[first] = 0x20
+        data = np.where((before == 0xC3) & (data >= 0x80) & (data <= 0x9E), data + 0x20, data).astype(np.uint8)  # À to Þ
+        keep = (data != 0x20) | (before != 0x20)
+        data, doc = data[keep], doc[keep]
+    return np.insert(data, np.repeat(np.append(np.searchsorted(doc, np.arange(len(offsets) - 1)), len(data)), 3), 0x20)
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """Each place's byte and the three before it, as one number."""
+    d = data.astype(np.uint32)
+    return d[:-3] << np.uint32(24) | d[1:-2] << np.uint32(16) | d[2:-1] << np.uint32(8) | d[3:]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SIZE * SIZE, np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    whole = lambda: _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
     for batch in batches:
         for _, _, data, offsets in textvec.slices(batch.column(0), SLICE):
-            if len(data):
-                c = CLASS[data]
-                before = np.append(0, c[:-1])
-                before[offsets[:-1][offsets[:-1] < len(data)]] = 0
-                total += np.bincount(before * SIZE + c, minlength=len(total))
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["pair", "n"])
+            parts.append(np.unique(grams(folded(data, offsets)), return_counts=True))
+            if len(parts) == 16:
+                parts = [whole()]
+    if parts:
+        keys, counts = whole()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
 
 
-def char_model(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Log probabilities (SIZE, SIZE) of each class after each, over all texts; the driver gets at most SIZE**2 rows."""
-    rows = docs.select(F.col(text)).mapInArrow(common.lean(_counted), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.full((SIZE, SIZE), 0.5)
-    for r in rows:
-        counts[divmod(r["pair"], SIZE)] += r["n"]
-    return np.log((1 - EVEN) * counts / counts.sum(1, keepdims=True) + EVEN / SIZE)
+class CharModel:
+    """Log probabilities of a byte after three others, from the counts of 4-grams (sorted numbers, counts)."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        self.tables: list | None = None
+        self.memo: dict[int, float] = {}
 
-def _lattice(word: str, ambiguous: int | None) -> list[tuple[list[tuple[int, str, float]], float | None]]:
-    """For each character its readings (class, letter, cost) and the cost of dropping it (None: it can't be).
+    def __getstate__(self):
+        return {"keys": self.keys, "counts": self.counts, "tables": None, "memo": {}}
 
-    A sign has all its letters as readings (``ambiguous`` None), or only the one at that place.
-    """
-    cells, last = [], ""
-    for c in word:
+    def _open(self) -> None:
+        """Of each order's n-grams: numbers and counts, and those of what precedes their last byte."""
+        self.tables = []
+        keys, counts = self.keys.astype(np.int64), self.counts
+        for order in (4, 3, 2, 1):
+            keys, counts = _summed(keys & ((1 << 8 * order) - 1), counts)
+            self.tables.append((array("q", keys.tolist()), array("q", counts.tolist()), *(array("q", x.tolist()) for x in _summed(keys >> 8, counts))))
+
+    @staticmethod
+    def _at(keys: array, counts: array, key: int) -> int:
+        i = bisect_left(keys, key)
+        return counts[i] if i < len(keys) and keys[i] == key else 0
+
+    def _probability(self, key: int, order: int) -> float:
+        if order == 0:
+            return 1 / 256
+        gram = key & ((1 << 8 * order) - 1)
+        keys, counts, before, totals = self.tables[4 - order]
+        total = self._at(before, totals, gram >> 8)
+        lower = self._probability(key, order - 1)
+        return (self._at(keys, counts, gram) + BACK_OFF * lower) / (total + BACK_OFF) if total else lower
+
+    def cost(self, state: int, byte: int) -> float:
+        """Minus the log probability of a byte after the three in ``state``."""
+        key = state << 8 | byte
+        got = self.memo.get(key)
+        if got is None:
+            if self.tables is None:
+                self._open()
+            if len(self.memo) > REMEMBERED:
+                self.memo.clear()
+            got = self.memo[key] = -log(self._probability(key, 4))
+        return got
+
+    def step(self, state: int, letter: str) -> tuple[int, float]:
+        """The state after a letter and the letter's cost; a border after a border is none."""
+        if letter < "\x80":
+            byte = _FOLD[ord(letter)]
+            if byte == 0x20 == state & 0xFF:
+                return state, 0.0
+            return (state << 8 | byte) & 0xFFFFFF, self.cost(state, byte)
+        total = 0.0
+        for byte in letter.encode("utf-8", "replace"):
+            total += self.cost(state, byte)
+            state = (state << 8 | byte) & 0xFFFFFF
+        return state, total
+
+
+def char_model(docs: DataFrame, text: str = "text", most: int = GRAMS) -> CharModel:
+    """The model of all texts of ``docs``: every 4-gram of every text is counted; the model keeps the ``most`` commonest."""
+    counts = docs.select(F.col(text)).mapInArrow(common.lean(_counted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "gram").limit(most).toArrow()
+    keys, n = rows.column("gram").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return CharModel(keys[order], n[order])
+
+
+#: A place of a lattice: its readings and their costs; "" drops it, " " is a border.
+Cell = list[tuple[str, float]]
+
+
+def lattice(token: str) -> list[Cell]:
+    """For each character of a token in small letters, all that it may stand for."""
+    cells: list[Cell] = []
+    last, times = "", 0
+    for c in token:
+        times = times + 1 if c == last else 1
         if c.isalpha():
-            raw = c.encode()
-            cells.append(([(int(CLASS[raw[-1]]), c, 0.0)], DROP_REPEAT if c == last else None))
+            cells.append([(c, 0.0)] if times == 1 else [(c, 0.0), ("", DROP_SECOND if times == 2 else DROP_MORE)])
         else:
-            letters = LEET.get(c, "")
-            if ambiguous is not None and letters:
-                letters = letters[min(ambiguous, len(letters) - 1)]
-            reads = [(int(CLASS[ord(letter)]), letter, AS_LETTER) for letter in letters]
-            cells.append((reads, DROP_AGAIN if c == last else DROP_DIGIT if c.isdigit() else DROP_LETTER if reads else DROP_OTHER))
+            reads = [(letter, AS_LETTER) for letter in LEET.get(c, "")]
+            if c.isdigit():
+                cells.append([*reads, (c, KEEP_DIGIT), ("", DROP_DIGIT if times == 1 else DROP_AGAIN + DROP_LETTER)])
+            elif reads:
+                cells.append([*reads, (" ", LETTER_BORDER), ("", DROP_LETTER if times == 1 else DROP_AGAIN)])
+            else:
+                cells.append([(" ", OTHER_BORDER), ("", DROP_OTHER if times == 1 else DROP_AGAIN)])
         last = c
     return cells
 
 
-def _decode(cells: list, model: list[list[float]]) -> str:
-    """The best path through a lattice. A state is the class of the last letter that was read; only states that can be
-    are held, with their letters as linked pairs, so after a letter that can't be dropped there is one state."""
-    states: dict[int, tuple] = {0: (0.0, None)}
-    for reads, drop in cells:
-        new = {} if drop is None else {k: (v - drop, path) for k, (v, path) in states.items()}
-        for c, letter, cost in reads:
-            if len(states) == 1:
-                ((k, (v, path)),) = states.items()
-                value = v + model[k][c] - cost
-            else:
-                value, path = max(((v + model[k][c] - cost, path) for k, (v, path) in states.items()), key=_FIRST)
-            if c not in new or value >= new[c][0]:
-                new[c] = (value, (path, letter))
+def apart(run: str) -> list[Cell]:
+    """The lattice of letters that stand apart: a border may follow each."""
+    cells: list[Cell] = []
+    for piece in run.lower().split():
+        if cells:
+            cells.append([("", 0.0), (" ", 0.0)])
+        cells += lattice(piece[0])
+    return cells
+
+
+def decode(cells: list[Cell], model: CharModel) -> str:
+    """The cheapest path: costs of readings and of the model. A state is the last three bytes that were read."""
+    states: dict[int, tuple[float, tuple | None]] = {START: (0.0, None)}
+    step = model.step
+    for reads in cells:
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for state, (value, path) in states.items():
+            for letter, cost in reads:
+                if letter:
+                    after, more = step(state, letter)
+                    total = value + cost + more
+                else:
+                    after, total = state, value + cost
+                have = new.get(after)
+                if have is None or total < have[0]:
+                    new[after] = (total, (path, letter) if letter else path)
         states = new
-    path = max(((v + model[k][0], path) for k, (v, path) in states.items()), key=_FIRST)[1]
+    path = min(((value + (step(state, " ")[1]), path) for state, (value, path) in states.items()), key=_FIRST)[1]
     letters = []
     while path:
         path, letter = path
         letters.append(letter)
-    return "".join(reversed(letters))
-
-
-def viterbi(words: list[str], model: np.ndarray, ambiguous: int | None = 0) -> list[str]:
-    """The best reading of each word; ``ambiguous``: which of a sign's letters to try, None for all of them."""
-    table = model.tolist()
-    return [_decode(_lattice(w, ambiguous), table) for w in words]
-
-
-def _decoded(word: str, table: list[list[float]]) -> Iterator[str]:
-    """What Viterbi makes of a word, and the readings that it can't tell apart from that."""
-    cells = _lattice(word, None)
-    best = _decode(cells, table)
-    yield best
-    # a sign that is there twice may be two letters: so is the reading that drops nothing that could be a letter
-    yield _decode([(reads, None if reads else drop) for reads, drop in cells], table)
-    # where the model hardly tells a sign's letters apart, the readings with only its first or second are tried too
-    if not AMBIGUOUS.isdisjoint(word):
-        yield from (_decode(_lattice(word, k), table) for k in (0, 1))
-    # repeated letters may be doubled by right: the reading with no letter twice in a row is tried too
-    yield _REPEATED.sub(r"\1", best)
-
-
-def _of_token(low: str, table: list[list[float]]) -> Iterator[str]:
-    """The readings of a token of any length in small letters; a plain word with no letter twice in a row has one."""
-    plain, inner = low.strip(_STRIP), low.strip(_MARKS)
-    if plain:
-        if _PLAIN.match(plain):
-            yield plain
-            if _TWICE.search(plain):
-                yield from _decoded(plain, table)
-            # signs around a plain word may be letters too ("$cum", "idio+")
-            if inner != plain:
-                yield from _decoded(inner, table)
-            return
-        if not any(c.isalpha() for c in plain):
-            yield plain
-    if inner and not (LEET.keys().isdisjoint(inner) and not plain):
-        yield from _decoded(inner, table)
-        # signs that are no letters may chain words
-        parts = [x for x in _CHAIN.split(inner) if len(x) > 1]
-        if len(parts) > 1:
-            for part in dict.fromkeys(parts):
-                yield from _of_token(part, table)
-
-
-def _readings(raw: list[str], model: np.ndarray) -> dict[str, tuple[str, ...]]:
-    """Each distinct token's readings: itself without marks around it if it is plain, and what Viterbi makes of it."""
-    table = model.tolist()
-    return {token: tuple(dict.fromkeys(w for w in _of_token(token.lower(), table) if w)) for token in raw}
-
-
-def segment(run: str, table: list[list[float]], words: dict[str, float], starts: set[str]) -> list[str]:
-    """The words of letters that stand apart: Viterbi over letters, drops and word borders at once.
-
-    ``words`` are known words and their log probabilities, ``starts`` all their beginnings. A state is a beginning of a
-    known word, or the class of the last letter of any other word; "" is a border.
+    return " ".join("".join(reversed(letters)).split())
+
+
+def surprising(word: str, model: CharModel) -> bool:
+    """Whether a plain word has a letter three times in a row, or twice where the model wouldn't expect it."""
+    for found in _TWICE.finditer(word):
+        at = found.end() - 1
+        if word[at + 1 : at + 2] == word[at]:
+            return True
+        state = START
+        for c in word[max(0, at - 3) : at] if at > 2 else " " + word[:at]:
+            for byte in c.encode("utf-8", "replace"):
+                state = (state << 8 | (_FOLD[byte])) & 0xFFFFFF
+        if model.step(state, word[at])[1] > DROP_SECOND:
+            return True
+    return False
+
+
+def restored_token(token: str, model: CharModel) -> str:
+    """A token in small letters without the marks around it, decoded if it looks disguised.
+
+    Plain words without a surprising letter twice in a row, numbers, and signs alone but for two kinds that may be
+    letters, are as they are.
     """
-    states: dict = {"": (0.0, None)}
-    for reads, drop in _lattice(_PARTS.sub("", run.lower()), None):
-        new: dict = {} if drop is None else {k: (v - drop, path) for k, (v, path) in states.items()}
-        for k, (v, path) in states.items():
-            for c, letter, cost in reads:
-                after = []
-                if isinstance(k, str) and k + letter in starts:
-                    after.append((k + letter, v - cost))
-                if k == "":
-                    after.append((c, v - cost - UNKNOWN + table[0][c]))
-                elif isinstance(k, int):
-                    after.append((c, v - cost + table[k][c]))
-                for state, value in after:
-                    if state not in new or value > new[state][0]:
-                        new[state] = (value, (path, letter))
-        ends = [(v + words[k], path) for k, (v, path) in new.items() if k in words]
-        ends += [(v + table[k][0], path) for k, (v, path) in new.items() if isinstance(k, int)]
-        if ends:
-            value, path = max(ends, key=_FIRST)
-            if "" not in new or value > new[""][0]:
-                new[""] = (value, (path, " "))
-        states = new
-    path, letters = states[""][1], []
-    while path:
-        path, letter = path
-        letters.append(letter)
-    return "".join(reversed(letters)).split()
+    low = token.lower()
+    plain = low.strip(_MARKS)
+    if plain.isalpha():
+        return decode(lattice(plain), model) if _TWICE.search(plain) and surprising(plain, model) else plain
+    plain = _DECORATED.sub("", plain).rstrip(_END)
+    if plain.isalpha():
+        return decode(lattice(plain), model) if _TWICE.search(plain) and surprising(plain, model) else plain
+    inner = _DECORATED.sub("", low.strip(_MARKS))
+    if any(map(str.isalpha, inner)) or (not any(map(str.isdigit, inner)) and len({c for c in inner if c in LEET}) > 1):
+        return decode(lattice(inner), model)
+    return plain
 
 
 class Restorer:
-    """Texts to the readings of their tokens, remembering what a bounded number of distinct tokens read as."""
+    """Texts to restored words, remembering what a bounded number of distinct tokens read as."""
 
-    def __init__(self, model: np.ndarray, words: dict[str, float] | None = None):
+    def __init__(self, model: CharModel):
         self.model = model
-        self.table = model.tolist()
-        self.words = words or {}
-        self.starts = {w[:n] for w in self.words for n in range(1, len(w) + 1)}
-        self.known: dict[str, tuple[str, ...]] = {}
-        self.joined: dict[str, set[str]] = {}
-
-    def join(self, run: str) -> set[str]:
-        """The words that letters standing apart are put together to, and all of them as one word."""
-        if run not in self.joined:
-            self.joined[run] = {*segment(run, self.table, self.words, self.starts), _PARTS.sub("", run)}
-        return self.joined[run]
-
-    def read(self, texts: list[str]) -> list[set[str]]:
-        """The distinct raw tokens of each text and the words of letters that stand apart; ``known`` then has their readings."""
+        self.known: dict[str, str] = {}
+        self.runs: dict[str, str] = {}
+
+    def token(self, token: str) -> str:
+        got = self.known.get(token)
+        if got is None:
+            got = self.known[token] = restored_token(token, self.model)
+        return got
+
+    def _run(self, found: re.Match) -> str:
+        run = found.group()
+        if len(self.runs) > REMEMBERED:
+            self.runs.clear()
+        if run not in self.runs:
+            self.runs[run] = decode(apart(run), self.model)
+        return self.runs[run]
+
+    def joined(self, text: str) -> str:
+        """The text with letters that stand apart put together."""
+        return _APART.sub(self._run, text) if _NEAR.search(f" {text} ") else text
+
+    def text(self, text: str) -> str:
+        """The restored text: white space stays, tokens are replaced."""
+        self.bound()
+        return _TOKEN.sub(lambda m: self.token(m.group()), self.joined(text))
+
+    def bound(self) -> None:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.joined) > REMEMBERED:
-            self.joined.clear()
-        each = []
-        for text in texts:
-            found = {*_WORD.findall(text)} if text else set()
-            for run in _SPACED.findall(text) if text else ():
-                found |= self.join(run)
-            each.append(found)
-        new = [t for t in set().union(*each) if t not in self.known] if each else []
-        self.known.update(_readings(new, self.model))
-        return each
-
-
-def features(readings: tuple[str, ...]) -> Iterator[str]:
-    for w in readings:
-        if w:
-            yield w
-            for n in PREFIXES:
-                if len(w) > n:
-                    yield f"{w[:n]}~"
+
+
+def features(restored: str) -> Iterator[str]:
+    for w in restored.split():
+        yield w
+        for n in PREFIXES:
+            if len(w) > n:
+                yield f"{w[:n]}~"
 
 
 def _in_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
@@ -263,13 +314,14 @@ def _in_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
 
 def _by_label(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(*model.value)
+        restorer = Restorer(model.value)
         for batch in batches:
             labels, check = (batch.column(batch.schema.names.index(n)).to_pylist() for n in ("label", "check"))
             counts: dict[str, list[int]] = {}
             for a, texts in _in_texts(batch):
-                for i, found in enumerate(restorer.read(texts)):
-                    for f in {f for t in found for f in features(restorer.known[t])}:
+                restorer.bound()
+                for i, text in enumerate(texts):
+                    for f in {f for t in set(restorer.joined(text).split()) for f in features(restorer.token(t))}:
                         c = counts.setdefault(f, [0, 0, 0, 0])
                         c[2 + labels[a + i]] += 1
                         c[labels[a + i]] += not check[a + i]
@@ -280,38 +332,44 @@ def _by_label(model):
 
 @dataclass
 class Model:
-    """The character model, the words' weights (at most LEXICON), the final logistic curve, and the log probabilities of
-    common words (at most LEXICON) by which letters that stand apart are put together."""
+    """The character model, the words' weights (at most LEXICON) and the final logistic curve."""
 
-    chars: np.ndarray
+    chars: CharModel
     weights: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, float, float] = (-3.0, 1.0, 0.5)
-    words: dict[str, float] = field(default_factory=dict)
+
+    def starts(self) -> set[str]:
+        """The first letters of all features: a word that begins otherwise has no weight."""
+        return {f[: PREFIXES[0]] for f in self.weights}
+
+    def weigh(self, restored: str, starts: set[str]) -> tuple[tuple[str, float], ...]:
+        """The words of a restored token that have a weight, and their weights."""
+        w, first = self.weights, PREFIXES[0]
+        if " " not in restored and restored[:first] not in starts:
+            return ()
+        each = ((word, max(w.get(f, 0.0) for f in features(word))) for word in restored.split())
+        return tuple((word, v) for word, v in each if v)
 
     def measure(self, restorer: Restorer, texts: list[str]) -> np.ndarray:
-        """(texts, 2): the largest weight of a word, and log(1 + the sum of the others)."""
+        """(texts, 2): the largest weight among a restored text's distinct words, and log(1 + the sum of the others)."""
         out = np.zeros((len(texts), 2))
-        weigh, known, w = self._token_weights, restorer.known, self.weights
-        if getattr(restorer, "weighed", None) is None or len(restorer.weighed) > REMEMBERED:
-            restorer.weighed = {}
-        seen = restorer.weighed
-        for i, found in enumerate(restorer.read(texts)):
-            hits = []
-            for t in found:
-                v = seen.get(t)
-                if v is None:
-                    v = seen[t] = weigh(known[t], w)
-                if v:
-                    hits.append(v)
+        seen = getattr(restorer, "weighed", None)
+        if seen is None or len(seen) > REMEMBERED:
+            seen = restorer.weighed = {}
+        starts, chars = self.starts(), restorer.model
+        for i, text in enumerate(texts):
+            hits: dict[str, float] = {}
+            for t in set(restorer.joined(text).split()):
+                found = seen.get(t)
+                if found is None:
+                    found = seen[t] = self.weigh(restored_token(t, chars), starts)
+                if found:
+                    hits.update(found)
             if hits:
-                top = max(hits)
-                out[i] = top, np.log1p(sum(hits) - top)
+                top = max(hits.values())
+                out[i] = top, np.log1p(sum(sorted(hits.values())) - top)
         return out
 
-    @staticmethod
-    def _token_weights(readings: tuple[str, ...], weights: dict[str, float]) -> float:
-        return max((weights.get(f, 0.0) for f in features(readings)), default=0.0)
-
     def scores(self, x: np.ndarray) -> np.ndarray:
         a, b, c = self.curve
         return 1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30)))
@@ -320,7 +378,7 @@ class Model:
 def _measured(model, curve: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value
-        restorer = Restorer(value.chars, value.words)
+        restorer = Restorer(value.chars)
         for batch in batches:
             others = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
             for a, texts in _in_texts(batch):
@@ -331,6 +389,18 @@ def _measured(model, curve: bool):
     return run
 
 
+def _rewritten(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.value)
+        for batch in batches:
+            others = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
+            for a, texts in _in_texts(batch):
+                got = pa.array([restorer.text(t) for t in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, len(texts)) for i in others), got], names=[*(batch.schema.names[i] for i in others), "restored"])
+
+    return run
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """A logistic fit by Newton's method with a small ridge; slopes are kept from turning negative."""
     z = np.concatenate([np.ones((len(y), 1)), x], 1)
@@ -362,30 +432,20 @@ def _weights(counts: DataFrame, n_clean: int, n_toxic: int) -> dict[str, float]:
     return {r["feature"]: r["weight"] for r in best.collect()}
 
 
-def _common_words(chosen: DataFrame) -> dict[str, float]:
-    """Log probabilities of the plain words that two of the chosen texts have at least, the LEXICON commonest."""
-    word = F.trim(F.lower("word"), F.lit(_STRIP))
-    each = chosen.select(F.explode(F.array_distinct(F.split("_text", r"[\x20\x09-\x0D]+"))).alias("word")).select(word.alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
-    rows = each.groupBy("word").count().where("count > 1").orderBy(F.desc("count"), "word").limit(LEXICON).collect()
-    total = sum(r["count"] for r in rows)
-    return {r["word"]: float(np.log(r["count"] / total)) for r in rows}
-
-
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
     """The character model over all of ``docs``; the curve on a third of at most ``rows`` labelled documents outside the
-    held-out share, by words' weights from the other two thirds; then the words' weights from all of these documents."""
+    held-out share, by words' weights from the other two thirds; then the words' weights from all of these documents.
+
+    Of rows that share a doc_id one text, the smallest, is learned from.
+    """
     spark = docs.sparkSession
     model = Model(char_model(docs, text))
     sample = common.labelled_ids(labels, label, modulus, held_out, rows)
     chosen = common.materialize(
-        docs.select("doc_id", F.col(text).alias("_text"))
-        .join(F.broadcast(sample), "doc_id")
-        .select((F.xxhash64("doc_id", F.lit(29)) % 3 == 0).alias("check"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), F.coalesce("_text", F.lit("")).alias("_text")),
-        "toxicity-sample",
+        common.sample_texts(docs, sample, text).select((F.xxhash64("doc_id", F.lit(29)) % 3 == 0).alias("check"), F.when(F.col("label") > 0, 1).otherwise(0).alias("label"), "_text"), "toxicity-sample"
     )
     sizes = {(r["check"], r["label"]): r["count"] for r in chosen.groupBy("check", "label").count().collect()}
-    model.words = _common_words(chosen)
-    shared = spark.sparkContext.broadcast((model.chars, model.words))
+    shared = spark.sparkContext.broadcast(model.chars)
     counts = common.materialize(
         chosen.mapInArrow(common.lean(_by_label(shared)), "feature string, clean long, toxic long, clean_all long, toxic_all long")
         .groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "clean_all", "toxic_all"))).where("toxic_all >= 2"),
@@ -404,8 +464,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     return model
 
 
+def restore(docs: DataFrame, chars: CharModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and restored (the deobfuscated text; null gives an empty one) of each row of ``docs``."""
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    return rows.mapInArrow(common.lean(_rewritten(docs.sparkSession.sparkContext.broadcast(chars))), common.schema(rows, "_text", "restored string"))
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and score (0 to 1) of each row of ``docs``; null and empty texts have no words and so the lowest score."""
+    """``keep`` and score (0 to 1) of each row of ``docs``: that of its restored text, whose words are made on the way.
+
+    Null and empty texts have no words and so the lowest score.
+    """
     rows = docs.select(*keep, F.col(text).alias("_text"))
     return rows.mapInArrow(common.lean(_measured(docs.sparkSession.sparkContext.broadcast(model), True)), common.schema(rows, "_text", "score double"))
 

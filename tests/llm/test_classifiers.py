@@ -1,13 +1,16 @@
 import itertools
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sparkgauge.llm import language_id, quality_classifier, textvec, toxicity
-from tests.llm.helpers import SCHEMA, awkward, frame, words
+from tests.llm.helpers import SCHEMA, awkward, frame
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -196,101 +199,147 @@ def disguise(w, r):
     return ".".join(w)
 
 
-def test_viterbi_against_all_readings(toxic_model):
-    model = toxic_model.chars
-    for word in ("1d10t", "m0ron", "$cum", "looooser", "x#y", "a11"):
-        cells = toxicity._lattice(word, 0)
-        best, value = None, -np.inf
-        for choice in itertools.product(*[[0] * bool(reads) + [1] * (drop is not None) for reads, drop in cells]):
-            cost, last, text = 0.0, 0, ""
-            for (reads, drop), take in zip(cells, choice, strict=True):
-                if take:
-                    cost -= drop
-                else:
-                    c, letter, price = reads[0]
-                    cost += model[last, c] - price
-                    last, text = c, text + letter
-            cost += model[last, 0]
-            if cost > value + 1e-9:
-                best, value = text, cost
-        assert toxicity.viterbi([word], model)[0] == best, word
-
-
-def test_viterbi_against_all_letters_of_all_signs():
-    every = " ".join(["silly", "kill", "bill", "gig"] * 50).encode()
-    counts = np.full((toxicity.SIZE, toxicity.SIZE), 0.01)
-    classes = [0 if b == 32 else int(toxicity.CLASS[b]) for b in b" " + every + b" "]
-    np.add.at(counts, (classes[:-1], classes[1:]), 1)
-    model = np.log(counts / counts.sum(1, keepdims=True))
-    for word in ("s11ly", "k11l", "6!11", "b|1l", "g16", "s#1lly", "kiill", "1", "!6", "$1!l", ""):
-        best, value = None, -np.inf
-        cells = toxicity._lattice(word, None)
-        for choice in itertools.product(*[[*reads] + [None] * (drop is not None) for reads, drop in cells]):
-            cost, last, text = 0.0, 0, ""
-            for read, (_, drop) in zip(choice, cells, strict=True):
-                if read is None:
-                    cost -= drop
-                else:
-                    cost, last, text = cost + model[last, read[0]] - read[2], read[0], text + read[1]
-            if cost + model[last, 0] > value + 1e-9:
-                best, value = text, cost + model[last, 0]
-        assert toxicity.viterbi([word], model, None)[0] == best, word
-    assert {c for w in ("1", "6") for reads, _ in toxicity._lattice(w, None) for _, c, _ in reads} == {"i", "l", "g", "b"}
-    assert "silly" in toxicity._readings(["s11ly"], model)["s11ly"]
+def plain_grams(texts):
+    """4-grams of texts by the definition: small letters, one digit, any other sign a border, three borders around."""
+    counts = Counter()
+    for t in texts:
+        raw = re.sub("[À-Þ]", lambda m: m.group().lower() if m.group() != "×" else "÷", t).encode()
+        kept = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 for b in raw)
+        kept = b"   " + re.sub(b" +", b" ", kept).removeprefix(b" ") + b"   "
+        counts.update(kept[i : i + 4] for i in range(len(kept) - 3))
+    return counts
+
+
+def model_of(texts):
+    counts = plain_grams(texts)
+    keys = sorted(counts)
+    return toxicity.CharModel(np.array([int.from_bytes(k, "big") for k in keys], np.int64), np.array([counts[k] for k in keys], np.int64))
+
+
+def plain_cost(counts, text):
+    """The model's cost of a text, from counts of 4-grams alone."""
+    data, total = b"   " + text.encode() + b" ", 0.0
+    for i in range(3, len(data)):
+        p = 1 / 256
+        for order in (1, 2, 3, 4):
+            gram = data[i - order + 1 : i + 1]
+            seen = sum(n for g, n in counts.items() if g.endswith(gram))
+            of = sum(n for g, n in counts.items() if g[:-1].endswith(gram[:-1]))
+            p = (seen + toxicity.BACK_OFF * p) / (of + toxicity.BACK_OFF) if of else p
+        total -= math.log(p)
+    return total
+
+
+def plain_lattice(token):
+    """All readings of each character, written down anew: letters, digits, signs that may be letters, other signs."""
+    out = []
+    for i, c in enumerate(token):
+        times = 1
+        while i - times >= 0 and token[i - times] == c:
+            times += 1
+        if c.isalpha():
+            out.append({c: 0.0} if times == 1 else {c: 0.0, "": 3.0 if times == 2 else 0.2})
+        elif c.isdigit():
+            out.append({x: 0.7 for x in {"0": "o", "1": "il", "3": "e", "6": "gb"}[c]} | {c: 2.5, "": 9.0 if times == 1 else 3.1})
+        elif c in "$!|":
+            out.append({x: 0.7 for x in {"$": "s", "!": "il", "|": "li"}[c]} | {" ": 2.5, "": 3.0 if times == 1 else 0.1})
+        else:
+            out.append({" ": 0.3, "": 0.5 if times == 1 else 0.1})
+    return out
+
+
+def plain_best(cells, counts):
+    best = (math.inf, "")
+    for path in itertools.product(*[list(c) for c in cells]):
+        text = re.sub(" +", " ", "".join(path)).removeprefix(" ")
+        cost = sum(c[x] for c, x in zip(cells, path, strict=True)) + plain_cost(counts, text.rstrip(" "))
+        best = min(best, (round(cost, 9), " ".join(text.split())))
+    return best[1]
+
+
+def test_viterbi_against_all_paths():
+    texts = ["silly", "kill bill", "gig", "scum idiot", "illicit"] * 30
+    counts, model = plain_grams(texts), model_of(texts)
+    for word in ("s1l1y", "s11ly", "1ll1c1t", "k11l", "6!11", "b|1l", "g16", "s#1lly", "kiill", "$cum", "sc#um", "!6", "id--10t", "kill.b1ll", "xyz1", ""):
+        assert toxicity.decode(toxicity.lattice(word), model) == plain_best(plain_lattice(word), counts), word
+    for run in ("s c u m", "k 1 l l", "k i l l b", "i d 1 o t"):
+        cells = [x for c in run.split() for x in ({"": 0.0, " ": 0.0}, *plain_lattice(c))][1:]
+        assert toxicity.decode(toxicity.apart(run), model) == plain_best(cells, counts), run
+    assert toxicity.decode(toxicity.lattice("1ll1c1t"), model) == "illicit" and toxicity.decode(toxicity.lattice("s11ly"), model) == "silly"
+
+
+def test_character_model_counts_all_texts(spark):
+    texts = ["Ab, ab  c4t", "", "ÉTÉ été\u20ac", "x" * 5000 + " y", None]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    model, counts = toxicity.char_model(docs), plain_grams([t or "" for t in texts])
+    got = {int(k).to_bytes(4, "big"): int(n) for k, n in zip(model.keys, model.counts, strict=True)}
+    # a text without any letter has its borders too
+    assert {k: n for k, n in got.items() if k.strip()} == {k: n for k, n in counts.items() if k.strip()}
+    few = toxicity.char_model(docs, most=3)
+    assert len(few.keys) == 3 and few.counts.min() >= sorted(got.values())[-3]
+    state, cost = model.step(toxicity.START, "a")
+    assert state == 0x202061 and cost > 0 and model.step(toxicity.START, " ") == (toxicity.START, 0.0)
 
 
 def test_disguised_words_are_restored(toxic_model):
-    got = toxicity._readings(["1d10t", "m0r0n", "$cum", "loooooser", "M.O.R.O.N", "fine,"], toxic_model.chars)
-    assert "scum" in got["$cum"] and "loser" in got["loooooser"] and "moron" in got["M.O.R.O.N"] and got["fine,"] == ("fine",) and "moron" in got["m0r0n"] and "idiot" in got["1d10t"]
-    assert toxicity._SPACED.findall("you i d i o t now") == ["i d i o t"]
-
-
-def test_no_token_is_kept_from_decoding(toxic_model):
-    chained = "/".join(["thing-reor"] * 4 + ["idi0t", "m0ron"])
-    long = {"idi" + "o" * 60 + "t": "idiot", "i" + "*" * 50 + "diot": "idiot", "#-" * 30 + "m0r0n": "moron", chained: "idiot", chained + "-": "moron", "s" * 45 + "cum": "scum", "x3" * 100_000: "xe" * 100_000, "30" * 50_000 + "-x": "eo" * 50_000 + "x"}
-    doubled = {"idiiot": "idiot", "mmoorroonn": "moron", "SCUUM,": "scum", "idiot": "idiot"}
-    signs = {"455": "ass", "@$$": "ass", "2024": "2024"}
-    got = toxicity._readings([*long, *doubled, *signs, "--", "...", "thing"], toxic_model.chars)
-    for token, word in (long | doubled | signs).items():
-        assert word in got[token], (token[:50], got[token][:5])
-    assert got["--"] == got["..."] == () and got["thing"] == ("thing",)
-
-
-def test_letters_that_stand_apart_become_words(spark, toxic_model):
-    cases = {
-        "you i d i o t.": "idiot", "i d i o t!": "idiot", "you s c u m. ok": "scum", "s c u m, all": "scum", "what a m o r o n you": "moron", "i d i o t m o r o n": "moron",
-        "i d i o t  m o r o n now": "idiot", "l o $ e r": "loser", "m\to\tr\to\tn": "moron", "m\no\nr\no\nn": "moron", "m 0 r 0 n": "moron", "(m-o-r-o-n)": "moron", "m m o o r o n": "moron", "l  -  o  -  s e r": "loser",
-    }
-    restorer = toxicity.Restorer(toxic_model.chars, toxic_model.words)
-    for text, word in cases.items():
-        found = restorer.read([text])[0]
-        assert word in {w for t in found for w in restorer.known[t]}, (text, found)
-    restorer = toxicity.Restorer(toxic_model.chars, {"a": -3.0, "ass": -8.0, "c": -9.0, "cat": -7.0})
-    assert [restorer.read([x])[0] - {*x.split()} for x in ("c a t", "I'd a b", "it's a b", "a b", "no run")] == [{"cat"}, set(), set(), set(), set()]
-    # borders, letters and drops against all of them
-    words = {"a": -2.0, "as": -3.0, "sol": -4.0, "so": -3.5, "oil": -4.5}
-    table = toxic_model.chars.tolist()
-    starts = {w[:n] for w in words for n in range(1, len(w) + 1)}
-
-    def best(cells, at=0, word="", last=0, cost=0.0, done=()):
-        if word:  # a border here
-            letters = [0, *(int(toxicity.CLASS[ord(c)]) for c in word), 0]
-            other = sum(table[p][c] for p, c in zip(letters, letters[1:], strict=False)) - toxicity.UNKNOWN
-            yield from best(cells, at, "", 0, cost + max(words.get(word, -np.inf), other), (*done, word))
-        if at == len(cells):
-            if not word:
-                yield cost, list(done)
-            return
-        reads, drop = cells[at]
-        for c, letter, price in reads:
-            yield from best(cells, at + 1, word + letter, c, cost - price, done)
-        if drop is not None:
-            yield from best(cells, at + 1, word, last, cost - drop, done)
-
-    for run in ("a s o l", "a a 5 0 1", "o 1 l", "s s o", "x y z a", "a $ o !"):
-        value, expected = max(best(toxicity._lattice(run.replace(" ", ""), None)))
-        assert toxicity.segment(run, table, words, starts) == expected, (run, expected, value)
-    assert len(toxicity.segment("a s o l " * 5_000, table, words, starts)) == 10_000
+    chars = toxic_model.chars
+    long = {"idi" + "o" * 60 + "t": "idiot", "i" + "*" * 50 + "diot": "idiot", "#-" * 30 + "m0r0n": "moron", "s" * 45 + "cum": "scum"}
+    cases = {"1d10t": "idiot", "m0r0n": "moron", "$cum": "scum", "loooooser": "loser", "M.O.R.O.N": "moron", "fine,": "fine", "stiing": "sting", "idio+": "idiot", "idiot!!": "idiot", "2024": "2024", "--": "", "...": "", "thing***": "thing"} | long
+    assert {t: toxicity.restored_token(t, chars) for t in cases} == cases
+    assert set(toxicity.restored_token("/".join(["thing-reor"] * 4 + ["idi0t", "m0ron"]), chars).split()) >= {"idiot", "moron"}
+    assert len(toxicity.restored_token("x3" * 100_000, chars)) >= 100_000
+    restorer = toxicity.Restorer(chars)
+    runs = {"you i d i o t now": "you idiot now", "i d i o t s c u m": "idiot scum", "l o $ e r": "loser", "m\to\tr\to\tn": "moron", "m\no\nr\no\nn": "moron", "i. d. i. o. t": "idiot", "a b": "a b", "i d i": None}
+    for text, want in runs.items():
+        assert want is None or restorer.text(text) == want, text
+    assert restorer.text("The  1d10t,\nthing") == "the  idiot\nthing"
+
+
+def test_toxicity_by_a_plain_version(spark):
+    """The whole operator again: words of restored texts, their weights, the curve and the scores."""
+    rows, labels = rants(150, disguise)
+    docs, marks = spark.createDataFrame([*rows, *rows[:5]], SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = {r["doc_id"]: r["score"] for r in toxicity.detect(docs, marks).collect()}
+    model = model_of([t for _, t, *_ in [*rows, *rows[:5]]])
+    check = {r["doc_id"]: r["c"] for r in docs.select("doc_id", (F.xxhash64("doc_id", F.lit(29)) % 3 == 0).alias("c")).collect()}
+    found = {i: {f for t in toxicity.Restorer(model).joined(t).split() for w in toxicity.restored_token(t, model).split() for f in (w, *(f"{w[:n]}~" for n in (4, 5, 6) if len(w) > n))} for i, t, *_ in rows}
+    one = {i: {w: {w, *(f"{w[:n]}~" for n in (4, 5, 6) if len(w) > n)} for t in toxicity.Restorer(model).joined(text).split() for w in toxicity.restored_token(t, model).split()} for i, text, *_ in rows}
+    learn = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+
+    def weights(ids):
+        clean, toxic = (Counter(f for i in ids if labels[i][2] == k for f in found[i]) for k in (0, 1))
+        n = [sum(labels[i][2] == k for i in ids) for k in (0, 1)]
+        base, out = (n[1] + 1) / (sum(n) + 2), {}
+        for f, t in toxic.items():
+            c = clean[f]
+            share = t / (t + c)
+            surprise = t * math.log(share / base) + (c * math.log((1 - share) / (1 - base)) if c else 0)
+            odds = math.log((t + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1))
+            if t >= 2 and share > base and odds > 1.5 and surprise > 6:
+                out[f] = odds * min(1, surprise / 12) ** 2
+        return out
+
+    def measure(i, w):
+        hits = [x for x in (max((w.get(f, 0.0) for f in fs), default=0.0) for fs in one[i].values()) if x]
+        return (max(hits), math.log1p(sum(hits) - max(hits))) if hits else (0.0, 0.0)
+
+    w = weights([i for i in learn if not check[i]])
+    held = sorted((labels[i][2], *measure(i, w)) for i in learn if check[i])
+    a, b, c = toxicity._curve(np.array([h[1:] for h in held]), np.array([float(h[0]) for h in held]))
+    w = weights(learn)
+    for i, *_ in rows:
+        x, y = measure(i, w)
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, a + b * x + c * y))))) < 1e-6, i
+
+
+def test_restored_texts(spark, toxic_model):
+    got = toxicity.restore(frame(spark), toxic_model.chars).collect()
+    assert len(got) == len(awkward()) and {r["restored"] for r in got if r["doc_id"] in (4, 5)} == {""}
+    rows, _ = rants(40, disguise)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    restored = toxicity.restore(docs, toxic_model.chars).withColumnRenamed("restored", "text")
+    score = lambda df: {r["doc_id"]: round(r["score"], 9) for r in toxicity.score(df, toxic_model).collect()}
+    assert score(docs) == score(restored)
 
 
 def test_toxicity_on_held_out_and_disguised_rows(spark, toxic_model):
@@ -309,11 +358,3 @@ def test_toxicity_of_awkward_rows(spark, toxic_model):
     assert toxicity.score(frame(spark, []), toxic_model).count() == 0
     none = toxicity.detect(frame(spark), spark.createDataFrame([(None, None, None)], LABELS)).collect()
     assert {r["predicted"] for r in none} == {0}
-
-
-def test_character_model_covers_all_texts(spark):
-    docs = spark.createDataFrame([(1, "ab", None, None, None), (2, "ab b", None, None, None), (3, None, None, None, None)], SCHEMA)
-    model = toxicity.char_model(docs)
-    a, b = (int(toxicity.CLASS[ord(c)]) for c in "ab")
-    assert np.allclose(np.exp(model).sum(1), 1) and model[a].argmax() == b and np.isclose(np.exp(model[0, a]), 0.9 * 2.5 / (3 + 0.5 * toxicity.SIZE) + 0.1 / toxicity.SIZE)
-    assert words(" a ") == ["a"]
