@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .. import scratch
+
 #: White space as the operators' contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,25 +21,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="sparkgauge-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch.path(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return scratch.materialize(df, name)
+
+
+#: Keys that are salted, at most, and the parts that each is dealt to. A key beyond the HOT commonest holds less than one
+#: in HOT of all rows, so the list is whole for what it is for, and has a fixed size.
+HOT, SALTS = 1_000, 64
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, least: int = 256, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` joined with ``right`` (one row for each ``key`` and ``also``), rows of the commonest keys dealt to SALTS parts by a hash of ``by``.
+
+    ``counts`` (``key``, _rows) tells how many rows of ``left`` a key has; keys of fewer than ``least`` rows aren't salted.
+    """
+    hot = counts.where(F.col("_rows") >= least).orderBy(F.desc("_rows"), key).limit(HOT).select(key, F.lit(True).alias("_hot"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by, F.lit(41)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return dealt.join(spread, [key, *also, "_salt"], how).drop("_salt")
+
+
+def one_of_each(rows: DataFrame, keys: list[str], whole: str) -> DataFrame:
+    """One row a key (``keys``, ``whole``): of several the one whose struct ``whole`` has the smallest hash. The choice
+    doesn't depend on the order of rows, and repeated rows are combined before the shuffle."""
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.xxhash64(whole)).alias(whole))
 
 
 def crc_mod(column: str, modulus: int) -> Column:

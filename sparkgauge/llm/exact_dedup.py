@@ -100,7 +100,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(key, keep_id, group_size, kept, text_sha256): one row per row of ``docs``, dropped ones too.
 
     Null counts as the empty text; empty texts are equal. Of equal texts the smallest key stays (null keys last); of rows
-    with the same key and an equal text one stays, whichever was read first. Very long texts are hashed and compared in
+    with the same key and an equal text one row is marked as kept. Very long texts are hashed and compared in
     chunks. An empty table gives an empty result. Only the key and the text are read of ``docs``.
     """
     order = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_row").alias("r"))
@@ -114,12 +114,13 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     # own, and so on; every round settles a text, and without collisions there is one round.
     while True:
         heads = table.groupBy(*group).agg(F.min(order).alias("_head"), F.count("*").alias("_n")).where("_n > 1")
-        shared = heads.select(*group, F.col("_head.r").alias("_first"))
+        heads = common.materialize(heads.select(F.struct(*group).alias("_g"), F.col("_head.r").alias("_first"), F.col("_n").alias("_rows")), "heads")
         # texts cross one shuffle; only those of groups are written
-        together = common.materialize(table.join(shared, group).select("_row", "_first", "_norm"), "groups")
+        marked = table.select(F.struct(*group).alias("_g"), "_row", "_norm")
+        together = common.materialize(common.salted_join(marked, heads.select("_g", "_first"), "_g", heads.select("_g", "_rows"), "_row").select("_row", "_first", "_norm"), "groups")
         members = _chunks(together.where("_row <> _first"), "_row", "_first")
         firsts = _chunks(together.where("_row = _first"), "_first").withColumnRenamed("_chunk", "_other")
-        pairs = members.join(firsts, ["_first", "_at"])
+        pairs = common.salted_join(members, firsts, "_first", heads.select("_first", "_rows"), "_row", also=("_at",))
         differ = common.materialize(pairs.where(F.col("_chunk") != F.col("_other")).select("_row").distinct(), "collisions")
         same = small.join(differ, "_row", "left_anti")
         settled = same if settled is None else settled.unionByName(same)
@@ -127,16 +128,18 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             break
         table = common.materialize(table.join(differ, "_row", "left_semi").withColumn("_part", F.col("_part") + 1), "rest")
         small = table.drop("_norm")
-    groups = settled.groupBy(*group).agg(F.min(order).alias("_head"), F.count("*").alias("group_size"))
-    return settled.join(groups, group).select(
+    settled = settled.select(F.struct(*group).alias("_g"), "_row", key, "text_sha256")
+    groups = common.materialize(settled.groupBy("_g").agg(F.min(order).alias("_head"), F.count("*").alias("group_size")), "sizes")
+    return common.salted_join(settled, groups, "_g", groups.select("_g", F.col("group_size").alias("_rows")), "_row").select(
         key, F.col("_head.k").alias("keep_id"), "group_size", (F.col("_row") == F.col("_head.r")).alias("kept"), "text_sha256"
     )
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all its columns) that stay. Rows with the same key and an equal text are one row here."""
-    kept = exact_dedup(docs, key, text).where("kept").select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("text_sha256").alias("_s"))
+    """The rows of ``docs`` (all its columns) that stay. Of rows with the same key and an equal text the one whose columns'
+    hash is smallest stays, whatever the order of rows; a null key isn't an empty one."""
+    name = F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_k")
+    kept = exact_dedup(docs, key, text).where("kept").select(name, F.col("text_sha256").alias("_s"))
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.SPACE, " ")
-    marked = docs.select(F.struct(*docs.columns).alias("_all"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.sha2(norm, 256).alias("_s"))
-    single = marked.groupBy("_k", "_s").agg(F.first("_all").alias("_all"))  # rows that repeat are combined before the shuffle
-    return single.join(kept, ["_k", "_s"], "left_semi").select("_all.*")
+    marked = docs.select(F.struct(*docs.columns).alias("_all"), name, F.sha2(norm, 256).alias("_s"))
+    return common.one_of_each(marked.join(kept, ["_k", "_s"], "left_semi"), ["_k", "_s"], "_all").select("_all.*")

@@ -13,14 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textvec
 
 UNKNOWN = "und"
-#: Rows of the feature table; training documents, runs of words from each, and words of a run, at most.
-FEATURES, TRAIN_ROWS, RUNS, RUN = 1 << 16, 6_000, 4, 32
+#: Rows of the feature table; training documents, those of a language, runs of words from each, and words of a run, at most.
+FEATURES, TRAIN_ROWS, ALIKE, RUNS, RUN = 1 << 16, 6_000, 1_000, 4, 32
 #: Runs joined to a training sequence; sequences of a step; steps; learning rate.
 JOINED, BATCH, STEPS, RATE, SEED = 3, 64, 240, 0.08, 5
 REMEMBERED = 250_000
@@ -251,11 +251,23 @@ def fit(runs: list[tuple[str, str]]) -> Model:
 
 
 def train(docs: DataFrame, label: str = "lang", modulus: int = 3, held_out: int = 1, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
-    """The model from at most ``rows`` documents with a text and a label outside the held-out share."""
-    known = docs.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col(text).isNotNull() & (common.crc_mod("doc_id", modulus) != held_out))
-    chosen = common.bounded_sample(known.select("doc_id").distinct(), "doc_id", rows)
-    texts = known.select(F.col(label).alias("_lang"), "doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("_lang", F.col("doc_id").cast("long"), "_text")
-    runs = texts.mapInArrow(common.lean(_runs), "lang string, id long, place long, words string").collect()
+    """The model from at most ``rows`` documents with a text and a label outside the held-out share.
+
+    Languages share ``rows`` evenly (at least one document and at most ALIKE each, in a seeded order), so that a rare one
+    is learned as well as a common one; more languages than ``rows`` are an error. Of each document at most RUNS runs of
+    RUN words are learned from, and of rows that share a doc_id and label one text, the smallest. doc_id may have any type.
+    """
+    known = docs.select(F.col("doc_id").cast("string").alias("_id"), F.col(label).alias("_lang"), F.col(text).alias("_text"), common.crc_mod("doc_id", modulus).alias("_part"))
+    known = known.where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.col("_part") != held_out)).drop("_part")
+    labels = known.select("_lang").distinct().limit(rows + 1).count()
+    if labels > rows:
+        raise ValueError(f"more than {rows} languages")
+    each = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    ids = known.select("_lang", "_id", F.xxhash64("_id", F.lit(17)).alias("_hash")).distinct()
+    # Spark limits each task's rows of a language before it shuffles them, so a common language isn't gathered
+    chosen = ids.withColumn("_rank", F.row_number().over(each)).where(F.col("_rank") <= max(1, min(ALIKE, rows // max(labels, 1)))).select("_lang", "_id")
+    texts = known.join(F.broadcast(chosen), ["_lang", "_id"]).groupBy("_lang", "_id").agg(F.min("_text").alias("_text"))
+    runs = texts.select("_lang", F.xxhash64("_id").alias("id"), "_text").mapInArrow(common.lean(_runs), "lang string, id long, place long, words string").collect()
     return fit([(r["lang"], r["words"]) for r in sorted(runs, key=lambda r: (r["id"], r["place"], r["lang"], r["words"]))])
 
 

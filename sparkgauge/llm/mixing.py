@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Hexadecimal digits of the order key that name a bucket: 16**3 per leaf. Only the bucket where a prefix ends is sorted.
-DIGITS = 3
+#: Hexadecimal digits of the order key that name a bucket, and those that name a bucket's parts: 256 of each. Only the
+#: rows of the part where a prefix ends are sorted.
+DIGITS = 2
 _NUMBER = "decimal(38,0)"
 
 
@@ -71,49 +72,63 @@ def budgets(leaves: DataFrame, levels: Sequence[Level], budget_share: float, max
     return leaves.join(parent, columns).select(*columns, "available", F.col("_budget").cast("long").alias("budget"))
 
 
-def order_key(key: str, seed: int, epoch: Column | str) -> Column:
+def order_key(key: str, seed: int, epoch: str) -> Column:
     """The seeded order of an epoch: an MD5 of seed, epoch and key."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(epoch).cast("string") if isinstance(epoch, str) else epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(epoch).cast("string"), F.col(key)))
 
 
-def mix(docs: DataFrame, levels: Sequence[Level], budget_share: float = 0.8, max_epochs: int = 2, seed: int = 7, key: str = "doc_id", tokens: str = "_tokens") -> DataFrame:
+def _ends(rows: DataFrame, leaf: str, cut: DataFrame, at: int) -> DataFrame:
+    """(leaf, _from, _rest, _rows): the bucket of each leaf's rows (digits from ``at``) in which ``_rest`` tokens end."""
+    sums = rows.join(cut, leaf).groupBy(leaf, "_rest", F.substring("_order", at, DIGITS).alias("_bucket")).agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy(leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where("_before + _n > _rest")
+    return sums.groupBy(leaf).agg(F.min(F.struct("_bucket", (F.col("_rest") - F.col("_before")).alias("_rest"))).alias("_cut")).select(leaf, F.col("_cut._bucket").alias("_bucket"), F.col("_cut._rest").alias("_rest"))
+
+
+def mix(docs: DataFrame, levels: Sequence[Level], budget_share: float = 0.8, max_epochs: int = 2, seed: int = 7, key: str = "doc_id", tokens: str | Column = "_tokens") -> DataFrame:
     """The rows of ``docs`` (all its columns) that are taken, with ``_epoch`` (from 0); a row taken twice is there twice.
 
-    ``tokens`` names a column of whole numbers, the level columns are strings; null in any of these counts as 0 or "".
+    ``tokens`` is a column of whole numbers, the level columns are strings; null in any of these counts as 0 or "".
     ``budget_share`` is the budget as a share of all tokens. A prefix takes rows in order as long as their tokens fit;
-    rows of one key stand by their tokens. Rows without tokens cost nothing, and come along where a prefix or a whole
-    epoch reaches them. A leaf of weight 0 gives nothing; an empty table gives an empty result. Tables that grow with
-    the number of leaves are joined by whatever way Spark finds their written size allows.
+    rows of one key stand by their tokens, and those with the same tokens too are taken together or not at all. Rows
+    without tokens cost nothing, and come along where a prefix or a whole epoch reaches them. A leaf of weight 0 gives
+    nothing; an empty table gives an empty result. A column ``_epoch`` of ``docs`` is replaced; any other name can't clash.
+    Tokens are counted once and written with the order, without texts; ``docs`` is then read once more. Siblings of one
+    parent are sorted in one task (slim rows, one a node). Tables that grow with the number of leaves are joined by
+    whatever way Spark finds their written size allows.
     """
     columns = [v.column for v in levels]
-    at = {c: f"_level{i}" for i, c in enumerate(columns)}
-    inner = [Level(at[v.column], v.weights, v.default) for v in levels]
-    names = [v.column for v in inner]
-    rows = docs.withColumns({at[c]: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns} | {"_n": F.coalesce(F.col(tokens), F.lit(0)).cast("long")})
-    leaves = common.materialize(rows.groupBy(*names).agg(F.sum("_n").alias("available")), "mixing-leaves")
+    at = [f"l{i}" for i in range(len(columns))]
+    inner = [Level(a, v.weights, v.default) for a, v in zip(at, levels, strict=True)]
+    named = lambda df: df.select(*(F.col(f"_leaf.{a}").alias(a) for a in at), *(c for c in df.columns if c != "_leaf"))
+    leaf = F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in zip(columns, at, strict=True)))
+    count = F.coalesce(F.col(tokens) if isinstance(tokens, str) else tokens, F.lit(0)).cast("long")
+    slim = common.materialize(docs.select(leaf.alias("_leaf"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), count.alias("_n")), "mixing-rows")
+    leaves = common.materialize(named(slim.groupBy("_leaf").agg(F.sum("_n").alias("available"))), "mixing-leaves")
     plan = common.materialize(
         budgets(leaves, inner, budget_share, max_epochs).select(
-            *names, F.when(F.col("available") > 0, F.expr("budget div available")).otherwise(0).cast("int").alias("_whole"),
+            F.struct(*at).alias("_leaf"), F.when(F.col("available") > 0, F.expr("budget div available")).otherwise(0).cast("int").alias("_whole"),
             F.when(F.col("available") > 0, F.expr("budget % available")).otherwise(0).cast("long").alias("_part"),
         ),
         "mixing-plan",
     )
-    rows = rows.join(plan, names)
-    whole = rows.where("_whole > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_whole") - 1)))
-    part = rows.where("_part > 0").withColumn("_order", order_key(key, seed, "_whole")).withColumn("_bucket", F.substring("_order", 1, DIGITS))
-    sums = part.groupBy(*names, "_bucket", "_part").agg(F.sum("_n").alias("_n"))
-    before = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    cut = common.materialize(
-        sums.where("_before + _n > _part").groupBy(*names).agg(F.min(F.struct("_bucket", "_before")).alias("_cut")).select(*names, F.col("_cut._bucket").alias("_end"), F.col("_cut._before").alias("_before")),
-        "mixing-cuts",
-    )
-    part = part.join(cut, names, "left")
-    inside = part.where("_end is null or _bucket < _end")
-    upto = Window.partitionBy(*names, "_bucket").orderBy("_order", "_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = part.where("_bucket = _end").withColumn("_sum", F.sum("_n").over(upto)).where(F.col("_before") + F.col("_sum") <= F.col("_part"))
-    out = lambda df, epoch: df.select(*docs.columns, epoch.cast("int").alias("_epoch"))
-    return out(whole, F.col("_epoch")).unionByName(out(inside, F.col("_whole"))).unionByName(out(edge, F.col("_whole")))
+    ordered = slim.join(plan.where("_part > 0").select("_leaf", "_whole"), "_leaf").select("_leaf", order_key("_key", seed, "_whole").alias("_order"), "_n")
+    first = common.materialize(_ends(ordered, "_leaf", plan.where("_part > 0").select("_leaf", F.col("_part").alias("_rest")), 1), "mixing-cuts")
+    within = common.materialize(ordered.join(first.select("_leaf", "_bucket"), "_leaf").where(F.substring("_order", 1, DIGITS) == F.col("_bucket")).drop("_bucket"), "mixing-edge")
+    second = common.materialize(_ends(within, "_leaf", first.select("_leaf", "_rest"), DIGITS + 1).withColumnRenamed("_bucket", "_then"), "mixing-cuts")
+    last = within.join(second, "_leaf").where(F.substring("_order", DIGITS + 1, DIGITS) == F.col("_then"))
+    # the frame takes in all rows of the same order and tokens
+    upto = Window.partitionBy("_leaf").orderBy("_order", "_n").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = last.withColumn("_sum", F.sum("_n").over(upto)).where("_sum <= _rest").groupBy("_leaf").agg(F.max(F.struct("_order", "_n")).alias("_end"))
+    cuts = first.join(second.drop("_rest"), "_leaf").join(ends, "_leaf", "left").select("_leaf", F.concat("_bucket", "_then").alias("_upto"), "_end")
+    plan = common.materialize(plan.join(cuts, "_leaf", "left"), "mixing-plan").where("_whole > 0 or _part > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("_all"), leaf.alias("_leaf"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), count.alias("_n")).join(plan, "_leaf")
+    rows = rows.withColumn("_order", F.when(F.col("_part") > 0, order_key("_key", seed, "_whole")))
+    start = F.substring("_order", 1, 2 * DIGITS)
+    inside = F.col("_upto").isNull() | (start < F.col("_upto")) | ((start == F.col("_upto")) & ((F.col("_order") < F.col("_end._order")) | ((F.col("_order") == F.col("_end._order")) & (F.col("_n") <= F.col("_end._n")))))
+    epochs = F.col("_whole") + F.when((F.col("_part") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
+    taken = rows.withColumn("_epochs", epochs).where("_epochs > 0").select("_all", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)).alias("_epoch"))
+    return taken.select(*(F.col("_all")[c].alias(c) for c in docs.columns if c != "_epoch"), F.col("_epoch").cast("int"))
 
 
 #: The tree of the query and of the pipeline: domains are made of the sources' numbers.

@@ -1,9 +1,10 @@
 """A similarity join on word n-gram sets: MinHash banding for candidates, full sets for the decision.
 
-Rows of equal n-gram sets are one class. Classes meet in the buckets of their band hashes. In a bucket every class is
-compared with the first, the leader: where all are linked to it, that makes the group. Elsewhere the bucket's classes are
-compared among themselves in blocks, as products of 0/1 matrices inside a call, and only edges that connect come out: as
-many rows as classes, not as pairs. Links are then counted exactly inside each connected group, in blocks as well.
+Rows of equal n-gram sets are one class. Classes meet in the buckets of their band hashes; in a bucket every class is
+compared with the first, the leader. One minus the Jaccard similarity is a metric, so two classes' distances to a third
+often decide whether they are linked; only pairs that this leaves open are compared, in blocks, as products of 0/1
+matrices. A class travels there as its difference from the third, which is short where they are alike. Links are then
+counted exactly inside each connected group in the same way, around the group's first class.
 """
 
 from __future__ import annotations
@@ -129,62 +130,68 @@ def _with_sets(n: int):
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The Jaccard similarity of the two sets of each row."""
+    """The Jaccard similarity of the two sets of each row, the first one's size, and by what the second differs from it."""
     for batch in batches:
         left, right = batch.column(2), batch.column(3)
-        out = np.zeros(len(batch))
+        out, sizes, differ, ends = np.zeros(len(batch)), np.zeros(len(batch), np.int64), [], np.zeros(len(batch) + 1, np.int32)
         for i in range(len(batch)):
             a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
-            both = np.intersect1d(a, b, assume_unique=True).size
-            out[i] = both / (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "sim"])
+            differ.append(np.setxor1d(a, b, assume_unique=True))
+            both = (len(a) + len(b) - len(differ[i])) // 2
+            out[i], sizes[i], ends[i + 1] = both / (len(a) + len(b) - both), len(a), ends[i] + len(differ[i])
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(differ) if differ else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array(sizes), pa.array(right.value_lengths().cast(pa.int64())), lists], names=["a", "b", "sim", "n_a", "n_b", "differ"])
 
 
-def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, n_left: np.ndarray, n_right: np.ndarray | None, pivot: int, threshold: float) -> np.ndarray:
     """Which sets of ``left`` and ``right`` (None: of ``left`` among themselves) are at least ``threshold`` alike.
 
-    Intersections are products of 0/1 matrices, over runs of the n-grams' common numbering.
+    A set of n elements is given by its difference from a common set of ``pivot`` elements, and n. Two have
+    pivot - removed - removed' + (what both differences have) elements in common; that last number is a product of 0/1
+    matrices, over runs of the elements' common numbering.
     """
     sets = left if right is None else [*left, *right]
-    sizes = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
+    sizes = np.asarray(n_left if right is None else np.concatenate([n_left, n_right]), np.int64)
+    lengths = np.array([len(x) for x in sets], np.int64)
     n = len(left)
     both = np.zeros((n, n if right is None else len(right)), np.float32)
-    for low in range(0, int(column[-1]) + 1, 4096):
-        a, b = np.searchsorted(column, [low, low + 4096])
-        x = np.zeros((len(sets), 4096), np.float32)
-        x[row[a:b], column[a:b] - low] = 1
-        both += x[:n] @ (x if right is None else x[n:]).T
-    second = sizes[:n] if right is None else sizes[n:]
-    linked = both >= threshold * (sizes[:n, None] + second[None] - both) - 1e-6
+    if lengths.sum():
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), lengths)
+        by = np.argsort(column, kind="stable")
+        column, row = column[by], row[by]
+        for low in range(0, int(column[-1]) + 1, 4096):
+            a, b = np.searchsorted(column, [low, low + 4096])
+            x = np.zeros((len(sets), 4096), np.float32)
+            x[row[a:b], column[a:b] - low] = 1
+            both += x[:n] @ (x if right is None else x[n:]).T
+    removed = (pivot + lengths - sizes) // 2
+    one, two = slice(0, n), slice(0, n) if right is None else slice(n, None)
+    common_ = pivot - removed[one, None] - removed[None, two] + both
+    linked = common_ >= threshold * (sizes[one, None] + sizes[None, two] - common_) - 1e-6
     if right is None:
         np.fill_diagonal(linked, False)
     return linked
 
 
-def _block_pairs(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | None]]:
-    """Each group's two blocks among a call's rows; None for the second if they are the same block."""
-    for _, group in rows.groupby("part", sort=False):
-        left = group[group["block"] == group["i"]]
+def _block_pairs(rows: pd.DataFrame, threshold: float) -> Iterator[tuple[pd.DataFrame, pd.DataFrame | None, np.ndarray]]:
+    """Each group's two blocks among a call's rows (None for the second if they are the same block), and what is linked."""
+    for _, group in rows.groupby(["part", "i", "j"], sort=False):
+        first = (group["block"] == group["i"]).to_numpy()
+        left, right = group[first], group[~first]
         if (group["i"] == group["j"]).iloc[0]:
-            yield left, None
-        elif len(left) < len(group) and len(left):
-            yield left, group[group["block"] == group["j"]]
-
-
-def _grams(rows: pd.DataFrame) -> list[np.ndarray]:
-    return [np.asarray(x, np.int64) for x in rows["grams"]]
+            right = None
+        elif not len(left) or not len(right):
+            continue
+        sets = lambda x: [np.asarray(d, np.int64) for d in x["differ"]]
+        yield left, right, links_between(sets(left), None if right is None else sets(right), left["n"].to_numpy(), None if right is None else right["n"].to_numpy(), int(group["pivot"].iloc[0]), threshold)
 
 
 def _counted(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Each class's number of links, by documents, to the other block of each pair of blocks."""
         out = [pd.DataFrame({"c": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})]
-        for left, right in _block_pairs(rows):
-            linked = links_between(_grams(left), None if right is None else _grams(right), threshold)
+        for left, right, linked in _block_pairs(rows, threshold):
             other = left if right is None else right
             out.append(pd.DataFrame({"c": left["c"].to_numpy(), "links": linked @ other["size"].to_numpy()}))
             if right is not None:
@@ -198,8 +205,7 @@ def _stars(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """For each connected set of classes in each pair of blocks, edges from one of them to the others: as many as classes."""
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for left, right in _block_pairs(rows):
-            linked = links_between(_grams(left), None if right is None else _grams(right), threshold)
+        for left, right, linked in _block_pairs(rows, threshold):
             c = left["c"].to_numpy() if right is None else np.concatenate([left["c"].to_numpy(), right["c"].to_numpy()])
             n, open_ = len(left), np.ones(len(c), bool)
             for root in np.flatnonzero(linked.any(1)):
@@ -223,19 +229,37 @@ def _stars(threshold: float):
     return run
 
 
-def _in_blocks(rows: DataFrame, group: str, sets: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """``rows`` (a group and a class each, and more) once for each pair of blocks they belong to, with their sets, and
-    the keys of the calls: small groups share calls, each pair of blocks of a large group is a call of its own."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = rows.join(sizes, group).join(sets, "c").withColumn("block", F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumns({"part": F.col(group), "i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", group)
-    call = F.when(F.col("blocks") > 1, F.xxhash64("part", "i", "j")).otherwise(F.pmod(F.xxhash64("part"), F.lit(1 << 12)))
-    return placed.withColumn("call", call), ["call", "i", "j"]
+def ring(distance: Column, threshold: float) -> Column:
+    """Rings around a third class, a tenth of the largest distance of linked classes wide: 0 is the class itself.
+
+    Classes of rings i <= j are linked for certain if i + j <= 10, and certainly not if j - i > 10.
+    """
+    return F.ceil(distance / F.lit((1 - threshold) / 10) - F.lit(1e-9)).cast("int")
+
+
+def _in_blocks(rows: DataFrame, open_pairs) -> tuple[DataFrame, list[str]]:
+    """``rows`` (part, c, ring, and more) once for each open pair of blocks they belong to, and the keys of the calls.
+
+    A ring's classes are dealt to blocks of about BLOCK. ``open_pairs(i, j)`` says of rings i <= j whether their classes
+    have to be compared. Small parts share calls, each pair of blocks of a large part is a call of its own.
+    """
+    sizes = rows.groupBy("part", "ring").agg(F.count("*").alias("n_"))
+    rings = sizes.groupBy("part").agg(F.sum("n_").alias("_rows"), F.array_sort(F.collect_list(F.struct("ring", F.ceil(F.col("n_") / F.lit(BLOCK)).cast("int").alias("blocks")))).alias("rings"))
+    rings = common.materialize(rings, "ngram-rings")
+    placed = common.salted_join(rows, rings.select("part", "rings", (F.col("_rows") > BLOCK).alias("large")), "part", rings.select("part", "_rows"), "c")
+    own = F.filter("rings", lambda r: r["ring"] == F.col("ring"))[0]["blocks"]
+    placed = placed.withColumn("block", F.struct(F.col("ring"), F.pmod(F.xxhash64("c", F.lit(3)), own).cast("int").alias("k")))
+    others = F.filter("rings", lambda r: open_pairs(F.least(r["ring"], F.col("ring")), F.greatest(r["ring"], F.col("ring"))))
+    blocks = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda k: F.struct(r["ring"].alias("ring"), k.alias("k")))))
+    placed = placed.withColumn("other", F.explode(blocks)).drop("rings", "ring")
+    name = lambda c: F.concat_ws("-", c["ring"].cast("string"), c["k"].cast("string"))
+    placed = placed.withColumns({"i": name(F.least("block", "other")), "j": name(F.greatest("block", "other")), "block": name(F.col("block"))}).drop("other")
+    return placed.withColumn("call", F.when(F.col("large"), F.xxhash64("part", "i", "j")).otherwise(F.pmod(F.xxhash64("part"), F.lit(1 << 12)))).drop("large"), ["call"]
 
 
 def _identity(key: str, text: str) -> list[Column]:
-    return [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
+    """A row's key, null apart from empty, and a hash of its text."""
+    return [F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t")]
 
 
 def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -256,43 +280,58 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         signed.where("_n > 0").groupBy("_f", "_g").agg(F.min(least).alias("least"), F.count("*").alias("size"), F.first("_bands").alias("_bands")).withColumn("c", F.monotonically_increasing_id()), "ngram-classes"
     )
     hashed = classes.select("c", F.explode("_bands").alias("bucket"))
-    shared = hashed.groupBy("bucket").agg(F.min("c").alias("leader"), F.max("c").alias("_last")).where("leader < _last").select("bucket", "leader")
-    members = common.materialize(hashed.join(shared, "bucket"), "ngram-buckets")
-    involved = members.select("c").distinct()
+    buckets = common.materialize(hashed.groupBy("bucket").agg(F.min("c").alias("a"), F.count("*").alias("_rows")).where("_rows > 1"), "ngram-buckets")
+    # classes and the leaders of their buckets, each pair once however many bands it has in common
+    pairs = common.salted_join(hashed, buckets.select("bucket", "a"), "bucket", buckets.select("bucket", "_rows"), "c").where("c <> a")
+    pairs = common.materialize(pairs.select("a", F.col("c").alias("b")).distinct(), "ngram-pairs")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = classes.join(involved, "c").select("c", "least._k", "least._t")
     texts = docs.select(*_identity(key, text), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(wanted, ["_k", "_t"]).select("c", "_text")
     sets = common.materialize(texts.mapInArrow(common.lean(_with_sets(n)), "c long, grams array<long>").dropDuplicates(["c"]), "ngram-sets")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, sim) of pairs (a, b), on full sets."""
+    def compare(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, sim, n_a, n_b, differ) of distinct pairs (a, b), on full sets."""
+        counts = pairs.groupBy("a").agg(F.count("*").alias("_rows"))
         left, right = sets.select(F.col("c").alias("a"), F.col("grams").alias("x")), sets.select(F.col("c").alias("b"), F.col("grams").alias("y"))
-        found = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return common.materialize(found.mapInArrow(common.lean(_compared), "a long, b long, sim double"), name)
-
-    others = members.where("c <> leader")
-    found = verify(others.select(F.col("leader").alias("a"), F.col("c").alias("b")), "ngram-verified")
-    links = found.where(F.col("sim") >= threshold - 1e-12).select("a", "b")
-    # where all are linked to the leader they are one group; elsewhere the others are compared among themselves
-    alike = found.select(F.col("a").alias("leader"), F.col("b").alias("c"), (F.col("sim") >= threshold - 1e-12).alias("near"))
-    mixed = others.join(alike, ["leader", "c"]).groupBy("bucket").agg(F.count_if(~F.col("near")).alias("far"), F.count("*").alias("n")).where("far > 0 and n > 1").select("bucket")
-    # a bucket met again in another band has the same members: one of them is enough
-    content = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(20,0)")).alias("s"), F.min("c").alias("m"), F.max("c").alias("k"))
-    rest = others.join(mixed, "bucket")
-    once = rest.groupBy("bucket").agg(content.alias("_content")).groupBy("_content").agg(F.min("bucket").alias("bucket")).select("bucket")
-    rest, keys = _in_blocks(rest.join(once, "bucket").select("bucket", "c"), "bucket", sets)
+        found = common.salted_join(pairs.join(right, "b"), left, "a", counts, "b").select("a", "b", "x", "y")
+        return common.materialize(found.mapInArrow(common.lean(_compared), "a long, b long, sim double, n_a long, n_b long, differ array<long>"), name)
+
+    found = compare(pairs, "ngram-compared")
+    near, at = F.col("sim") >= threshold - 1e-12, ring(1 - F.col("sim"), threshold)
+    links = found.where(near).select("a", "b")
+    # those near the leader are connected by it; others are compared with all under that leader that the rings leave open
+    far = found.where(~near).select("a").distinct()
+    rest = found.join(far, "a", "left_semi").select(F.col("a").alias("part"), F.col("b").alias("c"), at.alias("ring"), F.col("n_a").alias("pivot"), F.col("n_b").alias("n"), "differ")
+    rest, keys = _in_blocks(rest, lambda i, j: (j > 10) & (j - i <= 10))
     links = links.unionByName(rest.groupBy(*keys).applyInPandas(_stars(threshold), "a long, b long"))
     links = common.materialize(links.distinct(), "ngram-links")
-    groups = components(links)
-
-    placed, keys = _in_blocks(groups.withColumnRenamed("node", "c").join(classes.select("c", "size"), "c"), "component", sets)
-    inner = placed.groupBy(*keys).applyInPandas(_counted(threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
-    named = groups.withColumnRenamed("node", "c").join(classes.select("c", "least"), "c")
-    heads = named.groupBy("component").agg(F.min("least").alias("head"))
-    linked = named.join(heads, "component").select("c", F.col("head.k").alias("class_id")).join(inner, "c", "left")
-    by_class = classes.join(linked, "c", "left").select(
-        "_f", "_g", F.when(F.col("class_id").isNotNull() | F.col("links").isNotNull(), F.col("class_id")).otherwise(F.col("least.k")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("least.k").alias("copy_id")
+    groups = common.materialize(components(links).withColumnRenamed("node", "c"), "ngram-groups")
+
+    # in a group all are compared with its first class (most of them are already): rings decide most links by counting
+    around = groups.where("c <> component").select(F.col("component").alias("a"), F.col("c").alias("b"))
+    known = found.join(around, ["a", "b"], "left_semi")
+    known = known.unionByName(compare(around.join(found.select("a", "b"), ["a", "b"], "left_anti"), "ngram-around"))
+    sized = classes.select("c", "size", "least")
+    placed = known.select(F.col("a").alias("part"), F.col("b").alias("c"), at.alias("ring"), F.col("n_a").alias("pivot"), F.col("n_b").alias("n"), "differ").unionByName(
+        sets.join(groups.where("c = component"), "c", "left_semi").select(F.col("c").alias("part"), "c", F.lit(0).alias("ring"), F.size("grams").cast("long").alias("pivot"), F.size("grams").cast("long").alias("n"), F.array().cast("array<long>").alias("differ"))
     )
-    worded = signed.where("_n > 0").join(by_class, ["_f", "_g"]).select(key, "class_id", "n_links", "copy_id", F.col("_n").alias("n_grams"), "_t")
+    placed = common.materialize(placed.join(sized, "c"), "ngram-placed")
+    per_ring = placed.groupBy("part", "ring").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.min("least").alias("least"))
+    of = common.materialize(per_ring.groupBy("part").agg(F.collect_list(F.struct("ring", "size")).alias("rings"), F.max("ring").alias("furthest"), F.sum("n").alias("_rows"), F.min("least").alias("head")), "ngram-heads")
+    named = common.salted_join(placed, of.drop("_rows"), "part", of.select("part", "_rows"), "c")
+    certain = F.aggregate(F.filter("rings", lambda r: r["ring"] + F.col("ring") <= 10), F.lit(0).cast("long"), lambda total, r: total + r["size"])
+    # a class of ring 6 or more may be no kin of its own ring: itself isn't counted twice
+    certain = certain - F.when(F.col("ring") <= 5, F.col("size")).otherwise(F.lit(0))
+    named = named.select("part", "c", F.col("head.k").alias("class_id"), certain.alias("certain"), "furthest", "ring", "pivot", "n", "size", "differ")
+    undecided, keys = _in_blocks(named.where("furthest > 5").drop("class_id", "certain", "furthest"), lambda i, j: (i + j > 10) & (j - i <= 10))
+    inner = undecided.groupBy(*keys).applyInPandas(_counted(threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+    linked = named.select("c", "class_id", "certain").join(inner, "c", "left").select("c", "class_id", (F.col("certain") + F.coalesce("links", F.lit(0))).alias("links"))
+    by_class = classes.join(linked, "c", "left").select(
+        "_f", "_g", F.when(F.col("links").isNotNull(), F.col("class_id")).otherwise(F.col("least.k")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("least.k").alias("copy_id"), F.col("size").alias("_rows")
+    ).withColumn("_fg", F.struct("_f", "_g"))
+    by_class = common.materialize(by_class, "ngram-result")
+    worded = signed.where("_n > 0").select(key, "_k", F.struct("_f", "_g").alias("_fg"), F.col("_n").alias("n_grams"), "_t")
+    worded = common.salted_join(worded, by_class.drop("_f", "_g", "_rows"), "_fg", by_class.select("_fg", "_rows"), "_k").select(key, "class_id", "n_links", "copy_id", "n_grams", "_t")
     without = signed.where("_n = 0").select(key, F.col(key).alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col(key).alias("copy_id"), F.col("_n").alias("n_grams"), "_t")
     return worded.unionByName(without)
 
@@ -300,9 +339,10 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` (all its columns) that stay: of each group of linked documents the one with the smallest key.
 
-    Documents without words all stay. A group whose keys are all null keeps its rows.
+    Of rows with the same key and text one stays, the one whose columns' hash is smallest. Documents without words all
+    stay, but for such repeated rows. Of a group whose keys are all null, one row of each text stays.
     """
     found = similarity_join(docs, key, text)
-    stay = found.where(F.coalesce(F.col(key) == F.col("class_id"), F.col("class_id").isNull())).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), "_t").distinct()
-    marked = docs.select(F.struct(*docs.columns).alias("_all"), *_identity(key, text))
-    return marked.join(stay, ["_k", "_t"], "left_semi").select("_all.*")
+    stay = found.where(F.coalesce(F.col(key) == F.col("class_id"), F.col("class_id").isNull())).select(F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_k"), "_t").distinct()
+    marked = docs.select(F.struct(*docs.columns).alias("_all"), *_identity(key, text)).join(stay, ["_k", "_t"], "left_semi")
+    return common.one_of_each(marked, ["_k", "_t"], "_all").select("_all.*")

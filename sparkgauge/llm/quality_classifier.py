@@ -171,16 +171,19 @@ def fit(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
                 w[i] -= 3e-3 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     logits, target = model.logits(x[check]), y[check]
     loss = lambda k: np.mean(np.logaddexp(0, -np.where(target == 1, 1, -1) * logits / k)) if len(check) else 0
-    model.temperature = min(np.geomspace(1, 8, 31), key=loss)
+    model.temperature = min(np.geomspace(0.125, 8, 49), key=loss)
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held_out: int = 0, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
-    """Word vectors over all of ``docs``; the network on at most ``rows`` labelled documents outside the held-out share."""
+    """Word vectors over all of ``docs``; the network on at most ``rows`` labelled documents outside the held-out share.
+
+    Of rows that share a doc_id one text, the smallest, is learned from.
+    """
     spark = docs.sparkSession
     table = word_vectors(docs, text)
     sample = common.labelled_ids(labels, label, modulus, held_out, rows)
-    chosen = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(sample), "doc_id").select("label", "_text")
+    chosen = common.sample_texts(docs, sample, text).select("label", "_text")
     features = chosen.mapInArrow(common.lean(_mapped(spark.sparkContext.broadcast(table), pooled, "x", pa.list_(pa.float32()))), "label int, x array<float>").toArrow()
     y = features.column("label").to_numpy()
     x = features.column("x").combine_chunks().flatten().to_numpy().reshape(len(y), FEATURES).astype(np.float64) if len(y) else np.zeros((0, FEATURES))

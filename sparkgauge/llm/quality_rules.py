@@ -1,6 +1,6 @@
 """Line-first quality rules, with DataFrame functions only.
 
-Each line is judged by itself (punctuation, navigation, boilerplate); lines that fail are taken out, and a document that
+Each line is judged by itself, by its shape (punctuation, navigation, boilerplate); lines that fail are taken out, and a document that
 loses too much of its text that way is rejected.
 """
 
@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases (lower case) of navigation and boilerplate lines.
-NAVIGATION = ("home | ", "| about", "| contact", "next page", "previous page", "skip to content", "back to top", "log in", "sign up", "read more", "click here", "menu")
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "subscribe to our", "javascript is disabled", "enable javascript", "lorem ipsum")
+#: Marks that end a sentence, in several scripts, and marks that may follow them.
+TERMINAL, CLOSING = ".!?\u2026\u3002\uff0e\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965\u0589\u1362", "\"'\u201d\u2019\u00bb\u203a)\\]}\u300d\u300f"
+_SPACES = r"[\x20\x09-\x0D]*"
+#: A line's end after a sentence; an end that was cut off; a bullet or number at the start; a mark between items of a
+#: navigation bar; a notice of rights, or nothing but a link. No rule knows words, so all hold for any language.
+ENDS = f"[{TERMINAL}][{CLOSING}]*{_SPACES}\\z"
+CUT = f"(?:\\.\\.\\.|\u2026)[{CLOSING}]*{_SPACES}\\z"
+BULLET = f"\\A{_SPACES}(?:[\u2022\u2023\u25aa\u25cf\u25cb\u25e6\u00b7\u2013\u2014*-]|[0-9]{{1,3}}[.)])[\\x20\\x09]"
+ITEM = "[|\u2022\u00b7\u00bb\u203a\u2192]"
+NOTICE = f"\u00a9|\u00ae|\u2122|\\([cC]\\)[\\x20\\x09]*[0-9]{{4}}|\\A{_SPACES}(?:https?://|www\\.)[^\\x20\\x09-\\x0D]*{_SPACES}\\z"
+#: Code points of a line up to which it may be a notice, and beyond which a sentence inside does for its end; items of a
+#: navigation bar at least, and code points an item at most.
+SHORT, ITEMS, ITEM_SIZE = 200, 3, 20
 
 
 #: Repeated windows of a text up to which its windows are looked up one by one; beyond, all are sorted.
@@ -22,7 +32,8 @@ FEW = 64
 
 
 def line_facts(text: Column) -> Column:
-    """For each line (split at newlines) with a word: the line, its code points outside white space, letters and symbols.
+    """For each line (split at newlines) with a word: the line, its code points outside white space, letters, symbols,
+    item marks, and whether it ends as a sentence does.
 
     A lambda's common parts aren't shared by Spark, so each fact is computed once here and only read later.
     """
@@ -34,16 +45,20 @@ def line_facts(text: Column) -> Column:
             F.length(F.regexp_replace(x, common.SPACE, "")).alias("size"),
             F.length(F.regexp_replace(x, r"[^\p{L}]+", "")).alias("letters"),
             (F.length(x) - F.length(F.regexp_replace(x, f"[{SYMBOLS}]+", ""))).alias("symbols"),
+            (F.length(x) - F.length(F.regexp_replace(x, ITEM, ""))).alias("items"),
+            x.rlike(ENDS).alias("ends"),
         ),
     )
 
 
 def bad_line(x: Column) -> Column:
-    """A line fails if it has too few letters or too many symbols, or is short and navigation or boilerplate."""
-    phrase = F.lit(False)
-    for p in (*NAVIGATION, *BOILERPLATE):
-        phrase = phrase | F.lower(x["line"]).contains(p)
-    return (x["letters"] * 2 < x["size"]) | (x["symbols"] * 10 > x["size"]) | ((x["size"] <= 200) & phrase)
+    """A line fails by punctuation (it doesn't end as a sentence does, or was cut off, or is a bullet without an end; a
+    long one may have its sentences inside), by too few letters or too many symbols, as navigation (items between marks),
+    or as boilerplate (a notice of rights, a bare link)."""
+    line, size = x["line"], x["size"]
+    punctuation = (~x["ends"] & ((size <= SHORT) | ~line.rlike(f"[{TERMINAL}]") | line.rlike(BULLET))) | (x["ends"] & line.rlike(CUT))
+    navigation = (x["items"] >= ITEMS) & (size <= (x["items"] + 1) * ITEM_SIZE)
+    return punctuation | (x["letters"] * 2 < size) | (x["symbols"] * 10 > size) | navigation | ((size <= SHORT) & line.rlike(NOTICE))
 
 
 def _total(lines: str | Column, name: str) -> Column:

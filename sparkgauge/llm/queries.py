@@ -12,7 +12,7 @@ from .language_id import identify
 from .language_id import train as train_languages
 from .ngram_join import similarity_join
 from .quality_classifier import classify
-from .quality_rules import BOILERPLATE, NAVIGATION, quality_rules
+from .quality_rules import quality_rules
 from .token_counts import Tokenizer, token_counts
 from .toxicity import detect
 from .url_filter import Rule, judge_urls
@@ -93,8 +93,11 @@ def queries() -> dict:
 
 _WS = r"[\x20\x09-\x0D]+"
 
-_PHRASES = "[" + ", ".join(f"'{p}'" for p in (*NAVIGATION, *BOILERPLATE)) + "]"
-
+#: The rules of a line, written out again.
+_TERMINAL, _CLOSING = "[.!?…。．！？｡؟۔।॥։።]", "[\"''”’»›)\\]}」』]"
+_BAD_LINE = rf"""(NOT ends AND (size <= 200 OR NOT regexp_matches(x, '{_TERMINAL}') OR regexp_matches(x, '\A[\x20\x09-\x0D]*([•‣▪●○◦·–—*-]|[0-9]{{1,3}}[.)])[\x20\x09]')))
+        OR (ends AND regexp_matches(x, '(\.\.\.|…){_CLOSING}*[\x20\x09-\x0D]*\z')) OR letters * 2 < size OR symbols * 10 > size OR (items >= 3 AND size <= (items + 1) * 20)
+        OR (size <= 200 AND regexp_matches(x, '©|®|™|\([cC]\)[\x20\x09]*[0-9]{{4}}|\A[\x20\x09-\x0D]*(https?://|www\.)[^\x20\x09-\x0D]*[\x20\x09-\x0D]*\z'))"""
 
 
 def _mixing_sql() -> str:
@@ -122,7 +125,7 @@ def _mixing_sql() -> str:
         leaves AS (SELECT {cols}, sum(n_tokens)::HUGEINT AS avail FROM d GROUP BY {cols}),
         root AS (SELECT floor(sum(avail)::DOUBLE * 0.8)::HUGEINT AS budget FROM leaves),{",".join(ctes)},
         p AS (SELECT {cols}, (budget // avail)::INT AS whole, (budget % avail)::BIGINT AS part FROM b{len(mixing.TREE) - 1} JOIN leaves USING ({cols}) WHERE avail > 0),
-        m AS (SELECT d.*, whole, part, sum(n_tokens) OVER (PARTITION BY {cols} ORDER BY md5('7|' || whole || '|' || doc_id), n_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p USING ({cols}))
+        m AS (SELECT d.*, whole, part, sum(n_tokens) OVER (PARTITION BY {cols} ORDER BY md5('7|' || whole || '|' || doc_id), n_tokens RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN p USING ({cols}))
         SELECT doc_id, domain, lang, source, unnest(range(whole))::INT AS epoch, n_tokens FROM m
         UNION ALL SELECT doc_id, domain, lang, source, whole, n_tokens FROM m WHERE part > 0 AND upto <= part"""
 
@@ -155,9 +158,9 @@ ORACLE = {
         cov AS (SELECT rid, count(DISTINCT i + k) AS n_rep FROM rep, (VALUES (0), (1), (2)) AS s(k) GROUP BY rid),
         l AS (SELECT rid, x, length(regexp_replace(x, '{_WS}', '', 'g')) AS size, length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) AS letters,
                      length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols,
-                     len(list_filter({_PHRASES}, lambda q: contains(lower(x), q))) > 0 AS phrase
+                     length(x) - length(regexp_replace(x, '[|•·»›→]', '', 'g')) AS items, regexp_matches(x, '{_TERMINAL}{_CLOSING}*[\x20\x09-\x0D]*\z') AS ends
               FROM (SELECT rid, unnest(ls) AS x FROM a)),
-        lost AS (SELECT rid, sum(size) AS lost FROM l WHERE (phrase AND size <= 200) OR letters * 2 < size OR symbols * 10 > size GROUP BY rid),
+        lost AS (SELECT rid, sum(size) AS lost FROM l WHERE {_BAD_LINE} GROUP BY rid),
         m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{_WS}', '', 'g'))::BIGINT AS word_chars,
                      (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                      (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_rep, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost

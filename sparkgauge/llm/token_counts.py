@@ -116,6 +116,8 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache_path: str, limit:
     rows = with_digest(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text").select(
         *keep, "content_sha256", F.octet_length("_text").cast("long").alias("n_bytes")
     )
-    return rows.join(cache.select("content_sha256", "n_tokens"), "content_sha256").select(
+    counts = rows.groupBy("content_sha256").agg(F.count("*").alias("_rows"))
+    # a text that many rows share (empty ones, say) is dealt to several parts
+    return common.salted_join(rows, cache.select("content_sha256", "n_tokens"), "content_sha256", counts, keep[0]).select(
         *keep, "content_sha256", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -138,8 +138,10 @@ def test_blocks_find_what_pairs_find():
     plain = np.array([[len(set(a) & set(b)) >= 0.6 * len(set(a) | set(b)) for b in sets] for a in sets])
     own = plain.copy()
     np.fill_diagonal(own, False)
-    assert (ngram_join.links_between(sets, None, 0.6) == own).all() and (ngram_join.links_between(sets[:15], sets[15:], 0.6) == plain[:15, 15:]).all()
-    rows = pd.DataFrame({"part": 1, "c": range(40), "grams": sets, "block": [0] * 15 + [1] * 25, "i": 0, "j": 1})
+    pivot = np.unique(np.array([random.randrange(30) for _ in range(25)]))
+    differ, n = [np.setxor1d(pivot, x) for x in sets], np.array([len(x) for x in sets])
+    assert (ngram_join.links_between(differ, None, n, None, len(pivot), 0.6) == own).all() and (ngram_join.links_between(differ[:15], differ[15:], n[:15], n[15:], len(pivot), 0.6) == plain[:15, 15:]).all()
+    rows = pd.DataFrame({"part": 1, "c": range(40), "differ": differ, "n": n, "pivot": len(pivot), "block": ["0"] * 15 + ["1"] * 25, "i": "0", "j": "1"})
     edges = ngram_join._stars(0.6)(rows)
     parent = list(range(40))
     find = lambda x: x if parent[x] == x else find(parent[x])

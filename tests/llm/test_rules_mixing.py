@@ -62,6 +62,23 @@ def test_globs_and_many_words():
 # --- quality rules -------------------------------------------------------------------------------------------------
 
 
+def plain_bad(x, size, letters, symbols):
+    """The rules of a line without regular expressions."""
+    marks, closing, space = ".!?…。．！？｡؟۔।॥։።", "\"'”’»›)]}」』", " \t\n\v\f\r"
+    start = x.strip(space)
+    bare = start.rstrip(closing)
+    ends, cut = bare[-1:] in tuple(marks), bare.endswith(("...", "…"))
+    digits = len(start) - len(start.lstrip("0123456789"))
+    bullet = (start[:1] in tuple("•‣▪●○◦·–—*-") and start[1:2] in (" ", "\t")) or (1 <= digits <= 3 and start[digits : digits + 1] in (".", ")") and start[digits + 1 : digits + 2] in (" ", "\t"))
+    items = sum(c in "|•·»›→" for c in x)
+    year = lambda t: len(t[:4]) == 4 and all(c in "0123456789" for c in t[:4])
+    rights = any(c in x for c in "©®™") or any(x[i : i + 3].lower() == "(c)" and year(x[i + 3 :].lstrip(space)) for i in range(len(x)))
+    link = len(words(x)) == 1 and start.startswith(("http://", "https://", "www."))
+    if not ends and (size <= 200 or not any(m in x for m in marks) or bullet):
+        return True
+    return (ends and cut) or letters * 2 < size or symbols * 10 > size or (items >= 3 and size <= 20 * (items + 1)) or (size <= 200 and (rights or link))
+
+
 def plain_quality(text):
     text = text or ""
     w = words(text)
@@ -72,16 +89,15 @@ def plain_quality(text):
     lost = 0
     for x in lines:
         size, letters, symbols = sum(map(len, words(x))), sum(c.isalpha() for c in x), sum(c in quality_rules.SYMBOLS for c in x)
-        phrase = any(p in x.lower() for p in (*quality_rules.NAVIGATION, *quality_rules.BOILERPLATE))
-        lost += size * (letters * 2 < size or symbols * 10 > size or (size <= 200 and phrase))
+        lost += size * plain_bad(x, size, letters, symbols)
     total = sum(map(len, w))
     return len(w), total, sum(c in quality_rules.SYMBOLS for c in text), len(lines) - len(set(lines)), len(covered), failed, not failed and lost <= 0.5 * total
 
 
 def test_quality_rules(spark):
     random.seed(4)
-    vocabulary = ["alpha", "beta", "x#", "|", "12", "Home | About", "All Rights Reserved", "ñandú", "\n", "\n", "  ", "\t"]
-    texts = [t for _, t, *_ in awkward()] + [" ".join(random.choice(vocabulary[: random.randrange(2, 13)]) for _ in range(random.randrange(0, 300))) for _ in range(150)] + [" ".join(f"u{i}" for i in range(400)) + " " + "again and again " * k for k in (0, 1, 2, 40)]
+    vocabulary = ["alpha", "beta", "x#", "|", "12", "alpha.", "beta!\n", "ñandú", "\n", "Home | About |", "so...\n", "\n• item", "\n3) item", "© 2020", "(c) 1999", "\nhttp://a.b/c\n", "end.”\n", "終わり。\n", "long " * 60]
+    texts = [t for _, t, *_ in awkward()] + [" ".join(random.choice(vocabulary[: random.randrange(2, 20)]) for _ in range(random.randrange(0, 300))) for _ in range(150)] + [" ".join(f"u{i}" for i in range(400)) + " " + "again and again " * k for k in (0, 1, 2, 40)]
     df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
     got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in quality_rules.quality_rules(df).collect()}
     assert got == {i: plain_quality(t) for i, t in enumerate(texts)}
@@ -89,9 +105,11 @@ def test_quality_rules(spark):
 
 
 def test_cleaned_text_drops_failed_lines(spark):
-    text = "A line of plain prose that stays.\nHome | About | Contact\n#### $$$$ ####\nAnother plain line."
+    good = ["A line of plain prose that stays.", "Une autre ligne qui reste !", "• A bullet that is a sentence.", "これは文です。", "Said \"so.\"", "long words here. " + "and on " * 60]
+    bad = ["Home | About | Contact |", "#### $$$$ ####", "Sign up", "Read on ...", "• buy milk", "© 2021 Someone.", "www.example.com/a.", "12. 34. 56.", "words " * 90]
+    text = "\n".join(x for pair in zip(good, bad) for x in pair) + "\n" + "\n".join(bad[len(good) :])
     row = quality_rules.quality_rules(frame(spark, [(1, text, None, None, None)])).first()
-    assert row["cleaned"] == "A line of plain prose that stays.\nAnother plain line." and 0 < row["lost_share"] < 0.6
+    assert row["cleaned"] == "\n".join(good) and 0 < row["lost_share"] < 1
 
 
 def test_quality_rules_stay_in_the_jvm(spark):
@@ -161,22 +179,30 @@ def plain_mix(rows, levels, share, epochs, seed):
         whole, part = divmod(budget, leaves[leaf]) if leaves[leaf] else (0, 0)
         out += [(k, e) for k, _ in own for e in range(whole)]
         total = 0
-        for _, n, k in sorted((hashlib.md5(f"{seed}|{whole}|{'' if k is None else k}".encode()).hexdigest(), n, k if k is not None else -1) for k, n in own):
-            total += n
+        order = sorted((hashlib.md5(f"{seed}|{whole}|{'' if k is None else k}".encode()).hexdigest(), n, k if k is not None else -1) for k, n in own)
+        for (_, n), peers in itertools.groupby(order, lambda x: x[:2]):
+            peers = list(peers)
+            total += n * len(peers)
             if part and total <= part:
-                out.append((None if k == -1 else k, whole))
+                out += [(None if k == -1 else k, whole) for _, _, k in peers]
     return sorted(out, key=str)
 
 
+CLASHES = ("_n", "_level0", "_leaf", "_part", "_whole", "_order", "_all", "_key", "_upto", "_end", "_epochs", "l0", "row", "budget", "available")
+
+
 def test_mix_against_the_plain_version(spark):
     random.seed(6)
     rows = [(i if i % 50 else None, random.choice(["a", "a", "b", "z", None]), random.choice(["en", "de", None]), random.choice(["s1", "s2"]), random.choice([None, 0, 1, 5, 40])) for i in range(1, 700)]
     rows += [(900, "a", "en", "s1", 5)] * 3
-    df = spark.createDataFrame(rows, "doc_id long, d string, l string, s string, _tokens int").withColumns({c: F.lit("clash") for c in ("_epoch_", "budget", "available")})
+    df = spark.createDataFrame(rows, "doc_id long, d string, l string, s string, _tokens int").withColumns({c: F.lit("clash") for c in CLASHES})
     for share, epochs in ((0.5, 1), (0.9, 3)):
         got = mixing.mix(df, LEVELS, share, epochs, 3)
         assert sorted(((r["doc_id"], r["_epoch"]) for r in got.collect()), key=str) == plain_mix(rows, LEVELS, share, epochs, 3)
         assert got.columns == [*df.columns, "_epoch"]
+        assert all({r[c] for r in got.select(c).distinct().collect()} == {"clash"} for c in CLASHES) and got.where("_tokens > 40").isEmpty()
+    again = mixing.mix(df.withColumn("_epoch", F.lit("old")), LEVELS, share, epochs, 3)
+    assert again.columns == got.columns and again.count() == got.count()
     assert mixing.mix(df.limit(0), LEVELS).count() == 0
 
 
