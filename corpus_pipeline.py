@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkgauge.llm import common, mixing
 from sparkgauge.llm.bpe import round_trip
@@ -29,9 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the proportions of the tree's weights; one that is taken in two epochs is there twice."""
-    levels = (mixing.Level("_domain", mixing.DOMAINS.weights, mixing.DOMAINS.default), *mixing.TREE[1:])
-    rows = docs.withColumns({"_domain": mixing.domain(), "_tokens": mixing.n_tokens()})
-    return mixing.mix(rows, levels).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", mixing.domain().alias("domain"), "lang", "source", mixing.n_tokens().alias("tokens"))
+    return mixing.mix(rows, mixing.TREE, tokens="tokens").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
