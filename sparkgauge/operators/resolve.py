@@ -2,7 +2,7 @@
 
 ``blocked`` (the default) only scores pairs that can influence a decision; ``exact`` scores all pairs and is meant for
 small data and as the yardstick of tests. Both give the same links and methods; a new entity's stored score may be lower
-in blocked mode when it is under 0.53, where it decides nothing.
+in blocked mode when it is under 0.53, where it decides nothing, and the candidates that an ambiguous link lists end there.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from ..functions.text import hashed_id
 
 #: Thresholds of a confident and of a possible match, and the gap under which the two best are ambiguous.
 CONFIDENT, POSSIBLE, GAP = 0.76, 0.58, 0.05
+#: The least score that can matter: a second best within the gap of a possible match.
+MATTERS = POSSIBLE - GAP - 1e-6
 #: What each feature adds to the score.
 WEIGHTS = {"queue_id": 0.38, "name_close": 0.22, "name_near": 0.14, "entity": 0.10, "county": 0.09, "state": 0.04, "fuel": 0.10, "capacity": 0.10, "capacity_near": 0.04, "poi": 0.07, "cod": 0.04}
 FIELDS = ("record_id", "queue_id", "normalized_project_name", "project_name", "interconnecting_entity", "county", "state", "normalized_fuel_type", "capacity_mw", "point_of_interconnection", "target_cod")
@@ -54,23 +56,40 @@ def _equal(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) & (a != ""), F.lit(False))
 
 
+def capacity_near(a: Column, b: Column) -> Column:
+    """Within 10 MW or 10 %, whichever is more; false where either is missing."""
+    return F.coalesce(F.abs(a - b) <= F.greatest(F.lit(10.0), F.lit(0.10) * F.greatest(F.abs(a), F.abs(b))), F.lit(False))
+
+
+def _ratio(b: Column, a: Column) -> Column:
+    """The matcher's similarity; it only gets to see texts that differ, so equal and missing ones cost it nothing."""
+    differ = b != a
+    return F.when(F.coalesce(b == a, F.lit(False)) & (b != ""), F.lit(1.0)).otherwise(similarity(F.when(differ, b), F.when(differ, a)))
+
+
+def prefixed(records: DataFrame, prefix: str, *more: str) -> DataFrame:
+    """Records with the fields and texts that a score needs, under prefixed names."""
+    texts = {"entity_text": "interconnecting_entity", "poi_text": "point_of_interconnection"}
+    return records.select(*(F.col(f).alias(prefix + f) for f in (*FIELDS, *more)), *(normalize.project_name(c).alias(prefix + t) for t, c in texts.items()))
+
+
 def score_pairs(pairs: DataFrame, before: str = "b_", after: str = "a_") -> DataFrame:
-    """``pairs`` with match_score, match_method and match_features, from the prefixed fields of both records.
+    """``pairs`` with match_score, match_method and match_features, from the ``prefixed`` fields of both records.
 
     The score is rounded to four places before it meets a threshold.
     """
     b, a = (lambda f: F.col(before + f)), (lambda f: F.col(after + f))
     pairs = pairs.withColumns(
         {
-            "_name": similarity(b("normalized_project_name"), a("normalized_project_name")),
-            "_entity": similarity(normalize.project_name(b("interconnecting_entity")), normalize.project_name(a("interconnecting_entity"))),
-            "_poi": similarity(normalize.project_name(b("point_of_interconnection")), normalize.project_name(a("point_of_interconnection"))),
+            "_name": _ratio(b("normalized_project_name"), a("normalized_project_name")),
+            "_entity": _ratio(b("entity_text"), a("entity_text")),
+            "_poi": _ratio(b("poi_text"), a("poi_text")),
             "_days": F.abs(F.datediff(b("target_cod"), a("target_cod"))),
             "_delta": F.abs(b("capacity_mw") - a("capacity_mw")),
         }
     )
     close = capacity_close(b("capacity_mw"), a("capacity_mw"))
-    near = F.coalesce(F.col("_delta") <= F.greatest(F.lit(10.0), F.lit(0.10) * F.greatest(F.abs(b("capacity_mw")), F.abs(a("capacity_mw")))), F.lit(False))
+    near = capacity_near(b("capacity_mw"), a("capacity_mw"))
     w = {k: F.lit(v) for k, v in WEIGHTS.items()}
     parts = [
         F.when(_equal(b("queue_id"), a("queue_id")), w["queue_id"]),
@@ -94,60 +113,128 @@ def score_pairs(pairs: DataFrame, before: str = "b_", after: str = "a_") -> Data
     return pairs.withColumns({"match_features": features, "match_method": method}).drop("_name", "_entity", "_poi", "_days", "_delta")
 
 
-def _letters(name: Column) -> Column:
-    """A text's characters, each with how often it has occurred so far: a multiset as a set."""
-    chars = F.split(name, "")
-    chars = F.filter(chars, lambda c: c != "")
-    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c)).cast("string")))
+def _least_common(total: Column, least: float) -> Column:
+    """Characters that two texts of ``total`` characters have in common at least, if they are ``least`` alike."""
+    return F.ceil(F.lit(least / 2) * total - F.lit(1e-9))
+
+
+def _shared(q: int, total: Column, least: float) -> Column:
+    """Runs of ``q`` characters that they share at least: m common characters lie in at most total - 2 m + 1 pieces."""
+    return (2 * q - 1) * _least_common(total, least) - (q - 1) * (total + 1)
+
+
+def _size(total: Column, least: float) -> Column:
+    """The longest of three sizes of runs that two such texts must share one of; one character always is."""
+    return F.when(_shared(3, total, least) > 0, 3).when(_shared(2, total, least) > 0, 2).otherwise(1)
+
+
+def similar_texts(before: DataFrame, after: DataFrame, least: float) -> DataFrame:
+    """(b_text, a_text) of the texts (columns ``text``) with similarity at least ``least``, without comparing all with all.
+
+    The matcher's ratio is 2 m / (sum of lengths) for m common characters in order, so two such texts share a number of
+    runs of up to three characters, at places that differ by no more than characters are left over. With runs in the
+    order of how many texts have them, the rarest of each text then have one in common: an equi-join on rare runs, and
+    lengths, ranks and places are part of its condition. The matcher decides what it finds.
+    """
+    distinct = lambda df: df.select("text").where("text <> ''").distinct()
+
+    def runs(df: DataFrame, side: str) -> DataFrame:
+        n = F.length("text")
+        totals = F.sequence(F.ceil(2 * n / F.lit(2 - least) - F.lit(1e-9)), F.floor(2 * n / F.lit(least) + F.lit(1e-9)))
+        rows = distinct(df).withColumns({"n": n, "totals": totals}).withColumn("q", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+        # of a text's runs of a size, so many of the rarest as any length of the other text may need
+        needs = lambda q: lambda t: F.when(_size(t, least) == q, F.col("n") - q + 2 - _shared(q, t, least))
+        most = F.coalesce(*(F.when(F.col("q") == q, F.array_max(F.transform("totals", needs(q)))) for q in (1, 2, 3)))
+        rows = rows.withColumn("most", most).where("most > 0 and n >= q").drop("totals")
+        return rows.select(F.lit(side).alias("side"), "text", "n", "q", "most", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substr("text", i, F.col("q")))).alias("at", "run"))
+
+    every = runs(before, "b").unionByName(runs(after, "a"))
+    rare = Window.partitionBy("side", "text", "q").orderBy("texts", "run", "at")
+    ranked = every.join(every.groupBy("q", "run").agg(F.count("*").alias("texts")), ["q", "run"]).withColumn("rank", F.row_number().over(rare)).where("rank <= most")
+    ranked = scratch.materialize(ranked.select("side", "text", "n", "q", "at", "run", "rank"), "runs")
+    side = lambda name: ranked.where(F.col("side") == name).select("q", "run", *(F.col(c).alias(f"{name}_{c}") for c in ("text", "n", "at", "rank")))
+    total, q = F.col("b_n") + F.col("a_n"), F.col("q")
+    same = _least_common(total, least)
+    shared = F.when(q == 3, _shared(3, total, least)).when(q == 2, _shared(2, total, least)).otherwise(same)
+    moved = F.col("b_at") - F.col("a_at")
+    found = side("b").join(side("a"), ["q", "run"]).where(
+        (F.least("b_n", "a_n") >= same) & (q == _size(total, least)) & (F.col("b_rank") <= F.col("b_n") - q + 2 - shared) & (F.col("a_rank") <= F.col("a_n") - q + 2 - shared)
+        & (moved <= F.col("b_n") - same) & (-moved <= F.col("a_n") - same)
+    )
+    found = found.select("b_text", "a_text").distinct()
+    return found.where(_ratio(F.col("b_text"), F.col("a_text")) >= least)
 
 
 def similar_names(before: DataFrame, after: DataFrame, least: float = 0.75) -> DataFrame:
-    """(b_name, a_name) of the distinct names with similarity at least ``least``, without comparing all with all.
+    """(b_name, a_name) of the records' distinct names with similarity at least ``least``."""
+    names = lambda df: df.select(F.col("normalized_project_name").alias("text"))
+    return similar_texts(names(before), names(after), least).select(F.col("b_text").alias("b_name"), F.col("a_text").alias("a_name"))
+
+
+def _band(mw: Column) -> Column:
+    """A scale on which capacities that are close are little more than one apart: fives up to 250 MW, then 2 % steps."""
+    size = F.abs(mw)
+    return F.floor(F.signum(mw) * F.when(size <= 250, size / 5).otherwise(F.lit(50.0) + F.log(size / 250) / F.lit(0.02))).cast("long")
+
+
+def _keys(prefix: str, kinds: str) -> Column:
+    """What a pair must agree in besides a text: county (c), fuel (f) or capacity (w); the earlier side has all that fits."""
+    fuel, mw, county = F.col(f"{prefix}normalized_fuel_type"), F.col(f"{prefix}capacity_mw"), F.col(f"{prefix}county")
+    fits = F.when(fuel == "Hybrid", F.array(*map(F.lit, ("Hybrid", "Solar", "Battery")))).when(fuel.isin("Solar", "Battery"), F.array(fuel, F.lit("Hybrid"))).otherwise(F.array(fuel))
+    fuels, bands = (fits, F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: _band(mw) + k)) if prefix == "b_" else (F.array(fuel), F.array(_band(mw)))
+    lists = {"c": F.array(F.nullif(county, F.lit(""))), "f": fuels, "w": bands}
+    label = lambda k: lambda x: F.concat(F.lit(f"{k}:"), x)
+    named = F.concat(*(F.transform(lists[k].cast("array<string>"), label(k)) for k in kinds))
+    return F.explode(F.filter(named, lambda x: x.isNotNull()))
+
+
+def fuzzy_pairs(b: DataFrame, a: DataFrame) -> DataFrame:
+    """Pairs of ``prefixed`` records that can score 0.53 or more without an equal queue id, and few others.
 
-    The matcher's ratio is at most 2 * (characters in common) / (sum of lengths), so two such names share at least
-    ``least * (la + lb) / 2`` characters, and the lengths differ by a bounded factor. Ordered from rare to frequent, a
-    short beginning of each name's characters must then overlap: that is an equi-join. What it finds is checked by the
-    bound, then by the matcher.
+    By what the features add, such a pair has names of 0.90 and agrees in county, fuel or capacity; or names of 0.75,
+    entities of 0.85, and agrees in county or fuel; or names of 0.75, points of interconnection of 0.80, and agrees in
+    county and fuel. Each is an equi-join on the similar texts and what must agree, so a common name or place alone
+    gathers no pairs; and the features that are at hand must leave 0.53 within reach.
     """
-    names = lambda df, n: df.select(F.col("normalized_project_name").alias(n)).where(F.col(n).isNotNull()).distinct()
-    b, a = names(before, "b_name"), names(after, "a_name")
-    with_letters = lambda df, n: df.withColumn(f"{n}_letters", _letters(F.col(n)))
-    b, a = with_letters(b, "b_name"), with_letters(a, "a_name")
-    share = least / (2 - least)  # of the characters of one name that the other has, at least
-
-    def prefix(df: DataFrame, n: str) -> DataFrame:
-        size = F.size(f"{n}_letters")
-        take = size - F.ceil(size * share - 1e-9) + 1
-        # rare first: characters that occur again are rarer than first ones, and so are those late in the alphabet of digits
-        order = F.array_sort(F.transform(f"{n}_letters", lambda x: F.struct((-F.substr(x, F.lit(2)).cast("int")).alias("k"), F.xxhash64(x).alias("h"), x.alias("x"))))
-        return df.withColumn("letter", F.explode(F.slice(F.transform(order, lambda s: s["x"]), F.lit(1), F.greatest(take.cast("int"), F.lit(1)))))
-
-    found = prefix(b, "b_name").join(prefix(a, "a_name"), "letter")
-    la, lb = F.length("b_name"), F.length("a_name")
-    found = found.where((F.least(la, lb) * 2 >= least * (la + lb) - 1e-9)).drop("letter").distinct()
-    common = F.size(F.array_intersect("b_name_letters", "a_name_letters"))
-    found = found.where(common * 2 >= least * (la + lb) - 1e-9).select("b_name", "a_name")
-    return found.where(similarity(F.col("b_name"), F.col("a_name")) >= least)
-
-
-def candidate_pairs(before: DataFrame, after: DataFrame, mode: str = "blocked") -> DataFrame:
-    """Pairs of prefixed records that are to be scored. ``before`` has entity_id besides the records' fields.
-
-    Blocked: equal queue ids; names of similarity 0.75 or more; or all of county, state, fuel, capacity and date agreeing
-    (with the two remaining similarities, such a pair can reach 0.54; any other stays under 0.53 and decides nothing).
+    f = F.col
+    exact = lambda c, w: F.when(c, w).otherwise(0.0)
+    at_hand = (
+        exact(_equal(f("b_county"), f("a_county")), WEIGHTS["county"]) + exact(_equal(f("b_state"), f("a_state")), WEIGHTS["state"]) + exact(compatible_fuel(f("b_normalized_fuel_type"), f("a_normalized_fuel_type")), WEIGHTS["fuel"])
+        + F.when(capacity_close(f("b_capacity_mw"), f("a_capacity_mw")), WEIGHTS["capacity"]).when(capacity_near(f("b_capacity_mw"), f("a_capacity_mw")), WEIGHTS["capacity_near"]).otherwise(0.0)
+        + exact(F.coalesce(F.abs(F.datediff("b_target_cod", "a_target_cod")) <= 180, F.lit(False)), WEIGHTS["cod"])
+    )
+    other_id = ~_equal(f("b_queue_id"), f("a_queue_id"))
+
+    def by(text: str, least: float, kinds: str, reach: float) -> DataFrame:
+        alike = similar_texts(b.select(f(f"b_{text}").alias("text")), a.select(f(f"a_{text}").alias("text")), least)
+        alike = scratch.materialize(alike, "alike").select(f("b_text").alias(f"b_{text}"), f("a_text").alias(f"a_{text}"))
+        later = a.withColumn("_key", _keys("a_", kinds)).join(alike, f"a_{text}")
+        return b.withColumn("_key", _keys("b_", kinds)).join(later, [f"b_{text}", "_key"]).where(other_id & (at_hand + reach >= MATTERS)).drop("_key")
+
+    w = WEIGHTS
+    found = by("normalized_project_name", 0.90, "cfw", w["name_close"] + w["entity"] + w["poi"])
+    found = found.unionByName(by("entity_text", 0.85, "cf", w["name_near"] + w["entity"] + w["poi"]))
+    found = found.unionByName(by("poi_text", 0.80, "c", w["name_near"] + w["poi"]))
+    return found.dropDuplicates(["b_record_id", "a_record_id"])
+
+
+def scored_pairs(before: DataFrame, after: DataFrame, mode: str = "blocked") -> DataFrame:
+    """Scored pairs of records; ``before`` has entity_id besides the records' fields.
+
+    Blocked: pairs of equal queue ids come first. A record that such a pair gives more than 0.81 is settled, as nothing
+    without its id comes within the gap of that (0.76 at most); only the others are looked up by likeness.
     """
-    b = before.select(*(F.col(f).alias(f"b_{f}") for f in FIELDS), F.col("entity_id").alias("b_entity_id"))
-    a = after.select(*(F.col(f).alias(f"a_{f}") for f in FIELDS))
+    b, a = prefixed(before, "b_", "entity_id"), prefixed(after, "a_")
     if mode == "exact":
-        return b.join(a, F.lit(True))
+        return score_pairs(b.join(a, F.lit(True)))
     if mode != "blocked":
         raise ValueError(f"unknown mode: {mode}")
-    by_id = b.join(a, (F.col("b_queue_id") == F.col("a_queue_id")) & (F.col("b_queue_id") != ""))
-    by_name = b.join(similar_names(before, after), F.col("b_normalized_project_name") == F.col("b_name")).join(a, F.col("a_normalized_project_name") == F.col("a_name")).drop("b_name", "a_name")
-    by_place = b.join(a, (F.col("b_county") == F.col("a_county")) & (F.col("b_state") == F.col("a_state"))).where(
-        compatible_fuel(F.col("b_normalized_fuel_type"), F.col("a_normalized_fuel_type")) & capacity_close(F.col("b_capacity_mw"), F.col("a_capacity_mw")) & (F.abs(F.datediff("b_target_cod", "a_target_cod")) <= 180)
-    )
-    return by_id.unionByName(by_name).unionByName(by_place).dropDuplicates(["b_record_id", "a_record_id"])
+    b = scratch.materialize(b, "earlier")
+    same = score_pairs(b.join(a, (F.col("b_queue_id") == F.col("a_queue_id")) & (F.col("b_queue_id") != "")))
+    same = scratch.materialize(same, "same-id")
+    settled = same.where(F.col("match_score") > sum(WEIGHTS[k] for k in ("name_close", "entity", "county", "state", "fuel", "capacity", "poi", "cod")) + GAP + 1e-6).select("a_record_id")
+    open_ = scratch.materialize(a.join(settled, "a_record_id", "left_anti"), "open")
+    return same.unionByName(score_pairs(fuzzy_pairs(b, open_)))
 
 
 def seed_links(records: DataFrame, method: str = "first_snapshot_seed") -> DataFrame:
@@ -165,7 +252,7 @@ def resolve_pair(before: DataFrame, before_links: DataFrame, after: DataFrame, m
     first by queue id and name gets it; the others don't try their second best and become new entities.
     """
     candidates = before.join(before_links.where(~F.col("is_ambiguous")).select("record_id", "entity_id"), "record_id")
-    scored = score_pairs(candidate_pairs(candidates, after, mode))
+    scored = scored_pairs(candidates, after, mode)
     order = Window.partitionBy("a_record_id").orderBy(F.desc("match_score"), F.asc_nulls_last("b_queue_id"), F.asc_nulls_last("b_project_name"), "b_record_id")
     best = scored.withColumn("_rank", F.row_number().over(order)).where("_rank <= 3")
     kept = F.struct("_rank", "match_score", "match_method", F.col("b_entity_id").alias("entity_id"), F.col("b_record_id").alias("record_id"), "match_features")

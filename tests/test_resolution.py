@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgauge import catalog
 from sparkgauge.operators import audit, diff, resolve
 from sparkgauge.sources import files
 from tests.fixtures import write_csvs
@@ -66,6 +67,8 @@ def test_blocked_and_exact_decide_alike(spark):
 
     names = "record_id string, queue_id string, normalized_project_name string, project_name string, interconnecting_entity string, county string, state string, normalized_fuel_type string, capacity_mw double, point_of_interconnection string, target_cod string, market string, snapshot_id string, snapshot_date string"
     data = spark.createDataFrame([*rows("1", 40), *rows("2", 40)], names).withColumns({c: F.col(c).cast("date") for c in ("target_cod", "snapshot_date")}).cache()
+    half = data.withColumns({"normalized_project_name": F.concat("normalized_project_name", F.lit(" 1")), "record_id": F.concat(F.lit("z"), "record_id"), "queue_id": F.concat(F.lit("N"), "queue_id"), "interconnecting_entity": F.concat(F.lit("the company of "), "interconnecting_entity")})
+    data = data.unionByName(half).cache()
     key = lambda mode: {r["record_id"]: (r["entity_id"], r["match_method"], r["is_ambiguous"], r["match_score"] if r["match_score"] >= 0.53 else None) for r in resolve.resolve_market(data, mode).collect()}
     assert key("exact") == key("blocked")
 
@@ -80,6 +83,32 @@ def test_similar_names_finds_all(spark):
     assert got == {(x, y) for x in b for y in a if SequenceMatcher(None, x, y).ratio() >= 0.75}
 
 
+def test_similar_texts_of_all_lengths(spark):
+    random.seed(2)
+    base = ["north ridge solar farm two", "point wind energy center", "a", "ab", "abc storage", "x" * 30, "lake mesa delta river project phase three of nine"]
+
+    def near(t):
+        t = list(t)
+        for _ in range(random.randrange(0, 6)):
+            k = random.randrange(len(t) + 1)
+            t[k : k + random.randrange(0, 2)] = random.choice(["", "a", "x", " q", "solar"])
+        return "".join(t).strip() or "z"
+
+    a, b = ({near(random.choice(base)) for _ in range(70)} for _ in range(2))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in [*xs, "", None]], "text string")
+    for least in (0.75, 0.80, 0.85, 0.90):
+        got = {(r["b_text"], r["a_text"]) for r in resolve.similar_texts(frame(b), frame(a), least).collect()}
+        assert got == {(x, y) for x in b for y in a if SequenceMatcher(None, x, y).ratio() >= least}, least
+
+
+def test_few_pairs_are_looked_at(spark, sf):
+    """Of the suppliers' pairs, far under 5 % reach the matcher, and nearly all that are scored are linked."""
+    rows = catalog.supplier_records(spark, "/root/testdata/sf0.01").cache()
+    b, a = (resolve.prefixed(rows.withColumn("entity_id", F.lit("e")).where(F.col("snapshot_id") == s), p, *m) for s, p, m in (("sup_1", "b_", ("entity_id",)), ("sup_2", "a_", ())))
+    found = resolve.fuzzy_pairs(b, a).count()
+    assert found <= 0.02 * b.count() * a.count(), found
+
+
 def test_a_taken_entity_isnt_given_twice(spark):
     row = lambda rid, q, snap: (rid, q, "lone star solar", "Lone Star Solar", "dev", "A", "TX", "Solar", 100.0, "poi", snap)
     names = "record_id string, queue_id string, normalized_project_name string, project_name string, interconnecting_entity string, county string, state string, normalized_fuel_type string, capacity_mw double, point_of_interconnection string, snapshot_id string"
