@@ -23,7 +23,7 @@ from .graph import components
 
 WORDS, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.999, 140
 #: Classes of a block.
-BLOCK = 256
+BLOCK = 512
 SLICE = 1 << 19
 _SEED = 0x51ED2701
 
@@ -189,10 +189,12 @@ def _block_pairs(rows: pd.DataFrame, threshold: float) -> Iterator[tuple[pd.Data
 
 def _counted(threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Each class's number of links, by documents, to the other block of each pair of blocks."""
+        """Each class's number of links, by documents, to the other block of each pair of blocks, but for those that
+        the rings make certain."""
         out = [pd.DataFrame({"c": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})]
         for left, right, linked in _block_pairs(rows, threshold):
             other = left if right is None else right
+            linked &= left["ring"].to_numpy()[:, None] + other["ring"].to_numpy()[None] > 10
             out.append(pd.DataFrame({"c": left["c"].to_numpy(), "links": linked @ other["size"].to_numpy()}))
             if right is not None:
                 out.append(pd.DataFrame({"c": right["c"].to_numpy(), "links": linked.T @ left["size"].to_numpy()}))
@@ -240,21 +242,29 @@ def ring(distance: Column, threshold: float) -> Column:
 def _in_blocks(rows: DataFrame, open_pairs) -> tuple[DataFrame, list[str]]:
     """``rows`` (part, c, ring, and more) once for each open pair of blocks they belong to, and the keys of the calls.
 
-    A ring's classes are dealt to blocks of about BLOCK. ``open_pairs(i, j)`` says of rings i <= j whether their classes
-    have to be compared. Small parts share calls, each pair of blocks of a large part is a call of its own.
+    A part's classes stand in the order of their rings and are cut into blocks of about BLOCK. ``open_pairs(low, high,
+    next_low, next_high)`` says of the rings of a block and of one at or after it whether some of their classes have to
+    be compared. Small parts share calls, each pair of blocks of a large part is a call of its own.
     """
-    sizes = rows.groupBy("part", "ring").agg(F.count("*").alias("n_"))
-    rings = sizes.groupBy("part").agg(F.sum("n_").alias("_rows"), F.array_sort(F.collect_list(F.struct("ring", F.ceil(F.col("n_") / F.lit(BLOCK)).cast("int").alias("blocks")))).alias("rings"))
+    sizes = rows.groupBy("part", "ring").agg(F.count("*").alias("n"))
+    rings = sizes.groupBy("part").agg(F.sum("n").alias("_rows"), F.array_sort(F.collect_list(F.struct("ring", "n"))).alias("rings"))
+    upto = lambda r: F.aggregate(F.filter("rings", lambda x: x["ring"] < r), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    rings = rings.withColumn("rings", F.transform("rings", lambda x: F.struct(x["ring"].alias("ring"), x["n"].alias("n"), upto(x["ring"]).alias("first"))))
     rings = common.materialize(rings, "ngram-rings")
-    placed = common.salted_join(rows, rings.select("part", "rings", (F.col("_rows") > BLOCK).alias("large")), "part", rings.select("part", "_rows"), "c")
-    own = F.filter("rings", lambda r: r["ring"] == F.col("ring"))[0]["blocks"]
-    placed = placed.withColumn("block", F.struct(F.col("ring"), F.pmod(F.xxhash64("c", F.lit(3)), own).cast("int").alias("k")))
-    others = F.filter("rings", lambda r: open_pairs(F.least(r["ring"], F.col("ring")), F.greatest(r["ring"], F.col("ring"))))
-    blocks = F.flatten(F.transform(others, lambda r: F.transform(F.sequence(F.lit(0), r["blocks"] - 1), lambda k: F.struct(r["ring"].alias("ring"), k.alias("k")))))
-    placed = placed.withColumn("other", F.explode(blocks)).drop("rings", "ring")
-    name = lambda c: F.concat_ws("-", c["ring"].cast("string"), c["k"].cast("string"))
-    placed = placed.withColumns({"i": name(F.least("block", "other")), "j": name(F.greatest("block", "other")), "block": name(F.col("block"))}).drop("other")
-    return placed.withColumn("call", F.when(F.col("large"), F.xxhash64("part", "i", "j")).otherwise(F.pmod(F.xxhash64("part"), F.lit(1 << 12)))).drop("large"), ["call"]
+    placed = common.salted_join(rows, rings.select("part", "rings", F.col("_rows").alias("in_part")), "part", rings.select("part", "_rows"), "c")
+    own = F.filter("rings", lambda x: x["ring"] == F.col("ring"))[0]
+    placed = placed.withColumn("block", F.floor((own["first"] + F.pmod(F.xxhash64("c", F.lit(3)), own["n"])) / BLOCK).cast("int"))
+    low = lambda k: F.filter("rings", lambda x: x["first"] + x["n"] > k * BLOCK)[0]["ring"]
+    high = lambda k: F.element_at(F.filter("rings", lambda x: x["first"] < (k + 1) * BLOCK), -1)["ring"]
+
+    def is_open(k: Column) -> Column:
+        one, two = F.least(k, F.col("block")), F.greatest(k, F.col("block"))
+        return open_pairs(low(one), high(one), low(two), high(two))
+
+    placed = placed.withColumn("others", F.filter(F.sequence(F.lit(0), F.floor((F.col("in_part") - 1) / BLOCK).cast("int")), is_open))
+    placed = placed.withColumn("other", F.explode("others")).drop("rings", "others")
+    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
+    return placed.withColumn("call", F.when(F.col("in_part") > BLOCK, F.xxhash64("part", "i", "j")).otherwise(F.pmod(F.xxhash64("part"), F.lit(1 << 12)))).drop("in_part"), ["call"]
 
 
 def _identity(key: str, text: str) -> list[Column]:
@@ -300,9 +310,9 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     near, at = F.col("sim") >= threshold - 1e-12, ring(1 - F.col("sim"), threshold)
     links = found.where(near).select("a", "b")
     # those near the leader are connected by it; others are compared with all under that leader that the rings leave open
-    far = found.where(~near).select("a").distinct()
-    rest = found.join(far, "a", "left_semi").select(F.col("a").alias("part"), F.col("b").alias("c"), at.alias("ring"), F.col("n_a").alias("pivot"), F.col("n_b").alias("n"), "differ")
-    rest, keys = _in_blocks(rest, lambda i, j: (j > 10) & (j - i <= 10))
+    far = common.materialize(found.groupBy("a").agg(F.count_if(~near).alias("far"), F.count("*").alias("_rows")).where("far > 0 and _rows > 1"), "ngram-far")
+    rest = common.salted_join(found, far.select("a"), "a", far.select("a", "_rows"), "b").select(F.col("a").alias("part"), F.col("b").alias("c"), at.alias("ring"), F.col("n_a").alias("pivot"), F.col("n_b").alias("n"), "differ")
+    rest, keys = _in_blocks(rest, lambda low, high, next_low, next_high: (next_high > 10) & (next_low - high <= 10))
     links = links.unionByName(rest.groupBy(*keys).applyInPandas(_stars(threshold), "a long, b long"))
     links = common.materialize(links.distinct(), "ngram-links")
     groups = common.materialize(components(links).withColumnRenamed("node", "c"), "ngram-groups")
@@ -323,7 +333,7 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     # a class of ring 6 or more may be no kin of its own ring: itself isn't counted twice
     certain = certain - F.when(F.col("ring") <= 5, F.col("size")).otherwise(F.lit(0))
     named = named.select("part", "c", F.col("head.k").alias("class_id"), certain.alias("certain"), "furthest", "ring", "pivot", "n", "size", "differ")
-    undecided, keys = _in_blocks(named.where("furthest > 5").drop("class_id", "certain", "furthest"), lambda i, j: (i + j > 10) & (j - i <= 10))
+    undecided, keys = _in_blocks(named.where("furthest > 5").drop("class_id", "certain", "furthest"), lambda low, high, next_low, next_high: (high + next_high > 10) & (next_low - high <= 10))
     inner = undecided.groupBy(*keys).applyInPandas(_counted(threshold), "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
     linked = named.select("c", "class_id", "certain").join(inner, "c", "left").select("c", "class_id", (F.col("certain") + F.coalesce("links", F.lit(0))).alias("links"))
     by_class = classes.join(linked, "c", "left").select(

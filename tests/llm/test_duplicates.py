@@ -132,6 +132,19 @@ def test_ngram_join_of_near_copies(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got), key=str) == brute(rows)
 
 
+def test_rows_in_blocks_grow_with_the_classes(spark, monkeypatch):
+    """Copies that are all within 0.9 of the first are counted, not compared: no block has any of them."""
+    seen = []
+    real = ngram_join._in_blocks
+    monkeypatch.setattr(ngram_join, "_in_blocks", lambda rows, open_pairs: (seen.append(real(rows, open_pairs)), seen[-1])[1])
+    base = [f"b{k}" for k in range(300)]
+    for m in (60, 240):
+        rows = [(0, " ".join(base), None, None, None)] + [(i, " ".join(w if k != 7 + i else f"z{i}" for k, w in enumerate(base)), None, None, None) for i in range(1, m)]
+        got = ngram_join.similarity_join(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert {(r["class_id"], r["n_links"]) for r in got} == {(0, m - 1)}
+        assert all(placed.count() == 0 for placed, _ in seen)
+
+
 def test_blocks_find_what_pairs_find():
     random.seed(9)
     sets = [np.unique(np.array([random.randrange(30) for _ in range(20)])) for _ in range(40)]
@@ -141,7 +154,7 @@ def test_blocks_find_what_pairs_find():
     pivot = np.unique(np.array([random.randrange(30) for _ in range(25)]))
     differ, n = [np.setxor1d(pivot, x) for x in sets], np.array([len(x) for x in sets])
     assert (ngram_join.links_between(differ, None, n, None, len(pivot), 0.6) == own).all() and (ngram_join.links_between(differ[:15], differ[15:], n[:15], n[15:], len(pivot), 0.6) == plain[:15, 15:]).all()
-    rows = pd.DataFrame({"part": 1, "c": range(40), "differ": differ, "n": n, "pivot": len(pivot), "block": ["0"] * 15 + ["1"] * 25, "i": "0", "j": "1"})
+    rows = pd.DataFrame({"part": 1, "c": range(40), "differ": differ, "n": n, "pivot": len(pivot), "block": [0] * 15 + [1] * 25, "i": 0, "j": 1})
     edges = ngram_join._stars(0.6)(rows)
     parent = list(range(40))
     find = lambda x: x if parent[x] == x else find(parent[x])
