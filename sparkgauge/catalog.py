@@ -136,8 +136,12 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All deduplicated hard events."""
-    return events.dedup(_change_events(spark, sf_dir)).select("event_type", "entity_id", "materiality_score")
+    """All deduplicated hard events; two types come twice, once with another score."""
+    every = _change_events(spark, sf_dir)
+    again = every.where(F.col("event_type").isin("new_project", "capacity_changed")).withColumns(
+        {"materiality_score": F.col("materiality_score") + F.when(F.col("event_type") == "new_project", 1).otherwise(-1), "change_event_id": F.concat("change_event_id", F.lit("-2"))}
+    )
+    return events.dedup(every.unionByName(again)).select("event_type", "entity_id", "materiality_score")
 
 
 def top_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from .operators import flexibility, procurement
-from .operators.events import HARD_FROM, NEVER_HARD, WEIGHTS
-from .operators.watch import STATUS_WORDS
 from .plans import seeds
 
 B, A = "snap_syn_2026_01_31", "snap_syn_2026_02_28"
 
+#: Fixed values, written down again so that a wrong one in the engine shows.
+WEIGHTS = {"withdrawn_project": 40, "removed_project": 25, "completed_project": 35, "new_project": 30, "status_changed": 25, "target_cod_delayed": 25, "target_cod_accelerated": 20, "capacity_changed": 20, "fuel_type_changed": 15, "poi_changed": 15, "name_changed": 5}
+STATUS_WORDS = ("anopr", "proposed", "pending", "directed", "approved", "accepted", "final", "order")
+DEPTHS = (0, 5, 10, 15, 20, 25, 30, 40, 50)
+PREFERENCE = ("eligible", "contingent", "ambiguous", "unsupported", "not_eligible")
+CONTINGENT, UNSUPPORTED, FINAL = ("proposed", "pending", "directed", "needs_review"), ("context_only", "technical_evidence", "superseded"), ("approved", "final")
+EQUIPMENT = {"large_load": ("Large Power Transformer", "HV Switchgear / GIS", "Medium-Voltage Switchgear", "Protection / Control / Metering Package", "Interconnection Facilities", "Commissioning / Testing Package"), "battery": ("GSU Transformer", "HV Switchgear / GIS", "Medium-Voltage Switchgear", "Protection / Control / Metering Package", "Interconnection Facilities", "Commissioning / Testing Package"), "solar_storage": ("GSU Transformer", "HV Switchgear / GIS", "Medium-Voltage Switchgear", "Protection / Control / Metering Package", "Interconnection Facilities", "Commissioning / Testing Package")}
+
 
 def _values(rows, names: str) -> str:
     lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
@@ -18,11 +23,14 @@ def _values(rows, names: str) -> str:
 _DIFF = f""",
     b AS (SELECT * FROM rec WHERE snapshot_id = '{B}'), a AS (SELECT * FROM rec WHERE snapshot_id = '{A}'),
     j AS (SELECT b.queue_id AS bq, a.queue_id AS aq, coalesce(b.queue_id, a.queue_id) AS entity_id, b.normalized_status AS bs, a.normalized_status AS s, b.capacity_mw AS bm, a.capacity_mw AS m,
-                 a.target_cod - b.target_cod AS days, b.project_name AS bn, a.project_name AS n, coalesce(a.county, b.county) AS county, b.target_cod AS bt, a.target_cod AS t FROM b FULL JOIN a ON a.queue_id = b.queue_id),
+                 a.target_cod - b.target_cod AS days, b.project_name AS bn, a.project_name AS n, coalesce(a.county, b.county) AS county, b.normalized_fuel_type AS bf, a.normalized_fuel_type AS f, b.normalized_project_name AS bnn, a.normalized_project_name AS nn, b.point_of_interconnection AS bp, a.point_of_interconnection AS p FROM b FULL JOIN a ON a.queue_id = b.queue_id),
     ch AS (
         SELECT *, CASE s WHEN 'Withdrawn' THEN 'withdrawn_project' WHEN 'Completed' THEN 'completed_project' ELSE 'status_changed' END AS event_type, CASE s WHEN 'Withdrawn' THEN 'high' ELSE 'medium' END AS severity FROM j WHERE bq IS NOT NULL AND aq IS NOT NULL AND s IS DISTINCT FROM bs
         UNION ALL SELECT *, 'capacity_changed', 'medium' FROM j WHERE abs(m - bm) > greatest(5.0, 0.02 * greatest(abs(m), abs(bm)))
-        UNION ALL SELECT *, CASE WHEN days > 0 THEN 'target_cod_delayed' ELSE 'target_cod_accelerated' END, CASE WHEN days > 0 THEN 'medium' ELSE 'info' END FROM j WHERE abs(days) > 90),
+        UNION ALL SELECT *, CASE WHEN days > 0 THEN 'target_cod_delayed' ELSE 'target_cod_accelerated' END, CASE WHEN days > 0 THEN 'medium' ELSE 'info' END FROM j WHERE abs(days) > 90
+        UNION ALL SELECT *, 'fuel_type_changed', 'medium' FROM j WHERE bq IS NOT NULL AND aq IS NOT NULL AND f IS DISTINCT FROM bf
+        UNION ALL SELECT *, 'name_changed', 'info' FROM j WHERE bq IS NOT NULL AND aq IS NOT NULL AND nn IS DISTINCT FROM bnn
+        UNION ALL SELECT *, 'poi_changed', 'medium' FROM j WHERE bq IS NOT NULL AND aq IS NOT NULL AND p IS DISTINCT FROM bp),
     ev AS (
         SELECT *, CASE WHEN event_type = 'capacity_changed' THEN m END AS capacity_after, CASE WHEN event_type LIKE 'target%' THEN days END AS delta_days FROM ch
         UNION ALL SELECT *, 'new_project', 'info', NULL, NULL FROM j WHERE bq IS NULL
@@ -38,7 +46,7 @@ _EVENTS = f"""{_DIFF},
                      + CASE WHEN ev.event_type = 'target_cod_delayed' THEN CASE WHEN days > 365 THEN 15 WHEN days > 180 THEN 10 WHEN days > 90 THEN 5 ELSE 0 END ELSE 0 END
                      + CASE WHEN lower(county) IN ('nation d', 'nation bc') THEN 10 ELSE 0 END, 4) AS materiality_score
         FROM ev JOIN wt USING (event_type) WHERE ev.event_type <> 'unchanged'),
-    he AS (SELECT *, event_type NOT IN {NEVER_HARD} AND materiality_score >= {HARD_FROM} AS is_hard_alert, false AS is_ambiguous, 1.0 AS confidence FROM ce)"""
+    he AS (SELECT *, event_type NOT IN ('ambiguous_match', 'name_changed', 'source_unchanged') AND materiality_score >= 20.0 AS is_hard_alert, false AS is_ambiguous, 1.0 AS confidence FROM ce)"""
 
 _NATIONAL = """
     places AS (SELECT c_custkey, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
@@ -74,12 +82,12 @@ def _eligible(scenarios: str, keys: str) -> str:
     cr AS (SELECT *, (CASE WHEN curt AND disp IS NULL THEN 1 ELSE 0 END + CASE WHEN met AND meter IS NULL THEN 1 ELSE 0 END) AS missing,
                   (CASE WHEN place IS NOT NULL AND place <> jurisdiction THEN 1 ELSE 0 END + CASE WHEN peak_mw < min_mw THEN 1 ELSE 0 END + CASE WHEN depth < min_depth THEN 1 ELSE 0 END
                    + CASE WHEN curt AND NOT disp THEN 1 ELSE 0 END + CASE WHEN met AND NOT meter THEN 1 ELSE 0 END + CASE WHEN col AND NOT coloc THEN 1 ELSE 0 END) AS mismatched FROM ap),
-    el AS (SELECT *, CASE WHEN missing > 0 THEN 'ambiguous' WHEN mismatched > 0 THEN 'not_eligible' WHEN rule_status IN {flexibility.CONTINGENT} THEN 'contingent' WHEN rule_status IN {flexibility.UNSUPPORTED} THEN 'unsupported'
-                          WHEN rule_status IN {flexibility.FINAL} THEN 'eligible' ELSE 'unsupported' END AS eligibility_status FROM cr),
-    best AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY list_position({list(flexibility.PREFERENCE)!r}, eligibility_status), pos) = 1),
+    el AS (SELECT *, CASE WHEN missing > 0 THEN 'ambiguous' WHEN mismatched > 0 THEN 'not_eligible' WHEN rule_status IN {CONTINGENT} THEN 'contingent' WHEN rule_status IN {UNSUPPORTED} THEN 'unsupported'
+                          WHEN rule_status IN {FINAL} THEN 'eligible' ELSE 'unsupported' END AS eligibility_status FROM cr),
+    best AS (SELECT * FROM el QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY list_position({list(PREFERENCE)!r}, eligibility_status), pos) = 1),
     bn AS (SELECT *, coalesce(nullif(p75, 0), nullif(med, 0)) AS base, (SELECT max(pdays) FROM pts WHERE pts.rule_id = best.rule_id AND pd <= best.depth) AS delta FROM best),
     bf AS (SELECT *, CASE WHEN conf = 'Insufficient' OR base IS NULL THEN 'insufficient_baseline' WHEN eligibility_status = 'ambiguous' THEN 'contingent' WHEN eligibility_status IN ('not_eligible', 'unsupported') THEN 'unsupported'
-                          WHEN rule_status NOT IN {flexibility.FINAL} THEN 'contingent' WHEN delta IS NULL THEN 'qualitative_only' ELSE 'quantified' END AS benefit_status FROM bn),
+                          WHEN rule_status NOT IN {FINAL} THEN 'contingent' WHEN delta IS NULL THEN 'qualitative_only' ELSE 'quantified' END AS benefit_status FROM bn),
     be AS (SELECT *, CASE WHEN benefit_status = 'quantified' THEN round(least(delta, base), 2) END AS days FROM bf)"""
 
 
@@ -92,7 +100,7 @@ _LEAD = """
     ld AS (SELECT *, (2026 - year(as_of)) * 12 + 6 - month(as_of) >= 18 AS is_stale FROM lead0)"""
 
 _SCOPE = f""",
-    classes AS (SELECT * FROM {_values([(k, i, c, c == procurement.ONLY_LARGE) for k, items in procurement.SCOPES.items() for i, c in enumerate(items)], 'kind_name, i, equipment_class, big')}),
+    classes AS (SELECT * FROM {_values([(k, i, c, c == 'HV Switchgear / GIS') for k, items in EQUIPMENT.items() for i, c in enumerate(items)], 'kind_name, i, equipment_class, big')}),
     scoped AS (SELECT scenario_id, i, equipment_class FROM scn JOIN classes ON kind_name = ['large_load', 'battery', 'solar_storage', '-'][(kind + 1)::INT] WHERE kv > 0 AND (NOT big OR kv >= 230 OR peak_mw >= 100)),
     placed AS (SELECT scenario_id, row_number() OVER (PARTITION BY scenario_id ORDER BY i) - 1 AS position, equipment_class FROM scoped),
     scope AS (SELECT scn.scenario_id, position, equipment_class FROM scn LEFT JOIN placed USING (scenario_id))"""
@@ -143,10 +151,10 @@ def all_sql(adapter: str) -> dict[str, str]:
     au AS (SELECT entity_id, bq, aq, n, bs, s, 'auto_verified_exact_id' AS system_label FROM j WHERE bq IS NOT NULL AND aq IS NOT NULL
            UNION ALL SELECT entity_id, CASE WHEN event_type <> 'new_project' THEN bq END, aq, n, CASE WHEN event_type <> 'new_project' THEN bs END, s,
                   CASE event_type WHEN 'new_project' THEN 'system_suggested_true_new' WHEN 'removed_project' THEN 'system_suggested_true_removed_not_withdrawn' WHEN 'withdrawn_project' THEN 'system_suggested_true_withdrawn'
-                       WHEN 'completed_project' THEN 'system_suggested_true_completed' ELSE 'system_suggested_' || event_type END FROM ev WHERE event_type <> 'unchanged')"""
+                       WHEN 'completed_project' THEN 'system_suggested_true_completed' WHEN 'fuel_type_changed' THEN 'possible_reclassification' WHEN 'name_changed' THEN 'possible_id_name_drift' ELSE 'system_suggested_' || event_type END FROM ev WHERE event_type NOT IN ('unchanged', 'poi_changed'))"""
     fuels = "CASE WHEN contains(f, 'hybrid') OR contains(f, 'pv+bess') THEN 'Hybrid' WHEN contains(f, 'battery') OR contains(f, 'bess') OR contains(f, 'storage') OR contains(f, 'ess') THEN 'Battery' WHEN contains(f, 'solar') OR contains(f, 'pv') THEN 'Solar' WHEN contains(f, 'wind') THEN 'Wind' WHEN contains(f, 'gas') OR contains(f, 'ct') THEN 'Gas' ELSE 'Other' END"
     scn = lambda select, more="": f"WITH {_SCENARIOS}{more} {select}"
-    levels = f", lv AS (SELECT scn.* REPLACE (l::DOUBLE AS depth) FROM scn, (SELECT unnest({list(flexibility.LEVELS)!r}) AS l))"
+    levels = f", lv AS (SELECT scn.* REPLACE (l::DOUBLE AS depth) FROM scn, (SELECT unnest({list(DEPTHS)!r}) AS l))"
     net = f"CASE WHEN benefit_status = 'quantified' AND val IS NOT NULL THEN round(round(days * val - round({_USD}, 2), 2), 0) END"
     swept = f"{levels}{_eligible('lv', 'scenario_id, depth')}"
     path = f", {_LEAD.lstrip()}{_SCOPE}{_PATH}"
@@ -157,7 +165,7 @@ def all_sql(adapter: str) -> dict[str, str]:
     parts = [("interconnection_baseline", "bl", "bh", "metric_rollup"), ("flexibility_adjustment", "CASE WHEN fl IS NOT NULL THEN -days END", "CASE WHEN fl IS NOT NULL THEN -days END", "flexibility_rule"), ("interconnection_with_flex", "fl", "fh", "flexibility_rule"), ("procurement_critical_path", "pl", "ph", "equipment_lead_times"), ("commissioning", "30.0", "60.0", "commissioning_assumption"), ("energization_buffer", "7.0", "14.0", "commissioning_assumption"), ("total_serial", total["no_flex_serial_low_days"], total["no_flex_serial_high_days"], "calculation"), ("total_overlap", total["no_flex_overlap_low_days"], total["no_flex_overlap_high_days"], "calculation")]
     return {
         "normalize_records": rec("SELECT snapshot_id, queue_id, project_name, normalized_project_name, county, state, point_of_interconnection, fuel_type, normalized_fuel_type, capacity_mw, normalized_status, request_date, target_cod, actual_cod, withdrawn_date FROM rec"),
-        "quality_flag_counts": rec("SELECT snapshot_id, flag, count(*) AS records FROM (SELECT snapshot_id, unnest(list_filter([CASE WHEN fuel_type IS NULL THEN 'unclear_fuel_type:missing' END, CASE WHEN capacity_mw <= 0 THEN 'missing_or_nonpositive_capacity_mw' END], lambda x: x IS NOT NULL)) AS flag FROM rec) GROUP BY ALL"),
+        "quality_flag_counts": rec("SELECT snapshot_id, flag, count(*) AS records FROM (SELECT snapshot_id, unnest(list_filter([CASE WHEN fuel_type IS NULL THEN 'unclear_fuel_type:missing' END, CASE WHEN capacity_mw <= 0 THEN 'missing_or_nonpositive_capacity_mw' END, CASE WHEN project_name IS NULL THEN 'missing_project_name' END, CASE WHEN normalized_status = 'Unknown' THEN 'unclear_status:' || raw_status END], lambda x: x IS NOT NULL)) AS flag FROM rec) GROUP BY ALL"),
         "status_counts": rec("SELECT snapshot_id, normalized_status, normalized_fuel_type, count(*) AS records, round(sum(capacity_mw), 2) AS mw FROM rec GROUP BY ALL"),
         "source_snapshot_counts": "SELECT c_custkey AS source_id, c_name AS source_name, count(o_orderkey) AS snapshots FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
         "keyword_guard": f"SELECT doc_id, array_to_string(list_filter({list(STATUS_WORDS)!r}, lambda w: contains(lower(coalesce(text, '')), w)), ',') AS keywords, len(list_filter(['data center', 'large load', 'load', 'ai campus'], lambda w: contains(lower(coalesce(text, '')), w))) > 0 AS large_load FROM documents",
@@ -172,12 +180,12 @@ def all_sql(adapter: str) -> dict[str, str]:
         "snapshot_diff": rec(f"SELECT 'SYN' AS market, '{B}' AS from_snapshot_id, '{A}' AS to_snapshot_id, entity_id, event_type, severity, 1.0::DOUBLE AS confidence, delta_days::INT AS delta_days, capacity_after FROM ev", _DIFF),
         "diff_counts": rec("SELECT event_type, count(*) AS events FROM ev GROUP BY 1", _DIFF),
         "change_events": rec("SELECT event_type, entity_id, entity_or_provision, materiality_score, is_hard_alert, is_ambiguous, confidence::DOUBLE AS confidence FROM he", _EVENTS),
-        "hard_alerts": rec("SELECT event_type, entity_id, materiality_score FROM he WHERE is_hard_alert", _EVENTS),
+        "hard_alerts": rec("SELECT event_type, entity_id, max(materiality_score) AS materiality_score FROM (SELECT * FROM he UNION ALL SELECT * REPLACE (materiality_score + CASE WHEN event_type = 'new_project' THEN 1 ELSE -1 END AS materiality_score) FROM he WHERE event_type IN ('new_project', 'capacity_changed')) WHERE is_hard_alert GROUP BY ALL", _EVENTS),
         "top_alerts": rec("SELECT event_type, entity_or_provision, entity_id, materiality_score FROM he WHERE is_hard_alert ORDER BY materiality_score DESC, event_type, entity_or_provision, entity_id LIMIT 25", _EVENTS),
         "digest_sections": rec("SELECT 'queue' AS event_domain, event_type, count(*) AS events, count(*) FILTER (is_hard_alert) AS hard_alerts FROM he GROUP BY ALL", _EVENTS),
         "entity_dimension": rec("SELECT queue_id AS entity_id, min(snapshot_date) AS first_seen, max(snapshot_date) AS last_seen, count(*) AS records, arg_max(project_name, snapshot_date) AS project_name, arg_max(county, snapshot_date) AS county, arg_max(normalized_fuel_type, snapshot_date) AS normalized_fuel_type, arg_max(capacity_mw, snapshot_date) AS capacity_mw, arg_max(normalized_status, snapshot_date) AS normalized_status FROM rec GROUP BY 1"),
         "entity_audit": rec("SELECT entity_id, coalesce(bq, '') AS queue_id_before, coalesce(aq, '') AS queue_id_after, coalesce(n, '') AS project_name_after, coalesce(bs, '') AS status_before, coalesce(s, '') AS status_after, system_label, 1.0::DOUBLE AS match_score, 'x' AS source_file_hash_before FROM au", _DIFF + labels),
-        "entity_audit_counts": rec("SELECT count(*) FILTER (system_label = 'auto_verified_exact_id') AS exact_matches, 0::BIGINT AS fuzzy_matches, 0::BIGINT AS ambiguous_matches, count(*) FILTER (system_label = 'system_suggested_true_new') AS true_additions, count(*) FILTER (system_label = 'system_suggested_true_removed_not_withdrawn') AS true_removals_or_missing, count(*) FILTER (system_label = 'system_suggested_true_withdrawn') AS true_withdrawals, count(*) FILTER (system_label = 'system_suggested_true_completed') AS true_completed, 0::BIGINT AS reclassifications FROM au", _DIFF + labels),
+        "entity_audit_counts": rec("SELECT count(*) FILTER (system_label = 'auto_verified_exact_id') AS exact_matches, 0::BIGINT AS fuzzy_matches, 0::BIGINT AS ambiguous_matches, count(*) FILTER (system_label = 'system_suggested_true_new') AS true_additions, count(*) FILTER (system_label = 'system_suggested_true_removed_not_withdrawn') AS true_removals_or_missing, count(*) FILTER (system_label = 'system_suggested_true_withdrawn') AS true_withdrawals, count(*) FILTER (system_label = 'system_suggested_true_completed') AS true_completed, count(*) FILTER (system_label = 'possible_reclassification') AS reclassifications FROM au", _DIFF + labels),
         "id_overlap": rec(f"SELECT queue_id FROM rec WHERE snapshot_id = '{B}' INTERSECT SELECT queue_id FROM rec WHERE snapshot_id = '{A}'"),
         "comparables": rec(f"SELECT queue_id, project_name, capacity_mw, abs(capacity_mw - 150.0) AS capacity_distance_mw, year(target_cod) = 2000 AS target_cod_year_match, normalized_status FROM rec WHERE snapshot_id = '{A}' AND normalized_fuel_type = 'Solar' ORDER BY capacity_distance_mw, target_cod_year_match DESC, normalized_status, capacity_mw DESC, project_name, queue_id LIMIT 10"),
         "source_change_events": f"""WITH {_CAPTURES} SELECT watch_source_id, captured_at, CASE WHEN user_id % 4 = 0 THEN 'flexibility_rule' ELSE 'regulatory' END AS event_domain,

@@ -1,7 +1,8 @@
 """The driver's order tables as two monthly snapshots of raw queue records, by arithmetic on the order key.
 
-The later snapshot drops some records, renumbers some, and changes sizes, statuses and dates of others, so that every
-rule of the diff occurs. A DuckDB view with the same rows is in ``ADAPTER_SQL``.
+The later snapshot drops some records, renumbers some, and changes names, places of connection, technologies, sizes,
+statuses and dates of others, so that every rule of the diff but the ambiguous match occurs; some dates, names and
+statuses are written as messy files have them. A DuckDB view with the same rows is in ``ADAPTER_SQL``.
 """
 
 from __future__ import annotations
@@ -39,18 +40,23 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both snapshots' raw rows under the raw headers, as text, with snapshot_id, snapshot_date and raw_id."""
     k = F.col("k")
-    status = F.when(F.col("letter") == "F", "Completed").when(F.col("letter") == "P", "On Hold").otherwise("Active")
+    status = F.when(k % 59 == 0, "mystery").when(F.col("letter") == "F", "Completed").when(F.col("letter") == "P", "On Hold").otherwise("Active")
     target = F.date_add("ordered", 1000)
     text = lambda c: c.cast("string")
 
-    def row(snapshot: tuple[str, str], queue: Column, mw: Column, state: Column, cod: Column) -> Column:
-        values = (queue, F.col("project"), F.col("entity"), F.col("county"), F.col("state"), F.col("poi"), F.col("technology"), text(mw), state, text(F.col("ordered")), text(cod), F.when(state == "Completed", text(F.col("shipped"))), F.when(state == "Withdrawn", text(F.date_add("ordered", 500))))
+    asked = F.when(k % 3 == 0, F.date_format("ordered", "M/d/yyyy")).when(k % 3 == 1, F.date_format("ordered", "MMM d, yyyy")).otherwise(text(F.col("ordered")))
+    named = F.when(k % 61 == 0, " NaN ").otherwise(F.col("project"))
+
+    def row(snapshot: tuple[str, str], queue: Column, mw: Column, state: Column, cod: Column, name: Column = named, poi: Column = F.col("poi"), technology: Column = F.col("technology")) -> Column:
+        values = (queue, name, F.col("entity"), F.col("county"), F.col("state"), poi, technology, text(mw), state, asked, text(cod), F.when(state == "Completed", text(F.col("shipped"))), F.when(state == "Withdrawn", text(F.date_add("ordered", 500))))
         return F.struct(*(v.alias(n) for n, v in zip(RAW, values, strict=True)), F.lit(snapshot[0]).alias("snapshot_id"), F.lit(snapshot[1]).cast("date").alias("snapshot_date"), F.concat_ws("-", F.lit(snapshot[0]), text(k)).alias("raw_id"))
 
-    later_status = F.when((k % 11 == 0) & (F.col("letter") != "F"), "Withdrawn").otherwise(status)
+    later_status = F.when((k % 11 == 0) & (F.col("letter") != "F"), "Withdrawn").when(k % 23 == 0, "Completed").when(k % 29 == 0, "On Hold").otherwise(status)
+    later_name = F.when(k % 43 == 0, F.regexp_replace(named, " LLC$", " Two LLC")).otherwise(named)
+    later = (later_name, F.when(k % 47 == 0, F.concat("poi", F.lit(" North"))).otherwise(F.col("poi")), F.when(k % 41 == 0, "Offshore Wind").otherwise(F.col("technology")))
     later_cod = F.when(k % 17 == 0, F.date_add(target, 200)).when(k % 19 == 0, F.date_sub(target, 120)).otherwise(target)
     before = row(BEFORE, F.col("queue_no"), F.col("mw"), status, target)
-    after = row(AFTER, F.when(k % 31 == 0, F.concat(F.lit("R-"), text(k))).otherwise(F.col("queue_no")), F.when(k % 13 == 0, F.col("mw") * 1.25).otherwise(F.col("mw")), later_status, later_cod)
+    after = row(AFTER, F.when(k % 31 == 0, F.concat(F.lit("R-"), text(k))).otherwise(F.col("queue_no")), F.when(k % 13 == 0, F.col("mw") * 1.25).otherwise(F.col("mw")), later_status, later_cod, *later)
     # both months come of one pass over the joins
     months = F.filter(F.array(F.when(k % 37 != 0, before), F.when(k % 10 != 0, after)), lambda r: r.isNotNull())
     return base(spark, sf_dir).select(F.explode(months).alias("r")).select("r.*")
@@ -79,19 +85,21 @@ ADAPTER_SQL = r"""
         FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
         JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part) LEFT JOIN shipped ON shipped.k = o_orderkey),
     raw AS (
-        SELECT *, 'snap_syn_2026_01_31' AS snapshot_id, DATE '2026-01-31' AS snapshot_date, 'Q-' || k AS queue_id, mw AS capacity_mw,
-               CASE letter WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'On Hold' ELSE 'Active' END AS status, ordered + 1000 AS target_cod
+        SELECT * REPLACE (CASE WHEN k % 61 <> 0 THEN project END AS project), 'snap_syn_2026_01_31' AS snapshot_id, DATE '2026-01-31' AS snapshot_date, 'Q-' || k AS queue_id, mw AS capacity_mw,
+               CASE WHEN k % 59 = 0 THEN 'mystery' WHEN letter = 'F' THEN 'Completed' WHEN letter = 'P' THEN 'On Hold' ELSE 'Active' END AS status, ordered + 1000 AS target_cod
         FROM base WHERE k % 37 <> 0
         UNION ALL
-        SELECT *, 'snap_syn_2026_02_28', DATE '2026-02-28', CASE WHEN k % 31 = 0 THEN 'R-' ELSE 'Q-' END || k, CASE WHEN k % 13 = 0 THEN mw * 1.25 ELSE mw END,
-               CASE WHEN k % 11 = 0 AND letter <> 'F' THEN 'Withdrawn' WHEN letter = 'F' THEN 'Completed' WHEN letter = 'P' THEN 'On Hold' ELSE 'Active' END,
+        SELECT * REPLACE (CASE WHEN k % 61 = 0 THEN NULL WHEN k % 43 = 0 THEN left(project, length(project) - 3) || 'Two LLC' ELSE project END AS project, CASE WHEN k % 47 = 0 THEN poi || ' North' ELSE poi END AS poi,
+                          CASE WHEN k % 41 = 0 THEN 'Offshore Wind' ELSE technology END AS technology),
+               'snap_syn_2026_02_28', DATE '2026-02-28', CASE WHEN k % 31 = 0 THEN 'R-' ELSE 'Q-' END || k, CASE WHEN k % 13 = 0 THEN mw * 1.25 ELSE mw END,
+               CASE WHEN k % 11 = 0 AND letter <> 'F' THEN 'Withdrawn' WHEN k % 23 = 0 THEN 'Completed' WHEN k % 29 = 0 THEN 'On Hold' WHEN k % 59 = 0 THEN 'mystery' WHEN letter = 'F' THEN 'Completed' WHEN letter = 'P' THEN 'On Hold' ELSE 'Active' END,
                ordered + 1000 + CASE WHEN k % 17 = 0 THEN 200 WHEN k % 19 = 0 THEN -120 ELSE 0 END
         FROM base WHERE k % 10 <> 0),
     rec AS (
         SELECT snapshot_id, snapshot_date, k, queue_id, project AS project_name, lower(regexp_replace(project, ' LLC$', '')) AS normalized_project_name, entity AS interconnecting_entity,
                array_to_string(list_transform(string_split(place, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS county, upper(substr(state, 1, 2)) AS state, poi AS point_of_interconnection, technology AS fuel_type,
-               CASE WHEN technology IS NULL THEN 'Unknown' WHEN technology = 'Solar + Storage' THEN 'Hybrid' WHEN technology = 'BESS' THEN 'Battery' WHEN technology = 'Solar PV' THEN 'Solar' WHEN technology = 'Wind' THEN 'Wind' ELSE 'Gas' END AS normalized_fuel_type,
-               capacity_mw, CASE status WHEN 'On Hold' THEN 'Suspended' ELSE status END AS normalized_status, ordered AS request_date, target_cod,
+               CASE WHEN technology IS NULL THEN 'Unknown' WHEN technology = 'Solar + Storage' THEN 'Hybrid' WHEN technology = 'BESS' THEN 'Battery' WHEN technology = 'Solar PV' THEN 'Solar' WHEN technology LIKE '%Wind' THEN 'Wind' ELSE 'Gas' END AS normalized_fuel_type,
+               capacity_mw, CASE status WHEN 'On Hold' THEN 'Suspended' WHEN 'mystery' THEN 'Unknown' ELSE status END AS normalized_status, status AS raw_status, ordered AS request_date, target_cod,
                CASE WHEN status = 'Completed' THEN shipped END AS actual_cod, CASE WHEN status = 'Withdrawn' THEN ordered + 500 END AS withdrawn_date
         FROM raw)
 """
