@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgauge.llm import language_id, quality_classifier, textvec, toxicity
+from sparkgauge.llm import common, language_id, quality_classifier, textvec, toxicity
 from tests.llm.helpers import SCHEMA, awkward, frame
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -91,6 +91,23 @@ def test_languages_and_switching(spark):
     assert (p[:30] == 0).mean() > 0.9 and (p[30:] == 2).mean() > 0.9
 
 
+def test_text_ids_repeated_rows_and_a_rare_language(spark):
+    rows = [(f"id-{i}", speech(x := "aa" if i % 60 else "cc", 40, i), x) for i in range(600)]
+    docs = spark.createDataFrame([*rows, *rows[:1] * 50, *rows[60:61] * 50], "doc_id string, text string, lang string")
+    model = language_id.train(docs, rows=40)
+    assert model.labels == ["aa", "cc"] and language_id.train(docs.dropDuplicates(), rows=40).weights.tolist() == model.weights.tolist()
+    got = language_id.identify(docs, model).dropDuplicates().collect()
+    assert len(got) == 600 and sum(r["lang_pred"] == dict((i, x) for i, _, x in rows)[r["doc_id"]] for r in got) > 580
+    with pytest.raises(ValueError):
+        language_id.train(docs, rows=1)
+
+
+def test_one_text_of_each_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, "b", "", "", 1), (1, "a", "", "", 1), (2, None, "", "", 1)] * 9, SCHEMA)
+    sample = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, label int")
+    assert sorted(map(tuple, common.sample_texts(docs, sample).collect())) == [(1, 1, "a"), (2, 0, "")]
+
+
 def test_languages_of_awkward_rows(spark):
     rows = [(i, speech(x := "aa bb".split()[i % 2], 30, i), x, "s", 1) for i in range(60)]
     model = language_id.train(spark.createDataFrame(rows, SCHEMA))
@@ -132,6 +149,19 @@ def test_quality_on_held_out_rows(spark):
     assert all(abs(again[r["doc_id"]] - r["score"]) < 0.05 for r in got)
 
 
+def test_probabilities_are_calibrated(spark):
+    """Where labels are half chance, scores say so: among rows of about a score, so many are good."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["ba", "bo", "da", "do"] if i % 2 else ["ka", "ko", "ga", "go"]) for _ in range(40)), "en", "s", 1) for i in range(1500)]
+    labels = [(i, int(r.random() < (0.9 if i % 2 else 0.3)), 0) for i in range(1500)]
+    got = {x["doc_id"]: x["score"] for x in quality_classifier.classify(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)).collect()}
+    held = [i for i in range(1500) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for odd, share in ((1, 0.9), (0, 0.3)):
+        assert abs(np.mean([got[i] for i in held if i % 2 == odd]) - share) < 0.1
+    loss = -np.mean([np.log(got[i] if labels[i][1] else 1 - got[i]) for i in held])
+    assert loss < 0.62, loss  # 0.47 at best, 0.69 for guessing
+
+
 def test_labels_of_held_out_rows_arent_read(spark):
     rows, labels = essays(200)
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]

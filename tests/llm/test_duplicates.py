@@ -174,3 +174,13 @@ def test_one_of_each_group_stays(spark):
     got = ngram_join.near_dedup(frame(spark, rows))
     groups = {c for _, c, _ in brute(rows)}
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(groups) and got.columns == frame(spark, []).columns
+
+
+def test_of_repeated_rows_one_stays_whatever_their_order(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "b", "s", 1), (1, text, "a", "s", 1), (1, text, "a", "s", 1), (2, text, "c", "s", 1), (None, "null key", None, None, 1), (None, "", None, None, 1), (None, "", None, None, 1)]
+    for operator in (ngram_join.near_dedup, exact_dedup.drop_copies):
+        one, two = (sorted(map(str, operator(spark.createDataFrame(x, SCHEMA).repartition(3)).collect())) for x in (rows, rows[::-1]))
+        assert one == two and len(one) == 3, operator
+    texts = spark.createDataFrame([("", "same"), (None, "same"), ("", "other")], "doc_id string, text string")
+    assert exact_dedup.drop_copies(texts).count() == 2 and ngram_join.near_dedup(texts).count() == 2
