@@ -206,9 +206,11 @@ def supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy links of all suppliers across two snapshots. The matcher has no SQL twin: tests hold it against all pairs."""
+    """Links of all suppliers across two snapshots, by the resolver. Scores and candidates are shown where they decide:
+    names of different suppliers aren't alike, so SQL can say what each record's best candidate scores."""
     found = resolve.resolve_market(supplier_records(spark, sf_dir))
-    return found.select("record_id", "snapshot_id", "match_score", "match_method", "is_ambiguous", "candidate_record_id")
+    decided = F.col("match_score") >= resolve.POSSIBLE
+    return found.select("record_id", "snapshot_id", F.when(decided, F.col("match_score")).alias("match_score"), "match_method", "is_ambiguous", F.when(decided, F.col("candidate_record_id")).alias("candidate_record_id"))
 
 
 # --- watched sources -----------------------------------------------------------------------------------------------

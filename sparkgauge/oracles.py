@@ -188,6 +188,12 @@ def all_sql(adapter: str) -> dict[str, str]:
         "entity_audit_counts": rec("SELECT count(*) FILTER (system_label = 'auto_verified_exact_id') AS exact_matches, 0::BIGINT AS fuzzy_matches, 0::BIGINT AS ambiguous_matches, count(*) FILTER (system_label = 'system_suggested_true_new') AS true_additions, count(*) FILTER (system_label = 'system_suggested_true_removed_not_withdrawn') AS true_removals_or_missing, count(*) FILTER (system_label = 'system_suggested_true_withdrawn') AS true_withdrawals, count(*) FILTER (system_label = 'system_suggested_true_completed') AS true_completed, count(*) FILTER (system_label = 'possible_reclassification') AS reclassifications FROM au", _DIFF + labels),
         "id_overlap": rec(f"SELECT queue_id FROM rec WHERE snapshot_id = '{B}' INTERSECT SELECT queue_id FROM rec WHERE snapshot_id = '{A}'"),
         "comparables": rec(f"SELECT queue_id, project_name, capacity_mw, abs(capacity_mw - 150.0) AS capacity_distance_mw, year(target_cod) = 2000 AS target_cod_year_match, normalized_status FROM rec WHERE snapshot_id = '{A}' AND normalized_fuel_type = 'Solar' ORDER BY capacity_distance_mw, target_cod_year_match DESC, normalized_status, capacity_mw DESC, project_name, queue_id LIMIT 10"),
+        "resolve_links": """WITH s AS (SELECT s_suppkey AS k, abs(floor(s_acctbal / 50))::DOUBLE AS mw FROM supplier),
+            m AS (SELECT k, 0.22 + 0.10 + 0.09 + 0.04 + 0.10 + 0.04 + CASE WHEN k % 3 <> 0 THEN 0.38 ELSE 0 END
+                            + CASE WHEN k % 7 <> 0 OR mw <= greatest(5.0, 0.04 * mw) THEN 0.10 WHEN mw <= greatest(10.0, 0.2 * mw) THEN 0.04 ELSE 0 END AS score FROM s)
+            SELECT 'sup_1-' || k AS record_id, 'sup_1' AS snapshot_id, 1.0::DOUBLE AS match_score, 'first_snapshot_seed' AS match_method, false AS is_ambiguous, NULL AS candidate_record_id FROM s WHERE k % 29 <> 0
+            UNION ALL SELECT 'sup_2-' || k, 'sup_2', CASE WHEN k % 29 <> 0 THEN least(round(score::DOUBLE, 4), 1.0) END, CASE WHEN k % 29 = 0 THEN 'new_entity' WHEN score >= 0.76 THEN 'high_confidence_match' ELSE 'possible_match' END,
+                             false, CASE WHEN k % 29 <> 0 THEN 'sup_1-' || k END FROM m WHERE k % 23 <> 0""",
         "source_change_events": f"""WITH {_CAPTURES} SELECT watch_source_id, captured_at, CASE WHEN user_id % 4 = 0 THEN 'flexibility_rule' ELSE 'regulatory' END AS event_domain,
             CASE parse_status WHEN 'failed' THEN 'source_parse_failed' WHEN 'unchanged' THEN 'source_unchanged' ELSE CASE WHEN review THEN 'rule_needs_review' ELSE 'rule_source_changed' END END AS event_type, parse_status, content_hash, previous_content_hash,
             array_to_string(kw, ',') AS keywords, CASE parse_status WHEN 'failed' THEN 0.4 ELSE 0.9 END::DOUBLE AS confidence, parse_status = 'failed' AS is_ambiguous, parse_status = 'changed' AS is_hard_alert FROM st""",
