@@ -35,16 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 HOT, SALTS = 1_000, 64
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, least: int = 256, how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, least: int = 256, how: str = "inner", also: tuple[str, ...] = (), merge: bool = False) -> DataFrame:
     """``left`` joined with ``right`` (one row for each ``key`` and ``also``), rows of the commonest keys dealt to SALTS parts by a hash of ``by``.
 
     ``counts`` (``key``, _rows) tells how many rows of ``left`` a key has; keys of fewer than ``least`` rows aren't salted.
+    ``merge``: both sides are shuffled whatever their sizes, so that costs grow evenly with the input.
     """
     hot = counts.where(F.col("_rows") >= least).orderBy(F.desc("_rows"), key).limit(HOT).select(key, F.lit(True).alias("_hot"))
     dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by, F.lit(41)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return dealt.join(spread, [key, *also, "_salt"], how).drop("_salt")
+    return dealt.join(spread.hint("merge") if merge else spread, [key, *also, "_salt"], how).drop("_salt")
 
 
 def one_of_each(rows: DataFrame, keys: list[str], whole: str) -> DataFrame:

@@ -117,7 +117,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         heads = common.materialize(heads.select(F.struct(*group).alias("_g"), F.col("_head.r").alias("_first"), F.col("_n").alias("_rows")), "heads")
         # texts cross one shuffle; only those of groups are written
         marked = table.select(F.struct(*group).alias("_g"), "_row", "_norm")
-        together = common.materialize(common.salted_join(marked, heads.select("_g", "_first"), "_g", heads.select("_g", "_rows"), "_row").select("_row", "_first", "_norm"), "groups")
+        together = common.materialize(common.salted_join(marked, heads.select("_g", "_first"), "_g", heads.select("_g", "_rows"), "_row", merge=True).select("_row", "_first", "_norm"), "groups")
         members = _chunks(together.where("_row <> _first"), "_row", "_first")
         firsts = _chunks(together.where("_row = _first"), "_first").withColumnRenamed("_chunk", "_other")
         pairs = common.salted_join(members, firsts, "_first", heads.select("_first", "_rows"), "_row", also=("_at",))
