@@ -23,16 +23,30 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Store:
-    """Named tables under one root, one folder each. Keys that are null match each other."""
+    """Named tables under one root, one folder each. Keys that are null match each other.
+
+    A table's folder has a folder a version (v1, v2, ...); the latest that Spark finished (its ``_SUCCESS`` is there) is the
+    table. A rewrite reads one version and writes the next, so a failure leaves the table as it was. The version before
+    stays for readers that began with it. One writer a table at a time.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def _version(self, table: str) -> int:
+        """The number of the latest finished version, 0 without one."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = sorted((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+        return next((n for n in numbers if exists(self.spark, f"{self.path(table, n)}/_SUCCESS")), 0)
+
+    def path(self, table: str, version: int | None = None) -> str:
+        """The folder of a version; of the latest, or of the first to be, where none is given."""
+        return f"{self.root}/{table}/v{version or self._version(table) or 1}"
 
     def has(self, table: str) -> bool:
-        return exists(self.spark, self.path(table))
+        return self._version(table) > 0
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(table))
@@ -41,8 +55,11 @@ class Store:
         rows.write.mode("append").parquet(self.path(table))
 
     def overwrite(self, table: str, rows: DataFrame) -> None:
-        """Replace the table. The rows are written aside first, as they may be read from it."""
-        scratch.materialize(rows, table).write.mode("overwrite").parquet(self.path(table))
+        """Replace the table by rows that may be read from it. What a failed attempt left is overwritten."""
+        now = self._version(table)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(self.path(table, now + 1))
+        if now > 1:
+            _delete(self.spark, self.path(table, now - 1))
 
     def _outside(self, table: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         old, new = self.read(table).alias("o"), rows.select(*keys).distinct().alias("n")
@@ -63,8 +80,9 @@ class Store:
         self.append(table, rows)
 
     def replace_slice(self, table: str, rows: DataFrame, partitions: Sequence[str]) -> None:
-        """Replace the partitions that occur in ``rows``; the others aren't read or written."""
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(self.path(table)))
+        """Replace the partitions that occur in ``rows``; the others aren't read or written. Spark moves a slice in at the
+        job's end, inside the standing version: that is not one step, and a failure then is mended by writing it again."""
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(self.path(table))
 
     def delete(self, table: str, keys: DataFrame) -> None:
         """Drop the rows whose key columns occur in ``keys``."""
@@ -80,7 +98,7 @@ class Store:
         self.overwrite(table, joined.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in order)))
 
     def drop(self, table: str) -> None:
-        _delete(self.spark, self.path(table))
+        _delete(self.spark, f"{self.root}/{table}")
 
     def reset(self) -> None:
         _delete(self.spark, self.root)

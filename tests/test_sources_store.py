@@ -104,6 +104,23 @@ def test_store(spark, tmp_path):
     assert not s.has("u")
 
 
+def test_a_failed_rewrite_leaves_the_table(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    s.overwrite("t", spark.range(3))
+    before = s.read("t")
+    with pytest.raises(Exception, match="no such"):
+        s.overwrite("t", s.read("t").select(F.raise_error(F.lit("no such")).cast("long").alias("id")))
+    assert s.read("t").count() == 3
+    # what a lost job left is no version, and is written over
+    (tmp_path / "t" / "v2").mkdir(exist_ok=True)
+    (tmp_path / "t" / "v2" / "part-0.parquet").write_bytes(b"half")
+    assert s.read("t").count() == 3
+    s.overwrite("t", s.read("t").where("id > 0"))
+    assert s.read("t").count() == 2 and before.count() == 3
+    s.overwrite("t", s.read("t").where("id > 1"))
+    assert s.read("t").count() == 1 and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v3"]
+
+
 def test_manifest(tmp_path):
     path = tmp_path / "m.json"
     store.upsert_manifest(path, {"source_name": "b", "n": 1})
