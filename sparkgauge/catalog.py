@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .functions import normalize, text
 from .operators import audit, diff, events, flexibility, national, procurement, resolve, rollup, timeline, watch
-from .plans import adapter, seeds
+from .plans import adapter, exchange, seeds
 from .plans.adapter import ADAPTER_SQL
 
 WATCHLIST = {"counties": ["nation d", "Nation bc"], "markets": [], "jurisdictions": []}
@@ -26,11 +26,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # --- normalization, listings, counts -------------------------------------------------------------------------------
 
-FIELDS = ("snapshot_id", "queue_id", "project_name", "normalized_project_name", "county", "state", "point_of_interconnection", "fuel_type", "normalized_fuel_type", "capacity_mw", "normalized_status", "request_date", "target_cod", "actual_cod", "withdrawn_date")
-
-
 def normalize_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.records(spark, sf_dir).select(*FIELDS)
+    return adapter.records(spark, sf_dir).select(*adapter.FIELDS)
 
 
 def quality_flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +335,7 @@ def time_to_power_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     normalize_records, quality_flag_counts, status_counts, source_snapshot_counts, keyword_guard, text_functions, rollup_scopes, rollup_precompute, rollup_fallback, national_metrics, national_by_type, snapshot_diff, diff_counts, change_events,
     hard_alerts, top_alerts, digest_sections, entity_dimension, entity_audit, entity_audit_counts, id_overlap, comparables, resolve_links, source_change_events, latest_hashes, monthly_event_counts, compute_costs, eligibility_matrix, tradeoff_sweep,
-    tradeoff_recommendation, lead_time_conflicts, equipment_scopes, critical_paths, missing_classes, time_to_power, time_to_power_components,
+    tradeoff_recommendation, lead_time_conflicts, equipment_scopes, critical_paths, missing_classes, time_to_power, time_to_power_components, *exchange.QUERIES,
 )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import seeds
+from .plans import exchange, seeds
 
 B, A = "snap_syn_2026_01_31", "snap_syn_2026_02_28"
 
@@ -163,8 +163,10 @@ def all_sql(adapter: str) -> dict[str, str]:
     total = {"no_flex_serial_low_days": serial("bl", "pl", 30, 7), "no_flex_serial_high_days": serial("bh", "ph", 60, 14), "flex_serial_low_days": serial("fl", "pl", 30, 7), "flex_serial_high_days": serial("fh", "ph", 60, 14), "no_flex_overlap_low_days": over("bl", "pl", 30, 7), "no_flex_overlap_high_days": over("bh", "ph", 60, 14), "flex_overlap_low_days": over("fl", "pl", 30, 7), "flex_overlap_high_days": over("fh", "ph", 60, 14)}
     estimates = f"{_eligible('scn', 'scenario_id')}{path}{_ESTIMATE}"
     parts = [("interconnection_baseline", "bl", "bh", "metric_rollup"), ("flexibility_adjustment", "CASE WHEN fl IS NOT NULL THEN -days END", "CASE WHEN fl IS NOT NULL THEN -days END", "flexibility_rule"), ("interconnection_with_flex", "fl", "fh", "flexibility_rule"), ("procurement_critical_path", "pl", "ph", "equipment_lead_times"), ("commissioning", "30.0", "60.0", "commissioning_assumption"), ("energization_buffer", "7.0", "14.0", "commissioning_assumption"), ("total_serial", total["no_flex_serial_low_days"], total["no_flex_serial_high_days"], "calculation"), ("total_overlap", total["no_flex_overlap_low_days"], total["no_flex_overlap_high_days"], "calculation")]
-    return {
-        "normalize_records": rec("SELECT snapshot_id, queue_id, project_name, normalized_project_name, county, state, point_of_interconnection, fuel_type, normalized_fuel_type, capacity_mw, normalized_status, request_date, target_cod, actual_cod, withdrawn_date FROM rec"),
+    records = rec("SELECT snapshot_id, queue_id, project_name, normalized_project_name, county, state, point_of_interconnection, fuel_type, normalized_fuel_type, capacity_mw, normalized_status, request_date, target_cod, actual_cod, withdrawn_date FROM rec")
+    return exchange.SQL | {
+        "normalize_records": records,
+        "csv_records": records,
         "quality_flag_counts": rec("SELECT snapshot_id, flag, count(*) AS records FROM (SELECT snapshot_id, unnest(list_filter([CASE WHEN fuel_type IS NULL THEN 'unclear_fuel_type:missing' END, CASE WHEN capacity_mw <= 0 THEN 'missing_or_nonpositive_capacity_mw' END, CASE WHEN project_name IS NULL THEN 'missing_project_name' END, CASE WHEN normalized_status = 'Unknown' THEN 'unclear_status:' || raw_status END], lambda x: x IS NOT NULL)) AS flag FROM rec) GROUP BY ALL"),
         "status_counts": rec("SELECT snapshot_id, normalized_status, normalized_fuel_type, count(*) AS records, round(sum(capacity_mw), 2) AS mw FROM rec GROUP BY ALL"),
         "source_snapshot_counts": "SELECT c_custkey AS source_id, c_name AS source_name, count(o_orderkey) AS snapshots FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",

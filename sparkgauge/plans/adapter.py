@@ -17,6 +17,8 @@ BEFORE, AFTER = ("snap_syn_2026_01_31", "2026-01-31"), ("snap_syn_2026_02_28", "
 #: Raw technology by the part's type.
 TECHNOLOGY = {"ECONOMY": "Solar PV", "STANDARD": "BESS", "MEDIUM": "Wind", "PROMO": "Solar + Storage", "LARGE": "Gas CT"}
 RAW = ("Queue No", "Project", "Interconnecting Entity", "County", "State", "POI", "Technology", "Capacity (MW)", "Status", "Request Date", "Target COD", "Actual COD", "Withdrawn Date")
+#: What queries show of a normalized record.
+FIELDS = ("snapshot_id", "queue_id", "project_name", "normalized_project_name", "county", "state", "point_of_interconnection", "fuel_type", "normalized_fuel_type", "capacity_mw", "normalized_status", "request_date", "target_cod", "actual_cod", "withdrawn_date")
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
