@@ -78,18 +78,19 @@ def watch_run(spark: SparkSession, store: Store, content: DataFrame, captured_at
     before = store.read("source_captures").select(*columns[:3]) if store.has("source_captures") else new.select(*columns[:3]).limit(0)
     every = watch.captures(before.withColumn("_new", F.lit(False)).unionByName(new.select(*columns[:3]).withColumn("_new", F.lit(True))))
     captured = scratch.materialize(every.where("_new").drop("_new"), "captures")
-    store.append("source_captures", captured.select(*columns))
     found = watch.source_events(captured.join(sources, "watch_source_id"))
     null = F.lit(None).cast("string")
     state = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in store.read("records").select(*events.PAYLOAD).schema) + ">"
     regulatory = events.complete(found.withColumns({"before": F.lit(None).cast(state), "after": F.lit(None).cast(state), "from_snapshot_id": null, "to_snapshot_id": null, "changed_fields": F.to_json(F.struct("content_hash", "previous_content_hash", "status_keywords"))}), watchlist)
     queue = events.from_diff(store.read("diff_events"), store.read("records"), store.read("snapshots").select("snapshot_id", "source_url"), watchlist)
-    columns = queue.columns
+    made = regulatory.select(*queue.columns)
+    events_now = queue.unionByName(made)
     if store.has("change_events"):
-        kept = store.read("change_events").where("event_domain <> 'queue'").select(*columns)
-        store.overwrite("change_events", queue.unionByName(kept).unionByName(regulatory.select(*columns)))
-    else:
-        store.overwrite("change_events", queue.unionByName(regulatory.select(*columns)))
+        kept = store.read("change_events").where("event_domain <> 'queue'").join(made.select("change_event_id"), "change_event_id", "left_anti")
+        events_now = events_now.unionByName(kept.select(*queue.columns))
+    # captures come last: a run that fails before them finds the same changes again, under the same ids
+    store.overwrite("change_events", events_now)
+    store.append("source_captures", captured.select(*columns))
     return reports.digest(store.read("change_events"), period or captured_at.strftime("%Y-%m"), now=captured_at)
 
 
