@@ -26,12 +26,15 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """Both snapshots as CSV files, as many as Spark's tasks write; every row names its snapshot's date."""
+    """Both snapshots as CSV files, a folder each, as many files as Spark's tasks write; every row names its date.
+
+    Each month is written by itself: the readers date a file by its rows, so no file may hold two months.
+    """
     to = scratch.path(spark, "queue-csv")
-    rows = adapter.raw_snapshots(spark, sf_dir).withColumn("Snapshot Date", F.col("snapshot_date").cast("string"))
-    # a file has one date: the readers take it from any of the file's rows
-    store.write_csv(rows.repartition("Snapshot Date"), to, (*adapter.RAW, "Snapshot Date"))
-    return f"{to}/*.csv"
+    rows = scratch.materialize(adapter.raw_snapshots(spark, sf_dir).withColumn("Snapshot Date", F.col("snapshot_date").cast("string")), "raw")
+    for name, _ in (adapter.BEFORE, adapter.AFTER):
+        store.write_csv(rows.where(F.col("snapshot_id") == name), f"{to}/{name}", (*adapter.RAW, "Snapshot Date"))
+    return f"{to}/*/*.csv"
 
 
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +68,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     numbers = {sheet: i for i, sheet in enumerate(HEADERS)}
     # a row's number is its key's, so that no order has to be made
-    rows = F.array(*(F.when(where, F.struct(F.lit(s).alias("sheet"), F.lit(numbers[s]).alias("sheet_no"), (k + 2).cast("int").alias("row_no"), F.array(*values).alias("cells"))) for s, (where, values) in there.items()))
+    rows = F.array(*(F.when(where, F.struct(F.lit(s).alias("sheet"), F.lit(numbers[s]).alias("sheet_no"), (k % 1_000_000_000 + 2).cast("int").alias("row_no"), F.array(*values).alias("cells"))) for s, (where, values) in there.items()))
     body = _orders(spark, sf_dir).select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")
     heads = [row for s, labels in HEADERS.items() for row in ((s, numbers[s], 0, ["A month's report"]), (s, numbers[s], 1, list(labels)), (s, numbers[s], 2, ["a note", "no row"]))]
     return spark.createDataFrame(heads, _CELLS).unionByName(body)
