@@ -13,9 +13,12 @@ from .language_id import train as train_languages
 from .ngram_join import similarity_join
 from .quality_classifier import classify
 from .quality_rules import quality_rules
+from .simhash import near_duplicates
+from .source_audit import divergence
 from .token_counts import Tokenizer, token_counts
 from .toxicity import detect
 from .url_filter import Rule, judge_urls
+from .whitening import whiten
 
 #: The rules of the URL query.
 URL_RULES = (
@@ -87,8 +90,28 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.read(spark, sf_dir, "documents"))
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(common.read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that a long can't hold is null here, and whole in deviation_exact."""
+    found = whiten(common.read(spark, sf_dir, "embeddings"))
+    return found.withColumns({"deviation_exact": F.col("deviation"), "deviation": F.expr("try_cast(deviation AS bigint)")})
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(common.read(spark, sf_dir, "documents")).drop("group_size")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op7_ngram_join, op8_quality_rules, op9_language_id, op10_exact_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_token_counts, op2_toxicity, op3_source_mixing, op4_byte_bpe, op5_quality_classifier, op6_url_filters, op7_ngram_join, op8_quality_rules, op9_language_id, op10_exact_dedup,
+            op11_source_audit, op12_whitening, op13_simhash,
+        )
+    }
 
 
 _WS = r"[\x20\x09-\x0D]+"
@@ -131,6 +154,24 @@ def _mixing_sql() -> str:
 
 
 ORACLE = {
+    "op11_source_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        v AS (SELECT lang, term, count(*)::HUGEINT AS n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT g.lang, g.source, v.term, v.n AS lang_n, coalesce(k.n, 0)::HUGEINT AS n
+              FROM g JOIN v USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) k USING (lang, source, term)),
+        p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s)::HUGEINT AS p,
+                     1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER s + 5 * count(*) OVER s)::HUGEINT AS q
+              FROM c WINDOW s AS (PARTITION BY lang, source)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+        WHERE part = 'pair' OR rank <= 50""",
     "op10_exact_dedup": rf"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_WS}', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

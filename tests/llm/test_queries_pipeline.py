@@ -16,7 +16,7 @@ pytest.importorskip("public_tokenizers")
 
 def test_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
 
 
 def test_sql_twins(spark, sf):
@@ -40,6 +40,7 @@ def test_sql_twins(spark, sf):
     ("op6_url_filters", {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"}), ("op7_ngram_join", {"doc_id": "bigint", "class_id": "bigint", "n_links": "bigint"}),
     ("op8_quality_rules", {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"}),
     ("op9_language_id", {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"}), ("op10_exact_dedup", {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"}),
+    ("op13_simhash", {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}),
 ])
 def test_contracts(spark, sf, name, columns):
     got = queries.queries()[name](spark, sf)
@@ -49,6 +50,13 @@ def test_contracts(spark, sf, name, columns):
     assert got.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
 
 
+def test_whitening_contract(spark, sf):
+    got = queries.op12_whitening(spark, sf)
+    kinds = {"vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double", "explained": "double", "identity_error": "double"}
+    assert {c: dict(got.dtypes)[c] for c in kinds} == kinds
+    assert got.count() == 4 * spark.read.parquet(f"{sf}/embeddings.parquet").count() and got.where("deviation <> deviation_exact or identity_error > 1e-9").count() == 0
+
+
 def test_stages_on_awkward_rows(spark, sf, tmp_path):
     """Each stage against its plain version, on what the one before it kept."""
     rows = [*awkward(), *[(i + 5000, t, "en", "src1", 1) for i, t, *_ in near_copies()[:120]]]
@@ -87,7 +95,7 @@ def test_stages_on_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
     for name, query in queries.queries().items():
-        if name != "op6_url_filters":
+        if not name.startswith(("op6", "op12")):
             assert query(spark, folder).count() == 0, name
 
 
