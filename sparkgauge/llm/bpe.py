@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, textvec
 
 #: Pre-tokens remembered by each Python worker, and the longest one that is.
 REMEMBERED, LONGEST = 450_000, 64
@@ -179,7 +179,7 @@ def _encode(model, at: int):
         for batch in batches:
             for a in range(0, len(batch), ROWS):
                 part = batch.slice(a, ROWS)
-                ids = [encode(t) if t else b"" for t in part.column(at).to_pylist()]
+                ids = [encode(t) if t else b"" for t in textvec.strings(part.column(at))]
                 ends = np.cumsum([0, *map(len, ids)]) // 4
                 flat = np.frombuffer(b"".join(ids), np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from .. import scratch
 
@@ -30,28 +30,43 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return scratch.materialize(df, name)
 
 
-#: Keys that are salted, at most, and the parts that each is dealt to. A key beyond the HOT commonest holds less than one
-#: in HOT of all rows, so the list is whole for what it is for, and has a fixed size.
-HOT, SALTS = 1_000, 64
+#: Keys that are salted, at most: those with more than one in HOT of all rows. So their list has a bounded size, and no
+#: part of a key, salted or not, has more than that share of all rows (or ``least`` rows).
+HOT = 20_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, by: str, least: int = 256, how: str = "inner", also: tuple[str, ...] = (), merge: bool = False) -> DataFrame:
-    """``left`` joined with ``right`` (one row for each ``key`` and ``also``), rows of the commonest keys dealt to SALTS parts by a hash of ``by``.
+    """``left`` joined with ``right`` (one row for each ``key`` and ``also``), a hot key's rows dealt by a hash of ``by`` to as
+    many parts as its count asks for.
 
-    ``counts`` (``key``, _rows) tells how many rows of ``left`` a key has; keys of fewer than ``least`` rows aren't salted.
+    ``counts`` (``key``, _rows) tells how many rows of ``left`` a key has; it is read twice, so it should be a written table.
+    A part is meant to have max(``least``, all rows / HOT) rows; a key with more of them is hot.
     ``merge``: both sides are shuffled whatever their sizes, so that costs grow evenly with the input.
     """
-    hot = counts.where(F.col("_rows") >= least).orderBy(F.desc("_rows"), key).limit(HOT).select(key, F.lit(True).alias("_hot"))
-    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by, F.lit(41)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    target = max(least, -(-(counts.agg(F.sum("_rows")).first()[0] or 0) // HOT))
+    hot = counts.where(F.col("_rows") > target).select(key, F.ceil(F.col("_rows") / target).cast("int").alias("_parts"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by, F.lit(41)), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    spread = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(spread.hint("merge") if merge else spread, [key, *also, "_salt"], how).drop("_salt")
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, whatever their names; ``select("x.*")`` of such a struct gives them back."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
+def _has_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _has_map(kind.elementType)
+
+
 def one_of_each(rows: DataFrame, keys: list[str], whole: str) -> DataFrame:
     """One row a key (``keys``, ``whole``): of several the one whose struct ``whole`` has the smallest hash. The choice
-    doesn't depend on the order of rows, and repeated rows are combined before the shuffle."""
-    return rows.groupBy(*keys).agg(F.min_by(whole, F.xxhash64(whole)).alias(whole))
+    doesn't depend on the order of rows, and repeated rows are combined before the shuffle. Maps, which can't be hashed,
+    are taken as JSON."""
+    hashed = F.xxhash64(F.to_json(whole) if _has_map(rows.schema[whole].dataType) else whole)
+    return rows.groupBy(*keys).agg(F.min_by(whole, hashed).alias(whole))
 
 
 def crc_mod(column: str, modulus: int) -> Column:

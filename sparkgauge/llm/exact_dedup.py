@@ -141,5 +141,5 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     name = F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_k")
     kept = exact_dedup(docs, key, text).where("kept").select(name, F.col("text_sha256").alias("_s"))
     norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), common.SPACE, " ")
-    marked = docs.select(F.struct(*docs.columns).alias("_all"), name, F.sha2(norm, 256).alias("_s"))
+    marked = docs.select(common.whole(docs).alias("_all"), name, F.sha2(norm, 256).alias("_s"))
     return common.one_of_each(marked.join(kept, ["_k", "_s"], "left_semi"), ["_k", "_s"], "_all").select("_all.*")

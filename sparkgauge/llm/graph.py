@@ -48,8 +48,10 @@ def components(edges: DataFrame) -> DataFrame:
     between = hangs.where(F.size("hubs") > 1).select(F.col("hubs")[0].alias("a"), F.explode(F.slice("hubs", F.lit(2), F.size("hubs") - 1)).alias("b")).distinct()
     joined = _settled(between).select(F.col("node").alias("hub"), F.col("component").alias("_to"))
     first = hangs.select("node", F.col("hubs")[0].alias("hub"))
+    first = common.materialize(first, "hub-of")
     counts = first.groupBy("hub").agg(F.count("*").alias("_rows"))
     gathered = common.salted_join(first, joined, "hub", counts, "node", how="left").select("node", F.coalesce("_to", "hub").alias("_c"))
+    gathered = common.materialize(gathered, "gathered")
     # the smallest hub isn't always the smallest node
-    least = gathered.groupBy("_c").agg(F.min("node").alias("component"), F.count("*").alias("_rows"))
+    least = common.materialize(gathered.groupBy("_c").agg(F.min("node").alias("component"), F.count("*").alias("_rows")), "heads")
     return common.salted_join(gathered, least.select("_c", "component"), "_c", least.select("_c", "_rows"), "node").select("node", "component")

@@ -179,7 +179,7 @@ def _predicted(model):
             at = batch.schema.names.index("_text")
             others = [i for i in range(batch.num_columns) if i != at]
             for a, b, _, _ in textvec.slices(batch.column(at), SLICE):
-                texts = [x or "" for x in batch.column(at).slice(a, b - a).to_pylist()]
+                texts = textvec.strings(batch.column(at).slice(a, b - a))
                 names, scores = predict(value, known, texts)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in others), pa.array(names, pa.string()), pa.array(scores)], names=[*(batch.schema.names[i] for i in others), "lang_pred", "score"])
 
@@ -190,7 +190,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """At most RUNS runs of RUN words from seeded places of each text."""
     for batch in batches:
         langs, ids, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for i, text in enumerate(batch.column(2).to_pylist()):
+        for i, text in enumerate(textvec.strings(batch.column(2))):
             words = (text or "").split()
             random = np.random.default_rng([SEED, ids[i] & 0xFFFFFFFF])
             places = range(-(-len(words) // RUN))

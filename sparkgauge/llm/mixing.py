@@ -122,13 +122,13 @@ def mix(docs: DataFrame, levels: Sequence[Level], budget_share: float = 0.8, max
     ends = last.withColumn("_sum", F.sum("_n").over(upto)).where("_sum <= _rest").groupBy("_leaf").agg(F.max(F.struct("_order", "_n")).alias("_end"))
     cuts = first.join(second.drop("_rest"), "_leaf").join(ends, "_leaf", "left").select("_leaf", F.concat("_bucket", "_then").alias("_upto"), "_end")
     plan = common.materialize(plan.join(cuts, "_leaf", "left"), "mixing-plan").where("_whole > 0 or _part > 0")
-    rows = docs.select(F.struct(*docs.columns).alias("_all"), leaf.alias("_leaf"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), count.alias("_n")).join(plan, "_leaf")
+    rows = docs.select(common.whole(docs).alias("_all"), leaf.alias("_leaf"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), count.alias("_n")).join(plan, "_leaf")
     rows = rows.withColumn("_order", F.when(F.col("_part") > 0, order_key("_key", seed, "_whole")))
     start = F.substring("_order", 1, 2 * DIGITS)
     inside = F.col("_upto").isNull() | (start < F.col("_upto")) | ((start == F.col("_upto")) & ((F.col("_order") < F.col("_end._order")) | ((F.col("_order") == F.col("_end._order")) & (F.col("_n") <= F.col("_end._n")))))
     epochs = F.col("_whole") + F.when((F.col("_part") > 0) & F.coalesce(inside, F.lit(False)), 1).otherwise(0)
     taken = rows.withColumn("_epochs", epochs).where("_epochs > 0").select("_all", F.explode(F.sequence(F.lit(0), F.col("_epochs") - 1)).alias("_epoch"))
-    return taken.select(*(F.col("_all")[c].alias(c) for c in docs.columns if c != "_epoch"), F.col("_epoch").cast("int"))
+    return taken.select(*(F.col("_all").getField(c).alias(c) for c in docs.columns if c != "_epoch"), F.col("_epoch").cast("int"))
 
 
 #: The tree of the query and of the pipeline: domains are made of the sources' numbers.

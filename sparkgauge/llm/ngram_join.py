@@ -354,5 +354,5 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     found = similarity_join(docs, key, text)
     stay = found.where(F.coalesce(F.col(key) == F.col("class_id"), F.col("class_id").isNull())).select(F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("_k"), "_t").distinct()
-    marked = docs.select(F.struct(*docs.columns).alias("_all"), *_identity(key, text)).join(stay, ["_k", "_t"], "left_semi")
+    marked = docs.select(common.whole(docs).alias("_all"), *_identity(key, text)).join(stay, ["_k", "_t"], "left_semi")
     return common.one_of_each(marked, ["_k", "_t"], "_all").select("_all.*")

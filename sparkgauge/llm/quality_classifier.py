@@ -210,5 +210,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: t
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` (all its columns) whose score is at least ``threshold``."""
     # the row travels as one struct, so its columns' names don't matter
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    rows = docs.select(common.whole(docs).alias("row"), F.col(text).alias("text"))
     return score(rows, train(docs, labels, text=text), "text", ("row",)).where(F.col("score") >= threshold).select("row.*")

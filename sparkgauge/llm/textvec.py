@@ -49,6 +49,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         a = b
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column: null is empty, bytes that aren't UTF-8 become replacement characters."""
+    try:
+        return [x or "" for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 @lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, textvec
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -86,22 +86,40 @@ def _encoded(tokenizer):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a in range(0, len(texts), 256):
-                part = texts.slice(a, 256).to_pylist()
+                part = textvec.strings(texts.slice(a, 256))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, 256), pa.array(np.array(count(part), np.int64))], ["content_sha256", "n_tokens"])
 
     return run
 
 
-def fill_cache(docs: DataFrame, tokenizer: Tokenizer, cache_path: str, text: str = "text") -> None:
-    """Encode each distinct text of ``docs`` that the cache lacks, and append the counts to it."""
+#: Missing digests that are sent to every task, at most: about 50 MB.
+FEW = 500_000
+
+
+def misses(digests: DataFrame, cache_path: str, version: str) -> DataFrame:
+    """The distinct content_sha256 of ``digests`` that the cache lacks for a tokenizer's version. No text moves for this."""
+    stored = read_cache(digests.sparkSession, cache_path).where(F.col("tokenizer_sha256") == version).select("content_sha256")
+    return digests.select("content_sha256").distinct().join(stored, "content_sha256", "left_anti")
+
+
+def fill_cache(docs: DataFrame, tokenizer: Tokenizer, cache_path: str, text: str = "text", digests: DataFrame | None = None) -> None:
+    """Encode each distinct text of ``docs`` that the cache lacks, and append the counts to it.
+
+    Digests are looked up first (``digests``: those of ``docs``, where they are written already). Where none is missing,
+    no text is read again; few are sent to the tasks, which pick the texts where they are read; otherwise the texts cross
+    one shuffle, a text that many rows share once a task.
+    """
     spark = docs.sparkSession
-    stored = read_cache(spark, cache_path).where(F.col("tokenizer_sha256") == tokenizer.version).select("content_sha256")
     wanted = with_digest(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text")
-    # one row of each digest: combined before the shuffle, so a text that a third of all rows share crosses it once a task
-    distinct = wanted.groupBy("content_sha256").agg(F.first("_text").alias("_text"))
-    misses = distinct.join(stored, "content_sha256", "left_anti")
+    missing = common.materialize(misses(wanted if digests is None else digests, cache_path, tokenizer.version), "token-misses")
+    n = missing.count()
+    if not n:
+        return
+    texts = lambda rows: rows.groupBy("content_sha256").agg(F.first("_text").alias("_text"))
+    few = n <= FEW
+    found = texts(wanted.join(F.broadcast(missing), "content_sha256", "left_semi")) if few else texts(wanted).join(missing, "content_sha256", "left_semi")
     model = spark.sparkContext.broadcast(tokenizer)  # the vocabulary file: its size doesn't depend on the corpus
-    counts = misses.mapInArrow(common.lean(_encoded(model)), "content_sha256 string, n_tokens long")
+    counts = found.mapInArrow(common.lean(_encoded(model)), "content_sha256 string, n_tokens long")
     counts.select(F.lit(tokenizer.version).alias("tokenizer_sha256"), "content_sha256", "n_tokens").write.mode("append").parquet(cache_path)
 
 
@@ -111,12 +129,13 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache_path: str, limit:
     Null and empty texts have 0 bytes and their tokenizer's count of the empty text. Repeated rows come back as often as
     they are there. An empty table gives an empty result. Other columns of ``docs`` don't matter, whatever their names.
     """
-    fill_cache(docs, tokenizer, cache_path, text)
-    cache = read_cache(docs.sparkSession, cache_path).where(F.col("tokenizer_sha256") == tokenizer.version)
     rows = with_digest(docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text").select(
         *keep, "content_sha256", F.octet_length("_text").cast("long").alias("n_bytes")
     )
-    counts = rows.groupBy("content_sha256").agg(F.count("*").alias("_rows"))
+    rows = common.materialize(rows, "token-rows")
+    fill_cache(docs, tokenizer, cache_path, text, rows)
+    cache = read_cache(docs.sparkSession, cache_path).where(F.col("tokenizer_sha256") == tokenizer.version)
+    counts = common.materialize(rows.groupBy("content_sha256").agg(F.count("*").alias("_rows")).where("_rows > 1"), "token-shared")
     # a text that many rows share (empty ones, say) is dealt to several parts
     return common.salted_join(rows, cache.select("content_sha256", "n_tokens"), "content_sha256", counts, keep[0]).select(
         *keep, "content_sha256", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

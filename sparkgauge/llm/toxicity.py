@@ -309,7 +309,7 @@ def features(restored: str) -> Iterator[str]:
 def _in_texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
     column = batch.column(batch.schema.names.index("_text"))
     for a, b, _, _ in textvec.slices(column, SLICE):
-        yield a, [x or "" for x in column.slice(a, b - a).to_pylist()]
+        yield a, textvec.strings(column.slice(a, b - a))
 
 
 def _by_label(model):

@@ -29,9 +29,18 @@ def frame(spark, rows=None, clash=True):
 
         for name in ("_text", "score", "label", "ids", "n_tokens", "_norm", "_row", "_fp", "_k", "_t", "c", "kept", "_all", "_n", "_epoch", "predicted", "row", "x"):
             df = df.withColumn(name, F.lit("clash"))
+        df = df.withColumns({"a.b": F.lit("dotted"), "a`b": F.lit(None), "map": F.create_map(F.lit("k"), F.col("source")), "nested": F.struct(F.array(F.create_map(F.lit(1), F.lit(2))).alias("maps"))})
     return df
 
 
+def damaged(spark):
+    """Texts with bytes that aren't UTF-8, one of them twice."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, b"caf\xe9 \xff one two three four five", "en", "s1", 1), (2, b"\xc3", "en", "s1", 1), (3, b"\xc3", None, None, None), (4, b"plain words here", "de", "s2", 3)]
+    return spark.createDataFrame(rows, SCHEMA.replace("text string", "text binary")).withColumn("text", F.col("text").cast("string"))
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text or "")
 

@@ -94,3 +94,50 @@ def test_round_trip(spark, coder, library):
     assert bpe.round_trip(frame(spark, []), coder).count() == 0
     encoded = bpe.bpe_encode(frame(spark), coder)
     assert bpe.bpe_decode(encoded, coder).where(F.col("doc_id") == 8).first()["decoded"].decode() == "ñandú € 漢字 \U0001f600 ok"
+
+
+def test_a_full_cache_moves_no_text(spark, tmp_path):
+    tokenizer, path = token_counts.Tokenizer.load(tokenizers.path("piece_bpe_32k.model")), str(tmp_path / "cache")
+    docs = frame(spark)
+    first = sorted(map(str, token_counts.token_counts(docs, tokenizer, path).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        digests = token_counts.with_digest(docs.select("text"))
+        plan = token_counts.misses(digests, path, tokenizer.version)._jdf.queryExecution().executedPlan().toString()
+        assert "LeftAnti" in plan and "Exchange" in plan
+        assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "text" in line.split("hashpartitioning")[1].split(")")[0]]
+        before = spark.read.parquet(path).count()
+        assert sorted(map(str, token_counts.token_counts(docs, tokenizer, path).collect())) == first and spark.read.parquet(path).count() == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_misses_cross_one_shuffle(spark, tmp_path, monkeypatch):
+    tokenizer = token_counts.Tokenizer.load(tokenizers.path("piece_bpe_32k.model"))
+    few = sorted(map(str, token_counts.token_counts(frame(spark), tokenizer, str(tmp_path / "few")).collect()))
+    monkeypatch.setattr(token_counts, "FEW", 1)
+    assert sorted(map(str, token_counts.token_counts(frame(spark), tokenizer, str(tmp_path / "many")).collect())) == few
+
+
+def test_hot_keys_are_dealt_evenly(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sparkgauge.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4_000)
+    # 2,000 keys of 20 rows, and one with a third of all rows
+    rows = spark.range(60_000).select(F.when(F.col("id") < 40_000, F.col("id") % 2_000).otherwise(-1).alias("k"), "id")
+    counts = rows.groupBy("k").agg(F.count("*").alias("_rows"))
+    seen = {}
+    real = type(rows).join
+
+    def join(self, other, on=None, how=None):
+        if isinstance(on, list) and "_salt" in on:
+            seen["parts"] = self.groupBy("k", "_salt").count().agg(F.max("count"), F.count("*")).first()
+        return real(self, other, on, how)
+
+    monkeypatch.setattr(type(rows), "join", join)
+    right = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    got = common.salted_join(rows, right, "k", counts, "id", least=15)
+    assert got.count() == 60_000 and got.where("v <> 2 * k").count() == 0
+    assert seen["parts"][0] <= 40 and seen["parts"][1] > 4_000

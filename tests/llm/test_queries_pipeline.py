@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from sparkgauge.llm import queries
-from tests.llm.helpers import SCHEMA, awkward, frame, normal
+from tests.llm.helpers import SCHEMA, awkward, damaged, frame, normal
 from tests.llm.test_duplicates import brute, near_copies
 
 pytest.importorskip("public_tokenizers")
@@ -99,6 +99,21 @@ def test_stages_on_no_rows(spark, tmp_path):
             assert query(spark, folder).count() == 0, name
 
 
+def test_damaged_and_odd_columns(spark, sf, tmp_path):
+    """Bytes that aren't UTF-8 in every query and stage; dotted names and maps in every stage that returns rows whole."""
+    folder = str(tmp_path / "odd")
+    damaged(spark).withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), F.col("doc_id"))}).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, query in queries.queries().items():
+        if not name.startswith(("op3", "op6", "op11", "op12")):
+            assert query(spark, folder).count() == 4, name
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "m"] and docs.count() > 0, name
+    assert corpus_pipeline.run(spark, folder).count() >= 0
+
+
 def test_run_on_the_small_tables(spark, sf):
     assert corpus_pipeline.run(spark, sf).where(F.col("n_tokens") > 0).count() > 50
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and datetime.date.today()
