@@ -30,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the proportions of the tree's weights; one that is taken in two epochs is there twice."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", mixing.domain().alias("domain"), "lang", "source", mixing.n_tokens().alias("tokens"))
+    rows = docs.select(common.whole(docs).alias("row"), "doc_id", mixing.domain().alias("domain"), "lang", "source", mixing.n_tokens().alias("tokens"))
     return mixing.mix(rows, mixing.TREE, tokens="tokens").select("row.*")
 
 
