@@ -43,6 +43,10 @@ class Engine:
     def ingest_files(self, pattern: str, market: str, mode: str = "blocked") -> dict[str, int]:
         return pipelines.ingest_files(self.spark, self.store, pattern, market, mode)
 
+    def ingest_manual(self, path: str, market: str, today: datetime.date) -> dict[str, int]:
+        """One file that someone hands over; records and snapshots of other dates and markets stay."""
+        return pipelines.ingest_manual(self.spark, self.store, path, market, today)
+
     def ingest_monthly(self, workbooks: Mapping[str, str], market: str) -> dict[str, int]:
         return pipelines.ingest_monthly(self.spark, self.store, workbooks, market)
 

@@ -167,6 +167,7 @@ def all_sql(adapter: str) -> dict[str, str]:
     return exchange.SQL | {
         "normalize_records": records,
         "csv_records": records,
+        "csv_snapshots": f"WITH {adapter} SELECT 'SYN' AS market, snapshot_id, snapshot_date, count(*) AS row_count, true AS hashed FROM raw GROUP BY ALL",
         "quality_flag_counts": rec("SELECT snapshot_id, flag, count(*) AS records FROM (SELECT snapshot_id, unnest(list_filter([CASE WHEN fuel_type IS NULL THEN 'unclear_fuel_type:missing' END, CASE WHEN capacity_mw <= 0 THEN 'missing_or_nonpositive_capacity_mw' END, CASE WHEN project_name IS NULL THEN 'missing_project_name' END, CASE WHEN normalized_status = 'Unknown' THEN 'unclear_status:' || raw_status END], lambda x: x IS NOT NULL)) AS flag FROM rec) GROUP BY ALL"),
         "status_counts": rec("SELECT snapshot_id, normalized_status, normalized_fuel_type, count(*) AS records, round(sum(capacity_mw), 2) AS mw FROM rec GROUP BY ALL"),
         "source_snapshot_counts": "SELECT c_custkey AS source_id, c_name AS source_name, count(o_orderkey) AS snapshots FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",

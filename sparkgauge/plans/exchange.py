@@ -25,24 +25,36 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
 
+#: The later month's files name the columns otherwise, and have them in another order.
+RENAMED = {"Queue No": "INR", "Project": "Project Name", "Interconnecting Entity": "Developer", "County": "County Name", "State": "ST", "POI": "Substation", "Technology": "Generation Type", "Capacity (MW)": "MW", "Status": "Queue Status", "Request Date": "Queue Date", "Target COD": "Projected COD", "Actual COD": "Online Date", "Withdrawn Date": "Withdrawal Date"}
+
+
 def _csv_files(spark: SparkSession, sf_dir: str) -> str:
     """Both snapshots as CSV files, a folder each, as many files as Spark's tasks write; every row names its date.
 
-    Each month is written by itself: the readers date a file by its rows, so no file may hold two months.
+    Each month is written by itself: the readers date a file by its rows, so no file may hold two months. The earlier
+    one has the adapter's headers, the later one other names of them, in the opposite order, and a column more.
     """
     to = scratch.path(spark, "queue-csv")
     rows = scratch.materialize(adapter.raw_snapshots(spark, sf_dir).withColumn("Snapshot Date", F.col("snapshot_date").cast("string")), "raw")
-    for name, _ in (adapter.BEFORE, adapter.AFTER):
-        store.write_csv(rows.where(F.col("snapshot_id") == name), f"{to}/{name}", (*adapter.RAW, "Snapshot Date"))
+    store.write_csv(rows.where(F.col("snapshot_id") == adapter.BEFORE[0]), f"{to}/{adapter.BEFORE[0]}", (*adapter.RAW, "Snapshot Date"))
+    later = rows.where(F.col("snapshot_id") == adapter.AFTER[0]).select("Snapshot Date", F.concat(F.lit('a "note",'), F.lit("\n"), "State").alias("Remark"), *(F.col(c).alias(RENAMED[c]) for c in reversed(adapter.RAW)))
+    store.write_csv(later, f"{to}/{adapter.AFTER[0]}", tuple(later.columns))
     return f"{to}/*/*.csv"
 
 
 def csv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records normalized from the CSV files, whose snapshots are found in their contents."""
+    """Records normalized from the CSV files, whose headers differ and whose snapshots are found in their contents."""
     raw, _ = files.snapshots(spark, _csv_files(spark, sf_dir), adapter.MARKET)
     return files.normalized(raw, adapter.MARKET).select(*adapter.FIELDS)
 
 
+def csv_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots that these files make: one row a date, however many files it has."""
+    _, found = files.snapshots(spark, _csv_files(spark, sf_dir), adapter.MARKET)
+    return found.select("market", "snapshot_id", "snapshot_date", "row_count", (F.length("file_hash") == 64).alias("hashed"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a month's workbook: two project sheets, some ids on both, and three sheets of signals, some ids only there."""
     k, text = F.col("o_orderkey"), lambda c: c.cast("string")
@@ -111,7 +123,7 @@ def store_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.orphans("orders", "customers", "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-QUERIES = (csv_records, monthly_merge, store_changes, store_slices, store_orphans)
+QUERIES = (csv_records, csv_snapshots, monthly_merge, store_changes, store_slices, store_orphans)
 
 #: DuckDB, by means of its own; ``csv_records`` has the SQL of ``normalize_records``, whose rows it must give.
 SQL = {

@@ -36,11 +36,25 @@ def analyse(store: Store, records: DataFrame, snapshots: DataFrame, mode: str =
     return store.counts(["snapshots", "records", "links", "entities", "diff_events", "metric_rollups", "citations"])
 
 
+def _sourced(snapshots: DataFrame, market: str, mode: str) -> DataFrame:
+    return snapshots.withColumns({"source_id": hashed_id("src", F.lit(market), "_file"), "source_url": F.col("_file"), "ingestion_mode": F.lit(mode)})
+
+
 def ingest_files(spark: SparkSession, store: Store, pattern: str, market: str, mode: str = "blocked", min_sample_n: int = 2) -> dict[str, int]:
-    """CSV files of a pattern, one snapshot each, all the way to rollups."""
+    """CSV files of a pattern, each by its own header, one snapshot a date, all the way to rollups."""
     raw, snapshots = files.snapshots(spark, pattern, market)
-    snapshots = snapshots.withColumns({"source_id": hashed_id("src", F.lit(market), "_file"), "source_url": F.col("_file"), "ingestion_mode": F.lit("files")})
-    return analyse(store, files.normalized(raw, market), snapshots, mode, min_sample_n)
+    return analyse(store, files.normalized(raw, market), _sourced(snapshots, market, "files"), mode, min_sample_n)
+
+
+def ingest_manual(spark: SparkSession, store: Store, path: str, market: str, today: datetime.date, mode: str = "blocked", min_sample_n: int = 2) -> dict[str, int]:
+    """One file given by hand: its snapshot is added to those stored (one of its id is replaced), and all is analysed anew."""
+    raw, snapshots = files.manual_snapshot(spark, path, market, today)
+    records, snapshots = files.normalized(raw, market), _sourced(snapshots, market, "manual")
+    if store.has("snapshots") and store.has("records"):
+        ids = snapshots.select("snapshot_id")
+        records = store.read("records").join(ids, "snapshot_id", "left_anti").unionByName(records)
+        snapshots = store.read("snapshots").join(ids, "snapshot_id", "left_anti").unionByName(snapshots, allowMissingColumns=True)
+    return analyse(store, records, scratch.materialize(snapshots, "snapshots"), mode, min_sample_n)
 
 
 def ingest_monthly(spark: SparkSession, store: Store, workbooks: Mapping[str, str], market: str, mode: str = "blocked") -> dict[str, int]:

@@ -1,44 +1,77 @@
-"""Readers of delimited files and of file fingerprints; every file of a pattern is a snapshot."""
+"""Readers of delimited files and of file fingerprints; every file of a pattern is read by its own header."""
 
 from __future__ import annotations
 
 import csv
 import datetime
+import hashlib
+import io
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .. import scratch
 from ..functions import normalize
 from ..functions.text import hashed_id
 
+#: Columns of a file's rows: the canonical fields, and two headers that aren't aliases of any.
+FIELDS = tuple(normalize.ALIASES)
+OTHERS = {"poi_location": "poi location", "dated": "snapshot date"}
+_ROWS = "_file string, file_hash string, _row long, payload map<string,string>, " + ", ".join(f"{c} string" for c in (*FIELDS, *OTHERS))
+_BATCH = 8_192
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV file (or pattern) with a header, all columns as text: the normalizers parse, so no pass infers types."""
+    """Rows of CSV files with one header, the same in all, as text; ``rows`` reads files whose headers differ."""
     return spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def read_numbered_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One file's rows with ``_row``, their place in the file (1 is the first data row), for rules that depend on order.
-
-    The file is read as one task, as order within a file needs; many files still read side by side (use ``snapshots``).
+def places(header: list[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """(header to its place, canonical field or other header to its place) of one file; of equal headers the last counts."""
+    at = {h: i for i, h in enumerate(header)}
+    found = {field: at[h] for field, h in normalize.resolve_headers(header).items()}
+    keys = {normalize.clean_key(h): i for h, i in at.items()}
+    return at, found | {name: keys[key] for name, key in OTHERS.items() if key in keys}
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = content.as_buffer()
+            digest, reader = hashlib.sha256(data).hexdigest(), csv.reader(io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace", newline=""))
+            header = next((r for r in reader if r), [])
+            at, named = places(header)
+            start, rows = 1, []
+            for row in (r for r in reader if r):
+                rows.append(row)
+                if len(rows) == _BATCH:
+                    yield _batch(path, digest, start, rows, at, named)
+                    start, rows = start + len(rows), []
+            if rows:
+                yield _batch(path, digest, start, rows, at, named)
+
+
+def _batch(path: str, digest: str, start: int, rows: list[list[str]], at: dict[str, int], named: dict[str, int]) -> pa.RecordBatch:
+    n, text = len(rows), pa.string()
+    column = lambda i: pa.array([(r[i] or None) if i < len(r) else None for r in rows], text)
+    maps = pa.array([[(h, (r[i] or None) if i < len(r) else None) for h, i in at.items()] for r in rows], pa.map_(text, text))
+    fields = [column(named[c]) if c in named else pa.nulls(n, text) for c in (*FIELDS, *OTHERS)]
+    return pa.RecordBatch.from_arrays([pa.array([path] * n, text), pa.array([digest] * n, text), pa.array(range(start, start + n), pa.int64()), maps, *fields], names=["_file", "file_hash", "_row", "payload", *FIELDS, *OTHERS])
+
+
+def rows(spark: SparkSession, pattern: str) -> DataFrame:
+    """The rows of all CSV files of a pattern, each file by its own header: columns may stand in any order, be missing or
+    go by any alias.
+
+    Besides the canonical fields as text there are ``_file`` (the whole path), file_hash, ``_row`` (1 is the file's first
+    data row), payload (the row's values by the file's own headers), poi_location and dated (a header "snapshot date").
+    Empty values are null; blank lines aren't rows; what lies beyond the header is left out. Files are read where Spark
+    reads them, by any file system it knows, one task a file (2 GB at most), as quoted values may hold line ends.
     """
-    lines = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("text"))
-    first = next(csv.reader([lines.select(F.regexp_extract("text", r"\A\x{FEFF}?([^\r\n]*)", 1).alias("h")).first()["h"]]))
-    schema = StructType([StructField(h, StringType()) for h in first])
-
-    def rows(frames):
-        import io
-
-        import pandas as pd
-
-        for frame in frames:
-            for text in frame["text"]:
-                found = list(csv.reader(io.StringIO(text.lstrip("﻿"), newline="")))[1:]
-                found = [r + [None] * (len(first) - len(r)) for r in found if r]
-                yield pd.DataFrame({h: [r[i] or None for r in found] for i, h in enumerate(first)} | {"_row": range(1, len(found) + 1)})
-
-    return lines.mapInPandas(rows, StructType([*schema.fields, StructField("_row", LongType())]))
+    found = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return found.mapInArrow(_parsed, _ROWS)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -47,49 +80,64 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("file_hash"), F.col("length").alias("file_size_bytes"))
 
 
-def snapshot_date(date_column: str | None) -> Column:
-    """Of a file: the first date its column has, else year and month in the file's name with day 1, else null."""
-    name = F.regexp_extract("_file", r"(\d{4})[_-](\d{2})(?!\d)", 0)
-    from_name = F.try_to_date(F.concat(F.translate(name, "_", "-"), F.lit("-01")), "yyyy-MM-dd")
-    if not date_column:
-        return F.first(from_name, ignorenulls=True)
-    return F.coalesce(F.first(normalize.date(date_column), ignorenulls=True), F.first(from_name, ignorenulls=True))
+def name_date(path: Column | str) -> Column:
+    """Year and month in a file's name (not in its folders), with day 1; else null."""
+    found = F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d{4})[_-](\d{2})(?!\d)", 0)
+    return F.try_to_date(F.concat(F.translate(found, "_", "-"), F.lit("-01")), "yyyy-MM-dd")
 
 
-def snapshots(spark: SparkSession, pattern: str, market: str) -> tuple[DataFrame, DataFrame]:
-    """(raw rows, snapshots) of the CSV files of a pattern: one snapshot per file.
+def snapshot_id(market: str, date: Column | str) -> Column:
+    return F.concat(F.lit(f"snap_{market.lower()}_"), F.coalesce(F.date_format(date, "yyyy_MM_dd"), F.lit("undated")))
 
-    Raw rows have the file's columns as text besides ``_file``, ``snapshot_id`` and ``snapshot_date``; snapshots have
-    market, snapshot_id, snapshot_date, file_hash and row_count. Ids are market and date.
+
+def snapshots(spark: SparkSession, pattern: str, market: str) -> tuple[DataFrame, DataFrame]:
+    """(raw rows, snapshots) of the CSV files of a pattern.
+
+    A file's date is the first that its column "snapshot date" has, else the one in its name; files without any make a
+    snapshot without a date. Ids are market and date, so files of one date make one snapshot, and files of one name in
+    different folders stay apart. Raw rows are those of ``rows`` (read once and written) with snapshot_id, snapshot_date
+    and ``_copy``, which tells files of equal content apart. Snapshots have market, snapshot_id, snapshot_date,
+    row_count, the sorted paths (the first is ``_file``), their size, and a hash of the files' hashes: the file's own
+    where there is one. A file with a header only counts with 0, one of no bytes is no file.
     """
-    raw = read_csv(spark, pattern).withColumn("_file", F.col("_metadata.file_name"))
-    dated = next((c for c in raw.columns if normalize.clean_key(c) == "snapshot date"), None)
-    dates = raw.groupBy("_file").agg(snapshot_date(dated).alias("snapshot_date"), F.count("*").alias("row_count"))
-    named = dates.withColumn("snapshot_id", F.concat(F.lit(f"snap_{market.lower()}_"), F.date_format("snapshot_date", "yyyy_MM_dd")))
-    hashes = fingerprints(spark, pattern).select(F.element_at(F.split("path", "/"), -1).alias("_file"), "file_hash", "file_size_bytes")
-    return raw.join(named.select("_file", "snapshot_id", "snapshot_date"), "_file"), named.join(hashes, "_file").withColumn("market", F.lit(market))
+    raw = scratch.materialize(rows(spark, pattern), "csv-rows")
+    dates = raw.groupBy("_file").agg(F.min_by(normalize.date("dated"), F.when(normalize.date("dated").isNotNull(), F.col("_row"))).alias("date"), F.count("*").alias("row_count"))
+    found = fingerprints(spark, pattern).withColumnRenamed("path", "_file").join(dates, "_file", "left")
+    found = found.withColumns({"snapshot_date": F.coalesce("date", name_date("_file")), "row_count": F.coalesce("row_count", F.lit(0))}).withColumn("snapshot_id", snapshot_id(market, "snapshot_date"))
+    again = Window.partitionBy("snapshot_id", "file_hash").orderBy("_file")
+    found = scratch.materialize(found.withColumn("_copy", F.row_number().over(again)), "csv-files")
+    hashes = F.array_sort(F.collect_list("file_hash"))
+    per_id = found.groupBy("snapshot_id", "snapshot_date").agg(
+        F.sum("row_count").alias("row_count"), F.array_sort(F.collect_list("_file")).alias("files"), F.sum("file_size_bytes").alias("file_size_bytes"),
+        F.when(F.count("*") == 1, F.first("file_hash")).otherwise(F.sha2(F.array_join(hashes, " "), 256)).alias("file_hash"),
+    )
+    raw = raw.join(found.select("_file", "snapshot_id", "snapshot_date", "_copy"), "_file")
+    return raw, per_id.withColumns({"_file": F.col("files")[0], "market": F.lit(market)})
 
 
 def manual_snapshot(spark: SparkSession, path: str, market: str, today: datetime.date) -> tuple[DataFrame, DataFrame]:
     """One file as a snapshot dated by its first row's last update, else ``today`` (UTC, given by the caller)."""
-    raw = read_csv(spark, path).withColumn("_file", F.col("_metadata.file_name"))
-    headers = normalize.resolve_headers(raw.columns)
-    updated = normalize.date(f"`{headers['last_updated_date']}`") if "last_updated_date" in headers else F.lit(None).cast("date")
-    dates = raw.limit(1).select(F.coalesce(updated, F.lit(today)).alias("snapshot_date")).withColumn("snapshot_id", F.concat(F.lit(f"snap_{market.lower()}_"), F.date_format("snapshot_date", "yyyy_MM_dd")))
-    return raw.join(dates, F.lit(True)), dates.withColumn("market", F.lit(market))
+    raw = scratch.materialize(rows(spark, path), "csv-rows")
+    first = raw.agg(F.min_by("last_updated_date", "_row").alias("updated"), F.count("*").alias("row_count"), F.first("file_hash").alias("file_hash"), F.first("_file").alias("_file"))
+    dated = first.withColumn("snapshot_date", F.coalesce(normalize.date("updated"), F.lit(today))).withColumn("snapshot_id", snapshot_id(market, "snapshot_date")).drop("updated")
+    date, name = dated.select("snapshot_date", "snapshot_id").first()
+    return raw.withColumns({"snapshot_id": F.lit(name), "snapshot_date": F.lit(date), "_copy": F.lit(1)}), dated.withColumn("market", F.lit(market))
 
 
 def normalized(raw: DataFrame, market: str, map_poi_location: bool = False) -> DataFrame:
-    """Normalized records of rows with ``snapshot_id``, ``snapshot_date`` and ``_file``; a row's id is a hash of its content.
+    """Normalized records of rows with ``snapshot_id``, ``snapshot_date`` and ``_file``.
 
-    Rows of one file that are equal in every column get their number among each other, so all of them stay.
+    A row of ``snapshots`` goes by its file's hash and its number in the file. Other rows, which have no number, go by a
+    hash of their content; those that are equal in every column get their number among each other, so all of them stay.
     """
-    columns = [c for c in raw.columns if c not in ("snapshot_id", "snapshot_date")]
-    content = hashed_id("raw", *(f"`{c}`" for c in columns))
-    rows = raw.withColumn("_content", content)
-    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy("snapshot_id", "_content").orderBy("_file")))
-    rows = rows.withColumn("_raw_id", F.concat_ws("_", "_content", "_again")).drop("_content", "_again")
-    return normalize.normalize(rows, market, F.col("snapshot_id"), F.col("snapshot_date"), "_raw_id", map_poi_location)
+    if {"_row", "_copy", "file_hash"} <= set(raw.columns):
+        numbered = raw.withColumn("_raw_id", hashed_id("raw", "file_hash", "_copy", "_row"))
+    else:
+        columns = [c for c in raw.columns if c not in ("snapshot_id", "snapshot_date")]
+        found = raw.withColumn("_content", hashed_id("raw", *(f"`{c}`" for c in columns)))
+        found = found.withColumn("_again", F.row_number().over(Window.partitionBy("snapshot_id", "_content").orderBy("_file")))
+        numbered = found.withColumn("_raw_id", F.concat_ws("_", "_content", "_again")).drop("_content", "_again")
+    return normalize.normalize(numbered, market, F.col("snapshot_id"), F.col("snapshot_date"), "_raw_id", map_poi_location)
 
 
 def discovered(listing: DataFrame, report: str) -> DataFrame:

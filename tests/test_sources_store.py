@@ -26,9 +26,42 @@ def test_date_from_file_name_and_manual_file(spark, tmp_path):
 
 
 def test_numbered_rows_keep_their_order(spark, tmp_path):
-    (tmp_path / "n.csv").write_text('a,b\n1,"x\ny"\n2,\n')
-    got = files.read_numbered_csv(spark, f"{tmp_path}/n.csv").orderBy("_row").collect()
-    assert [(r["_row"], r["a"], r["b"]) for r in got] == [(1, "1", "x\ny"), (2, "2", None)]
+    (tmp_path / "n.csv").write_text('\ufeffINR,Note,INR\n1,"x\ny",one\n\n2,,\n3\n4,a,four,beyond\n', encoding="utf-8")
+    got = files.rows(spark, f"{tmp_path}/n.csv").orderBy("_row").collect()
+    # of equal headers the last counts; blank lines aren't rows, short rows have nulls
+    assert [(r["_row"], r["queue_id"], r["payload"]) for r in got] == [(1, "one", {"INR": "one", "Note": "x\ny"}), (2, None, {"INR": None, "Note": None}), (3, None, {"INR": None, "Note": None}), (4, "four", {"INR": "four", "Note": "a"})]
+
+
+def test_each_file_by_its_own_header(spark, tmp_path):
+    """Columns in another order, by other names, or missing: read as one pattern."""
+    (tmp_path / "q_2026_01.csv").write_text("Queue ID,Project Name,Capacity (MW),Status\nQ1,Alpha,10,Active\n")
+    (tmp_path / "q_2026_02.csv").write_text("Project Name,Status,Queue ID\nAlpha,Withdrawn,Q1\n")
+    (tmp_path / "q_2026_03.csv").write_text("Facility Name,GINR ID,MW\nAlpha,Q1,12.5\n")
+    raw, snapshots = files.snapshots(spark, f"{tmp_path}/q_*.csv", "T")
+    got = {r["snapshot_id"]: (r["queue_id"], r["project_name"], r["capacity_mw"], r["normalized_status"]) for r in files.normalized(raw, "T").collect()}
+    assert got == {"snap_t_2026_01_01": ("Q1", "Alpha", 10.0, "Active"), "snap_t_2026_02_01": ("Q1", "Alpha", None, "Withdrawn"), "snap_t_2026_03_01": ("Q1", "Alpha", 12.5, "Unknown")}
+    assert snapshots.count() == 3
+
+
+def test_equal_names_in_two_folders_and_two_files_of_a_date(spark, tmp_path):
+    for folder, date, ids in (("jan", "2026-01-31", "AB"), ("feb", "2026-02-28", "CD")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "q.csv").write_text("INR,Snapshot Date\n" + "".join(f"{i},{date}\n" for i in ids))
+    raw, snapshots = files.snapshots(spark, f"{tmp_path}/*/q.csv", "T")
+    assert sorted((r["snapshot_id"], r["queue_id"]) for r in files.normalized(raw, "T").collect()) == [("snap_t_2026_01_31", "A"), ("snap_t_2026_01_31", "B"), ("snap_t_2026_02_28", "C"), ("snap_t_2026_02_28", "D")]
+    own = {r["snapshot_id"]: r for r in snapshots.collect()}
+    assert len(own) == 2 and own["snap_t_2026_01_31"]["_file"].endswith("/jan/q.csv")
+    # one more file of January, a copy of it, and files without rows or dates
+    (tmp_path / "jan" / "more.csv").write_text("Snapshot Date,INR\n1/31/2026,E\n")
+    (tmp_path / "jan" / "again.csv").write_bytes((tmp_path / "jan" / "q.csv").read_bytes())
+    (tmp_path / "jan" / "none_2026-01.csv").write_text("INR\n")
+    (tmp_path / "jan" / "undated.csv").write_text("INR\nF\n")
+    raw, snapshots = files.snapshots(spark, f"{tmp_path}/*/*.csv", "T")
+    got = {r["snapshot_id"]: r for r in snapshots.collect()}
+    assert {k: (r["row_count"], len(r["files"])) for k, r in got.items()} == {"snap_t_2026_01_31": (5, 3), "snap_t_2026_02_28": (2, 1), "snap_t_2026_01_01": (0, 1), "snap_t_undated": (1, 1)}
+    assert got["snap_t_2026_02_28"]["file_hash"] == own["snap_t_2026_02_28"]["file_hash"] != got["snap_t_2026_01_31"]["file_hash"]
+    rows = files.normalized(raw, "T")
+    assert rows.count() == rows.select("record_id").distinct().count() == 8
 
 
 @pytest.fixture(scope="module")
