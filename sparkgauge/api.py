@@ -36,6 +36,15 @@ class Engine:
     def snapshots(self) -> DataFrame:
         return self.store.read("snapshots").orderBy("snapshot_date", "snapshot_id")
 
+    def snapshot_before(self, market: str, date: str) -> DataFrame:
+        """The market's latest snapshot before a date; null without one."""
+        asked = self.spark.createDataFrame([(market, date)], "market string, as_of string").withColumn("as_of", F.col("as_of").cast("date"))
+        return watch.snapshots_before(asked, self.store.read("snapshots"))
+
+    def latest_pair(self) -> DataFrame:
+        """Each market's latest snapshot and the one before it: what a comparison takes by default."""
+        return watch.latest_pair(self.store.read("snapshots"))
+
     def sources(self) -> DataFrame:
         found = self.store.read("snapshots")
         return audit.source_counts(found.select("source_id", F.col("source_url").alias("source_name")).distinct(), found)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashed_id, keywords_in, without_prefix
+from . import asof
 
 #: Status words that are looked for, and the kind of source that is our own rule table.
 STATUS_WORDS = ("anopr", "proposed", "pending", "directed", "approved", "accepted", "final", "order")
@@ -67,10 +68,17 @@ def latest_hashes(captured: DataFrame) -> DataFrame:
     return read.groupBy("watch_source_id").agg(F.max_by("content_hash", "captured_at").alias("last_content_hash"), F.max("captured_at").alias("last_captured_at"))
 
 
-def latest_two(snapshots: DataFrame) -> DataFrame:
-    """Each market's latest snapshot and the one before it (by date, then id); rank 1 is the latest."""
-    order = Window.partitionBy("market").orderBy(F.desc("snapshot_date"), F.desc("snapshot_id"))
-    return snapshots.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+def snapshots_before(requests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``requests`` (market, as_of, and more) with snapshot_id and snapshot_date of the market's latest snapshot before the
+    date: by date, then by id. What a run compares with, for any number of markets and dates."""
+    return asof.latest_before(requests, snapshots, ["market"], "as_of", "snapshot_date", ("snapshot_id", "snapshot_date"), tie=("snapshot_id",))
+
+
+def latest_pair(snapshots: DataFrame) -> DataFrame:
+    """(market, to_snapshot_id, from_snapshot_id): each market's latest snapshot and the one of the date before it, if any."""
+    latest = snapshots.groupBy("market").agg(F.max(F.struct("snapshot_date", "snapshot_id")).alias("_to"))
+    asked = latest.select("market", F.col("_to.snapshot_date").alias("as_of"), F.col("_to.snapshot_id").alias("to_snapshot_id"))
+    return snapshots_before(asked, snapshots).select("market", "to_snapshot_id", F.col("snapshot_id").alias("from_snapshot_id"))
 
 
 def digest_sections(events: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
+from ..operators import asof
 from ..sources import files, monthly, store
+from ..streaming import captures
 from . import adapter
 
 MONTH = "2026-01-31"
@@ -123,7 +125,42 @@ def store_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.orphans("orders", "customers", "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
-QUERIES = (csv_records, csv_snapshots, monthly_merge, store_changes, store_slices, store_orphans)
+def latest_event_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's latest event of a user before a moment: orders are asked about moments of the events' month."""
+    users = 150
+    k = F.col("o_orderkey")
+    asked = _orders(spark, sf_dir).select("o_orderkey", (k % users).alias("user_id"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01").cast("timestamp")) + k * 7919 % (31 * 86400)).alias("asked_at"))
+    found = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return asof.latest_before(asked, found, ["user_id"], "asked_at", "ts", ("event_id", "event_type", "value"), tie=("event_id",))
+
+
+def event_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as captures: users are watched sources, an event's type is the content, some can't be read."""
+    content = F.when(F.col("event_id") % 41 != 0, F.col("event_type"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("watch_"), F.col("user_id").cast("string")).alias("watch_source_id"), F.col("ts").cast("timestamp").alias("captured_at"), content.alias("content_text"))
+
+
+def write_arrivals(spark: SparkSession, sf_dir: str, folder: str, days: int = 10) -> None:
+    """The captures as files in the order of their arrival, some of them up to half an hour behind later ones."""
+    behind = F.pmod(F.xxhash64("watch_source_id", "captured_at"), F.lit(1800))
+    rows = event_captures(spark, sf_dir).withColumn("_stretch", F.floor((F.unix_seconds("captured_at") + behind) / (days * 86_400)))
+    rows = scratch.materialize(rows, "arrivals")
+    for stretch in sorted(r["_stretch"] for r in rows.select("_stretch").distinct().collect()):
+        rows.where(F.col("_stretch") == stretch).drop("_stretch").coalesce(1).write.mode("append").parquet(folder)
+
+
+def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of watched sources as a stream finds them, file after file, in a store's table: captures that the watermark
+    has passed, an hour before the last one."""
+    arrivals, place = scratch.path(spark, "arrivals"), scratch.path(spark, "stream")
+    write_arrivals(spark, sf_dir, arrivals)
+    kept = store.Store(spark, f"{place}/store")
+    with captures.with_rocksdb(spark):
+        captures.run_to_store(captures.ordered_changes(captures.read_captures(spark, arrivals, 1)), kept, "changes", f"{place}/checkpoint")
+    return kept.read("changes").select("watch_source_id", "captured_at", "content_hash", "previous_content_hash", "parse_status")
+
+
+QUERIES = (csv_records, csv_snapshots, monthly_merge, store_changes, store_slices, store_orphans, latest_event_before, streamed_changes)
 
 #: DuckDB, by means of its own; ``csv_records`` has the SQL of ``normalize_records``, whose rows it must give.
 SQL = {
@@ -140,6 +177,12 @@ SQL = {
                CASE WHEN x THEN 'developer_cancelled' WHEN c THEN 'commercial_operation_approved' WHEN i THEN 'inactive_project' END AS signal,
                array_to_string(list_sort(list_filter([CASE WHEN p AND fuel IS NULL THEN 'missing_fuel_type' END, CASE WHEN p AND mw IS NULL THEN 'missing_capacity_mw' END, CASE WHEN c THEN 'status_signal:commercial_operation_approved' END, CASE WHEN i THEN 'status_signal:inactive_project' END, CASE WHEN x THEN 'status_signal:developer_cancelled' END], lambda s: s IS NOT NULL)), ',') AS flags
         FROM o WHERE p OR c OR i OR x""",
+    "latest_event_before": """WITH q AS (SELECT o_orderkey, o_orderkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % (31 * 86400)) AS asked_at FROM orders)
+        SELECT o_orderkey, q.user_id, asked_at, event_id, event_type, value FROM q ASOF LEFT JOIN events e ON q.user_id = e.user_id AND q.asked_at > e.ts""",
+    "streamed_changes": """WITH h AS (SELECT 'watch_' || user_id AS watch_source_id, ts AS captured_at, CASE WHEN event_id % 41 <> 0 THEN sha256(event_type) END AS content_hash FROM events),
+        p AS (SELECT *, last_value(content_hash IGNORE NULLS) OVER (PARTITION BY watch_source_id ORDER BY captured_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_content_hash FROM h)
+        SELECT *, CASE WHEN content_hash IS NULL THEN 'failed' WHEN content_hash = previous_content_hash THEN 'unchanged' ELSE 'changed' END AS parse_status
+        FROM p WHERE date_trunc('milliseconds', captured_at + INTERVAL 999 MICROSECOND) < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR""",
     "store_changes": """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END * o_totalprice AS o_totalprice,
         CASE WHEN o_orderkey % 6 = 3 THEN 'late' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 7 <> 0""",
     "store_slices": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END * o_totalprice AS o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'F' OR o_orderkey % 2 = 0",

@@ -53,7 +53,8 @@ def test_watch_runs(engine, spark):
     kinds = {(r["event_type"]): r["events"] for r in two["counts"] if r["event_domain"] == "regulatory"}
     assert kinds["source_unchanged"] == 2 and kinds["rule_needs_review"] == 1
     assert engine.watch_pair({"moves": ("withdrawn_project", "new_project")}).count() == 2
-    assert {r["rank"] for r in watch.latest_two(engine.store.read("snapshots")).collect()} == {1, 2}
+    assert [tuple(r) for r in engine.latest_pair().collect()] == [("TST", "snap_tst_2026_02_28", "snap_tst_2026_01_31")]
+    assert [engine.snapshot_before("TST", d).first()["snapshot_id"] for d in ("2026-01-31", "2026-02-01", "2030-01-01")] == [None, "snap_tst_2026_01_31", "snap_tst_2026_02_28"]
     assert watch.quality_warnings(engine.store.read("records")).count() == 0
 
 
