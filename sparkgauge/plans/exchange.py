@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import asof
-from ..sources import files, monthly, store
+from ..sources import files, monthly, store, workbook
 from ..streaming import captures
 from . import adapter
 
@@ -125,6 +125,34 @@ def store_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.orphans("orders", "customers", "o_custkey", "c_custkey").select("o_orderkey", "o_custkey")
 
 
+def _workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as workbooks, one a month, written and read back: a sheet of open and one of closed orders, with a title above
+    the header, columns of which two have one label, and notes between."""
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    is_open = F.col("o_orderstatus") == "O"
+    sheet, number = F.when(is_open, "Open").otherwise("Closed"), F.when(is_open, 0).otherwise(1)
+    book = F.concat(F.lit("orders-"), F.date_format("o_orderdate", "yyyy-MM"), F.lit(".xlsx"))
+    place = Window.partitionBy("_file", "sheet").orderBy("k")
+    values = F.array(F.concat(F.when(k % 3 == 0, "x").otherwise("21INR"), text(k)), F.concat(F.lit("P <"), text(k % 17), F.lit("> & Co")), text(F.to_date("o_orderdate")), text(F.floor("o_totalprice")), F.when(k % 5 != 0, F.col("o_orderpriority")), F.col("o_orderstatus"))
+    body = _orders(spark, sf_dir).select(book.alias("_file"), sheet.alias("sheet"), number.alias("sheet_no"), k.alias("k"), values.alias("cells")).withColumn("row_no", F.row_number().over(place) + 2).drop("k")
+    title = lambda n, *cells: body.select("_file", "sheet", "sheet_no").distinct().select("*", F.array(*(F.lit(c) for c in cells)).alias("cells"), F.lit(n).alias("row_no"))
+    rows = body.unionByName(title(0, "A month's orders")).unionByName(title(1, "INR", "Project Name", "Queue Date", "MW", "Status", "Status"))
+    return scratch.materialize(workbook.rows_of(scratch.materialize(workbook.pack(rows), "workbooks")), "cells")
+
+
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all sheets of all these workbooks, each by its own header."""
+    found, at = workbook.tables(_workbooks(spark, sf_dir), ("INR", "Project Name")), lambda label: F.col("values")[label]
+    return found.select("_file", "sheet", "_row", at("INR").alias("queue_id"), at("Project Name").alias("project_name"), at("Queue Date").cast("date").alias("queue_date"), at("MW").cast("double").alias("mw"), at("Status").alias("priority"), at("Status.1").alias("status"))
+
+
+def workbook_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sheet's header row, labels, mapped fields and rows with an id."""
+    found = workbook.profile(_workbooks(spark, sf_dir))
+    mapped = F.array_join(F.array_sort(F.transform(F.map_entries("mapping"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return found.select("_file", "sheet", "header_row", F.array_join("columns", ",").alias("labels"), "rows_with_id", mapped.alias("mapping"))
+
+
 def latest_event_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's latest event of a user before a moment: orders are asked about moments of the events' month."""
     users = 150
@@ -160,7 +188,11 @@ def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read("changes").select("watch_source_id", "captured_at", "content_hash", "previous_content_hash", "parse_status")
 
 
-QUERIES = (csv_records, csv_snapshots, monthly_merge, store_changes, store_slices, store_orphans, latest_event_before, streamed_changes)
+QUERIES = (csv_records, csv_snapshots, monthly_merge, store_changes, store_slices, store_orphans, workbook_rows, workbook_profile, latest_event_before, streamed_changes)
+
+_BOOKS = """books AS (SELECT o_orderkey AS k, strftime(o_orderdate::DATE, 'orders-%Y-%m.xlsx') AS _file, CASE WHEN o_orderstatus = 'O' THEN 'Open' ELSE 'Closed' END AS sheet,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '21INR' END || o_orderkey AS queue_id, 'P <' || (o_orderkey % 17) || '> & Co' AS project_name, o_orderdate::DATE AS queue_date, floor(o_totalprice)::DOUBLE AS mw,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority, o_orderstatus AS status FROM orders)"""
 
 #: DuckDB, by means of its own; ``csv_records`` has the SQL of ``normalize_records``, whose rows it must give.
 SQL = {
@@ -177,6 +209,9 @@ SQL = {
                CASE WHEN x THEN 'developer_cancelled' WHEN c THEN 'commercial_operation_approved' WHEN i THEN 'inactive_project' END AS signal,
                array_to_string(list_sort(list_filter([CASE WHEN p AND fuel IS NULL THEN 'missing_fuel_type' END, CASE WHEN p AND mw IS NULL THEN 'missing_capacity_mw' END, CASE WHEN c THEN 'status_signal:commercial_operation_approved' END, CASE WHEN i THEN 'status_signal:inactive_project' END, CASE WHEN x THEN 'status_signal:developer_cancelled' END], lambda s: s IS NOT NULL)), ',') AS flags
         FROM o WHERE p OR c OR i OR x""",
+    "workbook_rows": f"""WITH {_BOOKS} SELECT _file, sheet, 2 + row_number() OVER (PARTITION BY _file, sheet ORDER BY k) AS _row, queue_id, project_name, queue_date, mw, priority, status FROM books""",
+    "workbook_profile": f"""WITH {_BOOKS} SELECT _file, sheet, 1 AS header_row, 'INR,Project Name,Queue Date,MW,Status,Status.1' AS labels, count(*) FILTER (starts_with(queue_id, '21INR')) AS rows_with_id,
+        'capacity_mw=MW,project_name=Project Name,queue_id=INR,request_date=Queue Date,status=Status' AS mapping FROM books GROUP BY ALL""",
     "latest_event_before": """WITH q AS (SELECT o_orderkey, o_orderkey % 150 AS user_id, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 7919 % (31 * 86400)) AS asked_at FROM orders)
         SELECT o_orderkey, q.user_id, asked_at, event_id, event_type, value FROM q ASOF LEFT JOIN events e ON q.user_id = e.user_id AND q.asked_at > e.ts""",
     "streamed_changes": """WITH h AS (SELECT 'watch_' || user_id AS watch_source_id, ts AS captured_at, CASE WHEN event_id % 41 <> 0 THEN sha256(event_type) END AS content_hash FROM events),

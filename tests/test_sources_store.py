@@ -81,11 +81,29 @@ def test_workbook_tables_and_profile(cells):
     assert workbook.header_row(cells, "Project Details - Large Gen", ("INR", "Project Name")) == 2
     first = workbook.table(cells, "Project Details - Large Gen", ("INR",)).orderBy("_row").first()
     assert first["Projected COD"] == "2025-12-09" and first["Capacity (MW)"] == "100"
-    found = {p["sheet"]: p for p in workbook.profile(cells)}
+    found = {p["sheet"]: p for p in workbook.profile(cells).collect()}
     assert found["Project Details - Large Gen"]["rows_with_id"] == 3 and found["Project Details - Large Gen"]["mapping"]["queue_id"] == "INR"
+    one = found["Project Details - Large Gen"]
+    assert one["header_row"] == 2 and one["mapping"] == workbook.normalize.resolve_headers(one["columns"]) and [found[s]["header_row"] for s in ("Commissioning Update", "Project Details - Small Gen")] == [0, 0]
     assert workbook.unique_labels(["n", "n", None, "n"]) == ["n", "n.1", "Unnamed: 2", "n.2"]
 
 
+def test_workbooks_come_back_as_written(spark):
+    head = ["INR", "a & b", None, "INR", "inr", "Project Name"]
+    rows = [("one.xlsx", "First <&\">", 0, n, c) for n, c in ((0, ["title"]), (2, head), (3, ["21INR1", "2026-01-31", None, "-12.50", "x", " y "]), (5, [None, "<tag>", "007", "", "ü", "7"]), (6, ["", "nan"]))]
+    rows += [("one.xlsx", "Second", 1, 0, ["no header"]), ("two.xlsx", "First <&\">", 0, 7, ["INR", "Project Name"]), ("two.xlsx", "First <&\">", 0, 8, ["22inr9", "P"])]
+    cells = workbook.rows_of(workbook.pack(spark.createDataFrame(rows, workbook._SCHEMA)))
+    blank = lambda c: [x for x in c]
+    assert sorted((r["_file"], r["sheet"], r["sheet_no"], r["row_no"], str(blank(r["cells"]))) for r in cells.collect()) == sorted((f, s, i, n, str(c)) for f, s, i, n, c in rows)
+    got = {(r["_file"], r["sheet_no"]): r for r in workbook.profile(cells).collect()}
+    one = got["one.xlsx", 0]
+    assert one["columns"] == workbook.unique_labels(head) == ["INR", "a & b", "Unnamed: 2", "INR.1", "inr", "Project Name"] and one["header_row"] == 2 and one["rows_with_id"] == 1
+    assert one["mapping"] == workbook.normalize.resolve_headers(one["columns"]) and one["mapping"]["queue_id"] == "inr"
+    assert (got["one.xlsx", 1]["header_row"], got["one.xlsx", 1]["columns"], got["one.xlsx", 1]["rows_with_id"], got["one.xlsx", 1]["mapping"]) == (None, [], 0, {}) and got["two.xlsx", 0]["rows_with_id"] == 1
+    values = {(r["_file"], r["_row"]): r["values"] for r in workbook.tables(cells, ("INR", "Project Name")).collect()}
+    assert sorted(values) == [("one.xlsx", 3), ("one.xlsx", 5), ("two.xlsx", 8)] and values["one.xlsx", 3]["INR.1"] == "-12.50" and values["two.xlsx", 8] == {"INR": "22inr9", "Project Name": "P"}
+
+
 def test_monthly_merge(cells):
     got = {r["Queue ID"]: r for r in monthly.read_monthly(cells, "2026-01-31").collect()}
     assert sorted(got) == ["21INR0001", "22INR0002", "23INR0003", "24INR0004", "29INR0009"]
