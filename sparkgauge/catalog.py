@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .functions import normalize, text
-from .operators import audit, diff, events, flexibility, national, procurement, resolve, rollup, timeline, watch
+from .operators import audit, diff, events, flexibility, national, procurement, reconcile, resolve, rollup, timeline, watch
 from .plans import adapter, exchange, seeds
 from .plans.adapter import ADAPTER_SQL
 
@@ -105,6 +105,40 @@ def national_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return national.active_by_type(_national(spark, sf_dir))
 
 
+#: The independent checks' own mapping of raw texts; what isn't here stays as it is.
+MINIMAL_STATUS = {"On Hold": "Suspended", "mystery": "Unknown"}
+MINIMAL_FUEL = {"Solar PV": "Solar", "BESS": "Battery", "Solar + Storage": "Hybrid", "Gas CT": "Gas", "Offshore Wind": "Wind", "": "Unknown"}
+
+
+def independent_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the engine's records and national metrics against a second, plainer plan over the raw rows, which uses
+    no normalizer: rows, missing ids and names, statuses, active capacity, shared ids; projects, active ones, days."""
+    rows = _records(spark, sf_dir).select("snapshot_id", "queue_id", F.col("normalized_project_name").alias("name"), F.col("normalized_status").alias("status"), F.col("normalized_fuel_type").alias("fuel"), F.col("capacity_mw").alias("mw"))
+    mapped = lambda c, table: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.coalesce(c, F.lit(""))), c)
+    raw = scratch.materialize(adapter.raw_snapshots(spark, sf_dir), "raw").select(
+        "snapshot_id", F.col("Queue No").alias("queue_id"), F.when(F.trim("Project") != "NaN", F.col("Project")).alias("name"), mapped(F.col("Status"), MINIMAL_STATUS).alias("status"), mapped(F.col("Technology"), MINIMAL_FUEL).alias("fuel"),
+        F.col("Capacity (MW)").cast("double").alias("mw"),
+    )
+    wide = scratch.materialize(_national(spark, sf_dir), "national")
+    found = national.metrics(wide, "ASIA").select(F.explode(F.array(*(F.struct(F.lit(f"national/{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in ("projects", "active", "active_gw", "region_active", "median_days")))).alias("f")).select("f.*")
+    orders, active = _t(spark, sf_dir, "orders"), F.col("q_status") == "active"
+    plain = orders.agg(F.count("*").alias("projects"), F.count_if(F.col("o_orderstatus") == "O").alias("active"), F.round(F.sum(F.when(F.col("o_orderstatus") == "O", F.floor("o_totalprice"))) / 1000, 4).alias("active_gw"))
+    days = F.datediff(F.coalesce("on_date", "wd_date"), "q_date")
+    more = wide.agg(F.count_if(active & (F.col("region") == "ASIA")).alias("region_active"), F.round(F.percentile(F.when(F.col("q_status") != "active", days), 0.5), 2).alias("median_days"))
+    table = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(f"national/{c}").alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns))).alias("f")).select("f.*")
+    return audit.compared(reconcile.record_figures(raw).unionByName(table(plain)).unionByName(table(more)), reconcile.record_figures(rows).unionByName(found), 0.01)
+
+
+def reconciled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a copy that lacks some, has others' prices or priorities changed, some twice, and some more."""
+    k = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    other = rows.where(k % 97 != 0).withColumns({"o_totalprice": F.when(k % 89 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(k % 83 == 0, F.lit(None)).otherwise(F.col("o_orderpriority"))})
+    other = other.unionByName(other.where(k % 79 == 0)).unionByName(rows.where(k % 101 == 0).withColumn("o_orderkey", -k - 1))
+    found = reconcile.reconcile(rows, other, ["o_orderkey"])
+    return found.withColumn("columns", F.array_join("columns", ","))
+
+
 # --- diff and events -----------------------------------------------------------------------------------------------
 
 
@@ -333,7 +367,7 @@ def time_to_power_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    normalize_records, quality_flag_counts, status_counts, source_snapshot_counts, keyword_guard, text_functions, rollup_scopes, rollup_precompute, rollup_fallback, national_metrics, national_by_type, snapshot_diff, diff_counts, change_events,
+    normalize_records, quality_flag_counts, status_counts, source_snapshot_counts, keyword_guard, text_functions, rollup_scopes, rollup_precompute, rollup_fallback, national_metrics, national_by_type, independent_checks, reconciled_orders, snapshot_diff, diff_counts, change_events,
     hard_alerts, top_alerts, digest_sections, entity_dimension, entity_audit, entity_audit_counts, id_overlap, comparables, resolve_links, source_change_events, latest_hashes, monthly_event_counts, compute_costs, eligibility_matrix, tradeoff_sweep,
     tradeoff_recommendation, lead_time_conflicts, equipment_scopes, critical_paths, missing_classes, time_to_power, time_to_power_components, *exchange.QUERIES,
 )

