@@ -17,6 +17,10 @@ from .plans import pipelines, seeds
 from .sources.store import Store
 
 
+def slug_of(text: str) -> str:
+    return "".join(c if c.isalnum() else "_" for c in text.lower())
+
+
 class Engine:
     """One store and the functions on it; each returns a DataFrame or a document."""
 
@@ -92,14 +96,35 @@ class Engine:
         return flexibility.rules_with_sources(self.store.read("flexibility_rules"), self.store.read("flexibility_rule_sources"), jurisdiction, include_context)
 
     def store_scenarios(self, scenarios: DataFrame) -> None:
-        """Scenarios by id; a strategy that isn't known is refused."""
-        if "procurement_strategy" in scenarios.columns and not scenarios.where(~F.col("procurement_strategy").isin(*timeline.STRATEGIES)).isEmpty():
-            raise ValueError(f"procurement_strategy must be one of {timeline.STRATEGIES}")
+        """Scenarios by id; a strategy or mode of scope that isn't known is refused, with the values in question."""
+        for column, known in (("procurement_strategy", timeline.STRATEGIES), ("equipment_scope_mode", timeline.SCOPE_MODES)):
+            if column in scenarios.columns:
+                other = [r[0] for r in scenarios.where(~F.col(column).isin(*known)).select(column).distinct().limit(5).collect()]
+                if other:
+                    raise ValueError(f"{column} must be one of {known}, not {other}")
         self.store.upsert("scenarios", scenarios, ["scenario_id"])
 
     def scenario(self, scenario_id: str) -> DataFrame:
         return self.store.read("scenarios").where(F.col("scenario_id") == scenario_id).limit(1)
 
+    def store_assumption(self, assumption: Mapping[str, object]) -> None:
+        """An assumption by its id, checked; what it doesn't name is as in the default one."""
+        whole = {**seeds.ASSUMPTION, **assumption}
+        flexibility.check_assumption(whole)
+        kinds = {f.name: f.dataType.simpleString() for f in schemas.schema("compute_cost_assumptions")}
+        kinds = {k: kinds.get(k, "string" if isinstance(v, str) else "double") for k, v in whole.items()}
+        row = tuple(str(v) if kinds[k] == "string" else int(v) if kinds[k] in ("int", "bigint") else float(v) for k, v in whole.items())
+        self.store.upsert("compute_cost_assumptions", self.spark.createDataFrame([row], ", ".join(f"{k} {t}" for k, t in kinds.items())), ["assumption_id"])
+
+    def assumption(self, assumption_id: str = seeds.ASSUMPTION["assumption_id"]) -> dict[str, object]:
+        """A stored assumption; the default one is there without being stored."""
+        found = self.store.read("compute_cost_assumptions").where(F.col("assumption_id") == assumption_id).first() if self.store.has("compute_cost_assumptions") else None
+        if found is not None:
+            return found.asDict()
+        if assumption_id == seeds.ASSUMPTION["assumption_id"]:
+            return dict(seeds.ASSUMPTION)
+        raise KeyError(assumption_id)
+
     def compute_cost(self, scenarios: DataFrame, assumption: Mapping[str, object] | None = None) -> DataFrame:
         assumption = assumption or seeds.ASSUMPTION
         flexibility.check_assumption(assumption)
@@ -118,6 +143,33 @@ class Engine:
     def watch(self, content: DataFrame, captured_at: datetime.datetime, watchlist: Mapping[str, Sequence[str]] = events.EMPTY_WATCHLIST) -> dict:
         return pipelines.watch_run(self.spark, self.store, content, captured_at, watchlist)
 
+    def digests(self) -> DataFrame:
+        """The stored digests, the last one first."""
+        return self.store.read("digests").orderBy(F.desc("created_at"), F.desc("digest_id"))
+
+    def latest_digest(self) -> DataFrame:
+        return reports.latest(self.store.read("digests"), "digest_id")
+
+    def digest(self, digest_id: str) -> DataFrame:
+        return self.store.read("digests").where(F.col("digest_id") == digest_id)
+
+    # stored briefs
+    def keep_brief(self, kind: str, subject: str, brief: Mapping[str, object], now: datetime.datetime) -> str:
+        """Store a brief; the same kind, subject and time replaces it. Returns its id."""
+        brief_id = f"{kind}_{slug_of(subject)}_{now:%Y%m%d%H%M%S}"
+        self.store.upsert("briefs", reports.stored(self.spark, brief, now, brief_id=brief_id, kind=kind), ["brief_id"])
+        return brief_id
+
+    def briefs(self, kind: str | None = None) -> DataFrame:
+        found = self.store.read("briefs").orderBy(F.desc("created_at"), F.desc("brief_id"))
+        return found.where(F.col("kind") == kind) if kind else found
+
+    def latest_brief(self, kind: str) -> DataFrame:
+        return reports.latest(self.briefs(kind), "brief_id")
+
+    def stored_brief(self, brief_id: str) -> DataFrame:
+        return self.store.read("briefs").where(F.col("brief_id") == brief_id)
+
     def change_events(self, domain: str | None = None) -> DataFrame:
         return events.listing(self.store.read("change_events"), domain)
 

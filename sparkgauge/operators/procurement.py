@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import month_age, slug
 
@@ -40,7 +41,8 @@ def _named(rank: Column) -> Column:
 def equipment_scope(scenarios: DataFrame) -> DataFrame:
     """(scenario_id, position, equipment_class, scope_item_id, source, scope_mode) from project_type, peak_mw and interconnection_voltage_kv.
 
-    ``manual_equipment`` (array of class names), where there and not empty, stands as given. A scenario with missing or
+    ``manual_equipment``, where there and not empty, stands as given: an array of class names, or of structs with
+    equipment_class and, if they like, scope_item_id and explanation (blanks of these get defaults). A scenario with missing or
     non-positive inputs, or of an unknown kind, has one row without a class: mode insufficient_data.
     """
     kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv)), F.lower(F.trim("project_type")))
@@ -48,14 +50,23 @@ def equipment_scope(scenarios: DataFrame) -> DataFrame:
     items = F.try_element_at(table, kind)
     large = (F.col("interconnection_voltage_kv") >= HIGH_VOLTAGE) | (F.col("peak_mw") >= LARGE_MW)
     items = F.when((F.col("peak_mw") > 0) & (F.col("interconnection_voltage_kv") > 0), F.filter(items, lambda i: (i != ONLY_LARGE) | large))
-    manual = F.col("manual_equipment") if "manual_equipment" in scenarios.columns else F.lit(None).cast("array<string>")
+    none = F.lit(None).cast("string")
+    item = lambda name, own=none, why=none: F.struct(name.cast("string").alias("equipment_class"), own.cast("string").alias("own_id"), why.cast("string").alias("why"))
+    manual = F.lit(None).cast("array<struct<equipment_class:string,own_id:string,why:string>>")
+    if "manual_equipment" in scenarios.columns:
+        kind_of = scenarios.schema["manual_equipment"].dataType.elementType
+        there = set(kind_of.fieldNames()) if isinstance(kind_of, StructType) else None
+        field = lambda x, name: F.nullif(F.trim(x[name].cast("string")), F.lit("")) if name in there else none
+        manual = F.transform("manual_equipment", (lambda x: item(x)) if there is None else lambda x: item(x["equipment_class"], field(x, "scope_item_id"), field(x, "explanation")))
     has_manual = F.coalesce(F.size(manual) > 0, F.lit(False))
-    rows = scenarios.select("scenario_id", has_manual.alias("_manual"), F.posexplode_outer(F.when(has_manual, manual).otherwise(items)).alias("position", "equipment_class"))
+    rows = scenarios.select("scenario_id", has_manual.alias("_manual"), F.posexplode_outer(F.when(has_manual, manual).otherwise(F.transform(items, lambda i: item(i)))).alias("position", "_item"))
+    rows = rows.select("scenario_id", "_manual", "position", "_item.*")
     return rows.select(
         "scenario_id", "position", "equipment_class",
-        F.when(F.col("_manual"), F.concat(F.lit("manual_"), (F.col("position") + 1).cast("string"))).otherwise(F.concat(F.lit("scope_"), slug("equipment_class"))).alias("scope_item_id"),
+        F.when(F.col("_manual"), F.coalesce("own_id", F.concat(F.lit("manual_"), (F.col("position") + 1).cast("string")))).otherwise(F.concat(F.lit("scope_"), slug("equipment_class"))).alias("scope_item_id"),
         F.when(F.col("_manual"), "manual_user_selected").when(F.col("equipment_class").isNotNull(), "deterministic_planning_model").alias("source"),
         F.when(F.col("_manual"), "manual_user_selected").when(F.col("equipment_class").isNull(), "insufficient_data").otherwise("generated_planning_model").alias("scope_mode"),
+        F.when(F.col("_manual"), F.coalesce("why", F.lit("Given by hand."))).when(F.col("equipment_class").isNotNull(), "From the planning model of this kind of project.").alias("explanation"),
     )
 
 

@@ -15,7 +15,8 @@ PROXIES = {
 }
 #: Default commissioning and buffer ranges in days, strategies and scope modes.
 COMMISSIONING = {"commissioning_low_days": 30.0, "commissioning_high_days": 60.0, "buffer_low_days": 7.0, "buffer_high_days": 14.0}
-STRATEGIES = ("serial_after_approval", "procurement_started", "at_risk_overlap", "unknown")
+STRATEGIES = ("post_ntp_serial", "serial_after_approval", "procurement_started", "at_risk_overlap", "unknown")
+SCOPE_MODES = ("generated_planning_model", "manual_user_selected", "fixture_demo", "insufficient_data")
 OVERLAP = "at_risk_overlap"
 
 

@@ -86,10 +86,6 @@ def digest_sections(events: DataFrame) -> DataFrame:
     return events.groupBy("event_domain", "event_type").agg(F.count("*").alias("events"), F.count_if(F.col("is_hard_alert")).alias("hard_alerts"))
 
 
-def latest_digest(digests: DataFrame) -> DataFrame:
-    return digests.orderBy(F.desc("created_at"), "digest_id").limit(1)
-
-
 def pair_sections(events: DataFrame, categories: dict[str, tuple[str, ...]], n: int = 10) -> DataFrame:
     """The ``n`` highest events of each category of types, ranked inside it."""
     table = F.create_map(*(F.lit(x) for name, kinds in categories.items() for kind in kinds for x in (kind, name)))

@@ -105,7 +105,10 @@ def watch_run(spark: SparkSession, store: Store, content: DataFrame, captured_at
     # captures come last: a run that fails before them finds the same changes again, under the same ids
     store.overwrite("change_events", events_now)
     store.append("source_captures", captured.select(*columns))
-    return reports.digest(store.read("change_events"), period or captured_at.strftime("%Y-%m"), now=captured_at)
+    found = reports.digest(store.read("change_events"), period or captured_at.strftime("%Y-%m"), now=captured_at)
+    # a period has one digest: a later run of it replaces the stored one
+    store.upsert("digests", reports.stored(spark, found, captured_at, digest_id=found["digest_id"], period_label=found["period_label"]), ["digest_id"])
+    return found
 
 
 def estimate(spark: SparkSession, records: DataFrame, scenarios: DataFrame, as_of: str, lead: DataFrame | None = None, rules: DataFrame | None = None, min_sample_n: int = rollup.MIN_SAMPLE) -> tuple[DataFrame, DataFrame]:

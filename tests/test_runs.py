@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkgauge import catalog, schemas
 from sparkgauge.api import Engine
 from sparkgauge.operators import audit, reports, watch
+from sparkgauge.plans import seeds
 from sparkgauge.streaming import captures
 from tests.fixtures import write_csvs
 
@@ -56,6 +58,41 @@ def test_watch_runs(engine, spark):
     assert [tuple(r) for r in engine.latest_pair().collect()] == [("TST", "snap_tst_2026_02_28", "snap_tst_2026_01_31")]
     assert [engine.snapshot_before("TST", d).first()["snapshot_id"] for d in ("2026-01-31", "2026-02-01", "2030-01-01")] == [None, "snap_tst_2026_01_31", "snap_tst_2026_02_28"]
     assert watch.quality_warnings(engine.store.read("records")).count() == 0
+    # digests are stored: the last one, one by its id, and a period's again in its place
+    assert [r["digest_id"] for r in engine.digests().collect()] == ["digest_2026-04", "digest_2026-03"] and engine.latest_digest().first()["period_label"] == "2026-04"
+    kept = engine.digest("digest_2026-03").first()
+    assert json.loads(kept["document"])["raw_event_count"] == one["raw_event_count"] and kept["markdown"] == one["markdown"] and kept["created_at"] == datetime.datetime(2026, 3, 1)
+    assert engine.digest("digest_1999-01").isEmpty()
+    engine.watch(text, datetime.datetime(2026, 4, 2), {"counties": [], "markets": ["TST"], "jurisdictions": []})
+    assert engine.digests().count() == 2 and engine.latest_digest().first()["created_at"] == datetime.datetime(2026, 4, 2)
+
+
+def test_counts_come_before_cuts(spark):
+    found = spark.range(500).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("metric"), F.lit(1.0).alias("calculated"), F.lit(1.0).alias("official"), F.lit(0.0).alias("delta"), F.when(F.col("id") == 499, "mismatch_documented").otherwise("matched_within_tolerance").alias("status"))
+    flags = spark.createDataFrame([], "snapshot_id string, flag string, records long")
+    report = reports.validation_report(found, flags)
+    assert report["passed"] == 499 and report["left_out"] == 300 and len(report["checks"]) == 200 and report["checks"][0]["metric"] == "m499" and "499 of 500" in report["markdown"]
+
+
+def test_assumptions_and_briefs_are_stored(spark, tmp_path):
+    own = Engine(spark, str(tmp_path / "own"))
+    assert own.assumption()["gpu_power_kw"] == seeds.ASSUMPTION["gpu_power_kw"]
+    with pytest.raises(KeyError):
+        own.assumption("mine")
+    own.store_assumption({"assumption_id": "mine", "gpu_power_kw": 2.0})
+    own.store_assumption({"assumption_id": "mine", "gpu_power_kw": 3.0})
+    assert own.assumption("mine")["gpu_power_kw"] == 3.0 and own.assumption("mine")["migratable_fraction"] == seeds.ASSUMPTION["migratable_fraction"] and own.store.read("compute_cost_assumptions").count() == 1
+    with pytest.raises(ValueError):
+        own.store_assumption({"assumption_id": "bad", "gpu_power_kw": 0.0})
+    at = datetime.datetime(2026, 5, 1)
+    first = own.keep_brief("queue", "TST Alder", {"title": "one", "markdown": "# one"}, at)
+    own.keep_brief("queue", "TST Alder", {"title": "again", "markdown": "# one"}, at)
+    last = own.keep_brief("queue", "TST", {"title": "two", "markdown": "# two"}, at + datetime.timedelta(days=1))
+    own.keep_brief("flexibility", "s", {"title": "three", "markdown": "# three"}, at)
+    assert own.briefs().count() == 3 and own.latest_brief("queue").first()["brief_id"] == last and json.loads(own.stored_brief(first).first()["document"]) == {"title": "again"}
+    for column in ("procurement_strategy", "equipment_scope_mode"):
+        with pytest.raises(ValueError, match="hope"):
+            own.store_scenarios(spark.createDataFrame([("s", "hope")], f"scenario_id string, {column} string"))
 
 
 def test_scenario_functions(engine, spark):

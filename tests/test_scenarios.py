@@ -68,6 +68,9 @@ def test_equipment_scope(spark):
     assert classes(kind="Hybrid")[0] == "GSU Transformer" and classes(kind="Wind") == [None] and classes(kv=None) == [None]
     manual = scenario(spark).withColumn("manual_equipment", F.array(F.lit("Own Thing")))
     assert [(r["equipment_class"], r["scope_item_id"], r["source"]) for r in procurement.equipment_scope(manual).collect()] == [("Own Thing", "manual_1", "manual_user_selected")]
+    whole = F.array(F.struct(F.lit("A").alias("equipment_class"), F.lit("mine").alias("scope_item_id"), F.lit("asked for").alias("explanation")), F.struct(F.lit("B").alias("equipment_class"), F.lit(" ").alias("scope_item_id"), F.lit(None).cast("string").alias("explanation")))
+    got = procurement.equipment_scope(scenario(spark).withColumn("manual_equipment", whole)).orderBy("position").collect()
+    assert [(r["equipment_class"], r["scope_item_id"], r["explanation"], r["scope_mode"]) for r in got] == [("A", "mine", "asked for", "manual_user_selected"), ("B", "manual_2", "Given by hand.", "manual_user_selected")]
 
 
 def test_critical_path_and_estimate(spark):
