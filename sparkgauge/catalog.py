@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .functions import normalize, text
+from .functions import dates, normalize, text
 from .operators import audit, diff, events, flexibility, national, procurement, reconcile, resolve, rollup, timeline, watch
 from .plans import adapter, exchange, seeds
 from .plans.adapter import ADAPTER_SQL
@@ -51,6 +51,15 @@ def keyword_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(text.keywords_in("text", watch.STATUS_WORDS), ",").alias("keywords"), text.has_any("text", ("data center", "large load", "load", "ai campus")).alias("large_load"))
 
 
+def voted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders as five files write them, each with an order of its own for day and month, read by a vote."""
+    day = F.to_date("o_orderdate")
+    written = F.when(F.col("o_orderpriority").startswith("1"), F.date_format(day, "d/M/yyyy")).when(F.col("o_orderpriority").startswith("2"), F.date_format(day, "M/d/yyyy")).when(F.col("o_orderpriority").startswith("3"), F.date_format(day, "dd.MM.yyyy HH:mm"))
+    written = written.when(F.col("o_orderpriority").startswith("4"), F.date_format(day, "MM-dd-yy")).otherwise(F.when(F.col("o_orderkey") % 2 == 0, F.date_format(day, "d MMMM yyyy")).otherwise(F.date_format(day, "yyyyMMdd")))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("file"), written.alias("asked"), F.date_format(F.date_add(day, 30), "M/d/yy").alias("due"))
+    return dates.voted(rows, ["asked", "due"], ["file"]).select("o_orderkey", "asked", "due")
+
+
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar functions over parts and customers."""
     parts = _t(spark, sf_dir, "part")
@@ -217,13 +226,17 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- resolution ----------------------------------------------------------------------------------------------------
 
 
-def supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as two snapshots: names of their own, the later ones partly renumbered, renamed, moved or gone."""
+def supplier_records(spark: SparkSession, sf_dir: str, contested: bool = False) -> DataFrame:
+    """Suppliers as two snapshots: names of their own, the later ones partly renumbered, renamed, moved or gone.
+
+    ``contested``: places of connection too, twins of odd suppliers in the earlier snapshot under ids of their own, and
+    copies of every fourth in the later one, which want the same entity.
+    """
     k = F.col("s_suppkey")
     name = F.concat(F.substring(F.md5(F.concat(F.lit("a"), k.cast("string"))), 1, 9), F.lit(" "), F.substring(F.md5(F.concat(F.lit("b"), k.cast("string"))), 1, 8))
     rows = _t(spark, sf_dir, "supplier").join(_t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.select(k.alias("k"), name.alias("name"), "n_name", F.abs(F.floor(F.col("s_acctbal") / 50)).cast("double").alias("mw"))
-    common = {"market": F.lit("SUP"), "interconnecting_entity": F.concat("name", F.lit(" power")), "county": F.col("n_name"), "state": F.lit("TX"), "normalized_fuel_type": F.element_at(F.array(*(F.lit(x) for x in ("Solar", "Wind", "Gas", "Hybrid"))), (F.col("k") % 4 + 1).cast("int")), "point_of_interconnection": F.lit(None).cast("string"), "target_cod": F.date_add(F.lit("2027-01-01").cast("date"), (F.col("k") % 700).cast("int")), "normalized_status": F.lit("Active")}
+    common = {"market": F.lit("SUP"), "interconnecting_entity": F.concat("name", F.lit(" power")), "county": F.col("n_name"), "state": F.lit("TX"), "normalized_fuel_type": F.element_at(F.array(*(F.lit(x) for x in ("Solar", "Wind", "Gas", "Hybrid"))), (F.col("k") % 4 + 1).cast("int")), "point_of_interconnection": F.concat("name", F.lit(" bus")) if contested else F.lit(None).cast("string"), "target_cod": F.date_add(F.lit("2027-01-01").cast("date"), (F.col("k") % 700).cast("int")), "normalized_status": F.lit("Active")}
 
     def snapshot(df: DataFrame, sid: str, date: str, queue, project, mw) -> DataFrame:
         named = df.withColumns(common | {"queue_id": queue, "project_name": project, "capacity_mw": mw, "snapshot_id": F.lit(sid), "snapshot_date": F.lit(date).cast("date")})
@@ -233,6 +246,10 @@ def supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = snapshot(rows.where("k % 29 <> 0"), "sup_1", "2026-01-31", queue, F.col("name"), F.col("mw"))
     renamed = F.when(F.col("k") % 5 == 0, F.concat("name", F.lit(" ii"))).otherwise(F.col("name"))
     after = snapshot(rows.where("k % 23 <> 0"), "sup_2", "2026-02-28", F.when(F.col("k") % 3 == 0, F.concat(F.lit("N-"), F.col("k").cast("string"))).otherwise(queue), renamed, F.when(F.col("k") % 7 == 0, F.col("mw") * 2).otherwise(F.col("mw")))
+    if contested:
+        another = lambda df, kind, which: df.where(which).withColumns({"queue_id": F.concat(F.lit(f"{kind}-"), F.split_part("record_id", F.lit("-"), F.lit(2))), "record_id": F.concat("record_id", F.lit(f"-{kind}"))})
+        number = F.split_part("record_id", F.lit("-"), F.lit(2)).cast("long")
+        before, after = before.unionByName(another(before, "T", number % 2 == 1)), after.unionByName(another(after, "C", number % 4 == 0))
     return before.unionByName(after)
 
 
@@ -244,6 +261,32 @@ def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "snapshot_id", F.when(decided, F.col("match_score")).alias("match_score"), "match_method", "is_ambiguous", F.when(decided, F.col("candidate_record_id")).alias("candidate_record_id"))
 
 
+def _contested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = scratch.materialize(supplier_records(spark, sf_dir, contested=True), "suppliers")
+    return rows, resolve.resolve_market(rows)
+
+
+def contested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links where records are torn between twins (ambiguous), and where two want one entity (the first by queue id gets it)."""
+    found = _contested(spark, sf_dir)[1]
+    decided = F.col("match_score") >= resolve.POSSIBLE
+    return found.select("record_id", "snapshot_id", F.when(decided, F.col("match_score")).alias("match_score"), "match_method", "is_ambiguous", F.when(decided, F.col("candidate_record_id")).alias("candidate_record_id"))
+
+
+def contested_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of these links, ambiguous matches among them."""
+    rows, links = _contested(spark, sf_dir)
+    return diff.diff(rows, links, diff.adjacent_snapshots(rows)).select("event_type", "severity", "before_record_id", "after_record_id", "confidence")
+
+
+def contested_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit's counts of these links: fuzzy and ambiguous ones among them."""
+    rows, links = _contested(spark, sf_dir)
+    found = scratch.materialize(diff.diff(rows, links, diff.adjacent_snapshots(rows)), "events")
+    snapshots = spark.createDataFrame([("sup_1", "x"), ("sup_2", "y")], "snapshot_id string, file_hash string")
+    return audit.audit_counts(audit.audit(rows, links, found, snapshots, "sup_1", "sup_2"))
+
+
 # --- watched sources -----------------------------------------------------------------------------------------------
 
 
@@ -276,12 +319,13 @@ def monthly_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as scenarios, with their rollups' measures and the default assumption."""
+    """Customers as scenarios, in the county of their nation, with the default assumption; some ask a market without records."""
     k = F.col("c_custkey")
     pick = lambda *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (k % len(xs) + 1).cast("int"))
     place = pick("FERC", "SPP", "PJM", "ERCOT", "DEMO", "OTHER")
-    rows = _t(spark, sf_dir, "customer").select(
-        k.alias("k"), F.concat(F.lit("scn-"), k.cast("string")).alias("scenario_id"), place.alias("jurisdiction"), place.alias("market"), (k % 300 + 10).cast("double").alias("peak_mw"), (k % 11 * 5).cast("double").alias("commitment_depth_pct"),
+    county = normalize.county(F.concat(F.translate("n_name", "_0123456789", " abcdefghij"), F.lit(" County")))
+    rows = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        k.alias("k"), F.concat(F.lit("scn-"), k.cast("string")).alias("scenario_id"), place.alias("jurisdiction"), F.when(k % 10 == 0, "NOWHERE").otherwise(adapter.MARKET).alias("market"), county.alias("county"), (k % 300 + 10).cast("double").alias("peak_mw"), (k % 11 * 5).cast("double").alias("commitment_depth_pct"),
         (k % 4 + 1).cast("double").alias("event_duration_hours"), F.lit(20).alias("events_per_year"), F.when(k % 7 != 0, k % 5 != 0).alias("dispatchable_or_curtailable"), F.when(k % 13 != 0, F.lit(True)).alias("metering_or_control_capability"), (k % 2 == 0).alias("colocated_generation"),
         F.when(k % 3 != 0, (k % 50 * 1000).cast("double")).alias("value_per_day_usd"), pick("AI Data Center Load", "Battery", "Solar + Storage", "Wind").alias("project_type"), F.when(k % 19 != 0, (k % 5 * 100).cast("double")).alias("interconnection_voltage_kv"),
         pick("serial_after_approval", "procurement_started", "at_risk_overlap").alias("procurement_strategy"),
@@ -289,12 +333,9 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.lit(seeds.ASSUMPTION[c]) for c in flexibility.ASSUMPTION_COSTS})
 
 
-def _rollups(scn: DataFrame) -> DataFrame:
-    k = F.col("k")
-    return scn.select(
-        "scenario_id", F.col("scenario_id").alias("request_id"), F.lit("m").alias("metric_id"), (k % 200).alias("sample_n"), F.lit("market_all").alias("fallback_level"), F.when(k % 17 == 0, "Insufficient").when(k % 2 == 0, "High").otherwise("Low").alias("confidence"),
-        F.when(k % 17 != 0, (k % 700 + 30).cast("double")).alias("median_duration_days"), F.when(k % 17 != 0, (k % 700 + 100).cast("double")).alias("p75_duration_days"), F.lit("s").alias("source_snapshot_id"),
-    )
+def _rollups(spark: SparkSession, sf_dir: str, scn: DataFrame) -> DataFrame:
+    """Each scenario's rollup of the records: its county and stand-in fuel, or the next wider scope with enough of them."""
+    return rollup.rollup(_records(spark, sf_dir), timeline.baseline_requests(scn)).withColumn("scenario_id", F.col("request_id"))
 
 
 def compute_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,9 +348,15 @@ def eligibility_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("scenario_id", "rule_id", "rule_status", "eligibility_status", "eligibility_confidence", F.size("missing_criteria").alias("missing"), F.size("mismatched_criteria").alias("mismatched"))
 
 
+def eligibility_by_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix again, its criteria checked by a caller's table function."""
+    found = flexibility.eligibility(scenarios(spark, sf_dir), seeds.rules(spark), evaluate=flexibility.checked_criteria())
+    return found.select("scenario_id", "rule_id", "rule_status", "eligibility_status", "eligibility_confidence", F.size("missing_criteria").alias("missing"), F.size("mismatched_criteria").alias("mismatched"))
+
+
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     scn = scenarios(spark, sf_dir)
-    return flexibility.sweep(scn, seeds.rules(spark), _rollups(scn))
+    return flexibility.sweep(scn, seeds.rules(spark), _rollups(spark, sf_dir, scn))
 
 
 def tradeoff_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,7 +397,7 @@ def missing_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     scn, rules = scenarios(spark, sf_dir), seeds.rules(spark)
-    base = timeline.baseline(_rollups(scn))
+    base = timeline.baseline(_rollups(spark, sf_dir, scn))
     chosen = flexibility.best_rule(flexibility.eligibility(scn, rules), ["scenario_id"])
     flex = timeline.flex_adjusted(flexibility.benefit(chosen.join(base, "scenario_id")))
     path = procurement.critical_path(procurement.equipment_scope(scn), _lead(spark, sf_dir), AS_OF)
@@ -367,8 +414,8 @@ def time_to_power_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    normalize_records, quality_flag_counts, status_counts, source_snapshot_counts, keyword_guard, text_functions, rollup_scopes, rollup_precompute, rollup_fallback, national_metrics, national_by_type, independent_checks, reconciled_orders, snapshot_diff, diff_counts, change_events,
-    hard_alerts, top_alerts, digest_sections, entity_dimension, entity_audit, entity_audit_counts, id_overlap, comparables, resolve_links, source_change_events, latest_hashes, monthly_event_counts, compute_costs, eligibility_matrix, tradeoff_sweep,
+    normalize_records, quality_flag_counts, status_counts, source_snapshot_counts, keyword_guard, voted_dates, text_functions, rollup_scopes, rollup_precompute, rollup_fallback, national_metrics, national_by_type, independent_checks, reconciled_orders, snapshot_diff, diff_counts, change_events,
+    hard_alerts, top_alerts, digest_sections, entity_dimension, entity_audit, entity_audit_counts, id_overlap, comparables, resolve_links, contested_links, contested_diff, contested_audit_counts, source_change_events, latest_hashes, monthly_event_counts, compute_costs, eligibility_matrix, eligibility_by_udtf, tradeoff_sweep,
     tradeoff_recommendation, lead_time_conflicts, equipment_scopes, critical_paths, missing_classes, time_to_power, time_to_power_components, *exchange.QUERIES,
 )
 

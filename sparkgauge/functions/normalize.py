@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import dates
 from .text import clean_text, col, compact, flags, hashed_id, is_missing
 
 #: The headers that each canonical field goes by; of several in a file the first listed one counts.
@@ -45,8 +46,6 @@ STATUSES = {
     "Suspended": ("suspended", "on hold", "inactive"),
     "Active": ("active", "studying", "in progress", "pending", "planned", "under review"),
 }
-#: Date formats that are tried in turn; what fits none is null.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy", "M/d/yyyy HH:mm:ss", "M/d/yy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd", "yyyyMMdd")
 DATES = ("request_date", "target_cod", "actual_cod", "withdrawn_date", "interconnection_agreement_date", "last_updated_date")
 
 
@@ -105,9 +104,8 @@ def capacity(c: Column | str) -> Column:
     return F.when(~is_missing(c), F.nullif(found, F.lit("")).try_cast("double"))
 
 
-def date(c: Column | str) -> Column:
-    text = F.trim(col(c).cast("string"))
-    return F.when(~is_missing(c), F.coalesce(*(F.try_to_date(text, f) for f in DATE_FORMATS)))
+#: A date of any usual format.
+date = dates.parse
 
 
 def quality_flags(queue_id: Column, name: Column, fuel_text: Column, fuel_class: Column, status_text: Column, status_class: Column, mw: Column, place: Column) -> Column:
@@ -121,16 +119,22 @@ def quality_flags(queue_id: Column, name: Column, fuel_text: Column, fuel_class:
     )
 
 
-def normalize(raw: DataFrame, market: Column | str, snapshot_id: Column | str, snapshot_date: Column | str, row_id: Column | str, map_poi_location: bool = False) -> DataFrame:
+def normalize(raw: DataFrame, market: Column | str, snapshot_id: Column | str, snapshot_date: Column | str, row_id: Column | str, map_poi_location: bool = False, vote_by: Sequence[str] = ()) -> DataFrame:
     """One normalized record per raw row; ``raw``'s headers are matched by alias, all its columns are read as text.
 
     Ids are hashes of snapshot and row, so a second run gives the same ones. ``map_poi_location`` also reads the header
-    "POI Location", which by default is no alias.
+    "POI Location", which by default is no alias. Dates put the month first where both numbers may be one; with
+    ``vote_by`` (columns of ``raw`` that name a file or snapshot) each of its columns decides by its other values.
     """
     headers = resolve_headers(raw.columns)
     if map_poi_location and "point_of_interconnection" not in headers:
         headers |= {"point_of_interconnection": h for h in raw.columns if clean_key(h) == "poi location"}
     value = {f: F.col(f"`{headers[f]}`") if f in headers else F.lit(None).cast("string") for f in ALIASES}
+    day_first = {}
+    if vote_by:
+        asked = {f: headers[f] for f in DATES if f in headers}
+        raw = dates.with_votes(raw, list(asked.values()), vote_by)
+        day_first = {f: F.try_element_at("_day_first", F.lit(h)) for f, h in asked.items()}
     as_col = lambda c: F.lit(c) if isinstance(c, str) else c
     text = {f: clean_text(value[f]) for f in ("queue_id", "project_name", "interconnecting_entity", "point_of_interconnection", "transmission_owner", "fuel_type", "status")}
     rows = raw.select(
@@ -138,7 +142,7 @@ def normalize(raw: DataFrame, market: Column | str, snapshot_id: Column | str, s
         col(row_id).cast("string").alias("raw_record_id"), *(c.alias(f) for f, c in text.items()),
         project_name(value["project_name"]).alias("normalized_project_name"), county(value["county"]).alias("county"), state(value["state"]).alias("state"),
         fuel(value["fuel_type"]).alias("normalized_fuel_type"), capacity(value["capacity_mw"]).alias("capacity_mw"), status(value["status"]).alias("normalized_status"),
-        *(date(value[f]).alias(f) for f in DATES),
+        *(dates.parse(value[f], day_first.get(f, False)).alias(f) for f in DATES),
     )
     return rows.withColumns(
         {

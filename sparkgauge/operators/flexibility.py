@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.udtf import UserDefinedTableFunction
 
 #: Rule statuses by what they allow, and the order in which results are preferred.
 CONTINGENT = ("proposed", "pending", "directed", "needs_review")
@@ -83,14 +84,52 @@ def _criteria() -> tuple[list[Column], list[Column], list[Column]]:
     return matched, missing, wrong
 
 
-def eligibility(scenarios: DataFrame, rules: DataFrame) -> DataFrame:
+#: The scenario's fields that criteria look at, and what a table function that checks them returns.
+FACTS = ("jurisdiction", "market", "peak_mw", "commitment_depth_pct", *dict.fromkeys(BOOLEANS.values()))
+CHECKED = "matched_criteria array<string>, missing_criteria array<string>, mismatched_criteria array<string>"
+
+
+def checked_criteria():
+    """The built-in criteria as a table function, for callers to start their own from: a row of names for one rule."""
+
+    @F.udtf(returnType=CHECKED)
+    class Checked:
+        def eval(self, criteria: Row, facts: Row):
+            outcome = {"matched": [], "missing": [], "wrong": []}
+            place = criteria["market_or_jurisdiction"] if criteria else None
+            if place is not None:
+                outcome["matched" if place in (facts["jurisdiction"], facts["market"]) else "wrong"].append("market_or_jurisdiction")
+            for key, value in (("peak_mw_threshold", facts["peak_mw"]), ("commitment_depth_pct_min", facts["commitment_depth_pct"])):
+                least = criteria[key] if criteria else None
+                if least is not None and value is not None:
+                    outcome["matched" if value >= least else "wrong"].append(key)
+            for key, field in BOOLEANS.items():
+                if criteria and criteria[key]:
+                    said = facts[field]
+                    outcome["missing" if said is None else "matched" if said else "wrong"].append(key)
+            yield outcome["matched"], outcome["missing"], outcome["wrong"]
+
+    return Checked
+
+
+def eligibility(scenarios: DataFrame, rules: DataFrame, evaluate=None) -> DataFrame:
     """A row for each scenario and applicable rule: matched, missing and mismatched criteria, and the status they give.
 
     Anything missing makes it ambiguous, then anything mismatched not eligible; else the rule's own status decides.
+    ``evaluate`` checks the criteria instead: a function of (criteria, facts), two structs, that gives the three arrays
+    of ``CHECKED`` - as a struct, if it is a function of columns, or as rows, if it is a table function (then a rule
+    that it gives no row doesn't apply, and one with several rows counts once a row).
     """
     present = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    matched, missing, wrong = _criteria()
-    rows = applicable_rules(scenarios, rules).withColumns({"matched_criteria": present(matched), "missing_criteria": present(missing), "mismatched_criteria": present(wrong)})
+    rows = applicable_rules(scenarios, rules)
+    if evaluate is None:
+        matched, missing, wrong = _criteria()
+        rows = rows.withColumns({"matched_criteria": present(matched), "missing_criteria": present(missing), "mismatched_criteria": present(wrong)})
+    elif isinstance(evaluate, UserDefinedTableFunction):
+        rows = rows.withColumn("_facts", F.struct(*FACTS))
+        rows = rows.lateralJoin(evaluate(F.col("criteria").outer(), F.col("_facts").outer())).drop("_facts")
+    else:
+        rows = rows.withColumn("_checked", evaluate(F.col("criteria"), F.struct(*FACTS)).cast(f"struct<{CHECKED}>")).select("*", "_checked.*").drop("_checked")
     status = (
         F.when(F.col("rule_id").isNull(), F.lit(None))
         .when(F.size("missing_criteria") > 0, "ambiguous").when(F.size("mismatched_criteria") > 0, "not_eligible")

@@ -55,6 +55,25 @@ _NATIONAL = """
                    CASE WHEN lines > 3 THEN 10.0 END AS mw_2, o_orderdate::DATE AS q_date, CASE WHEN o_orderstatus <> 'O' THEN last END AS fin
             FROM orders JOIN places ON c_custkey = o_custkey LEFT JOIN ends ON l_orderkey = o_orderkey)"""
 
+#: Suppliers with twins before and copies after: ``cb``, ``ca`` (with the link each gets) and ``cev`` (events).
+_CONTESTED = """WITH s AS (SELECT s_suppkey AS k, abs(floor(s_acctbal / 50))::DOUBLE AS mw FROM supplier),
+    cb AS (SELECT k, 'sup_1-' || k AS record_id FROM s WHERE k % 29 <> 0 UNION ALL SELECT k, 'sup_1-' || k || '-T' FROM s WHERE k % 29 <> 0 AND k % 2 = 1),
+    ca0 AS (SELECT k, mw, 'sup_2-' || k AS record_id, k % 3 <> 0 AS has_id FROM s WHERE k % 23 <> 0 UNION ALL SELECT k, mw, 'sup_2-' || k || '-C', false FROM s WHERE k % 23 <> 0 AND k % 4 = 0),
+    ca AS (
+        SELECT k, mw, record_id, has_id AND k % 29 <> 0 AS same_id,
+               CASE WHEN k % 29 <> 0 THEN least(round((0.22 + 0.10 + 0.09 + 0.04 + 0.10 + 0.04 + 0.07 + CASE WHEN has_id THEN 0.38 ELSE 0 END
+                   + CASE WHEN k % 7 <> 0 OR mw <= greatest(5.0, 0.04 * mw) THEN 0.10 WHEN mw <= greatest(10.0, 0.2 * mw) THEN 0.04 ELSE 0 END)::DOUBLE, 4), 1.0) END AS score,
+               CASE WHEN k % 29 <> 0 THEN 'sup_1-' || k END AS before_id,
+               CASE WHEN k % 29 = 0 THEN 'new' WHEN k % 2 = 1 AND NOT has_id THEN 'torn' WHEN k % 4 = 0 AND record_id NOT LIKE '%-C' THEN 'new' ELSE 'linked' END AS verdict FROM ca0),
+    moved AS (SELECT *, k % 7 = 0 AND mw > greatest(5.0, 0.04 * mw) AS other_size, k % 5 = 0 AS other_name FROM ca WHERE verdict = 'linked'),
+    cev AS (
+        SELECT 'capacity_changed' AS event_type, 'medium' AS severity, before_id AS before_record_id, record_id AS after_record_id, score AS confidence FROM moved WHERE other_size
+        UNION ALL SELECT 'name_changed', 'info', before_id, record_id, score FROM moved WHERE other_name
+        UNION ALL SELECT 'unchanged', 'info', before_id, record_id, score FROM moved WHERE NOT other_size AND NOT other_name
+        UNION ALL SELECT 'ambiguous_match', 'warning', NULL, record_id, score FROM ca WHERE verdict = 'torn'
+        UNION ALL SELECT 'new_project', 'info', NULL, record_id, 0.9 FROM ca WHERE verdict = 'new'
+        UNION ALL SELECT 'removed_project', 'warning', record_id, NULL, 1.0 FROM cb WHERE record_id NOT IN (SELECT before_id FROM ca WHERE verdict = 'linked'))"""
+
 _CAPTURES = f"""
     cap AS (SELECT 'watch_' || user_id AS watch_source_id, event_id AS captured_at, user_id,
                    CASE WHEN event_id % 41 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'a final notice' WHEN event_id % 5 = 0 THEN 'an order is pending' ELSE event_type END AS txt FROM events),
@@ -65,12 +84,13 @@ _CAPTURES = f"""
                   user_id % 4 <> 0 AND (list_contains(kw, 'final') OR (list_contains(kw, 'order') AND user_id % 3 = 0)) AS review FROM prev)"""
 
 _SCENARIOS = f"""
-    scn AS (
+    scn0 AS (
         SELECT c_custkey AS k, 'scn-' || c_custkey AS scenario_id, ['FERC', 'SPP', 'PJM', 'ERCOT', 'DEMO', 'OTHER'][(c_custkey % 6 + 1)::INT] AS jurisdiction, (c_custkey % 300 + 10)::DOUBLE AS peak_mw, (c_custkey % 11 * 5)::DOUBLE AS depth,
                (c_custkey % 4 + 1)::DOUBLE AS hours, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 <> 0 END AS disp, CASE WHEN c_custkey % 13 <> 0 THEN true END AS meter, c_custkey % 2 = 0 AS coloc,
                CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 50 * 1000)::DOUBLE END AS val, c_custkey % 4 AS kind, CASE WHEN c_custkey % 19 <> 0 THEN (c_custkey % 5 * 100)::DOUBLE END AS kv, c_custkey % 3 AS strategy,
-               CASE WHEN c_custkey % 17 = 0 THEN 'Insufficient' WHEN c_custkey % 2 = 0 THEN 'High' ELSE 'Low' END AS conf, CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 700 + 30)::DOUBLE END AS med, CASE WHEN c_custkey % 17 <> 0 THEN (c_custkey % 700 + 100)::DOUBLE END AS p75
-        FROM customer),
+               CASE WHEN c_custkey % 10 = 0 THEN 'NOWHERE' ELSE 'SYN' END AS asked_market, array_to_string(list_transform(string_split(translate(n_name, '_0123456789', ' abcdefghij'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS asked_county,
+               ['Battery', 'Battery', 'Hybrid', 'Wind'][(c_custkey % 4 + 1)::INT] AS asked_fuel
+        FROM customer JOIN nation ON n_nationkey = c_nationkey),
     rules AS (SELECT * FROM {_values([(i, r[0], r[1], r[4], r[5].get('market_or_jurisdiction'), r[5].get('peak_mw_threshold'), r[5].get('commitment_depth_pct_min'), r[5].get('curtailability_required', False), r[5].get('metering_or_control_required', False), r[5].get('colocation_required', False)) for i, r in enumerate(seeds.RULES)], 'pos, rule_id, rj, rule_status, place, min_mw, min_depth, curt, met, col')}),
     pts AS (SELECT * FROM {_values([(r[0], *p) for r in seeds.RULES if r[6] for p in r[6]], 'rule_id, pd, pdays')})"""
 
@@ -153,7 +173,12 @@ def all_sql(adapter: str) -> dict[str, str]:
                   CASE event_type WHEN 'new_project' THEN 'system_suggested_true_new' WHEN 'removed_project' THEN 'system_suggested_true_removed_not_withdrawn' WHEN 'withdrawn_project' THEN 'system_suggested_true_withdrawn'
                        WHEN 'completed_project' THEN 'system_suggested_true_completed' WHEN 'fuel_type_changed' THEN 'possible_reclassification' WHEN 'name_changed' THEN 'possible_id_name_drift' ELSE 'system_suggested_' || event_type END FROM ev WHERE event_type NOT IN ('unchanged', 'poi_changed'))"""
     fuels = "CASE WHEN contains(f, 'hybrid') OR contains(f, 'pv+bess') THEN 'Hybrid' WHEN contains(f, 'battery') OR contains(f, 'bess') OR contains(f, 'storage') OR contains(f, 'ess') THEN 'Battery' WHEN contains(f, 'solar') OR contains(f, 'pv') THEN 'Solar' WHEN contains(f, 'wind') THEN 'Wind' WHEN contains(f, 'gas') OR contains(f, 'ct') THEN 'Gas' ELSE 'Other' END"
-    scn = lambda select, more="": f"WITH {_SCENARIOS}{more} {select}"
+    scn = lambda select, more="": f"WITH {_SCENARIOS}, scn AS (SELECT *, NULL::VARCHAR AS conf, NULL::DOUBLE AS med, NULL::DOUBLE AS p75 FROM scn0){more} {select}"
+    measured = """, scn AS (
+        SELECT scn0.*, CASE WHEN sample_n IS NULL THEN 'Insufficient' WHEN sample_n >= 100 THEN 'High' WHEN sample_n >= 30 THEN 'Medium' ELSE 'Low' END AS conf, median_duration_days AS med, p75_duration_days AS p75
+        FROM scn0 LEFT JOIN sc ON asked_market = 'SYN' AND sample_n >= 30 AND CASE fallback_level WHEN 'county_fuel' THEN county = asked_county AND fuel_type = asked_fuel WHEN 'county_all_fuels' THEN county = asked_county WHEN 'market_fuel' THEN fuel_type = asked_fuel ELSE true END
+        QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY list_position(['county_fuel', 'county_all_fuels', 'market_fuel', 'market_all'], fallback_level)) = 1)"""
+    rated = lambda select, more="": f"WITH {adapter}{scopes}, {_SCENARIOS.strip()}{measured}{more} {select}"
     levels = f", lv AS (SELECT scn.* REPLACE (l::DOUBLE AS depth) FROM scn, (SELECT unnest({list(DEPTHS)!r}) AS l))"
     net = f"CASE WHEN benefit_status = 'quantified' AND val IS NOT NULL THEN round(round(days * val - round({_USD}, 2), 2), 0) END"
     swept = f"{levels}{_eligible('lv', 'scenario_id, depth')}"
@@ -211,6 +236,13 @@ def all_sql(adapter: str) -> dict[str, str]:
             SELECT 'sup_1-' || k AS record_id, 'sup_1' AS snapshot_id, 1.0::DOUBLE AS match_score, 'first_snapshot_seed' AS match_method, false AS is_ambiguous, NULL AS candidate_record_id FROM s WHERE k % 29 <> 0
             UNION ALL SELECT 'sup_2-' || k, 'sup_2', CASE WHEN k % 29 <> 0 THEN least(round(score::DOUBLE, 4), 1.0) END, CASE WHEN k % 29 = 0 THEN 'new_entity' WHEN score >= 0.76 THEN 'high_confidence_match' ELSE 'possible_match' END,
                              false, CASE WHEN k % 29 <> 0 THEN 'sup_1-' || k END FROM m WHERE k % 23 <> 0""",
+        "contested_links": f"""{_CONTESTED} SELECT record_id, 'sup_1' AS snapshot_id, 1.0::DOUBLE AS match_score, 'first_snapshot_seed' AS match_method, false AS is_ambiguous, NULL AS candidate_record_id FROM cb
+            UNION ALL SELECT record_id, 'sup_2', score, CASE verdict WHEN 'linked' THEN CASE WHEN score >= 0.76 THEN 'high_confidence_match' ELSE 'possible_match' END WHEN 'torn' THEN 'ambiguous_possible_match' ELSE 'new_entity' END, verdict = 'torn', before_id FROM ca""",
+        "contested_diff": f"{_CONTESTED} SELECT event_type, severity, before_record_id, after_record_id, confidence FROM cev",
+        "contested_audit_counts": f"""{_CONTESTED} SELECT count(*) FILTER (label = 'id') AS exact_matches, count(*) FILTER (label = 'fuzzy') AS fuzzy_matches, (SELECT count(*) FROM ca WHERE verdict = 'torn') AS ambiguous_matches, (SELECT count(*) FROM ca WHERE verdict = 'new') AS true_additions,
+            (SELECT count(*) FROM cev WHERE event_type = 'removed_project') AS true_removals_or_missing, 0::BIGINT AS true_withdrawals, 0::BIGINT AS true_completed, 0::BIGINT AS reclassifications
+            FROM (SELECT CASE WHEN same_id THEN 'id' WHEN score >= 0.76 THEN 'fuzzy' ELSE 'possible' END AS label FROM ca WHERE verdict = 'linked')""",
+        "voted_dates": "SELECT o_orderkey, o_orderdate::DATE AS asked, o_orderdate::DATE + 30 AS due FROM orders",
         "source_change_events": f"""WITH {_CAPTURES} SELECT watch_source_id, captured_at, CASE WHEN user_id % 4 = 0 THEN 'flexibility_rule' ELSE 'regulatory' END AS event_domain,
             CASE parse_status WHEN 'failed' THEN 'source_parse_failed' WHEN 'unchanged' THEN 'source_unchanged' ELSE CASE WHEN review THEN 'rule_needs_review' ELSE 'rule_source_changed' END END AS event_type, parse_status, content_hash, previous_content_hash,
             array_to_string(kw, ',') AS keywords, CASE parse_status WHEN 'failed' THEN 0.4 ELSE 0.9 END::DOUBLE AS confidence, parse_status = 'failed' AS is_ambiguous, parse_status = 'changed' AS is_hard_alert FROM st""",
@@ -218,13 +250,14 @@ def all_sql(adapter: str) -> dict[str, str]:
         "monthly_event_counts": "SELECT ts::DATE AS day, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY ALL",
         "compute_costs": scn(f"SELECT scenario_id, round({_COST}, 2) AS annual_curtailed_mwh, round(({_COST}) * 1000.0 / 0.7, 1) AS gpu_hours_impacted, round({_USD}, 1) AS estimated_compute_cost_usd, depth > 25 OR hours > 3 AS is_extrapolated FROM scn"),
         "eligibility_matrix": scn("SELECT scenario_id, rule_id, rule_status, eligibility_status, CASE WHEN eligibility_status IN ('not_eligible', 'eligible') THEN 'Medium' ELSE 'Low' END AS eligibility_confidence, missing, mismatched FROM el", _eligible("scn", "scenario_id")),
-        "tradeoff_sweep": scn(f"SELECT scenario_id, depth AS commitment_depth_pct, eligibility_status, benefit_status, base AS baseline_timeline_days, days AS estimated_timeline_delta_days, round(base - days, 2) AS with_flex_timeline_days, {net} AS net_benefit_score FROM be", swept),
-        "tradeoff_recommendation": scn("SELECT scenario_id, CASE WHEN count(net) > 0 THEN 'max_net_benefit_under_assumptions' ELSE 'scenario_comparison_only' END AS mode, arg_max(depth, (net, -depth)) FILTER (net IS NOT NULL) AS commitment_depth_pct, max(net) AS net_benefit_score FROM q GROUP BY 1", f"{swept}, q AS (SELECT scenario_id, depth, {net} AS net FROM be)"),
+        "eligibility_by_udtf": scn("SELECT scenario_id, rule_id, rule_status, eligibility_status, CASE WHEN eligibility_status IN ('not_eligible', 'eligible') THEN 'Medium' ELSE 'Low' END AS eligibility_confidence, missing, mismatched FROM el", _eligible("scn", "scenario_id")),
+        "tradeoff_sweep": rated(f"SELECT scenario_id, depth AS commitment_depth_pct, eligibility_status, benefit_status, base AS baseline_timeline_days, days AS estimated_timeline_delta_days, round(base - days, 2) AS with_flex_timeline_days, {net} AS net_benefit_score FROM be", swept),
+        "tradeoff_recommendation": rated("SELECT scenario_id, CASE WHEN count(net) > 0 THEN 'max_net_benefit_under_assumptions' ELSE 'scenario_comparison_only' END AS mode, arg_max(depth, (net, -depth)) FILTER (net IS NOT NULL) AS commitment_depth_pct, max(net) AS net_benefit_score FROM q GROUP BY 1", f"{swept}, q AS (SELECT scenario_id, depth, {net} AS net FROM be)"),
         "lead_time_conflicts": f"WITH {_LEAD} SELECT lead_time_id, equipment_class, is_stale, count(DISTINCT (low, high)) OVER (PARTITION BY equipment_class, band) > 1 AS conflict_flag FROM ld",
         "equipment_scopes": scn("SELECT scenario_id, position::INT AS position, equipment_class, 'scope_' || replace(replace(replace(lower(equipment_class), ' ', '_'), '/', ''), '-', '_') AS scope_item_id, CASE WHEN equipment_class IS NULL THEN 'insufficient_data' ELSE 'generated_planning_model' END AS scope_mode FROM scope", _SCOPE),
         "critical_paths": scn("SELECT * FROM path", path),
         "missing_classes": scn("SELECT DISTINCT equipment_class FROM scope WHERE equipment_class IS NOT NULL AND equipment_class NOT IN (SELECT equipment_class FROM ld)", path),
-        "time_to_power": scn(
+        "time_to_power": rated(
             f"""SELECT scenario_id, benefit_status, {', '.join(f'{v} AS {k}' for k, v in total.items())},
                 CASE WHEN bl IS NULL THEN 'insufficient_interconnection_baseline' WHEN unsupported_flag THEN 'insufficient_procurement_data' WHEN conflict_flag THEN 'conflicting_procurement_data' WHEN stale_flag THEN 'stale_procurement_data' ELSE 'complete' END AS estimate_status,
                 CASE WHEN benefit_status = 'quantified' THEN 'flex' ELSE 'no_flex' END || CASE strategy WHEN 2 THEN '_overlap' ELSE '_serial' END AS selected_case,
@@ -232,7 +265,7 @@ def all_sql(adapter: str) -> dict[str, str]:
                 ['insufficient', 'low', 'medium', 'high'][least(list_position(['Insufficient', 'Low', 'Medium', 'High'], conf), list_position(['insufficient', 'low', 'medium', 'high'], procurement_confidence))] AS estimate_confidence FROM y""",
             estimates,
         ),
-        "time_to_power_components": scn(" UNION ALL ".join(f"SELECT scenario_id, {i} AS position, '{k}' AS component_type, ({lo})::DOUBLE AS low_days, ({hi})::DOUBLE AS high_days, '{src}' AS source_type FROM y" for i, (k, lo, hi, src) in enumerate(parts)), estimates),
+        "time_to_power_components": rated(" UNION ALL ".join(f"SELECT scenario_id, {i} AS position, '{k}' AS component_type, ({lo})::DOUBLE AS low_days, ({hi})::DOUBLE AS high_days, '{src}' AS source_type FROM y" for i, (k, lo, hi, src) in enumerate(parts)), estimates),
     }
 
 

@@ -124,11 +124,12 @@ def manual_snapshot(spark: SparkSession, path: str, market: str, today: datetime
     return raw.withColumns({"snapshot_id": F.lit(name), "snapshot_date": F.lit(date), "_copy": F.lit(1)}), dated.withColumn("market", F.lit(market))
 
 
-def normalized(raw: DataFrame, market: str, map_poi_location: bool = False) -> DataFrame:
+def normalized(raw: DataFrame, market: str, map_poi_location: bool = False, vote_dates: bool = False) -> DataFrame:
     """Normalized records of rows with ``snapshot_id``, ``snapshot_date`` and ``_file``.
 
     A row of ``snapshots`` goes by its file's hash and its number in the file. Other rows, which have no number, go by a
-    hash of their content; those that are equal in every column get their number among each other, so all of them stay.
+    hash of their content; those that are equal in every column get their number among each other, so all of them stay. With ``vote_dates`` each
+    file's date columns decide whether the day or the month comes first; that reads the rows twice.
     """
     if {"_row", "_copy", "file_hash"} <= set(raw.columns):
         numbered = raw.withColumn("_raw_id", hashed_id("raw", "file_hash", "_copy", "_row"))
@@ -137,7 +138,7 @@ def normalized(raw: DataFrame, market: str, map_poi_location: bool = False) -> D
         found = raw.withColumn("_content", hashed_id("raw", *(f"`{c}`" for c in columns)))
         found = found.withColumn("_again", F.row_number().over(Window.partitionBy("snapshot_id", "_content").orderBy("_file")))
         numbered = found.withColumn("_raw_id", F.concat_ws("_", "_content", "_again")).drop("_content", "_again")
-    return normalize.normalize(numbered, market, F.col("snapshot_id"), F.col("snapshot_date"), "_raw_id", map_poi_location)
+    return normalize.normalize(numbered, market, F.col("snapshot_id"), F.col("snapshot_date"), "_raw_id", map_poi_location, ("_file",) if vote_dates else ())
 
 
 def discovered(listing: DataFrame, report: str) -> DataFrame:

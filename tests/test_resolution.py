@@ -130,3 +130,13 @@ def test_audit_and_entities(months, links):
     assert {r["queue_id"] for r in audit.id_overlap(records.where(F.col("snapshot_id") == a), records.where(F.col("snapshot_id") == b)).collect()} == {"A-1", "A-3", "A-4", "A-5", "A-8"}
     named = {r["project_name"]: r for r in resolve.entities(records, links).collect()}
     assert named["Copper Ridge Solar LLC"]["records"] == 2 and named["Copper Ridge Solar LLC"]["capacity_mw"] == 180.0
+
+
+def test_twins_and_copies_of_suppliers(spark, sf):
+    """Blocked and exact resolution agree where records are torn between twins and where two want one entity."""
+    rows = catalog.supplier_records(spark, sf, contested=True)
+    show = lambda links: sorted((r["record_id"], r["entity_id"], r["match_method"], r["is_ambiguous"]) for r in links.collect())
+    blocked = resolve.resolve_market(rows)
+    assert show(blocked) == show(resolve.resolve_market(rows, "exact"))
+    assert blocked.where("is_ambiguous").count() > 0
+    assert blocked.where("record_id like '%-C' and match_method = 'new_entity'").count() == 0

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkgauge import catalog
 from sparkgauge.operators import flexibility, procurement, timeline
 from sparkgauge.plans import seeds
 
@@ -109,3 +110,22 @@ def test_lead_times_use_their_own_threshold(spark):
 def test_rules_with_sources(spark):
     rows = flexibility.rules_with_sources(seeds.rules(spark), seeds.rule_sources(spark), include_context=False).collect()
     assert len(rows) == 5 and all(len(r["citations"]) == 1 for r in rows)
+
+
+def test_criteria_by_a_callers_function(spark, sf):
+    """A table function like the built-in one agrees with it; another one, or a function of columns, decides instead."""
+    scn, rules = catalog.scenarios(spark, sf), seeds.rules(spark)
+    show = lambda df: sorted(map(str, df.select("scenario_id", "rule_id", "eligibility_status", *(F.sort_array(c) for c in ("matched_criteria", "missing_criteria", "mismatched_criteria"))).collect()))
+    assert show(flexibility.eligibility(scn, rules, evaluate=flexibility.checked_criteria())) == show(flexibility.eligibility(scn, rules))
+    none = F.array().cast("array<string>")
+    lax = flexibility.eligibility(scn, rules, evaluate=lambda criteria, facts: F.struct(none, F.when(facts["peak_mw"] < 50, F.array(F.lit("size"))).otherwise(none), none))
+    assert lax.where("eligibility_status = 'ambiguous'").count() == scn.where("peak_mw < 50").count() > 0
+    assert lax.where("eligibility_status = 'not_eligible'").count() == 0
+
+
+def test_scenarios_ask_the_records_rollups(spark, sf):
+    scn = catalog.scenarios(spark, sf)
+    found = {r["scenario_id"]: r for r in catalog._rollups(spark, sf, scn).collect()}
+    assert len(found) == scn.count()
+    assert {found[r["scenario_id"]]["confidence"] for r in scn.where("market = 'NOWHERE'").collect()} == {"Insufficient"}
+    assert {r["fallback_level"] for r in found.values()} >= {"county_all_fuels", "none"}
