@@ -8,6 +8,7 @@ share of its words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from . import common, textvec
 
 UNKNOWN = "und"
-#: Rows of the feature table; training documents, those of a language, runs of words from each, and words of a run, at most.
-FEATURES, TRAIN_ROWS, ALIKE, RUNS, RUN = 1 << 16, 6_000, 1_000, 4, 32
-#: Runs joined to a training sequence; sequences of a step; steps; learning rate.
+#: Rows of the feature table; training documents and those of a language, at most; words of a run, of which a text has any number.
+FEATURES, TRAIN_ROWS, ALIKE, RUN = 1 << 16, 6_000, 1_000, 32
+#: Runs joined to a training sequence; sequences of a step; steps at least; learning rate.
 JOINED, BATCH, STEPS, RATE, SEED = 3, 64, 240, 0.08, 5
 REMEMBERED = 250_000
 SLICE = 2 << 20
@@ -171,6 +172,54 @@ def predict(model: Model, known: Known, texts: list[str]) -> tuple[list[str], np
     return names, np.where(total > 0, share.max(1, initial=0.0) / np.maximum(total, 1e-300), 0.0)
 
 
+def spans(model: Model, known: Known, text: str) -> list[tuple[int, int, str, float]]:
+    """(start, length, label, mean probability) of each stretch of words of one likeliest label, in characters of the text.
+
+    Words without letters go with the stretch before them; those before the first word with a letter are in none.
+    """
+    rows = known.rows([text])[0]
+    if not len(rows) or not len(model.labels):
+        return []
+    p = forward_backward(known.table[rows], np.array([len(rows)], np.int64), model.transitions)
+    found: list[list] = []
+    for word, row, share in zip(re.finditer(r"\S+", text), rows, p, strict=True):
+        label = model.labels[share.argmax()]
+        if row and (not found or found[-1][2] != label):
+            found.append([word.start(), word.end(), label, 0.0, 0])
+        if found:
+            found[-1][1] = word.end()
+            if row:
+                found[-1][3] += share.max()
+                found[-1][4] += 1
+    return [(a, b - a, label, float(total / n)) for a, b, label, total, n in found]
+
+
+def _spanned(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = model.value
+        known = Known(value)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("label", pa.string()), ("probability", pa.float64())]))
+        for batch in batches:
+            at = batch.schema.names.index("_text")
+            others = [i for i in range(batch.num_columns) if i != at]
+            for a, b, _, _ in textvec.slices(batch.column(at), SLICE):
+                texts = textvec.strings(batch.column(at).slice(a, b - a))
+                made = [[dict(zip(("start", "length", "label", "probability"), x, strict=True)) for x in spans(value, known, t or "")] for t in texts]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in others), pa.array(made, kind)], names=[*(batch.schema.names[i] for i in others), "spans"])
+
+    return run
+
+
+def label_spans(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and spans: the stretches of one language in each text, with their place, label and probability.
+
+    Null texts and texts without letters have none. Places count characters (code points) from 0.
+    """
+    rows = docs.select(*keep, F.col(text).alias("_text"))
+    fields = "array<struct<start:bigint,length:bigint,label:string,probability:double>>"
+    return rows.mapInArrow(common.lean(_spanned(docs.sparkSession.sparkContext.broadcast(model))), common.schema(rows, "_text", f"spans {fields}"))
+
+
 def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = model.value
@@ -187,22 +236,21 @@ def _predicted(model):
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most RUNS runs of RUN words from seeded places of each text."""
+    """All runs of RUN words of each text."""
     for batch in batches:
         langs, ids, runs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
         for i, text in enumerate(textvec.strings(batch.column(2))):
             words = (text or "").split()
-            random = np.random.default_rng([SEED, ids[i] & 0xFFFFFFFF])
-            places = range(-(-len(words) // RUN))
-            for place in places if len(places) <= RUNS else sorted(random.choice(len(places), RUNS, replace=False)):
-                runs.append((langs[i], ids[i], int(place), " ".join(words[place * RUN : (place + 1) * RUN])))
+            runs.extend((langs[i], ids[i], place, " ".join(words[place * RUN : (place + 1) * RUN])) for place in range(-(-len(words) // RUN)))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in runs], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], ["lang", "id", "place", "words"])
 
 
 def fit(runs: list[tuple[str, str]]) -> Model:
     """Weights and transitions by stochastic gradient ascent (Adagrad) on the likelihood of joined runs of words.
 
-    ``runs``: (language, words with spaces between). Without any, the model has no labels and predicts UNKNOWN.
+    ``runs``: (language, words with spaces between). Each language's runs are dealt in a seeded order, over and over,
+    for STEPS steps or until every run of every language has been learned from, whichever is more. Without any, the
+    model has no labels and predicts UNKNOWN.
     """
     labels = sorted({lang for lang, _ in runs})
     k = len(labels)
@@ -210,22 +258,35 @@ def fit(runs: list[tuple[str, str]]) -> Model:
     model = Model(labels, np.zeros((FEATURES, k)), np.zeros((k, k)))
     if k < 2:
         return model
-    split = [(number[lang], [w for w in map(letters, words.split()) if w]) for lang, words in runs]
-    every = sorted({w for _, words in split for w in words})
-    if not every:
+    codes: dict[str, int] = {}
+    by = [[] for _ in labels]
+    for lang, words in runs:
+        found = np.array([codes.setdefault(w, len(codes)) for w in map(letters, words.split()) if w], np.int32)
+        if len(found):
+            by[number[lang]].append(found)
+    if not codes:
         return model
-    trigrams, n, parts = word_features(every)
+    trigrams, n, parts = word_features(list(codes))
     ends = np.cumsum(n)
-    memo = {w: np.concatenate([trigrams[e - m : e], q[q < FEATURES]]) for w, e, m, q in zip(every, ends, n, parts, strict=True)}
-    data = [(y, [memo[w] for w in words]) for y, words in split if words]
+    memo = [np.concatenate([trigrams[e - m : e], q[q < FEATURES]]) for e, m, q in zip(ends, n, parts, strict=True)]
     random = np.random.default_rng(SEED)
-    by = [[d for d in data if d[0] == i] for i in range(k)]
-    by = [b for b in by if b]
-    g_w, g_t = np.full((FEATURES, k), 1e-4), np.full((k, k), 1e-2)
-    for _ in range(STEPS):
+    there = [i for i in range(k) if by[i]]
+    order = [random.permutation(len(b)) for b in by]
+    dealt = [0] * k
+
+    def deal() -> tuple[int, np.ndarray]:
         # languages are drawn alike, however many texts each has
-        picks = [[b[random.integers(len(b))] for b in (by[random.integers(len(by))] for _ in range(JOINED))] for _ in range(BATCH)]
-        words = [(y, f) for sequence in picks for y, found in sequence for f in found]
+        i = there[random.integers(len(there))]
+        at = order[i][dealt[i] % len(by[i])]
+        dealt[i] += 1
+        return i, by[i][at]
+
+    g_w, g_t = np.full((FEATURES, k), 1e-4), np.full((k, k), 1e-2)
+    step = 0
+    while step < STEPS or any(dealt[i] < len(by[i]) for i in there):
+        step += 1
+        picks = [[deal() for _ in range(JOINED)] for _ in range(BATCH)]
+        words = [(y, memo[w]) for sequence in picks for y, found in sequence for w in found]
         lengths = np.array([sum(len(found) for _, found in sequence) for sequence in picks], np.int64)
         y = np.array([w[0] for w in words])
         sizes = np.array([len(f) for _, f in words])
@@ -254,8 +315,8 @@ def train(docs: DataFrame, label: str = "lang", modulus: int = 3, held_out: int
     """The model from at most ``rows`` documents with a text and a label outside the held-out share.
 
     Languages share ``rows`` evenly (at least one document and at most ALIKE each, in a seeded order), so that a rare one
-    is learned as well as a common one; more languages than ``rows`` are an error. Of each document at most RUNS runs of
-    RUN words are learned from, and of rows that share a doc_id and label one text, the smallest. doc_id may have any type.
+    is learned as well as a common one; more languages than ``rows`` are an error. Whole texts are learned from; of rows
+    that share a doc_id and label one text, the smallest. doc_id may have any type.
     """
     known = docs.select(F.col("doc_id").cast("string").alias("_id"), F.col(label).alias("_lang"), F.col(text).alias("_text"), common.crc_mod("doc_id", modulus).alias("_part"))
     known = known.where(F.col("_id").isNotNull() & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.col("_part") != held_out)).drop("_part")

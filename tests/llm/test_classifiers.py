@@ -388,3 +388,46 @@ def test_toxicity_of_awkward_rows(spark, toxic_model):
     assert toxicity.score(frame(spark, []), toxic_model).count() == 0
     none = toxicity.detect(frame(spark), spark.createDataFrame([(None, None, None)], LABELS)).collect()
     assert {r["predicted"] for r in none} == {0}
+
+
+def _plain_labels(model, text):
+    """Label probabilities of each word by sums over all neighbours, one word after another."""
+    words = text.split()
+    k = len(model.labels)
+    e = [np.exp(model.emissions([language_id.letters(w)])[0]) if language_id.letters(w) else np.ones(k) for w in words]
+    a = np.exp(model.transitions)
+    forward, backward = [e[0]], [np.ones(k)]
+    for x in e[1:]:
+        forward.append(x * sum(forward[-1][i] * a[i] for i in range(k)))
+        forward[-1] = forward[-1] / forward[-1].sum()
+    for x in e[:0:-1]:
+        backward.append(sum(a[:, j] * x[j] * backward[-1][j] for j in range(k)))
+        backward[-1] = backward[-1] / backward[-1].sum()
+    p = np.array([f * b for f, b in zip(forward, backward[::-1], strict=True)])
+    return p / p.sum(1, keepdims=True), [bool(language_id.letters(w)) for w in words]
+
+
+def test_languages_against_a_plain_version(spark):
+    """Every prediction, score and span of the operator, from a plain chain over the words; all words are learned from."""
+    one, two = ["lorem", "ipsum", "dolor", "amet"], ["kvik", "brun", "raev", "hopper"]
+    long = " ".join(one * 100 + ["zzyzx"] * 4)
+    rows = [(i, " ".join((one if i % 2 else two)[(i + j) % 4] for j in range(40)), "a" if i % 2 else "b") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (1000, long, "a"), (1001, long, "a"), (1002, long, "a")], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    words = model.emissions(["zzyzx"])[0]
+    assert words[0] > words[1]  # the last words of a long text count
+    mixed = [(1, "lorem ipsum dolor 12 brun raev hopper kvik"), (2, "-- hopper"), (3, "..."), (4, None), (5, "")]
+    asked = spark.createDataFrame(mixed, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(asked, model).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in language_id.label_spans(asked, model).collect()}
+    for i, text in mixed:
+        if i > 2:
+            assert (got[i]["lang_pred"], got[i]["score"], spans[i]) == ("und", 0.0, [])
+            continue
+        p, real = _plain_labels(model, text)
+        share = p[real].sum(0)
+        assert got[i]["lang_pred"] == model.labels[share.argmax()]
+        assert abs(got[i]["score"] - share.max() / share.sum()) < 1e-9
+    assert [(mixed[0][1][s["start"] : s["start"] + s["length"]], s["label"]) for s in spans[1]] == [("lorem ipsum dolor 12", "a"), ("brun raev hopper kvik", "b")]
+    assert [(s["start"], s["length"], s["label"]) for s in spans[2]] == [(3, 6, "b")]
+    assert all(0.5 <= s["probability"] <= 1 for found in spans.values() for s in found)
