@@ -124,44 +124,57 @@ def _shared(q: int, total: Column, least: float) -> Column:
 
 
 def _size(total: Column, least: float) -> Column:
-    """The longest of three sizes of runs that two such texts must share one of; one character always is."""
-    return F.when(_shared(3, total, least) > 0, 3).when(_shared(2, total, least) > 0, 2).otherwise(1)
+    """The longest of four sizes of runs that two such texts must share one of; one character always is.
+
+    Four characters only where more than four runs are shared, so that the commonest runs of a text needn't be looked up.
+    """
+    return F.when(_shared(4, total, least) > 4, 4).when(_shared(3, total, least) > 0, 3).when(_shared(2, total, least) > 0, 2).otherwise(1)
 
 
-def similar_texts(before: DataFrame, after: DataFrame, least: float) -> DataFrame:
+def similar_texts(before: DataFrame, after: DataFrame, least: float, on: Sequence[str] = ()) -> DataFrame:
     """(b_text, a_text) of the texts (columns ``text``) with similarity at least ``least``, without comparing all with all.
+    ``on``: more columns of both, which come first in the result; only texts that have them in common are compared.
 
     The matcher's ratio is 2 m / (sum of lengths) for m common characters in order, so two such texts share a number of
-    runs of up to three characters, at places that differ by no more than characters are left over. With runs in the
+    runs of up to four characters, at places that differ by no more than characters are left over. With runs in the
     order of how many texts have them, the rarest of each text then have one in common: an equi-join on rare runs, and
-    lengths, ranks and places are part of its condition. The matcher decides what it finds.
+    lengths, ranks, places and edits (all characters that aren't common at most) are part of its condition, so what
+    leaves the join is little more than the result. The matcher decides what it finds.
     """
     distinct = lambda df: df.select("text").where("text <> ''").distinct()
 
     def runs(df: DataFrame, side: str) -> DataFrame:
-        n = F.length("text")
-        totals = F.sequence(F.ceil(2 * n / F.lit(2 - least) - F.lit(1e-9)), F.floor(2 * n / F.lit(least) + F.lit(1e-9)))
-        rows = distinct(df).withColumns({"n": n, "totals": totals}).withColumn("q", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-        # of a text's runs of a size, so many of the rarest as any length of the other text may need
+        texts = distinct(df).withColumn("n", F.length("text"))
+        totals = F.sequence(F.ceil(2 * F.col("n") / F.lit(2 - least) - F.lit(1e-9)), F.floor(2 * F.col("n") / F.lit(least) + F.lit(1e-9)))
+        # of a text's runs of a size, so many of the rarest as any length of the other text may need: the same for all of a length
         needs = lambda q: lambda t: F.when(_size(t, least) == q, F.col("n") - q + 2 - _shared(q, t, least))
-        most = F.coalesce(*(F.when(F.col("q") == q, F.array_max(F.transform("totals", needs(q)))) for q in (1, 2, 3)))
-        rows = rows.withColumn("most", most).where("most > 0 and n >= q").drop("totals")
+        most = F.explode(F.array(*(F.struct(F.lit(q).alias("q"), F.array_max(F.transform("totals", needs(q))).alias("most")) for q in (1, 2, 3, 4))))
+        lengths = texts.select("n").distinct().withColumn("totals", totals).select("n", most.alias("m")).select("n", "m.*").where("most > 0 and n >= q")
+        # a text makes many times its size in runs, so the texts are spread before that and their parts stay as many
+        spread = texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text")
+        rows = spread.join(F.broadcast(lengths), "n")
         return rows.select(F.lit(side).alias("side"), "text", "n", "q", "most", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("q") + 1), lambda i: F.substr("text", i, F.col("q")))).alias("at", "run"))
 
     every = runs(before, "b").unionByName(runs(after, "a"))
     rare = Window.partitionBy("side", "text", "q").orderBy("texts", "run", "at")
     ranked = every.join(every.groupBy("q", "run").agg(F.count("*").alias("texts")), ["q", "run"]).withColumn("rank", F.row_number().over(rare)).where("rank <= most")
     ranked = scratch.materialize(ranked.select("side", "text", "n", "q", "at", "run", "rank"), "runs")
-    side = lambda name: ranked.where(F.col("side") == name).select("q", "run", *(F.col(c).alias(f"{name}_{c}") for c in ("text", "n", "at", "rank")))
+
+    def side(name: str, texts: DataFrame) -> DataFrame:
+        rows = ranked.where(F.col("side") == name)
+        rows = rows.join(texts.select("text", *on).distinct(), "text") if on else rows
+        return rows.select(*on, "q", "run", *(F.col(c).alias(f"{name}_{c}") for c in ("text", "n", "at", "rank")))
+
     total, q = F.col("b_n") + F.col("a_n"), F.col("q")
     same = _least_common(total, least)
-    shared = F.when(q == 3, _shared(3, total, least)).when(q == 2, _shared(2, total, least)).otherwise(same)
+    shared = F.when(q == 4, _shared(4, total, least)).when(q == 3, _shared(3, total, least)).when(q == 2, _shared(2, total, least)).otherwise(same)
     moved = F.col("b_at") - F.col("a_at")
-    found = side("b").join(side("a"), ["q", "run"]).where(
+    edits = F.call_function("levenshtein", "b_text", "a_text", (total - 2 * same).cast("int"))
+    found = side("b", before).join(side("a", after), [*on, "q", "run"]).where(
         (F.least("b_n", "a_n") >= same) & (q == _size(total, least)) & (F.col("b_rank") <= F.col("b_n") - q + 2 - shared) & (F.col("a_rank") <= F.col("a_n") - q + 2 - shared)
-        & (moved <= F.col("b_n") - same) & (-moved <= F.col("a_n") - same)
+        & (moved <= F.col("b_n") - same) & (-moved <= F.col("a_n") - same) & (edits >= 0)
     )
-    found = found.select("b_text", "a_text").distinct()
+    found = found.select(*on, "b_text", "a_text").distinct()
     return found.where(_ratio(F.col("b_text"), F.col("a_text")) >= least)
 
 
@@ -177,24 +190,32 @@ def _band(mw: Column) -> Column:
     return F.floor(F.signum(mw) * F.when(size <= 250, size / 5).otherwise(F.lit(50.0) + F.log(size / 250) / F.lit(0.02))).cast("long")
 
 
-def _keys(prefix: str, kinds: str) -> Column:
-    """What a pair must agree in besides a text: county (c), fuel (f) or capacity (w); the earlier side has all that fits."""
-    fuel, mw, county = F.col(f"{prefix}normalized_fuel_type"), F.col(f"{prefix}capacity_mw"), F.col(f"{prefix}county")
+def _keys(prefix: str, kinds: Sequence[str]) -> Column:
+    """What a pair must agree in besides a text, each kind one or several of: county (c), state (s), fuel (f), capacity
+    close (w) or near (n); the earlier side has all that fits."""
+    fuel, mw, county, state = (F.col(f"{prefix}{c}") for c in ("normalized_fuel_type", "capacity_mw", "county", "state"))
     fits = F.when(fuel == "Hybrid", F.array(*map(F.lit, ("Hybrid", "Solar", "Battery")))).when(fuel.isin("Solar", "Battery"), F.array(fuel, F.lit("Hybrid"))).otherwise(F.array(fuel))
-    fuels, bands = (fits, F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: _band(mw) + k)) if prefix == "b_" else (F.array(fuel), F.array(_band(mw)))
-    lists = {"c": F.array(F.nullif(county, F.lit(""))), "f": fuels, "w": bands}
-    label = lambda k: lambda x: F.concat(F.lit(f"{k}:"), x)
-    named = F.concat(*(F.transform(lists[k].cast("array<string>"), label(k)) for k in kinds))
-    return F.explode(F.filter(named, lambda x: x.isNotNull()))
+    # close capacities are two bands apart at most, near ones six
+    wide = lambda n: F.floor(_band(mw) / n)
+    bands = lambda n: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: wide(n) + k) if prefix == "b_" else F.array(wide(n))
+    named = lambda c: F.array(F.nullif(c, F.lit("")))
+    lists = {"c": named(county), "s": named(state), "f": fits if prefix == "b_" else F.array(fuel), "w": bands(2), "n": bands(6)}
+
+    def crossed(found: Column, values: Column) -> Column:
+        values = F.filter(values.cast("array<string>"), lambda x: x.isNotNull())
+        return F.flatten(F.transform(found, lambda x: F.transform(values, lambda y: F.concat(x, F.lit("|"), y))))
+
+    return F.explode(F.concat(*(reduce(crossed, (lists[k] for k in kind), F.array(F.lit(kind))) for kind in kinds)))
 
 
 def fuzzy_pairs(b: DataFrame, a: DataFrame) -> DataFrame:
     """Pairs of ``prefixed`` records that can score 0.53 or more without an equal queue id, and few others.
 
-    By what the features add, such a pair has names of 0.90 and agrees in county, fuel or capacity; or names of 0.75,
-    entities of 0.85, and agrees in county or fuel; or names of 0.75, points of interconnection of 0.80, and agrees in
-    county and fuel. Each is an equi-join on the similar texts and what must agree, so a common name or place alone
-    gathers no pairs; and the features that are at hand must leave 0.53 within reach.
+    By what the features add, such a pair has names of 0.90 and agrees in county, fuel or capacity; or entities of 0.85,
+    names short of 0.90, and agrees in two of county, fuel and capacity, or in fuel, state and near capacity; or points of
+    interconnection of 0.80, names of 0.75, and agrees in all three. Each is an equi-join on the similar texts and what
+    must agree, so a common name or place alone gathers no pairs; and the features that are at hand must leave 0.53
+    within reach. Entities and places, which are less alike, are only compared where those features agree.
     """
     f = F.col
     exact = lambda c, w: F.when(c, w).otherwise(0.0)
@@ -205,16 +226,17 @@ def fuzzy_pairs(b: DataFrame, a: DataFrame) -> DataFrame:
     )
     other_id = ~_equal(f("b_queue_id"), f("a_queue_id"))
 
-    def by(text: str, least: float, kinds: str, reach: float) -> DataFrame:
-        alike = similar_texts(b.select(f(f"b_{text}").alias("text")), a.select(f(f"a_{text}").alias("text")), least)
-        alike = scratch.materialize(alike, "alike").select(f("b_text").alias(f"b_{text}"), f("a_text").alias(f"a_{text}"))
-        later = a.withColumn("_key", _keys("a_", kinds)).join(alike, f"a_{text}")
-        return b.withColumn("_key", _keys("b_", kinds)).join(later, [f"b_{text}", "_key"]).where(other_id & (at_hand + reach >= MATTERS)).drop("_key")
+    def by(text: str, least: float, kinds: Sequence[str], reach: float, on: Sequence[str] = ("_key",)) -> DataFrame:
+        earlier, later = b.withColumn("_key", _keys("b_", kinds)), a.withColumn("_key", _keys("a_", kinds))
+        alike = similar_texts(earlier.select(f(f"b_{text}").alias("text"), *on), later.select(f(f"a_{text}").alias("text"), *on), least, on)
+        alike = scratch.materialize(alike, "alike").select(*on, f("b_text").alias(f"b_{text}"), f("a_text").alias(f"a_{text}"))
+        later = later.join(alike, [f"a_{text}", *on])
+        return earlier.join(later, [f"b_{text}", "_key"]).where(other_id & (at_hand + reach >= MATTERS)).drop("_key")
 
     w = WEIGHTS
-    found = by("normalized_project_name", 0.90, "cfw", w["name_close"] + w["entity"] + w["poi"])
-    found = found.unionByName(by("entity_text", 0.85, "cf", w["name_near"] + w["entity"] + w["poi"]))
-    found = found.unionByName(by("poi_text", 0.80, "c", w["name_near"] + w["poi"]))
+    found = by("normalized_project_name", 0.90, ("c", "f", "w"), w["name_close"] + w["entity"] + w["poi"], ())
+    found = found.unionByName(by("entity_text", 0.85, ("cf", "cw", "fw", "fns"), w["name_near"] + w["entity"] + w["poi"]))
+    found = found.unionByName(by("poi_text", 0.80, ("cfw",), w["name_near"] + w["poi"]))
     return found.dropDuplicates(["b_record_id", "a_record_id"])
 
 

@@ -140,3 +140,21 @@ def test_twins_and_copies_of_suppliers(spark, sf):
     assert show(blocked) == show(resolve.resolve_market(rows, "exact"))
     assert blocked.where("is_ambiguous").count() > 0
     assert blocked.where("record_id like '%-C' and match_method = 'new_entity'").count() == 0
+
+
+def test_texts_are_compared_within_their_keys(spark):
+    """What must agree besides the text is part of the join on runs, so texts of other keys make no candidates."""
+    frame = lambda xs: spark.createDataFrame(xs, "text string, _key string")
+    before, after = frame([("lone star solar", "a"), ("lone star solar", "b"), ("other", "c")]), frame([("lone star solar x", "b"), ("lone star solar", "d"), ("other", "c")])
+    assert {tuple(r) for r in resolve.similar_texts(before, after, 0.85, ("_key",)).collect()} == {("b", "lone star solar", "lone star solar x"), ("c", "other", "other")}
+
+
+def test_keys_hold_all_that_is_close_or_near(spark):
+    random.seed(7)
+    sizes = [0.0, 5.0, 10.0, 249.9, 250.0, 252.5, *(random.choice([1, -1]) * random.uniform(0, 1500) for _ in range(120))]
+    record = lambda p: spark.createDataFrame([(i, "A", "TX", "Hybrid" if p == "b_" else "Solar", mw) for i, mw in enumerate(sizes)], ", ".join(f"{p}{c}" for c in ("id int", "county string", "state string", "normalized_fuel_type string", "capacity_mw double")))
+    pairs = record("b_").crossJoin(record("a_"))
+    for kind, fits in (("cfw", resolve.capacity_close), ("fns", resolve.capacity_near)):
+        met = record("b_").select("b_id", resolve._keys("b_", (kind,)).alias("k")).join(record("a_").select("a_id", resolve._keys("a_", (kind,)).alias("k")), "k").select("b_id", "a_id").distinct()
+        due = pairs.where(fits(F.col("b_capacity_mw"), F.col("a_capacity_mw"))).select("b_id", "a_id")
+        assert due.count() > len(sizes) and due.exceptAll(met).count() == 0
