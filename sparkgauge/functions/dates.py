@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import col, is_missing
+from .text import col, is_missing, once
 
 #: Months by name; three letters are enough.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _TIME = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?( ?[AaPp][Mm])?(Z|[+-]\d{2}:?\d{2})?)?$"
+PLAIN = r"^\d{4}-\d{2}-\d{2}$"
 YEAR_FIRST = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME
 COMPACT = r"^(\d{4})(\d{2})(\d{2})" + _TIME
 NUMBERS = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})" + _TIME
@@ -40,15 +41,20 @@ def parse(c: Column | str, day_first: Column | bool = False) -> Column:
     wherever it stands. Years of two digits are 1969 to 2068.
     """
     text = F.trim(col(c).cast("string"))
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i)
+    # each value is matched once by its shape, and its parts are taken in one more match
+    taken = lambda pattern, order: F.regexp_replace(text, pattern.removesuffix("$") + r"\R?$", order)
+    parts = lambda pattern, order, use: once(F.split(taken(pattern, order), "-"), lambda p: use(*(F.get(p, i) for i in range(3))))
     iso = lambda y, m, d: F.concat(y, F.lit("-"), m, F.lit("-"), d).try_cast("date")
-    one, two = part(NUMBERS, 1), part(NUMBERS, 3)
     order = F.lit(day_first) if isinstance(day_first, bool) else F.coalesce(day_first, F.lit(False))
-    first = ((one.cast("int") > 12) | order) & (two.cast("int") <= 12)
-    numbers = iso(_year(part(NUMBERS, 4)), F.when(first, two).otherwise(one), F.when(first, one).otherwise(two))
-    return F.when(is_missing(c), None).when(text.rlike(YEAR_FIRST), iso(part(YEAR_FIRST, 1), part(YEAR_FIRST, 3), part(YEAR_FIRST, 4))).when(text.rlike(NUMBERS), numbers).when(
-        text.rlike(MONTH_NAMED), iso(part(MONTH_NAMED, 3), _month(part(MONTH_NAMED, 1)), part(MONTH_NAMED, 2))
-    ).when(text.rlike(DAY_NAMED), iso(_year(part(DAY_NAMED, 3)), _month(part(DAY_NAMED, 2)), part(DAY_NAMED, 1))).when(text.rlike(COMPACT), iso(part(COMPACT, 1), part(COMPACT, 2), part(COMPACT, 3)))
+
+    def numbers(one: Column, two: Column, year: Column) -> Column:
+        first = ((one.try_cast("int") > 12) | order) & (two.try_cast("int") <= 12)
+        return iso(_year(year), F.when(first, two).otherwise(one), F.when(first, one).otherwise(two))
+
+    named = lambda y, m, d: iso(_year(y), _month(m), d)
+    return F.when(text.rlike(PLAIN), text.try_cast("date")).when(is_missing(c), None).when(text.rlike(YEAR_FIRST), taken(YEAR_FIRST, "$1-$3-$4").try_cast("date")).when(
+        text.rlike(NUMBERS), parts(NUMBERS, "$1-$3-$4", numbers)
+    ).when(text.rlike(MONTH_NAMED), parts(MONTH_NAMED, "$3-$1-$2", named)).when(text.rlike(DAY_NAMED), parts(DAY_NAMED, "$3-$2-$1", named)).when(text.rlike(COMPACT), taken(COMPACT, "$1-$2-$3").try_cast("date"))
 
 
 def votes(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:

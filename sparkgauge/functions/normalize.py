@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import dates
-from .text import clean_text, col, compact, flags, hashed_id, is_missing
+from .text import clean_text, col, compact, flags, hashed_id, is_missing, nonempty, once
 
 #: The headers that each canonical field goes by; of several in a file the first listed one counts.
 ALIASES = {
@@ -64,14 +64,14 @@ def project_name(c: Column | str) -> Column:
     """Lower case, ``&`` spelled out, signs to spaces, business suffixes dropped; null if nothing is left."""
     text = F.regexp_replace(F.replace(F.lower(col(c).cast("string")), F.lit("&"), F.lit(" and ")), r"(?U)[^a-z0-9\s]", " ")
     words = F.filter(F.split(compact(text), " "), lambda w: (w != "") & ~w.isin(*SUFFIXES))
-    return F.when(~is_missing(c), F.nullif(F.array_join(words, " "), F.lit("")))
+    return F.when(~is_missing(c), nonempty(F.array_join(words, " ")))
 
 
 def county(c: Column | str) -> Column:
     bare = F.regexp_replace(F.replace(F.replace(col(c).cast("string"), F.lit("County"), F.lit("")), F.lit("county"), F.lit("")), r"(?U)[^A-Za-z\s-]", " ")
     words = F.filter(F.split(compact(bare), " "), lambda w: w != "")
     capital = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
-    return F.when(~is_missing(c), F.nullif(F.array_join(capital, " "), F.lit("")))
+    return F.when(~is_missing(c), nonempty(F.array_join(capital, " ")))
 
 
 def state(c: Column | str) -> Column:
@@ -81,13 +81,17 @@ def state(c: Column | str) -> Column:
 
 def category(c: Column | str, table: dict[str, tuple[str, ...]], other: str) -> Column:
     """The first category one of whose parts the text contains; ``other`` for other texts, Unknown for missing ones."""
-    low, found = F.lower(col(c).cast("string")), F.lit(other)
-    for name, parts in reversed(table.items()):
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | low.contains(p)
-        found = F.when(hit, name).otherwise(found)
-    return F.when(is_missing(c), "Unknown").otherwise(found)
+
+    def first(low: Column) -> Column:
+        found = F.lit(other)
+        for name, parts in reversed(table.items()):
+            hit = F.lit(False)
+            for p in parts:
+                hit = hit | low.contains(p)
+            found = F.when(hit, name).otherwise(found)
+        return found
+
+    return F.when(is_missing(c), "Unknown").otherwise(once(F.lower(col(c).cast("string")), first))
 
 
 def fuel(c: Column | str) -> Column:
@@ -101,7 +105,7 @@ def status(c: Column | str) -> Column:
 def capacity(c: Column | str) -> Column:
     """The first number in the text, thousands separators ignored."""
     found = F.regexp_extract(F.replace(col(c).cast("string"), F.lit(","), F.lit("")), r"-?\d+(\.\d+)?", 0)
-    return F.when(~is_missing(c), F.nullif(found, F.lit("")).try_cast("double"))
+    return F.when(~is_missing(c), found.try_cast("double"))
 
 
 #: A date of any usual format.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,9 +17,20 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.try_element_at(F.transform(F.array(value), use), F.lit(1))
+
+
+def nonempty(c: Column) -> Column:
+    """The text; null if empty."""
+    return F.try_element_at(F.filter(F.array(c), lambda x: x != ""), F.lit(1))
+
+
 def compact(c: Column | str) -> Column:
     """White space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    # single spaces are right already
+    return F.trim(F.regexp_replace(col(c), r"(?U)\s{2,}|[^\S ]", " "))
 
 
 def is_missing(c: Column | str) -> Column:
@@ -30,7 +41,7 @@ def is_missing(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """The compacted text; null if missing."""
-    return F.when(~is_missing(c), F.nullif(compact(col(c).cast("string")), F.lit("")))
+    return F.when(~is_missing(c), compact(col(c).cast("string")))
 
 
 def first_present(*columns: Column | str) -> Column:
@@ -104,6 +115,11 @@ def hashed_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("\x1f", *(F.coalesce(col(p).cast("string"), F.lit("\x00")) for p in parts)), 256), 1, 16))
 
 
+def spread_key(key: Column | str, *others: Column | str) -> Column:
+    """``key`` for a left join; a null one, which meets nothing, is dealt by the others rather than gathered in one task."""
+    return F.coalesce(col(key), F.concat(F.lit("\x00"), F.coalesce(*(col(c) for c in others))))
+
+
 def differs(a: Column | str, b: Column | str) -> Column:
     """Inequality where null is a value like any other."""
     return ~col(a).eqNullSafe(col(b))
