@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import in_year
+from ..functions.text import in_year, spread_key
 from .resolve import CONFIDENT
 
 #: An event's label in the audit; others get "system_suggested_" and their type.
@@ -49,7 +49,12 @@ def audit(records: DataFrame, links: DataFrame, events: DataFrame, snapshots: Da
     side = lambda snapshot: links.where(F.col("snapshot_id") == snapshot)
     b = side(from_snapshot).select("entity_id", F.col("record_id").alias("before_record_id"))
     a = side(to_snapshot).select("entity_id", F.col("record_id").alias("after_record_id"), "match_score", "match_method", "is_ambiguous", "match_features")
-    with_records = lambda df: df.join(payload.select(F.col("_key").alias("before_record_id"), F.col("_r").alias("b")), "before_record_id", "left").join(payload.select(F.col("_key").alias("after_record_id"), F.col("_r").alias("a")), "after_record_id", "left")
+
+    def with_records(df: DataFrame) -> DataFrame:
+        for key, other, name in (("before_record_id", "after_record_id", "b"), ("after_record_id", "before_record_id", "a")):
+            df = df.withColumn("_of", spread_key(key, other, "entity_id")).join(payload.select(F.col("_key").alias("_of"), F.col("_r").alias(name)), "_of", "left").drop("_of")
+        return df
+
     pairs = with_records(b.join(a, "entity_id")).withColumn("system_label", match_label())
     reason = F.coalesce(F.get_json_object("match_features", "$.reason"), F.lit("top candidates too close"))
     evidence = F.when(F.col("is_ambiguous"), F.concat(F.lit("ambiguous candidates; method="), "match_method")).when(F.col("system_label") == NO_REVIEW[0], F.concat(F.lit("same queue id "), F.col("b.queue_id"))).otherwise(F.concat(F.lit("matched by "), "match_method"))

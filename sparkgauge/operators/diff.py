@@ -35,10 +35,10 @@ def diff(records: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
 
     One full outer join by entity and pair decides new, removed, ambiguous and matched; the changes of a match are an
     array of whatever rules hold, exploded. Ambiguous links of the earlier snapshot take part, so their entities are
-    always reported removed.
+    always reported removed. The pairs, a few names, are broadcast: dealt by them, a snapshot's records would be one task.
     """
     linked = links.select("record_id", "entity_id", "match_score", "match_method", "is_ambiguous", F.col("match_features").alias("features")).join(records.select("snapshot_id", "market", *_RECORD), "record_id")
-    side = lambda key, name: pairs.join(linked.withColumnRenamed("snapshot_id", key), ["market", key]).select("market", "from_snapshot_id", "to_snapshot_id", "entity_id", F.struct(*linked.drop("market", "snapshot_id", "entity_id").columns).alias(name))
+    side = lambda key, name: linked.withColumnRenamed("snapshot_id", key).join(F.broadcast(pairs), ["market", key]).select("market", "from_snapshot_id", "to_snapshot_id", "entity_id", F.struct(*linked.drop("market", "snapshot_id", "entity_id").columns).alias(name))
     both = side("from_snapshot_id", "b").join(side("to_snapshot_id", "a"), ["market", "from_snapshot_id", "to_snapshot_id", "entity_id"], "full_outer")
     b, a = (lambda f: F.col(f"b.{f}")), (lambda f: F.col(f"a.{f}"))
     sure = a("match_score")

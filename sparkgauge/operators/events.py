@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hashed_id
+from ..functions.text import hashed_id, spread_key
 
 #: What each type of event weighs; 10 for others.
 WEIGHTS = {
@@ -83,8 +83,9 @@ def from_diff(diffs: DataFrame, records: DataFrame, sources: DataFrame | None =
     payload = records.select(F.col("record_id").alias("_key"), F.struct(*PAYLOAD).alias("_payload"))
     rows = (
         diffs.where(F.col("event_type") != "unchanged")
-        .join(payload.select(F.col("_key").alias("before_record_id"), F.col("_payload").alias("before")), "before_record_id", "left")
-        .join(payload.select(F.col("_key").alias("after_record_id"), F.col("_payload").alias("after")), "after_record_id", "left")
+        .withColumns({"_b": spread_key("before_record_id", "after_record_id", "entity_id"), "_a": spread_key("after_record_id", "before_record_id", "entity_id")})
+        .join(payload.select(F.col("_key").alias("_b"), F.col("_payload").alias("before")), "_b", "left")
+        .join(payload.select(F.col("_key").alias("_a"), F.col("_payload").alias("after")), "_a", "left")
     )
     if sources is not None:
         rows = rows.join(sources.select(F.col("snapshot_id").alias("to_snapshot_id"), "source_url"), "to_snapshot_id", "left")

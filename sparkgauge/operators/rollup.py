@@ -17,7 +17,8 @@ HIGH, MEDIUM, MIN_SAMPLE = 100, 30, 30
 def latest_snapshot(records: DataFrame) -> DataFrame:
     """Each market's records of its latest snapshot (by date, then id)."""
     last = records.groupBy("market").agg(F.max(F.struct("snapshot_date", "snapshot_id")).alias("_last")).select("market", F.col("_last.snapshot_id").alias("snapshot_id"))
-    return records.join(last, ["market", "snapshot_id"])
+    # a row a market, sent to all tasks: dealt by market, all records of one would be one task
+    return records.join(F.broadcast(last), ["market", "snapshot_id"])
 
 
 def durations() -> Column:
@@ -75,10 +76,11 @@ def rollup(records: DataFrame, requests: DataFrame, min_sample_n: int = MIN_SAMP
     keyed = wide.withColumns({"_c": F.coalesce("county", F.lit("")), "_f": F.coalesce("fuel_type", F.lit(""))})
     # a null county is a group of its own in the sets; requests never name it
     keyed = keyed.where(~((F.col("_c") == "") & F.col("fallback_level").startswith("county")) & ~((F.col("_f") == "") & F.col("fallback_level").isin(LEVELS[0], LEVELS[2])))
-    hits = tries.join(keyed, ["market", "fallback_level", "_c", "_f"]).where(F.col("sample_n") >= min_sample_n)
+    # scopes are as many as places and fuels, requests may be any number: they stay where they are
+    hits = tries.join(F.broadcast(keyed), ["market", "fallback_level", "_c", "_f"]).where(F.col("sample_n") >= min_sample_n)
     best = hits.withColumn("_turn", F.row_number().over(Window.partitionBy("request_id").orderBy("_rank"))).where("_turn = 1").drop("_turn", "_rank", "_c", "_f", "county", "market")
     asked = requests.select("request_id", "market", F.col("county").alias("_county"), F.col("fuel_type").alias("_fuel"))
-    rows = asked.join(best.withColumnRenamed("fuel_type", "_scope_fuel"), "request_id", "left").join(market_wide, "market", "left")
+    rows = asked.join(best.withColumnRenamed("fuel_type", "_scope_fuel"), "request_id", "left").join(F.broadcast(market_wide), "market", "left")
     met, known = F.col("fallback_level").isNotNull(), F.col("_snapshot").isNotNull()
     rate = lambda c: F.when(met, F.round(F.col(c) / F.col("sample_n"), 4))
     by_county = F.col("fallback_level").isin(*LEVELS[:2])

@@ -95,3 +95,25 @@ def test_national_metrics(spark):
     df = spark.createDataFrame(rows, "q_status string, region string, type_clean string, mw_1 double, mw_2 double, mw_3 double, q_date date, on_date date, wd_date date")
     assert tuple(national.metrics(df, "R").first()) == (4, 2, 0.1, 0.15, 1, 0.1, 15.0)
     assert [r["type_clean"] for r in national.active_by_type(df).collect()] == ["Solar", "Wind"]
+
+
+def test_no_key_gathers_all_rows(spark, sf):
+    """Snapshots, markets and missing ids deal no rows: at any size such joins are broadcast or spread."""
+    from pyspark.sql import functions as F
+
+    from sparkgauge.functions.text import spread_key
+    from sparkgauge.operators import diff, rollup
+    from sparkgauge.plans import adapter
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = adapter.records(spark, sf)
+        for frame in (diff.diff(rows, adapter.exact_links(rows), diff.adjacent_snapshots(rows)), rollup.latest_snapshot(rows), rollup.rollup(rows, rollup.all_requests(rows))):
+            plan = frame._jdf.queryExecution().sparkPlan().toString()
+            joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+            assert not [line for line in joins if line.split("[", 1)[1].startswith(("market#", "snapshot_id#")) and "entity_id#" not in line], joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = spark.range(50).select(spread_key(F.lit(None).cast("string"), F.col("id").cast("string")).alias("k"))
+    assert keys.distinct().count() == 50
