@@ -55,7 +55,9 @@ class _Ordered(StatefulProcessor):
     """Captures wait until the watermark has passed their time, then get their status in the order of time.
 
     A source's state is its last readable hash and what waits: as many captures as the watermark's delay holds. Captures
-    that come after the watermark has passed them are given out at once as "late" and change no state.
+    that come after the watermark has passed them are given out at once as "late" and change no state. A source has a
+    timer for its first waiting capture only, which gives out all that the watermark has passed, so what waits is read
+    and written about once a batch, not once a capture.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -82,12 +84,13 @@ class _Ordered(StatefulProcessor):
                     new.append((at.to_pydatetime(), found))
         if new:
             self.waiting.appendList(new)
-            for due in {self._due(pd.Timestamp(at)) for at, _ in new}:
-                self.handle.registerTimer(due)
-        yield self._out(key, late)
+            self.handle.registerTimer(min(self._due(pd.Timestamp(at)) for at, _ in new))
+        if late:
+            yield self._out(key, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # timers are over once the watermark is beyond them
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
         waiting = sorted(((pd.Timestamp(at), found) for at, found in self.waiting.get()), key=lambda r: (r[0], r[1] or ""))
         over = [r for r in waiting if self._due(r[0]) <= now]
         last = self.last.get()[0] if self.last.exists() else None
@@ -99,11 +102,12 @@ class _Ordered(StatefulProcessor):
             rest = [(at.to_pydatetime(), found) for at, found in waiting[len(over) :]]
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(min(self._due(pd.Timestamp(at)) for at, _ in rest))
             else:
                 self.waiting.clear()
             if last is not None:
                 self.last.update((last,))
-        yield self._out(key, out)
+            yield self._out(key, out)
 
     def close(self) -> None:
         pass

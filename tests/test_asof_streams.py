@@ -93,3 +93,63 @@ def test_captures_after_the_watermark_change_nothing(spark, tmp_path):
             captures.run_to_store(captures.ordered_changes(captures.read_captures(spark, str(folder), 1)), kept, "changes", str(tmp_path / "checkpoint"))
     got = [(r["captured_at"].astimezone(datetime.UTC).hour if r["captured_at"] else None, r["parse_status"]) for r in kept.read("changes").where("parse_status <> 'late'").orderBy("captured_at").collect()]
     assert got == [(0, "changed"), (10, "changed"), (20, "unchanged"), (6, "unchanged")]
+
+
+def test_what_waits_is_read_once_a_batch():
+    """A thousand waiting captures of a source need one timer, and one reading of the state when it is over."""
+    import pandas as pd
+
+    from sparkgauge.streaming.captures import _Ordered
+
+    class Value:
+        held, reads = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            self.reads += 1
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+        put = update
+
+        def appendList(self, rows):  # noqa: N802
+            self.held = [*(self.held or []), *rows]
+
+        def clear(self):
+            self.held = []
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.last, self.waiting = [], Value(), Value()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.last
+
+        def getListState(self, *_):  # noqa: N802
+            return self.waiting
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+        getExpiryTimeInMs = getCurrentWatermarkInMs
+
+    handle, state = Handle(), _Ordered()
+    state.init(handle)
+    at = pd.to_datetime(range(1000), unit="s")
+    assert not list(state.handleInputRows(("w",), iter([pd.DataFrame({"captured_at": at[::-1], "content_hash": ["a"] * 1000})]), Now(0)))
+    assert handle.timers == [0]
+    out = pd.concat(state.handleExpiredTimer(("w",), Now(900_000), Now(0)))
+    assert list(out["captured_at"]) == list(at[:900]) and handle.waiting.reads == 1
+    assert list(out["parse_status"]) == ["changed", *["unchanged"] * 899]
+    assert len(handle.waiting.held) == 100 and handle.timers == [0, 900_000]
