@@ -6,6 +6,7 @@ These extend the batch operators; ``operators.watch.captures`` gives the same st
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,13 +64,17 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "hash string")
-        self.waiting = handle.getListState("waiting", "at timestamp, hash string")
+        # one text of (microseconds, hash), as it is read and written whole
+        self.waiting = handle.getValueState("waiting", "rows string")
 
     @staticmethod
     def _due(at: pd.Timestamp) -> int:
         """The millisecond at which a capture's time is over."""
         return -(-at.value // 1_000_000)
 
+    def _held(self) -> list:
+        return json.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+
     def _out(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *r) for r in rows], columns=["watch_source_id", "captured_at", "content_hash", "previous_content_hash", "parse_status"])
 
@@ -81,28 +86,28 @@ class _Ordered(StatefulProcessor):
                 if self._due(at) < passed:
                     late.append((at, found, None, "late"))
                 else:
-                    new.append((at.to_pydatetime(), found))
+                    new.append((at.value // 1000, found))
         if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(self._due(pd.Timestamp(at)) for at, _ in new))
+            self.waiting.update((json.dumps([*self._held(), *new]),))
+            self.handle.registerTimer(-(-min(at for at, _ in new) // 1000))
         if late:
             yield self._out(key, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # timers are over once the watermark is beyond them
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
-        waiting = sorted(((pd.Timestamp(at), found) for at, found in self.waiting.get()), key=lambda r: (r[0], r[1] or ""))
-        over = [r for r in waiting if self._due(r[0]) <= now]
+        waiting = sorted(self._held(), key=lambda r: (r[0], r[1] or ""))
+        over = [r for r in waiting if -(-r[0] // 1000) <= now]
         last = self.last.get()[0] if self.last.exists() else None
         out = []
         for at, found in over:
-            out.append((at, found, last, "failed" if found is None else "unchanged" if found == last else "changed"))
+            out.append((pd.Timestamp(at, unit="us"), found, last, "failed" if found is None else "unchanged" if found == last else "changed"))
             last = found or last
         if over:
-            rest = [(at.to_pydatetime(), found) for at, found in waiting[len(over) :]]
+            rest = waiting[len(over) :]
             if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(min(self._due(pd.Timestamp(at)) for at, _ in rest))
+                self.waiting.update((json.dumps(rest),))
+                self.handle.registerTimer(-(-rest[0][0] // 1000))
             else:
                 self.waiting.clear()
             if last is not None:

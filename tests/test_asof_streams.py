@@ -97,6 +97,8 @@ def test_captures_after_the_watermark_change_nothing(spark, tmp_path):
 
 def test_what_waits_is_read_once_a_batch():
     """A thousand waiting captures of a source need one timer, and one reading of the state when it is over."""
+    import json
+
     import pandas as pd
 
     from sparkgauge.streaming.captures import _Ordered
@@ -114,23 +116,15 @@ def test_what_waits_is_read_once_a_batch():
         def update(self, v):
             self.held = v
 
-        put = update
-
-        def appendList(self, rows):  # noqa: N802
-            self.held = [*(self.held or []), *rows]
-
         def clear(self):
-            self.held = []
+            self.held = None
 
     class Handle:
         def __init__(self):
             self.timers, self.last, self.waiting = [], Value(), Value()
 
-        def getValueState(self, *_):  # noqa: N802
-            return self.last
-
-        def getListState(self, *_):  # noqa: N802
-            return self.waiting
+        def getValueState(self, name, _):  # noqa: N802
+            return getattr(self, name)
 
         def registerTimer(self, at):  # noqa: N802
             self.timers.append(at)
@@ -152,4 +146,4 @@ def test_what_waits_is_read_once_a_batch():
     out = pd.concat(state.handleExpiredTimer(("w",), Now(900_000), Now(0)))
     assert list(out["captured_at"]) == list(at[:900]) and handle.waiting.reads == 1
     assert list(out["parse_status"]) == ["changed", *["unchanged"] * 899]
-    assert len(handle.waiting.held) == 100 and handle.timers == [0, 900_000]
+    assert len(json.loads(handle.waiting.held[0])) == 100 and handle.timers == [0, 900_000]
