@@ -1,6 +1,7 @@
 """XLSX workbooks as tables of cells, by Spark's own file reader and the standard library's zip and XML parsers.
 
-A workbook is parsed in one task, many workbooks in many; bytes come from ``binaryFile``, so any file system works.
+A workbook is parsed in one task, many workbooks in many; bytes come from ``binaryFile``, so any file system works. Rows
+are read and written in a stream, so of a workbook a task's Python holds the packed file and the texts its cells share.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ import datetime
 import io
 import itertools
 import re
+import shutil
+import tempfile
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from typing import IO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +32,9 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 QUOTES = {'"': "&quot;"}
-#: Rows that a task hands over at a time, and rows of a sheet by the format's definition.
-BATCH, MOST_ROWS = 4_096, 1_048_576
+#: Rows that a task hands over at a time, that it takes as Python's objects at a time, and rows of a sheet by the
+#: format's definition.
+BATCH, TAKEN, MOST_ROWS = 4_096, 256, 1_048_576
 #: Number formats that show dates.
 _DATE_FORMATS = {14, 15, 16, 17, 22}
 
@@ -41,14 +46,28 @@ def _column(reference: str) -> int:
     return n - 1
 
 
-def parse(data: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
+def _each(stream: IO[bytes], parent: str, child: str) -> Iterator[ElementTree.Element]:
+    """The elements ``child`` of ``parent``, one at a time: what was handed on is taken out of its parent."""
+    held = None
+    for event, e in ElementTree.iterparse(stream, ("start", "end")):
+        if event == "start":
+            held = e if e.tag == parent else held
+        elif e.tag == child:
+            yield e
+            (e if held is None else held).clear()
+
+
+def parse(data: bytes | pa.Buffer) -> Iterator[tuple[str, int, int, list[str | None]]]:
     """(sheet, its number, row number from 0, cells as text) of a workbook's rows that aren't blank, a row at a time."""
     main = f"{{{_NS['m']}}}"
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+    with zipfile.ZipFile(pa.BufferReader(data)) as z:
         names = set(z.namelist())
         xml = lambda name: ElementTree.fromstring(z.read(name))
         text = lambda e: "".join(t.text or "" for t in e.iter(f"{main}t"))
-        shared = [text(e) for e in xml("xl/sharedStrings.xml").findall("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            with z.open("xl/sharedStrings.xml") as stream:
+                shared = [text(e) for e in _each(stream, f"{main}sst", f"{main}si")]
         dates: list[bool] = []
         if "xl/styles.xml" in names:
             styles = xml("xl/styles.xml")
@@ -74,9 +93,7 @@ def parse(data: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
         for number, sheet in enumerate(xml("xl/workbook.xml").findall("m:sheets/m:sheet", _NS)):
             target = targets[sheet.get(_REL)]
             with z.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as stream:
-                for _, row in ElementTree.iterparse(stream):
-                    if row.tag != f"{main}row":
-                        continue
+                for row in _each(stream, f"{main}sheetData", f"{main}row"):
                     cells: list[str | None] = []
                     for c in row.findall("m:c", _NS):
                         at = _column(c.get("r")) if c.get("r") else len(cells)
@@ -84,20 +101,20 @@ def parse(data: bytes) -> Iterator[tuple[str, int, int, list[str | None]]]:
                         cells[at] = value(c)
                     if any(x not in (None, "") for x in cells):
                         yield sheet.get("name"), number, int(row.get("r", 1)) - 1, cells
-                    row.clear()  # of a sheet only the row at hand is in memory
 
 
-def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            rows = ((path.rsplit("/", 1)[-1], *r) for r in parse(bytes(content)))
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.schema([("_file", pa.string()), ("sheet", pa.string()), ("sheet_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = ((path.rsplit("/", 1)[-1], *r) for r in parse(content.as_buffer()))
             while part := list(itertools.islice(rows, BATCH)):
-                yield pd.DataFrame(part, columns=["_file", "sheet", "sheet_no", "row_no", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], schema=kinds)
 
 
 def rows_of(contents: DataFrame) -> DataFrame:
     """All rows of all sheets of workbooks (path, content), cells as text, dates in ISO form. A workbook is one task."""
-    return contents.select("path", "content").mapInPandas(_parsed, _SCHEMA)
+    return contents.select("path", "content").mapInArrow(_parsed, _SCHEMA)
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
@@ -105,7 +122,7 @@ def read_workbook(spark: SparkSession, path: str) -> DataFrame:
     return rows_of(spark.read.format("binaryFile").load(path))
 
 
-def _sheet(rows: pd.DataFrame) -> str:
+def _sheet(rows: Iterable[tuple[int, list[str | None]]]) -> Iterator[str]:
     def cell(at: str, value: str | None) -> str:
         if value is None:
             return ""
@@ -115,8 +132,12 @@ def _sheet(rows: pd.DataFrame) -> str:
             return f'<c r="{at}"><v>{value}</v></c>'
         return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
 
-    lines = (f'<row r="{n + 1}">{"".join(cell(f"{_letters(i)}{n + 1}", v) for i, v in enumerate(cells))}</row>' for n, cells in zip(rows["row_no"], rows["cells"], strict=True))
-    return f'<worksheet xmlns="{_NS["m"]}"><sheetData>{"".join(lines)}</sheetData></worksheet>'
+    yield f'<worksheet xmlns="{_NS["m"]}"><sheetData>'
+    for n, cells in rows:
+        if n >= MOST_ROWS:
+            raise ValueError(f"a sheet has at most {MOST_ROWS} rows")
+        yield f'<row r="{n + 1}">{"".join(cell(f"{_letters(i)}{n + 1}", v) for i, v in enumerate(cells))}</row>'
+    yield "</sheetData></worksheet>"
 
 
 def _letters(i: int) -> str:
@@ -127,29 +148,44 @@ def _letters(i: int) -> str:
     return out
 
 
-def _packed(rows: pd.DataFrame) -> pd.DataFrame:
-    if rows["row_no"].max() >= MOST_ROWS:
-        raise ValueError(f"a sheet has at most {MOST_ROWS} rows")
-    sheets = [(name, part.sort_values("row_no")) for (_, name), part in rows.groupby(["sheet_no", "sheet"])]
+def _book(rows: Iterator[tuple]) -> bytes:
+    """A workbook of (_file, sheet, sheet_no, row_no, cells), sorted by sheet and row; a sheet goes through a file of the
+    task's own, so that its size is known when it is packed."""
     office = _REL[1:].split("}")[0]
-    numbers = range(1, len(sheets) + 1)
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-    out = io.BytesIO()
+    out, sheets = io.BytesIO(), []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for (_, name), part in itertools.groupby(rows, lambda r: (r[2], r[1])):
+            sheets.append(name)
+            with tempfile.TemporaryFile() as body:
+                body.writelines(text.encode() for text in _sheet(r[3:] for r in part))
+                info = zipfile.ZipInfo(f"xl/worksheets/sheet{len(sheets)}.xml")
+                info.compress_type, info.file_size = zipfile.ZIP_DEFLATED, body.tell()
+                body.seek(0)
+                with z.open(info, "w") as to:
+                    shutil.copyfileobj(body, to)
+        numbers = range(1, len(sheets) + 1)
         z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{n}.xml" ContentType="{kind}.worksheet+xml"/>' for n in numbers) + "</Types>")
         z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name, QUOTES)}" sheetId="{n}" r:id="r{n}"/>' for n, (name, _) in zip(numbers, sheets, strict=True)) + "</sheets></workbook>")
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_NS["m"]}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(name, QUOTES)}" sheetId="{n}" r:id="r{n}"/>' for n, name in zip(numbers, sheets, strict=True)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}">' + "".join(f'<Relationship Id="r{n}" Type="{office}/worksheet" Target="worksheets/sheet{n}.xml"/>' for n in numbers) + f'<Relationship Id="r0" Type="{office}/styles" Target="styles.xml"/></Relationships>')
         z.writestr("xl/styles.xml", f'<styleSheet xmlns="{_NS["m"]}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-        for n, (_, part) in zip(numbers, sheets, strict=True):
-            z.writestr(f"xl/worksheets/sheet{n}.xml", _sheet(part))
-    return pd.DataFrame({"path": [rows["_file"].iloc[0]], "content": [out.getvalue()]})
+    return out.getvalue()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    taken = (b.slice(at, TAKEN) for b in batches for at in range(0, b.num_rows, TAKEN))
+    rows = (r for part in taken for r in zip(*(c.to_pylist() for c in part.columns), strict=True))
+    for path, book in itertools.groupby(rows, lambda r: r[0]):
+        yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([_book(book)], pa.binary())], names=["path", "content"])
 
 
 def pack(rows: DataFrame) -> DataFrame:
     """(path, content): a workbook of each ``_file`` of rows as ``rows_of`` gives them; ISO dates become date cells, plain
-    numbers number cells. A workbook is made in one task; a sheet can't have more than MOST_ROWS rows."""
-    return rows.groupBy("_file").applyInPandas(_packed, "path string, content binary")
+    numbers number cells. A workbook is made in one task, a row at a time in the order that Spark's sort gives; a sheet
+    can't have more than MOST_ROWS rows."""
+    ordered = rows.select("_file", "sheet", "sheet_no", "row_no", "cells").repartition("_file").sortWithinPartitions("_file", "sheet_no", "sheet", "row_no")
+    return ordered.mapInArrow(_packed, "path string, content binary")
 
 
 def _keys(c: Column) -> Column:

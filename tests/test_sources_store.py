@@ -1,6 +1,10 @@
 import datetime
 import json
+import re
+import tracemalloc
+import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +108,44 @@ def test_workbooks_come_back_as_written(spark):
     assert sorted(values) == [("one.xlsx", 3), ("one.xlsx", 5), ("two.xlsx", 8)] and values["one.xlsx", 3]["INR.1"] == "-12.50" and values["two.xlsx", 8] == {"INR": "22inr9", "Project Name": "P"}
 
 
+def test_a_workbook_is_a_stream():
+    """Packing and parsing four times the rows takes no more of a task's Python, but for the packed file."""
+    def batches(n):
+        for at in range(0, n, 500):
+            cells = [[f"21INR{i}", f"P <{i % 17}>", "1997-03-04", str(i), None, "O"] for i in range(at, at + 500)]
+            yield pa.RecordBatch.from_arrays([pa.array(["a.xlsx"] * 500), pa.array(["S"] * 500), pa.array([0] * 500, pa.int32()), pa.array(range(at, at + 500), pa.int32()), pa.array(cells)], names=["_file", "sheet", "sheet_no", "row_no", "cells"])
+
+    def peak(job):
+        tracemalloc.start()
+        try:
+            return job(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    packed = {n: peak(lambda n=n: [b.column("content")[0].as_py() for b in workbook._packed(batches(n))]) for n in (2_000, 8_000)}
+    books = {n: content for n, ((content,), _) in packed.items()}
+    parsed = {n: peak(lambda data=data: sum(1 for _ in workbook.parse(data))) for n, data in books.items()}
+    assert {n: rows for n, (rows, _) in parsed.items()} == {n: n for n in books}
+    assert packed[8_000][1] - packed[2_000][1] < 4 * len(books[8_000])
+    assert parsed[8_000][1] - parsed[2_000][1] < 50_000
+
+
+def test_strings_that_cells_share(tmp_path):
+    path = write_xlsx(tmp_path / "s.xlsx", {"S": [["INR", "Note"], ["a", "b"]]})
+    with zipfile.ZipFile(path) as old, zipfile.ZipFile(tmp_path / "t.xlsx", "w") as new:
+        for name in old.namelist():
+            new.writestr(name, re.sub(r't="inlineStr"><is><t>(.)</t></is>', lambda m: f't="s"><v>{"ab".index(m[1])}</v>', old.read(name).decode()))
+        new.writestr("xl/sharedStrings.xml", f'<sst xmlns="{workbook._NS["m"]}"><si><r><t>x</t></r><r><t>y</t></r></si><si><t/></si></sst>')
+    assert [r[2:] for r in workbook.parse((tmp_path / "t.xlsx").read_bytes())] == [(0, ["INR", "Note"]), (1, ["xy", ""])]
+
+
+def test_a_sheet_has_no_more_rows_than_the_format_allows():
+    rows = [("a.xlsx", "S", 0, workbook.MOST_ROWS - 1, ["x"]), ("a.xlsx", "S", 0, workbook.MOST_ROWS, ["y"])]
+    with pytest.raises(ValueError, match="at most"):
+        workbook._book(iter(rows))
+    assert [r[2] for r in workbook.parse(workbook._book(iter(rows[:1])))] == [workbook.MOST_ROWS - 1]
+
+
 def test_monthly_merge(cells):
     got = {r["Queue ID"]: r for r in monthly.read_monthly(cells, "2026-01-31").collect()}
     assert sorted(got) == ["21INR0001", "22INR0002", "23INR0003", "24INR0004", "29INR0009"]
