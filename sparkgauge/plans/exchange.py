@@ -30,18 +30,22 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The later month's files name the columns otherwise, and have them in another order.
 RENAMED = {"Queue No": "INR", "Project": "Project Name", "Interconnecting Entity": "Developer", "County": "County Name", "State": "ST", "POI": "Substation", "Technology": "Generation Type", "Capacity (MW)": "MW", "Status": "Queue Status", "Request Date": "Queue Date", "Target COD": "Projected COD", "Actual COD": "Online Date", "Withdrawn Date": "Withdrawal Date"}
 
+#: Rows of a CSV file at most, about 50 MB.
+FILE_ROWS = 250_000
+
 
 def _csv_files(spark: SparkSession, sf_dir: str) -> str:
-    """Both snapshots as CSV files, a folder each, as many files as Spark's tasks write; every row names its date.
+    """Both snapshots as CSV files, a folder each, as many files as Spark's tasks write, more where a task has over
+    ``FILE_ROWS`` rows; every row names its date.
 
     Each month is written by itself: the readers date a file by its rows, so no file may hold two months. The earlier
     one has the adapter's headers, the later one other names of them, in the opposite order, and a column more.
     """
     to = scratch.path(spark, "queue-csv")
     rows = scratch.materialize(adapter.raw_snapshots(spark, sf_dir).withColumn("Snapshot Date", F.col("snapshot_date").cast("string")), "raw")
-    store.write_csv(rows.where(F.col("snapshot_id") == adapter.BEFORE[0]), f"{to}/{adapter.BEFORE[0]}", (*adapter.RAW, "Snapshot Date"))
+    store.write_csv(rows.where(F.col("snapshot_id") == adapter.BEFORE[0]), f"{to}/{adapter.BEFORE[0]}", (*adapter.RAW, "Snapshot Date"), file_rows=FILE_ROWS)
     later = rows.where(F.col("snapshot_id") == adapter.AFTER[0]).select("Snapshot Date", F.concat(F.lit('a "note",'), F.lit("\n"), "State").alias("Remark"), *(F.col(c).alias(RENAMED[c]) for c in reversed(adapter.RAW)))
-    store.write_csv(later, f"{to}/{adapter.AFTER[0]}", tuple(later.columns))
+    store.write_csv(later, f"{to}/{adapter.AFTER[0]}", tuple(later.columns), file_rows=FILE_ROWS)
     return f"{to}/*/*.csv"
 
 

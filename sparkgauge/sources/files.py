@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import csv
 import datetime
-import hashlib
 import io
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +21,8 @@ FIELDS = tuple(normalize.ALIASES)
 OTHERS = {"poi_location": "poi location", "dated": "snapshot date"}
 _ROWS = "_file string, file_hash string, _row long, payload map<string,string>, " + ", ".join(f"{c} string" for c in (*FIELDS, *OTHERS))
 _BATCH = 8_192
+#: Bytes of a file that Python gets as one value; Spark hands over as many at a time as fit its limit of a batch's bytes.
+PIECE = 262_144
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -36,21 +38,41 @@ def places(header: list[str]) -> tuple[dict[str, int], dict[str, int]]:
     return at, found | {name: keys[key] for name, key in OTHERS.items() if key in keys}
 
 
+class _Joined(io.RawIOBase):
+    """A file's pieces, one after another, as a stream; only the piece at hand is held."""
+
+    def __init__(self, pieces: Iterator[pa.Buffer]):
+        self.pieces, self.rest = pieces, memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to: memoryview) -> int:
+        while not self.rest:
+            if (piece := next(self.pieces, None)) is None:
+                return 0
+            self.rest = memoryview(piece).cast("B")
+        n = min(len(to), len(self.rest))
+        to[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data = content.as_buffer()
-            digest, reader = hashlib.sha256(data).hexdigest(), csv.reader(io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace", newline=""))
-            header = next((r for r in reader if r), [])
-            at, named = places(header)
-            start, rows = 1, []
-            for row in (r for r in reader if r):
-                rows.append(row)
-                if len(rows) == _BATCH:
-                    yield _batch(path, digest, start, rows, at, named)
-                    start, rows = start + len(rows), []
-            if rows:
+    pieces = (piece for batch in batches for piece in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True))
+    # a file's pieces come together and in order, the first is number 0
+    files = itertools.accumulate(pieces, lambda last, piece: (last[0] + (piece[2] == 0), piece), initial=(0, None))
+    for (_, path, digest), parts in itertools.groupby(itertools.islice(files, 1, None), lambda f: (f[0], *f[1][:2])):
+        reader = csv.reader(io.TextIOWrapper(io.BufferedReader(_Joined(part[3].as_buffer() for _, part in parts)), "utf-8-sig", "replace", newline=""))
+        header = next((r for r in reader if r), [])
+        at, named = places(header)
+        start, rows = 1, []
+        for row in (r for r in reader if r):
+            rows.append(row)
+            if len(rows) == _BATCH:
                 yield _batch(path, digest, start, rows, at, named)
+                start, rows = start + len(rows), []
+        if rows:
+            yield _batch(path, digest, start, rows, at, named)
 
 
 def _batch(path: str, digest: str, start: int, rows: list[list[str]], at: dict[str, int], named: dict[str, int]) -> pa.RecordBatch:
@@ -68,10 +90,12 @@ def rows(spark: SparkSession, pattern: str) -> DataFrame:
     Besides the canonical fields as text there are ``_file`` (the whole path), file_hash, ``_row`` (1 is the file's first
     data row), payload (the row's values by the file's own headers), poi_location and dated (a header "snapshot date").
     Empty values are null; blank lines aren't rows; what lies beyond the header is left out. Files are read where Spark
-    reads them, by any file system it knows, one task a file (2 GB at most), as quoted values may hold line ends.
+    reads them, by any file system it knows, one task a file (2 GB at most), as quoted values may hold line ends. Python
+    gets a file in pieces, and never holds it whole.
     """
-    found = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return found.mapInArrow(_parsed, _ROWS)
+    found = spark.read.format("binaryFile").load(pattern).where("length > 0").select("path", F.sha2("content", 256).alias("file_hash"), "content", "length")
+    numbered = found.withColumn("no", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / PIECE).cast("int"))))
+    return numbered.select("path", "file_hash", "no", F.substring("content", F.col("no") * PIECE + 1, F.lit(PIECE))).mapInArrow(_parsed, _ROWS)
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:

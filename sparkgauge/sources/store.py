@@ -112,10 +112,11 @@ class Store:
         return self.read(child).where(F.col(key).isNotNull()).join(there, key, "left_anti")
 
 
-def write_csv(rows: DataFrame, path: str, columns: Sequence[str], single: bool = False) -> None:
-    """Chosen columns, in order, with a header; ``single`` makes one file, for reports only."""
+def write_csv(rows: DataFrame, path: str, columns: Sequence[str], single: bool = False, file_rows: int = 0) -> None:
+    """Chosen columns, in order, with a header; ``single`` makes one file, for reports only. With ``file_rows`` a task goes
+    on in another file after so many rows, as a reader's task takes a file whole."""
     out = rows.select(*columns)
-    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (out.coalesce(1) if single else out).write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", file_rows).csv(path)
 
 
 def upsert_manifest(path: str | Path, entry: Mapping[str, object], keys: Sequence[str] = ("source_name", "local_path", "snapshot_date", "file_hash_sha256")) -> list[dict]:

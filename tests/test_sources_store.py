@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import json
 import re
 import tracemalloc
@@ -36,6 +37,41 @@ def test_numbered_rows_keep_their_order(spark, tmp_path):
     assert [(r["_row"], r["queue_id"], r["payload"]) for r in got] == [(1, "one", {"INR": "one", "Note": "x\ny"}), (2, None, {"INR": None, "Note": None}), (3, None, {"INR": None, "Note": None}), (4, "four", {"INR": "four", "Note": "a"})]
 
 
+def test_files_come_in_pieces(spark, tmp_path, monkeypatch):
+    """Pieces that end anywhere: inside a character, a quoted value, a line's end, a mark of bytes; files in one task."""
+    texts = {"a.csv": '\ufeffINR,Note\r\nü1,"x ""y"",\r\n\r\nz"\r\n\r\nü2,€\r\n'.encode() + b"bad\xe2\x82,\xff\r\n", "b.csv": b"Note,INR\rn,1\r", "c.csv": b"", "d.csv": b"INR\n", "e.csv": b'INR,Note\n1,"open\n'}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    taken = lambda: sorted((r["_file"].rsplit("/", 1)[-1], r["_row"], r["file_hash"], r["queue_id"], str(r["payload"])) for r in files.rows(spark, f"{tmp_path}/*.csv").collect())
+    whole = taken()
+    assert [r[:2] for r in whole] == [("a.csv", 1), ("a.csv", 2), ("a.csv", 3), ("b.csv", 1), ("e.csv", 1)]
+    assert [r[3] for r in whole] == ["ü1", "ü2", "bad\ufffd", "1", "1"] and whole[0][4] == str({"INR": "ü1", "Note": 'x "y",\r\n\r\nz'}) and whole[4][4] == str({"INR": "1", "Note": "open\n"})
+    assert {r[0]: r[2] for r in whole} == {n: hashlib.sha256(texts[n]).hexdigest() for n in ("a.csv", "b.csv", "e.csv")}
+    for size in (1, 2, 7):
+        monkeypatch.setattr(files, "PIECE", size)
+        assert taken() == whole
+
+
+def test_a_file_is_a_stream():
+    """A file of four times the rows takes no more of a task's Python."""
+    line = b"q,name,some place\n"
+
+    def batches(n):
+        yield pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array(["h"]), pa.array([0]), pa.array([b"INR,Project,Note\n"])], names=["path", "file_hash", "no", "piece"])
+        for i in range(1, n + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(["f"]), pa.array(["h"]), pa.array([i]), pa.array([line * 1_000])], names=["path", "file_hash", "no", "piece"])
+
+    def peak(n):
+        tracemalloc.start()
+        try:
+            return sum(b.num_rows for b in files._parsed(batches(n))), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (small, few), (large, many) = peak(20), peak(80)
+    assert (small, large) == (20_000, 80_000) and many < few + 100_000
+
+
 def test_each_file_by_its_own_header(spark, tmp_path):
     """Columns in another order, by other names, or missing: read as one pattern."""
     (tmp_path / "q_2026_01.csv").write_text("Queue ID,Project Name,Capacity (MW),Status\nQ1,Alpha,10,Active\n")
@@ -191,6 +227,8 @@ def test_store(spark, tmp_path):
     assert s.counts(["t", "none"]) == {"t": 3, "none": 0} and [r["k"] for r in s.orphans("t", "u", "k").orderBy("k").collect()] == ["b", "c"]
     store.write_csv(s.read("t"), str(tmp_path / "c"), ["v", "k"], single=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["v", "k"]
+    store.write_csv(spark.range(25).coalesce(1), str(tmp_path / "many"), ["id"], file_rows=10)
+    assert sorted(len(p.read_text().split()) for p in (tmp_path / "many").glob("*.csv")) == [6, 11, 11] and files.rows(spark, f"{tmp_path}/many/*.csv").count() == 25
     s.drop("t")
     assert not s.has("t")
     s.reset()
